@@ -70,3 +70,47 @@ def q_state_count_check(spark, sf):
 """)
 def q_row_checksum(spark, sf):
     return text.row_checksum(table(spark, sf, "documents"), "doc_id", "text")
+
+
+# --- SparkPi over table rows: each lineitem row seeds one point, so the sample grows
+# with the data. Row id = l_orderkey * 16 + l_linenumber (unique per line).
+_PI_SQL = """
+  WITH ids AS (SELECT l_orderkey * 16 + l_linenumber AS id FROM lineitem),
+  xy AS (SELECT id, ((id % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM ids),
+  p AS (SELECT x - 1073741824 AS u,
+               ((x * 1103515245 + 12345) % 2147483648) - 1073741824 AS v FROM xy)
+  SELECT count(*) AS n,
+         CAST(sum(CASE WHEN u * u + v * v <= 1152921504606846976 THEN 1 ELSE 0 END) AS BIGINT) AS inside,
+         4 * CAST(sum(CASE WHEN u * u + v * v <= 1152921504606846976 THEN 1 ELSE 0 END) AS DOUBLE)
+           / count(*) AS pi
+  FROM p
+"""
+
+
+@job("pi_estimate", sql=_PI_SQL)
+def q_pi_estimate(spark, sf):
+    from quarry.operators.montecarlo import pi_from_ids
+    li = table(spark, sf, "lineitem")
+    return pi_from_ids(li.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id")))
+
+
+@job("text_landing", sql="SELECT unnest(string_split(text, chr(10))) AS value FROM documents")
+def q_text_landing(spark, sf):
+    from quarry.sources.files import text_landing
+    return text_landing(table(spark, sf, "documents"), scratch_path(spark, "landing"), "text")
+
+
+@job("file_inventory")
+def q_file_inventory(spark, sf):
+    from quarry.sources.files import file_inventory
+    return file_inventory(spark, sf, "*.parquet").select("name", "size")
+
+
+@job("checksum_audit")
+def q_checksum_audit(spark, sf):
+    """Publish a manifest of the table files, then audit the files against it."""
+    from quarry.sources import files
+    manifest_path = scratch_path(spark, "manifest")
+    files.write_manifest(files.file_digests(spark, sf, "*.parquet"), manifest_path)
+    return files.checksum_audit(files.file_digests(spark, sf, "*.parquet"),
+                                files.read_manifest(spark, manifest_path))

@@ -16,6 +16,7 @@ ORACLE: dict[str, str] = {}
 
 _JOB_MODULES = (
     "quarry.plans.jobs_text",
+    "quarry.plans.jobs_sources",
 )
 
 
