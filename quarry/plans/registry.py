@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {}
 _JOB_MODULES = (
     "quarry.plans.jobs_text",
     "quarry.plans.jobs_sources",
+    "quarry.plans.jobs_relational",
 )
 
 
