@@ -18,6 +18,7 @@ _JOB_MODULES = (
     "quarry.plans.jobs_text",
     "quarry.plans.jobs_sources",
     "quarry.plans.jobs_relational",
+    "quarry.plans.jobs_functions",
 )
 
 
