@@ -19,6 +19,7 @@ _JOB_MODULES = (
     "quarry.plans.jobs_sources",
     "quarry.plans.jobs_relational",
     "quarry.plans.jobs_functions",
+    "quarry.plans.jobs_streaming",
 )
 
 
