@@ -20,6 +20,7 @@ _JOB_MODULES = (
     "quarry.plans.jobs_relational",
     "quarry.plans.jobs_functions",
     "quarry.plans.jobs_streaming",
+    "quarry.plans.jobs_ml_graph",
 )
 
 
