@@ -59,7 +59,8 @@ def line_shares(lineitem: DataFrame) -> DataFrame:
 
 @pandas_udf(DoubleType())
 def spread(q: pd.Series) -> float:
-    return float(q.max() - q.min())
+    v = q.to_numpy()
+    return float(v.max() - v.min())
 
 
 def quantity_spread(lineitem: DataFrame) -> DataFrame:

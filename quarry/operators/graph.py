@@ -39,26 +39,33 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
              damping: float = 0.85) -> DataFrame:
-    """PageRank on the undirected graph (both directions), fixed iterations.
-    Vertices without edges (dangling) spread their rank evenly over all vertices.
-    Per round: one join of ranks to edges, one aggregation by target, one scalar
-    aggregate (the dangling mass, a single number)."""
-    n = vertices.count()
+    """PageRank on the undirected graph (both directions), fixed iterations, ranks
+    summing to 1. Dangling vertices spread their rank evenly over all vertices.
+
+    With mirrored edges a vertex is dangling exactly when it is isolated, and all
+    isolated vertices keep one common rank ``q``: ``q' = (1-d)/n + d*k*q/n`` for ``k``
+    isolated of ``n`` vertices. So the dangling mass ``k*q`` is a driver-side scalar
+    recurrence from two counts, and a round is one join of ranks to edges plus one
+    aggregation by target, with no per-round action. Lineage is cut by a checkpoint
+    every few rounds."""
     e = mirrored(edges)
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left")
+    v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left").checkpoint()
+    n = v.count()
+    k = v.where(F.col("deg").isNull()).count()
     ranks = v.select("id", "deg", F.lit(1.0 / n).alias("pr"))
-    ranks = ranks.checkpoint()
-    for _ in range(iterations):
+    q = 1.0 / n
+    for i in range(iterations):
         share = ranks.where(F.col("deg").isNotNull()).select(
             F.col("id").alias("src"), (F.col("pr") / F.col("deg")).alias("c"))
         contrib = e.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("in_c"))
-        # the dangling mass is one number: a bounded scalar summary
-        dm = ranks.where(F.col("deg").isNull()).agg(F.sum("pr")).first()[0] or 0.0
+        dm = k * q
         ranks = (ranks.select("id", "deg").join(contrib, "id", "left")
                  .select("id", "deg", (F.lit((1 - damping) / n) + F.lit(damping) *
-                                       (F.coalesce("in_c", F.lit(0.0)) + F.lit(dm / n))).alias("pr"))
-                 .checkpoint())
+                                       (F.coalesce("in_c", F.lit(0.0)) + F.lit(dm / n))).alias("pr")))
+        q = (1 - damping) / n + damping * dm / n
+        if (i + 1) % CHECKPOINT_EVERY == 0:
+            ranks = ranks.checkpoint()
     return ranks.select("id", "pr")
 
 
@@ -67,17 +74,21 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     round a vertex takes the smallest label among itself and its neighbours, until no
     label changes (checked with one count per round)."""
     e = mirrored(edges)
-    labels = vertices.select("id", F.col("id").alias("label"))
-    for i in range(max_rounds):
-        nb = (e.join(labels.withColumnRenamed("id", "src"), "src")
+    labels = vertices.select("id", F.col("id").alias("label")).checkpoint()
+
+    def step(lab):
+        nb = (e.join(lab.withColumnRenamed("id", "src"), "src")
                .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("nl")))
-        nxt = (labels.join(nb, "id", "left")
-                     .select("id", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                             (F.coalesce("nl", "label") < F.col("label")).alias("changed")))
-        nxt = nxt.checkpoint()
-        changed = nxt.where("changed").limit(1).count()
-        labels = nxt.select("id", "label")
-        if changed == 0:
+        return lab.join(nb, "id", "left").select(
+            "id", F.least("label", F.coalesce("nl", "label")).alias("label"))
+
+    for _ in range(max_rounds):
+        # two propagation steps per checkpointed round halve the rounds (and actions)
+        nxt = step(step(labels)).checkpoint()
+        moved = (nxt.join(labels.withColumnRenamed("label", "old"), "id")
+                    .where(F.col("label") < F.col("old")).limit(1).count())
+        labels = nxt
+        if moved == 0:
             break
     return labels.withColumnRenamed("label", "component")
 
@@ -141,10 +152,12 @@ def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
     for r in range(1, max_rounds + 1):
         nxt = (frontier.join(e, frontier.id == e.src)
                        .select("landmark", F.col("dst").alias("id")).distinct()
-                       .join(visited, ["landmark", "id"], "left_anti")
+                       .join(visited.select("landmark", "id"), ["landmark", "id"], "left_anti")
                        .select("landmark", "id", F.lit(r).alias("hops"))).checkpoint()
         if nxt.limit(1).count() == 0:
             break
-        visited = visited.unionByName(nxt).checkpoint()
+        visited = visited.unionByName(nxt)
+        if r % CHECKPOINT_EVERY == 0:
+            visited = visited.checkpoint()
         frontier = nxt
     return visited
