@@ -39,8 +39,8 @@ def date_funcs(orders: DataFrame) -> DataFrame:
         F.quarter("o_orderdate").alias("q"), F.dayofmonth("o_orderdate").alias("dom"),
         F.date_trunc("month", "o_orderdate").alias("month_start"),
         F.datediff(F.lit("2002-01-01").cast("date"), d).alias("days_left"),
-        F.date_add(d, 30).alias("due"),
-        F.last_day(d).alias("month_end"))
+        F.date_add(d, 30).cast("timestamp_ntz").alias("due"),
+        F.last_day(d).cast("timestamp_ntz").alias("month_end"))
 
 
 def math_funcs(lineitem: DataFrame) -> DataFrame:
@@ -114,8 +114,8 @@ def cast_funcs(orders: DataFrame) -> DataFrame:
     return orders.select(
         "o_orderkey",
         F.substring("o_orderpriority", 1, 1).try_cast("int").alias("prio"),
-        F.col("o_orderpriority").try_cast("int").alias("bad"),
+        F.col("o_orderpriority").try_cast("int").cast("double").alias("bad"),
         F.floor("o_totalprice").cast("bigint").alias("whole"),
-        F.col("o_orderdate").cast("date").alias("d"),
+        F.col("o_orderdate").cast("date").cast("timestamp_ntz").alias("d"),
         F.col("o_custkey").cast("string").alias("cust_text"),
         F.col("o_totalprice").cast("string").try_cast("double").alias("round_trip"))

@@ -37,8 +37,8 @@ def q_s2(spark, sf):
          CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(day(o_orderdate) AS INTEGER) AS dom,
          date_trunc('month', o_orderdate) AS month_start,
          CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS INTEGER) AS days_left,
-         CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) AS due,
-         last_day(CAST(o_orderdate AS DATE)) AS month_end
+         CAST(CAST(o_orderdate AS DATE) + 30 AS TIMESTAMP) AS due,
+         CAST(last_day(CAST(o_orderdate AS DATE)) AS TIMESTAMP) AS month_end
   FROM orders
 """)
 def q_s3(spark, sf):
@@ -114,8 +114,8 @@ def q_s9(spark, sf):
 
 @job("S10_cast", sql="""
   SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS prio,
-         TRY_CAST(o_orderpriority AS INTEGER) AS bad,
-         CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS d,
+         CAST(TRY_CAST(o_orderpriority AS INTEGER) AS DOUBLE) AS bad,
+         CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d,
          CAST(o_custkey AS VARCHAR) AS cust_text, o_totalprice AS round_trip
   FROM orders
 """)

@@ -141,8 +141,10 @@ def _urgent(spark, sf):
             .select("o_orderkey", "o_custkey"))
 
 
+# Outer-join outputs: integer columns that are null for unmatched rows are returned as
+# DOUBLE in both the job and its SQL, so both engines hand over the same pandas dtype.
 @job("join_left", sql="""
-  SELECT c_custkey, o_orderkey FROM customer LEFT JOIN
+  SELECT c_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey FROM customer LEFT JOIN
     (SELECT o_orderkey, o_custkey FROM orders
      WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2001-01-01') o
   ON c_custkey = o_custkey
@@ -150,11 +152,13 @@ def _urgent(spark, sf):
 def q_join_left(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
     o = _urgent(spark, sf)
-    return J.equi_join(c, o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "o_orderkey")
+    j = J.equi_join(c, o, c.c_custkey == o.o_custkey, "left")
+    return j.select("c_custkey", F.col("o_orderkey").cast("double").alias("o_orderkey"))
 
 
 @job("join_right", sql="""
-  SELECT l_orderkey, l_linenumber, p_partkey, p_name
+  SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+         p_partkey, p_name
   FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l RIGHT JOIN part ON l_partkey = p_partkey
 """)
 def q_join_right(spark, sf):
@@ -162,7 +166,8 @@ def q_join_right(spark, sf):
         .select("l_orderkey", "l_linenumber", "l_partkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     j = J.equi_join(li, p, li.l_partkey == p.p_partkey, "right")
-    return j.select("l_orderkey", "l_linenumber", "p_partkey", "p_name")
+    return j.select(F.col("l_orderkey").cast("double").alias("l_orderkey"),
+                    F.col("l_linenumber").cast("double").alias("l_linenumber"), "p_partkey", "p_name")
 
 
 @job("join_full", sql="""
@@ -170,7 +175,8 @@ def q_join_right(spark, sf):
              WHERE c_acctbal > 9000 GROUP BY 1),
        s AS (SELECT s_nationkey AS nk, count(*) AS n_supp FROM supplier
              WHERE s_acctbal < 0 GROUP BY 1)
-  SELECT coalesce(c.nk, s.nk) AS nationkey, n_cust, n_supp FROM c FULL JOIN s ON c.nk = s.nk
+  SELECT coalesce(c.nk, s.nk) AS nationkey, CAST(n_cust AS DOUBLE) AS n_cust,
+         CAST(n_supp AS DOUBLE) AS n_supp FROM c FULL JOIN s ON c.nk = s.nk
 """)
 def q_join_full(spark, sf):
     c = (table(spark, sf, "customer").where(F.col("c_acctbal") > 9000)
@@ -178,7 +184,9 @@ def q_join_full(spark, sf):
     s = (table(spark, sf, "supplier").where(F.col("s_acctbal") < 0)
          .groupBy(F.col("s_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("n_supp")))
     j = J.equi_join(c.alias("c"), s.alias("s"), F.col("c.nk") == F.col("s.nk"), "full")
-    return j.select(F.coalesce("c.nk", "s.nk").alias("nationkey"), "n_cust", "n_supp")
+    return j.select(F.coalesce("c.nk", "s.nk").alias("nationkey"),
+                    F.col("n_cust").cast("double").alias("n_cust"),
+                    F.col("n_supp").cast("double").alias("n_supp"))
 
 
 @job("join_semi", sql="""
@@ -234,7 +242,7 @@ def q_join_interval(spark, sf):
 
 
 @job("join_asof", sql="""
-  SELECT e.event_id, e.user_id, e.ts, p.event_id AS r_event_id, p.ts AS r_ts,
+  SELECT e.event_id, e.user_id, e.ts, CAST(p.event_id AS DOUBLE) AS r_event_id, p.ts AS r_ts,
          p.value AS r_value
   FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
     ON e.user_id = p.user_id AND e.ts > p.ts
@@ -242,8 +250,9 @@ def q_join_interval(spark, sf):
 def q_join_asof(spark, sf):
     e = table(spark, sf, "events")
     p = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
-    return J.asof_join(e.select("event_id", "user_id", "ts"), p, "user_id", "ts",
-                       ["event_id", "ts", "value"])
+    j = J.asof_join(e.select("event_id", "user_id", "ts"), p, "user_id", "ts",
+                    ["event_id", "ts", "value"])
+    return j.withColumn("r_event_id", F.col("r_event_id").cast("double"))
 
 
 # ------------------------------------------------------------------------ aggregation
@@ -391,8 +400,9 @@ def q_agg_filter(spark, sf):
 """)
 def q_win_rank(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return W.rank_within(li, ["l_orderkey"], [F.col("l_extendedprice").desc()],
-                         [F.col("l_linenumber")])
+    r = W.rank_within(li, ["l_orderkey"], [F.col("l_extendedprice").desc()],
+                      [F.col("l_linenumber")])
+    return r.select(*li.columns, *[F.col(c).cast("bigint").alias(c) for c in ("rn", "rnk", "drnk", "tile")])
 
 
 @job("win_topn", sql="""
@@ -403,7 +413,8 @@ def q_win_rank(spark, sf):
 """)
 def q_win_topn(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return W.top_n_per_group(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+    t = W.top_n_per_group(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+    return t.withColumn("rn", F.col("rn").cast("bigint"))
 
 
 @job("win_lag_lead", sql="""
@@ -444,12 +455,12 @@ def q_win_range(spark, sf):
 @job("win_first_last", sql="""
   SELECT event_id, user_id, day, event_type, first_value(event_type) OVER w AS first_event_type,
     last_value(event_type) OVER w AS last_event_type, nth_value(event_type, 2) OVER w AS nth2_event_type
-  FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)
+  FROM (SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events)
   WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """)
 def q_win_first_last(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type") \
-        .withColumn("day", F.to_date("ts"))
+        .withColumn("day", F.to_date("ts").cast("timestamp_ntz"))
     r = W.first_last(e, ["user_id", "day"], [F.col("ts"), F.col("event_id")], "event_type")
     return r.drop("ts")

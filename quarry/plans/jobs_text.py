@@ -42,7 +42,7 @@ def _values_sql(rows, cols, alias):
 
 @job("expected_counts", sql=f"""
   WITH counts AS (SELECT word, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY word)
-  SELECT e.word, CAST(e.expected AS BIGINT) AS expected, c.n,
+  SELECT e.word, CAST(e.expected AS BIGINT) AS expected, CAST(c.n AS DOUBLE) AS n,
          CASE WHEN c.n IS NULL THEN 'missing' WHEN c.n = e.expected THEN 'ok'
               ELSE 'mismatch' END AS status
   FROM {_values_sql(GOLDEN_WORDS, ['word', 'expected'], 'e')} LEFT JOIN counts c USING (word)
@@ -50,7 +50,8 @@ def _values_sql(rows, cols, alias):
 def q_expected_counts(spark, sf):
     counts = text.word_count(table(spark, sf, "documents"), "text")
     exp = spark.createDataFrame(GOLDEN_WORDS, "word string, expected bigint")
-    return text.expected_counts(counts, exp)
+    # n is null for missing words: DOUBLE on both sides keeps the pandas dtypes equal
+    return text.expected_counts(counts, exp).withColumn("n", F.col("n").cast("double"))
 
 
 @job("state_count_check", sql=f"""
