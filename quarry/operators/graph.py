@@ -48,7 +48,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     recurrence from two counts, and a round is one join of ranks to edges plus one
     aggregation by target, with no per-round action. Lineage is cut by a checkpoint
     every few rounds."""
-    e = mirrored(edges)
+    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left").checkpoint()
     n = v.count()
@@ -73,7 +73,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     """``id, component`` = smallest vertex id reachable. Min-label propagation: each
     round a vertex takes the smallest label among itself and its neighbours, until no
     label changes (checked with one count per round)."""
-    e = mirrored(edges)
+    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
     labels = vertices.select("id", F.col("id").alias("label")).checkpoint()
 
     def step(lab):
@@ -144,7 +144,7 @@ def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
     Frontier expansion: neighbours of the frontier not yet visited form the next
     frontier; visited sets are checkpointed every round."""
     spark = vertices.sparkSession
-    e = mirrored(edges)
+    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
     lm = spark.createDataFrame([(int(x),) for x in landmarks], "landmark long")
     visited = (lm.join(vertices.select("id"), F.col("landmark") == F.col("id"))
                  .select("landmark", "id", F.lit(0).alias("hops"))).checkpoint()

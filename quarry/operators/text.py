@@ -76,12 +76,13 @@ def expected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
 def state_count_check(df: DataFrame, state_col: str, expected: DataFrame) -> DataFrame:
     """``state, expected, n, ok``: rows per state compared with an expected number
     (exact). A state absent from ``df`` counts 0. ``expected`` holds
-    ``(state, expected)``; one small row per state, broadcast after a size check."""
+    ``(state, expected)``. The expectation list is the preserved side of the outer join,
+    so it streams; the counts (one row per state, after partial aggregation) are the
+    build side, and AQE broadcasts them from their runtime size."""
     counts = (df.groupBy(F.col(state_col).alias("state"))
                 .agg(F.count(F.lit(1)).alias("n")))
-    exp = small_side(expected.select("state", F.col("expected").cast("bigint").alias("expected")),
-                     "expected states")
-    out = counts.join(exp, "state", "right")
+    exp = expected.select("state", F.col("expected").cast("bigint").alias("expected"))
+    out = exp.join(counts, "state", "left")
     n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
     return out.select("state", "expected", n.alias("n"), (n == F.col("expected")).alias("ok"))
 

@@ -106,9 +106,21 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
 
 def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col: str,
                nth: int = 2) -> DataFrame:
-    """first / last / nth value of ``col`` over the whole (small) group."""
-    w = (Window.partitionBy(*key).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.select("*", F.first(col).over(w).alias("first_" + col),
-                     F.last(col).over(w).alias("last_" + col),
-                     F.nth_value(col, nth).over(w).alias(f"nth{nth}_" + col))
+    """``first_<col>``, ``last_<col>``, ``nth<k>_<col>`` of each group (whole-group frame),
+    attached to every row.
+
+    No window over the group is needed: first and last are ``min_by`` / ``max_by``
+    aggregates (partial per task), the n-th value comes from a top-n ``row_number``
+    whose partial WindowGroupLimit trims every task to n rows per group before the
+    shuffle, and the per-group row is joined back (a join AQE can split for a hot
+    group). ``order`` must be unique within a group.
+    """
+    o = F.struct(*order)
+    agg = df.groupBy(*key).agg(F.min_by(col, o).alias("first_" + col),
+                               F.max_by(col, o).alias("last_" + col))
+    w = Window.partitionBy(*key).orderBy(*order)
+    nth_rows = (df.select(*key, col, F.row_number().over(w).alias("_rn"))
+                  .where(F.col("_rn") <= nth).where(F.col("_rn") == nth)
+                  .select(*key, F.col(col).alias(f"nth{nth}_" + col)))
+    per_group = agg.join(nth_rows, list(key), "left")
+    return df.join(per_group, list(key))

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
                                TimestampNTZType)
 
+from quarry.plans.broadcast import small_side
 from quarry.session import scratch_path
 
 EVENTS_SCHEMA = StructType([
@@ -98,9 +99,11 @@ def dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def static_join(events: DataFrame, customers: DataFrame) -> DataFrame:
-    """Stream-static join: the static side is re-read per batch; Spark broadcasts it
-    when small, otherwise both sides are shuffled per batch."""
-    c = customers.select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_nationkey")
+    """Stream-static join. AQE does not run inside micro-batches, so the static side is
+    broadcast only after a row-count check; above the bound every batch shuffles both
+    sides (on a cluster, a table bucketed by the key avoids re-shuffling it)."""
+    c = small_side(customers.select(F.col("c_custkey").alias("user_id"), "c_mktsegment",
+                                    "c_nationkey"), "static side", 1_000_000)
     return (events.join(c, "user_id", "left")
                   .select("event_id", "user_id", _ntz("ts").alias("ts"), "c_mktsegment",
                           "c_nationkey"))
