@@ -51,7 +51,10 @@ def event_log_summary(spark: SparkSession, log_path: str) -> DataFrame:
 
 def own_log(spark: SparkSession) -> str | None:
     """The current application's log file, if it is being written as plain JSON."""
-    conf = spark.sparkContext.getConf()
+    try:
+        conf = spark.sparkContext.getConf()
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+        return None
     if conf.get("spark.eventLog.enabled", "false").lower() != "true":
         return None
     if conf.get("spark.eventLog.compress", "false").lower() == "true":

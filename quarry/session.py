@@ -51,7 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     path every executor can reach). Only when it is unset, as in local tests, we
     make one under the local temp folder and register it.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    if sc is None:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            d = tempfile.mkdtemp(prefix="quarry-shared-")
+            spark.conf.set("spark.checkpoint.dir", d)
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d

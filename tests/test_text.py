@@ -114,3 +114,16 @@ def test_pi_matches_brute_force(spark):
         inside += (x - h) ** 2 + (y - h) ** 2 <= h * h
     assert (r["n"], r["inside"]) == (199_999, inside)
     assert abs(r["pi"] - 3.14159) < 0.01
+
+
+def test_event_log_summary_of_a_wordcount(spark, tmp_dir):
+    from quarry.plans import eventlog
+    log = eventlog.child_log(SF, os.path.join(tmp_dir, "log"))
+    s = eventlog.event_log_summary(spark, log).collect()
+    assert s and all(r["tasks"] > 0 and r["failed_tasks"] == 0 for r in s)
+    # WordCount shuffles once: one stage writes shuffle bytes, a later one reads them
+    assert any(r["shuffle_write_bytes"] > 0 for r in s)
+    assert any(r["shuffle_read_bytes"] > 0 for r in s)
+
+
+SF = "/root/testdata/sf0.001"
