@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # --- Parquet -------------------------------------------------------------------------
