@@ -124,3 +124,50 @@ def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col:
                   .select(*key, F.col(col).alias(f"nth{nth}_" + col)))
     per_group = agg.join(nth_rows, list(key), "left")
     return df.join(per_group, list(key))
+
+
+def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
+                buckets: int = 64, rel_error: float = 0.001) -> DataFrame:
+    """row_number / rank / dense_rank / ntile per ``key`` by ``value`` descending
+    (``row_number`` and ``ntile`` break ties by ``tie`` ascending), for groups of any
+    size.
+
+    The value axis is cut into ``buckets`` global ranges (``approxQuantile``: a bounded
+    list of bounds on the driver). Ranks are computed by a local window inside each
+    ``(key, range)`` and shifted by exact counts of rows / distinct values in the key's
+    higher ranges, taken from a per-range summary (at most ``buckets`` rows per key).
+    A key holding a third of all rows is thereby ranked by up to ``buckets`` tasks.
+    Equal values always share a range, so ties never straddle two ranges and the
+    result is exact whatever the quantiles are.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    bounds = sorted(set(b for b in df.approxQuantile(value, [i / buckets for i in range(1, buckets)],
+                                                    rel_error) if b is not None))
+    splits = [float("-inf")] + bounds + [float("inf")]
+    d = Bucketizer(splits=splits, inputCol=value, outputCol="_bf", handleInvalid="keep") \
+        .transform(df.withColumn(value, F.col(value).cast("double"))) \
+        .withColumn("_b", F.col("_bf").cast("int")).drop("_bf")
+    w_val = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
+    w_row = Window.partitionBy(key, "_b").orderBy(F.col(value).desc(), F.col(tie))
+    local = d.select("*", F.row_number().over(w_row).alias("_rn"), F.rank().over(w_val).alias("_rk"),
+                     F.dense_rank().over(w_val).alias("_dr"))
+    summ = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"),
+                                    F.countDistinct(value).alias("_d"))
+    higher = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
+    offs = summ.select(key, "_b",
+                       F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_before"),
+                       F.coalesce(F.sum("_d").over(higher), F.lit(0)).alias("_vals_before"),
+                       F.sum("_n").over(whole).alias("_total"))
+    j = local.join(offs, [key, "_b"])
+    rn = F.col("_rn") + F.col("_rows_before")
+    n, t = F.col("_total"), F.lit(tiles)
+    q, r = F.floor(n / t), n % t          # ntile: r tiles of q+1 rows, then tiles of q rows
+    big = r * (q + 1)
+    tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
+            .otherwise(r + F.floor((rn - big - 1) / q) + 1)
+    return j.select(*df.columns, rn.cast("bigint").alias("rn"),
+                    (F.col("_rk") + F.col("_rows_before")).cast("bigint").alias("rnk"),
+                    (F.col("_dr") + F.col("_vals_before")).cast("bigint").alias("drnk"),
+                    tile.cast("bigint").alias("tile"))

@@ -405,6 +405,24 @@ def q_win_rank(spark, sf):
     return r.select(*li.columns, *[F.col(c).cast("bigint").alias(c) for c in ("rn", "rnk", "drnk", "tile")])
 
 
+@job("win_rank_supplier", sql="""
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 16 + l_linenumber) AS rn,
+    rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS rnk,
+    dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS drnk,
+    ntile(4) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 16 + l_linenumber) AS tile
+  FROM lineitem
+""")
+def q_win_rank_supplier(spark, sf):
+    """Ranking inside groups with no size bound (a supplier's lines): value-range
+    buckets spread a hot supplier over many tasks."""
+    li = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice",
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line_id"))
+    r = W.rank_spread(li, "l_suppkey", "l_extendedprice", "line_id", tiles=4)
+    return r.drop("line_id")
+
+
 @job("win_topn", sql="""
   SELECT o_custkey, o_orderkey, o_totalprice, rn FROM (
     SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (

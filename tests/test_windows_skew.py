@@ -84,3 +84,33 @@ def test_interval_join(hot):
     out = J.interval_join(e, e, "user_id", "ts", 300).select("l_event_id", "r_event_id")
     check(out, con, """SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ev a
         JOIN ev b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE""")
+
+
+@pytest.fixture(scope="module")
+def hot_lines(spark):
+    """lineitem plus a copy of every line moved to supplier 999 (half of all rows), and
+    a small supplier 998 whose lines all share one price (all ties)."""
+    li = table(spark, SF_SMALL, "lineitem").select(
+        "l_suppkey", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line_id"),
+        "l_extendedprice")
+    copy = (li.withColumn("l_suppkey", F.lit(999).cast("bigint"))
+              .withColumn("line_id", F.col("line_id") + 10 ** 9))
+    ties = (li.orderBy("line_id").limit(50).withColumn("l_suppkey", F.lit(998).cast("bigint"))
+              .withColumn("line_id", F.col("line_id") + 2 * 10 ** 9)
+              .withColumn("l_extendedprice", F.lit(100.0)))
+    df = li.unionByName(copy).unionByName(ties)
+    con = duckdb.connect()
+    con.register("li", df.toPandas())
+    return df, con
+
+
+@pytest.mark.parametrize("buckets", [2, 16, 64])
+def test_rank_spread(hot_lines, buckets):
+    df, con = hot_lines
+    out = W.rank_spread(df, "l_suppkey", "l_extendedprice", "line_id", tiles=3, buckets=buckets)
+    check(out, con, """SELECT l_suppkey, line_id, l_extendedprice,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, line_id) AS rn,
+        rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS rnk,
+        dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS drnk,
+        ntile(3) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, line_id) AS tile
+        FROM li""")
