@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on. Shuffle partitions default to 16 (the value the
-# deployment ships with); AQE coalesces them for small inputs and splits skewed
-# join partitions for large ones, so the same setting holds from sf0.01 to 100 TB.
+# Settings every job relies on. AQE coalesces small shuffle partitions up to the
+# advisory size and splits skewed join partitions; it never raises the partition count,
+# so that count must be sized for the largest shuffle (see ``size_shuffle``).
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -19,6 +19,7 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.pyspark.fallback.enabled": "false",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
@@ -26,24 +27,43 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str | None = None, partitions: int = 16, app: str = "quarry",
+def get_session(master: str | None = None, partitions: int | None = None, app: str = "quarry",
                 extra: dict | None = None) -> SparkSession:
     """Build (or reuse) the session. ``master`` is only set when given, so that
-    ``spark-submit --master yarn ...`` keeps control on a cluster."""
+    ``spark-submit --master yarn ...`` keeps control on a cluster.
+
+    ``partitions`` (shuffle partitions) defaults to three per core of the cluster,
+    at least 16; ``size_shuffle`` raises the initial count for very large shuffles.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(partitions)
+    if partitions:
+        conf["spark.sql.shuffle.partitions"] = str(partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not partitions:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(16, 3 * cores)))
     shared_dir(spark)
     return spark
 
 
+def size_shuffle(spark: SparkSession, shuffle_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """Size the initial shuffle partition count for ``shuffle_bytes`` of shuffle data,
+    ``target_bytes`` per partition (so a partition sorts in executor memory); AQE then
+    coalesces whatever turns out smaller. For example 30 TB of shuffle output gives
+    about 240k partitions. Returns the count set."""
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(current, -(-shuffle_bytes // target_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
