@@ -37,8 +37,9 @@ def pi_from_ids(ids: DataFrame, id_col: str = "id") -> DataFrame:
     one partial row per task, one final row)."""
     agg = pi_points(ids, id_col).agg(F.count(F.lit(1)).alias("n"),
                                      F.sum("inside").cast("bigint").alias("inside"))
+    # try_divide: no points (empty input) gives a null estimate instead of an ANSI error
     return agg.select("n", "inside",
-                      (F.lit(4) * F.col("inside").cast("double") / F.col("n")).alias("pi"))
+                      F.try_divide(F.lit(4) * F.col("inside").cast("double"), F.col("n")).alias("pi"))
 
 
 def pi_estimate(spark: SparkSession, slices: int = 100) -> DataFrame:
