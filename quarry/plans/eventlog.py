@@ -70,9 +70,13 @@ def own_log(spark: SparkSession) -> str | None:
     return f"{d}/{app}.inprogress"
 
 
-def child_log(sf_dir: str, log_dir: str, timeout_s: int = 600) -> str:
-    """Run a WordCount in a child application with a plain JSON event log."""
-    os.makedirs(log_dir, exist_ok=True)
+def child_log(spark: SparkSession, sf_dir: str, log_dir: str, timeout_s: int = 600) -> str:
+    """Run a WordCount in a child application with a plain JSON event log in
+    ``log_dir`` (any Hadoop path). Spark needs the folder to exist; a one-line
+    ``_marker`` write creates it on whatever file system the path names (readers skip
+    names starting with ``_``)."""
+    spark.createDataFrame([("event log folder",)], "value string") \
+        .write.mode("overwrite").text(f"{log_dir.rstrip('/')}/_marker")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = dict(os.environ, PYTHONPATH=root + os.pathsep + os.environ.get("PYTHONPATH", ""))
     subprocess.run([sys.executable, "-m", "quarry.plans.eventlog", sf_dir, log_dir],

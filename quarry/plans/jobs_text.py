@@ -122,8 +122,7 @@ def q_event_log_summary(spark, sf):
     """Per-stage task counts, run time and shuffle bytes from an event log: the
     session's own log when it is plain JSON, else that of a child WordCount run."""
     from quarry.plans import eventlog
-    from quarry.session import local_path
     log = eventlog.own_log(spark)
     if log is None:
-        log = eventlog.child_log(sf, local_path(scratch_path(spark, "eventlog")))
+        log = eventlog.child_log(spark, sf, scratch_path(spark, "eventlog"))
     return eventlog.event_log_summary(spark, log)

@@ -118,7 +118,7 @@ def test_pi_matches_brute_force(spark):
 
 def test_event_log_summary_of_a_wordcount(spark, tmp_dir):
     from quarry.plans import eventlog
-    log = eventlog.child_log(SF, os.path.join(tmp_dir, "log"))
+    log = eventlog.child_log(spark, SF, os.path.join(tmp_dir, "log"))
     s = eventlog.event_log_summary(spark, log).collect()
     assert s and all(r["tasks"] > 0 and r["failed_tasks"] == 0 for r in s)
     # WordCount shuffles once: one stage writes shuffle bytes, a later one reads them
