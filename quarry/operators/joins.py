@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.windows import TARGET_ROWS, with_bucket
 from quarry.plans.broadcast import small_side
 
 
@@ -58,19 +59,20 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],
-              bucket_seconds: int = 86_400, strict: bool = True) -> DataFrame:
+              bucket_seconds: int | None = None, strict: bool = True,
+              target_rows: int = TARGET_ROWS) -> DataFrame:
     """For every ``left`` row, the latest ``right`` row with the same ``key`` and an
     earlier ``ts`` (``<`` when ``strict``, else ``<=``); right columns come back as
     ``r_<name>`` and are null when there is none.
 
-    Plan: both sides are unioned and cut into ``(key, time bucket)`` groups. Inside a
-    group a running ``last(ignorenulls)`` finds the latest right row so far. For rows
-    with none in their own bucket, a per-bucket summary (one row per key and bucket)
-    carries the last right row of earlier buckets forward; it is joined back on
-    ``(key, bucket)``. A hot key is thereby spread over its time buckets instead of
-    one task.
+    Plan: both sides are unioned and cut into ``(key, time range)`` groups (global
+    quantile ranges sized from the row count, or fixed ``bucket_seconds`` buckets; see
+    ``windows.with_bucket``). Inside a group a running ``last(ignorenulls)`` finds the
+    latest right row so far. For rows with none in their own range, a per-range
+    summary (one row per key and range) carries the last right row of earlier ranges
+    forward; it is joined back on ``(key, range)``. A hot key is thereby spread over
+    many tasks, and the result does not depend on where the ranges are cut.
     """
-    b = bucket_seconds * 1_000_000
     rc = [F.col(c).alias("r_" + c) for c in right_cols]
     r_type = right.select(F.struct(*rc).alias("s")).schema[0].dataType
     ltypes = {f.name: f.dataType for f in left.schema.fields}
@@ -80,7 +82,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
                            else F.lit(None).cast(ltypes[c]).alias(c) for c in left.columns],
                          F.struct(*rc).alias("_r"), F.lit(1 if strict else 0).alias("_tag"))
     both = lside.unionByName(rside)
-    both = both.withColumn("_m", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_m") / b))
+    both = with_bucket(both.withColumn("_m", epoch_micros(ts)), ts, bucket_seconds, target_rows)
     w_local = (Window.partitionBy(key, "_b").orderBy("_m", "_tag")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w_local))

@@ -2,10 +2,15 @@
 
 Spark evaluates a window one partition-key group at a time inside one task, so a key
 holding a third of all rows would become one huge task. For per-key sequences (a
-user's events) the jobs here therefore window over ``(key, time bucket)`` and stitch
-buckets together with a small per-bucket summary (one row per key and bucket, bounded
-by the time span, not by the row count). Windows over groups that are small by
-construction (lines of one order) use the plain API.
+user's events) the jobs here therefore window over ``(key, range)`` and stitch the
+ranges together with a small per-range summary (one row per key and range).
+
+The ranges are global cuts of the ordering axis taken from ``approxQuantile``, as
+many as the row count needs for about ``TARGET_ROWS`` rows per range. A range holds
+that many rows of *all* keys together, so one key's rows inside it are bounded too,
+however hot the key is. Results do not depend on where the cuts fall: the stitching
+is exact. Windows over groups that are small by construction (lines of one order)
+use the plain API.
 """
 
 from __future__ import annotations
@@ -15,13 +20,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows per range the sequence operators aim for: one (key, range) window group is
+# sorted and buffered by one task, so it must fit an executor comfortably.
+TARGET_ROWS = 2_000_000
+# Upper bound on ranges (the cut list is the only thing that reaches the driver: at
+# most this many doubles). Beyond TARGET_ROWS * MAX_RANGES rows, ranges grow wider.
+MAX_RANGES = 1 << 17
+
 
 def micros(ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
-def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int) -> DataFrame:
-    return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000)))
+def range_cuts(df: DataFrame, axis: Column, target_rows: int = TARGET_ROWS,
+               max_ranges: int = MAX_RANGES) -> list[float]:
+    """Sorted cut points of ``axis`` (a numeric expression) such that each range
+    between neighbouring cuts holds about ``target_rows`` rows. One count and one
+    distributed ``approxQuantile`` pass; only the cut list reaches the driver.
+    Returns ``[]`` (one range) when the data fit one range."""
+    n = df.count()
+    k = min(max_ranges, -(-n // max(1, target_rows)))
+    if k <= 1:
+        return []
+    cuts = df.select(axis.cast("double").alias("_axis")).approxQuantile(
+        "_axis", [i / k for i in range(1, k)], 1.0 / (2 * k))
+    return sorted(set(c for c in cuts if c is not None))
+
+
+def range_index(df: DataFrame, axis_col: str, cuts: Sequence[float], out: str = "_b") -> DataFrame:
+    """``out`` = index of the range of ``cuts`` holding ``axis_col`` (binary search in
+    the JVM via ``Bucketizer``; equal values always share a range)."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf"), *cuts, float("inf")]
+    tmp = out + "_f"
+    b = Bucketizer(splits=splits, inputCol=axis_col, outputCol=tmp, handleInvalid="keep")
+    return b.transform(df).withColumn(out, F.col(tmp).cast("bigint")).drop(tmp)
+
+
+def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
+                target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
+    given, else global quantile ranges of about ``target_rows`` rows each."""
+    if bucket_seconds:
+        return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000)))
+    cuts = range_cuts(df, micros(ts_col), target_rows)
+    d = df.withColumn("_bm", micros(ts_col).cast("double"))
+    return range_index(d, "_bm", cuts).drop("_bm")
 
 
 def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column],
@@ -43,32 +89,39 @@ def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column],
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str,
-                  out: str = "running", bucket_seconds: int = 86_400) -> DataFrame:
-    """Running sum of ``value`` per ``key`` in ``(ts, tie)`` order (rows frame).
+def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | Sequence[str],
+                  out: str | Sequence[str] = "running", bucket_seconds: int | None = None,
+                  target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Running sum of ``value`` per ``key`` in ``(ts, tie)`` order (rows frame); several
+    columns at once when ``value`` and ``out`` are lists.
 
-    local running sum inside ``(key, bucket)`` + sum of all earlier buckets of the key
-    (a window over the small per-bucket summary), joined back on ``(key, bucket)``.
+    local running sum inside ``(key, range)`` + sum of all earlier ranges of the key
+    (a window over the small per-range summary), joined back on ``(key, range)``.
+    Ranges: see ``with_bucket``.
     """
-    d = with_bucket(df, ts_col, bucket_seconds)
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
+    d = with_bucket(df, ts_col, bucket_seconds, target_rows)
     w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.withColumn("_local", F.sum(value).over(w_local))
+    local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = (d.groupBy(key, "_b").agg(F.sum(value).alias("_bs"))
-               .select(key, "_b", F.coalesce(F.sum("_bs").over(w_b), F.lit(0)).alias("_prefix")))
-    return (local.join(prefix, [key, "_b"])
-                 .withColumn(out, F.col("_local") + F.col("_prefix"))
-                 .drop("_local", "_prefix", "_b"))
+    per_range = d.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_bs{i}") for i, v in enumerate(values)])
+    prefix = per_range.select(key, "_b", *[
+        F.coalesce(F.sum(f"_bs{i}").over(w_b), F.lit(0)).alias(f"_prefix{i}")
+        for i in range(len(values))])
+    j = local.join(prefix, [key, "_b"])
+    return j.select(*df.columns, *[(F.col(f"_local{i}") + F.col(f"_prefix{i}")).alias(o)
+                                   for i, o in enumerate(outs)])
 
 
 def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str],
-             bucket_seconds: int = 86_400) -> DataFrame:
+             bucket_seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``prev_<c>`` / ``next_<c>``: the previous / next row's value per ``key`` in
-    ``(ts, tie)`` order, stitched across time buckets: the first row of a bucket takes
-    the last row of the nearest earlier non-empty bucket, the last row the first row of
-    the nearest later one."""
-    d = with_bucket(df, ts_col, bucket_seconds)
+    ``(ts, tie)`` order, stitched across time ranges: the first row of a range takes
+    the last row of the nearest earlier non-empty range, the last row the first row of
+    the nearest later one. Ranges: see ``with_bucket``."""
+    d = with_bucket(df, ts_col, bucket_seconds, target_rows)
     w = Window.partitionBy(key, "_b").orderBy(ts_col, tie)
     order = F.struct(F.col(ts_col), F.col(tie))
     row = F.struct(*[F.col(c) for c in cols])
@@ -87,21 +140,39 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
                     *[nxt[c].alias("next_" + c) for c in cols])
 
 
-def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_seconds: int) -> DataFrame:
+def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_seconds: int,
+                   bucket_seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``n_trailing`` / ``sum_trailing``: rows and sum of ``value`` of the same key with
     ``ts`` in ``[ts - width, ts]`` (a RANGE frame, so equal timestamps are peers).
 
-    Buckets are ``width`` wide; each row is also copied, as context only, into the next
-    bucket, so every frame lies inside one ``(key, bucket)`` group.
+    No window spans a frame. Rows are first folded to one row per ``(key, ts)``
+    (partial aggregation). A running count and sum over those rows (``running_total``:
+    split over time ranges) gives ``C(ts)``, everything of the key up to and including
+    ``ts``; an as-of lookup (``asof_join``, split the same way) gives the running
+    values just before ``ts - width``. The frame is their difference. Sums run in
+    ``decimal(38, 10)`` so the difference is exact; a hot key or a dense burst is
+    spread over many tasks whatever the frame width.
     """
-    wmic = width_seconds * 1_000_000
-    d = df.withColumn("_m", micros(ts_col)).withColumn("_b0", F.floor(F.col("_m") / wmic))
-    copies = d.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))) \
-              .withColumn("_b", F.when(F.col("_own"), F.col("_b0")).otherwise(F.col("_b0") + 1))
-    w = Window.partitionBy(key, "_b").orderBy("_m").rangeBetween(-wmic, 0)
-    return (copies.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
-                          F.sum(value).over(w).alias("sum_trailing"))
-                  .where("_own").drop("_m", "_b0", "_b", "_own"))
+    from quarry.operators.joins import asof_join
+
+    width = F.expr(f"INTERVAL {int(width_seconds)} SECONDS")
+    dec = F.col(value).cast("decimal(38, 10)")
+    g = (df.groupBy(key, ts_col)
+           .agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nn"), F.sum(dec).alias("_s")))
+    run = running_total(g, key, ts_col, ts_col, ["_n", "_nn", "_s"], ["_cn", "_cnn", "_cs"],
+                        bucket_seconds, target_rows)
+    lookup = run.select(key, (F.col(ts_col) - width).alias(ts_col), F.col(ts_col).alias("_ts0"),
+                        "_cn", "_cnn", "_cs")
+    before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,
+                       ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True, target_rows=target_rows)
+    z = F.lit(0)
+    per_ts = before.select(
+        key, F.col("_ts0").alias(ts_col),
+        (F.col("_cn") - F.coalesce("r__cn", z)).alias("n_trailing"),
+        F.when(F.col("_cnn") - F.coalesce("r__cnn", z) > 0,
+               (F.col("_cs") - F.coalesce("r__cs", F.lit(0).cast("decimal(38, 10)"))).cast("double"))
+         .alias("sum_trailing"))
+    return df.join(per_ts, [key, ts_col])
 
 
 def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col: str,
@@ -127,27 +198,25 @@ def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col:
 
 
 def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
-                buckets: int = 64, rel_error: float = 0.001) -> DataFrame:
+                buckets: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """row_number / rank / dense_rank / ntile per ``key`` by ``value`` descending
     (``row_number`` and ``ntile`` break ties by ``tie`` ascending), for groups of any
     size.
 
-    The value axis is cut into ``buckets`` global ranges (``approxQuantile``: a bounded
-    list of bounds on the driver). Ranks are computed by a local window inside each
+    The value axis is cut into global ranges (``range_cuts``: about ``target_rows``
+    rows per range, or exactly ``buckets`` quantile ranges when given; only the cut
+    list reaches the driver). Ranks are computed by a local window inside each
     ``(key, range)`` and shifted by exact counts of rows / distinct values in the key's
-    higher ranges, taken from a per-range summary (at most ``buckets`` rows per key).
-    A key holding a third of all rows is thereby ranked by up to ``buckets`` tasks.
-    Equal values always share a range, so ties never straddle two ranges and the
-    result is exact whatever the quantiles are.
+    higher ranges, taken from a per-range summary (one row per key and range). A key
+    holding a third of all rows is thereby ranked by many tasks. Equal values always
+    share a range, so ties never straddle two ranges and the result is exact whatever
+    the quantiles are.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    bounds = sorted(set(b for b in df.approxQuantile(value, [i / buckets for i in range(1, buckets)],
-                                                    rel_error) if b is not None))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    d = Bucketizer(splits=splits, inputCol=value, outputCol="_bf", handleInvalid="keep") \
-        .transform(df.withColumn(value, F.col(value).cast("double"))) \
-        .withColumn("_b", F.col("_bf").cast("int")).drop("_bf")
+    if buckets:
+        cuts = range_cuts(df, F.col(value), target_rows=1, max_ranges=buckets)
+    else:
+        cuts = range_cuts(df, F.col(value), target_rows)
+    d = range_index(df.withColumn("_bv", F.col(value).cast("double")), "_bv", cuts).drop("_bv")
     w_val = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
     w_row = Window.partitionBy(key, "_b").orderBy(F.col(value).desc(), F.col(tie))
     local = d.select("*", F.row_number().over(w_row).alias("_rn"), F.rank().over(w_val).alias("_rk"),

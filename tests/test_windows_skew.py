@@ -35,43 +35,51 @@ def check(df, con, sql):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("bucket", [600, 3600, 86_400])
-def test_lag_lead(hot, bucket):
+# How rows are cut: fixed-width buckets, or global quantile ranges (a tiny row target
+# forces many ranges on the small fixture; the default gives a single range).
+SPLITS = [dict(bucket_seconds=600), dict(bucket_seconds=86_400), dict(target_rows=37),
+          dict(target_rows=500), dict()]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_lag_lead(hot, split):
     df, con = hot
     out = W.lag_lead(df.select("event_id", "user_id", "ts", "event_type"), "user_id", "ts",
-                     "event_id", ["ts", "event_type"], bucket_seconds=bucket)
+                     "event_id", ["ts", "event_type"], **split)
     check(out, con, """SELECT event_id, user_id, ts, event_type,
         lag(ts) OVER w AS prev_ts, lag(event_type) OVER w AS prev_event_type,
         lead(ts) OVER w AS next_ts, lead(event_type) OVER w AS next_event_type
         FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 
 
-@pytest.mark.parametrize("bucket", [600, 86_400])
-def test_running_total(hot, bucket):
+@pytest.mark.parametrize("split", SPLITS)
+def test_running_total(hot, split):
     df, con = hot
     out = W.running_total(df.select("event_id", "user_id", "ts", "value"), "user_id", "ts",
-                          "event_id", "value", bucket_seconds=bucket)
+                          "event_id", "value", **split)
     out = out.withColumn("running", F.round("running", 2))
     check(out, con, """SELECT event_id, user_id, ts, value, round(sum(value) OVER (
         PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS running FROM ev""")
 
 
-def test_trailing_range(hot):
+@pytest.mark.parametrize("split", SPLITS)
+def test_trailing_range(hot, split):
     df, con = hot
     out = W.trailing_range(df.select("event_id", "user_id", "ts", "value"), "user_id", "ts",
-                           "value", 1800).withColumn("sum_trailing", F.round("sum_trailing", 2))
+                           "value", 1800, **split).withColumn("sum_trailing", F.round("sum_trailing", 2))
     check(out, con, """SELECT event_id, user_id, ts, value, count(*) OVER w AS n_trailing,
         round(sum(value) OVER w, 2) AS sum_trailing FROM ev WINDOW w AS (PARTITION BY user_id
         ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW)""")
 
 
+@pytest.mark.parametrize("split", [dict(bucket_seconds=3600), dict(target_rows=37), dict()])
 @pytest.mark.parametrize("strict", [True, False])
-def test_asof(hot, strict):
+def test_asof(hot, strict, split):
     df, con = hot
     left = df.select("event_id", "user_id", "ts")
     right = df.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
     out = J.asof_join(left, right, "user_id", "ts", ["event_id", "value"],
-                      bucket_seconds=3600, strict=strict)
+                      strict=strict, **split)
     op = ">" if strict else ">="
     check(out, con, f"""SELECT e.event_id, e.user_id, e.ts, p.event_id AS r_event_id,
         p.value AS r_value FROM ev e ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') p
