@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 CHECKPOINT_EVERY = 3
 
 
-def co_order_edges(lineitem: DataFrame, min_quantity: float = 40.0) -> DataFrame:
-    """Undirected part-part edges: two distinct parts on lines of one order with
-    ``l_quantity >= min_quantity``; stored once with ``src < dst``. The self-join is on
-    the order key, and an order has a bounded number of lines (TPC-H: at most 7)."""
-    li = lineitem.where(F.col("l_quantity") >= min_quantity).select("l_orderkey", "l_partkey")
-    a, b = li.alias("a"), li.alias("b")
-    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) &
-                   (F.col("a.l_partkey") < F.col("b.l_partkey")))
-    return pairs.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
+def consecutive_line_edges(lineitem: DataFrame, min_quantity: float = 25.0) -> DataFrame:
+    """Undirected part-part edges: the parts of two consecutive lines of one order
+    (line numbers ``n`` and ``n + 1``), both with ``l_quantity >= min_quantity`` and
+    different parts; stored once with ``src < dst``.
+
+    An equi join on ``(order, line number)`` pairs each line with at most its one
+    successor, so the edge list grows linearly with ``lineitem`` however many lines an
+    order holds: no pairs within an order are listed, and a hot order is spread over
+    the join's hash partitions like any other rows. Repeated edges collapse in a
+    partially aggregated ``distinct``."""
+    li = (lineitem.where(F.col("l_quantity") >= min_quantity)
+                  .select("l_orderkey", "l_linenumber", "l_partkey"))
+    nxt = li.select(F.col("l_orderkey").alias("_o"), (F.col("l_linenumber") - 1).alias("_ln"),
+                    F.col("l_partkey").alias("_p"))
+    j = li.join(nxt, (F.col("l_orderkey") == F.col("_o")) & (F.col("l_linenumber") == F.col("_ln")))
+    j = j.where(F.col("l_partkey") != F.col("_p"))
+    return j.select(F.least("l_partkey", "_p").alias("src"),
+                    F.greatest("l_partkey", "_p").alias("dst")).distinct()
 
 
 def mirrored(edges: DataFrame) -> DataFrame:

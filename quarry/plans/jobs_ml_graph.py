@@ -1,5 +1,6 @@
-"""Machine-learning and graph jobs. Graph: vertices = parts, undirected edges = two
-parts on lines of one order with quantity >= 40 (stored once, src < dst)."""
+"""Machine-learning and graph jobs. Graph: vertices = parts, undirected edges = the
+parts of two consecutive lines of one order, both with quantity >= 25 (stored once,
+src < dst; see ``graph.consecutive_line_edges``)."""
 
 from __future__ import annotations
 
@@ -58,9 +59,11 @@ def q_ml_frequent_items(spark, sf):
 # ------------------------------------------------------------------------------ graph
 
 _EDGES = """
-  e0 AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst
-         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-         WHERE a.l_quantity >= 40 AND b.l_quantity >= 40),
+  e0 AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS src,
+                         greatest(a.l_partkey, b.l_partkey) AS dst
+         FROM lineitem a JOIN lineitem b
+           ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+         WHERE a.l_partkey <> b.l_partkey AND a.l_quantity >= 25 AND b.l_quantity >= 25),
   e AS (SELECT src, dst FROM e0 UNION ALL SELECT dst, src FROM e0),
   v AS (SELECT p_partkey AS id FROM part)
 """
@@ -68,7 +71,7 @@ _EDGES = """
 
 def _graph(spark, sf):
     v = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return v, G.co_order_edges(table(spark, sf, "lineitem"))
+    return v, G.consecutive_line_edges(table(spark, sf, "lineitem"))
 
 
 @job("graph_degrees", sql=f"""
