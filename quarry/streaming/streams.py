@@ -135,18 +135,37 @@ RUNNING_STATE = StructType([StructField("n", LongType()), StructField("total", D
 def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, total = state.get if state.exists else (0, 0.0)
     for b in batches:
-        n += len(b)
-        total += float(b["value"].sum())
+        n += int(b["n"].sum())
+        total += float(b["total"].sum())
     state.update((n, total))
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
 
+PARTIAL = StructType([StructField("user_id", LongType()), StructField("n", LongType()),
+                      StructField("total", DoubleType())])
+
+
+def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per Arrow batch: one ``(user_id, n, total)`` row per user in the batch."""
+    for b in batches:
+        g = b.groupby("user_id", sort=False)["value"].agg(["size", "sum"]).reset_index()
+        yield pd.DataFrame({"user_id": g["user_id"].astype("int64"),
+                            "n": g["size"].astype("int64"), "total": g["sum"].astype("float64")})
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """Custom per-user state (count and sum of ``value``) kept across micro-batches
-    with ``applyInPandasWithState``; each batch emits the updated totals."""
-    return (events.select("user_id", "value").groupBy("user_id")
-                  .applyInPandasWithState(_running, RUNNING_OUT, RUNNING_STATE, "append",
-                                          GroupStateTimeout.NoTimeout))
+    with ``applyInPandasWithState``; each batch emits the updated totals.
+
+    The state operator hands all of a user's rows in a micro-batch to one call, so rows
+    are first folded inside every Arrow batch (``mapInPandas``: stateless, no shuffle)
+    to one partial ``(n, total)`` per user; the state function adds the partials. A
+    user with a third of all events then costs one row per batch, not all its rows.
+    """
+    partial = events.select("user_id", "value").mapInPandas(_fold_batches, PARTIAL)
+    return (partial.groupBy("user_id")
+                   .applyInPandasWithState(_running, RUNNING_OUT, RUNNING_STATE, "append",
+                                           GroupStateTimeout.NoTimeout))
 
 
 def upsert_batches(df: DataFrame, out: str, ckpt: str,
