@@ -70,17 +70,6 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
     return range_index(d, "_bm", cuts).drop("_bm")
 
 
-def rank_within(df: DataFrame, key: Sequence[str], order: Sequence[Column],
-                tie_break: Sequence[Column], tiles: int = 3) -> DataFrame:
-    """row_number / rank / dense_rank / ntile inside groups that are bounded in size.
-    ``rank`` and ``dense_rank`` use ``order``; ``row_number`` and ``ntile`` add the
-    unique ``tie_break`` so their result is deterministic."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    wu = Window.partitionBy(*key).orderBy(*order, *tie_break)
-    return df.select("*", F.row_number().over(wu).alias("rn"), F.rank().over(w).alias("rnk"),
-                     F.dense_rank().over(w).alias("drnk"), F.ntile(tiles).over(wu).alias("tile"))
-
-
 def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """Top ``n`` rows per group. The ``row_number() <= n`` filter lets Spark insert a
     partial WindowGroupLimit before the shuffle, so each task ships at most ``n`` rows
