@@ -82,10 +82,15 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
                            else F.lit(None).cast(ltypes[c]).alias(c) for c in left.columns],
                          F.struct(*rc).alias("_r"), F.lit(1 if strict else 0).alias("_tag"))
     both = lside.unionByName(rside)
-    both = with_bucket(both.withColumn("_m", epoch_micros(ts)), ts, bucket_seconds, target_rows)
+    both, single = with_bucket(both.withColumn("_m", epoch_micros(ts)), ts, bucket_seconds,
+                               target_rows)
     w_local = (Window.partitionBy(key, "_b").orderBy("_m", "_tag")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w_local))
+    if single:   # one range: the running last row is the answer, nothing to carry
+        out = local.where(F.col("_tag") == (0 if strict else 1))
+        return out.select(*left.columns, *[F.col("_last")["r_" + c].alias("r_" + c)
+                                           for c in right_cols])
     summary = (both.groupBy(key, "_b")
                    .agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_m"))).alias("_bl")))
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,14 +60,17 @@ def range_index(df: DataFrame, axis_col: str, cuts: Sequence[float], out: str =
 
 
 def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
-                target_rows: int = TARGET_ROWS) -> DataFrame:
+                target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
     """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
-    given, else global quantile ranges of about ``target_rows`` rows each."""
+    given, else global quantile ranges of about ``target_rows`` rows each.
+
+    Also returns whether everything is in one range (at most ``target_rows`` rows in
+    all, so no key's group can be large): callers then skip the stitching."""
     if bucket_seconds:
-        return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000)))
+        return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))), False
     cuts = range_cuts(df, micros(ts_col), target_rows)
     d = df.withColumn("_bm", micros(ts_col).cast("double"))
-    return range_index(d, "_bm", cuts).drop("_bm")
+    return range_index(d, "_bm", cuts).drop("_bm"), not cuts
 
 
 def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -90,10 +93,12 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    d = with_bucket(df, ts_col, bucket_seconds, target_rows)
+    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows)
     w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
+    if single:
+        return local.select(*df.columns, *[F.col(f"_local{i}").alias(o) for i, o in enumerate(outs)])
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_range = d.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_bs{i}") for i, v in enumerate(values)])
     prefix = per_range.select(key, "_b", *[
@@ -110,10 +115,14 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
     ``(ts, tie)`` order, stitched across time ranges: the first row of a range takes
     the last row of the nearest earlier non-empty range, the last row the first row of
     the nearest later one. Ranges: see ``with_bucket``."""
-    d = with_bucket(df, ts_col, bucket_seconds, target_rows)
+    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows)
     w = Window.partitionBy(key, "_b").orderBy(ts_col, tie)
     order = F.struct(F.col(ts_col), F.col(tie))
     row = F.struct(*[F.col(c) for c in cols])
+    if single:
+        local = d.select("*", F.lag(row).over(w).alias("_p"), F.lead(row).over(w).alias("_n"))
+        return local.select(*df.columns, *[F.col("_p")[c].alias("prev_" + c) for c in cols],
+                            *[F.col("_n")[c].alias("next_" + c) for c in cols])
     local = d.select("*", F.lag(row).over(w).alias("_p"), F.lead(row).over(w).alias("_n"),
                      (F.row_number().over(w) == 1).alias("_first"),
                      F.lead(F.lit(1)).over(w).isNull().alias("_last"))
@@ -140,10 +149,17 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
     ``ts``; an as-of lookup (``asof_join``, split the same way) gives the running
     values just before ``ts - width``. The frame is their difference. Sums run in
     ``decimal(38, 10)`` so the difference is exact; a hot key or a dense burst is
-    spread over many tasks whatever the frame width.
+    spread over many tasks whatever the frame width. Inputs of at most ``target_rows``
+    rows take a plain RANGE window per key instead.
     """
     from quarry.operators.joins import asof_join
 
+    if not bucket_seconds and df.count() <= target_rows:
+        # small input (no key can hold more than target_rows rows): a plain RANGE frame
+        w = (Window.partitionBy(key).orderBy(micros(ts_col))
+                   .rangeBetween(-int(width_seconds) * 1_000_000, 0))
+        return df.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
+                         F.sum(value).over(w).alias("sum_trailing"))
     width = F.expr(f"INTERVAL {int(width_seconds)} SECONDS")
     dec = F.col(value).cast("decimal(38, 10)")
     g = (df.groupBy(key, ts_col)
@@ -210,6 +226,12 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
     w_row = Window.partitionBy(key, "_b").orderBy(F.col(value).desc(), F.col(tie))
     local = d.select("*", F.row_number().over(w_row).alias("_rn"), F.rank().over(w_val).alias("_rk"),
                      F.dense_rank().over(w_val).alias("_dr"))
+    if not cuts:
+        # one range (at most target_rows rows in all): local ranks are the ranks, and
+        # the group size for ntile comes from the same window partition
+        j = local.select("*", F.lit(0).alias("_rows_before"), F.lit(0).alias("_vals_before"),
+                         F.count(F.lit(1)).over(Window.partitionBy(key, "_b")).alias("_total"))
+        return _ranks(j, df.columns, tiles)
     summ = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"),
                                     F.countDistinct(value).alias("_d"))
     higher = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -218,14 +240,18 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
                        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_before"),
                        F.coalesce(F.sum("_d").over(higher), F.lit(0)).alias("_vals_before"),
                        F.sum("_n").over(whole).alias("_total"))
-    j = local.join(offs, [key, "_b"])
+    return _ranks(local.join(offs, [key, "_b"]), df.columns, tiles)
+
+
+def _ranks(j: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:
+    """Global ranks from range-local ones plus the offsets of the key's higher ranges."""
     rn = F.col("_rn") + F.col("_rows_before")
     n, t = F.col("_total"), F.lit(tiles)
     q, r = F.floor(n / t), n % t          # ntile: r tiles of q+1 rows, then tiles of q rows
     big = r * (q + 1)
     tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
             .otherwise(r + F.floor((rn - big - 1) / q) + 1)
-    return j.select(*df.columns, rn.cast("bigint").alias("rn"),
+    return j.select(*columns, rn.cast("bigint").alias("rn"),
                     (F.col("_rk") + F.col("_rows_before")).cast("bigint").alias("rnk"),
                     (F.col("_dr") + F.col("_vals_before")).cast("bigint").alias("drnk"),
                     tile.cast("bigint").alias("tile"))

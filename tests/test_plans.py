@@ -61,6 +61,31 @@ def test_dimensions_broadcast(plans):
     assert plans["join_broadcast"].count("BroadcastExchange") >= 2
 
 
-def test_bucketed_windows_partition_by_key_and_bucket(plans):
+def test_sequence_windows_partition_by_user(plans):
+    # small inputs fit one range: a plain window per user, no stitching join
     for name in ("win_lag_lead", "win_running", "win_range", "join_asof"):
-        assert "hashpartitioning(user_id" in plans[name] and "_b" in plans[name], name
+        assert "hashpartitioning(user_id" in plans[name], name
+
+
+def test_split_sequence_windows_partition_by_key_and_range(spark):
+    """Beyond one range (forced here by a tiny row target) every window is over
+    (user, range): no task ever holds one user's whole sequence."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import joins as J
+    from quarry.operators import windows as W
+    from quarry.sources.tables import table
+
+    e = table(spark, SF_SMALL, "events").select("event_id", "user_id", "ts", "value")
+    p = e.where(F.col("value") > 100)
+    built = {
+        "lag_lead": W.lag_lead(e, "user_id", "ts", "event_id", ["ts"], target_rows=50),
+        "running": W.running_total(e, "user_id", "ts", "event_id", "value", target_rows=50),
+        "trailing": W.trailing_range(e, "user_id", "ts", "value", 3600, target_rows=50),
+        "asof": J.asof_join(e, p, "user_id", "ts", ["event_id"], target_rows=50),
+    }
+    for name, df in built.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        windows = [ln for ln in plan.splitlines() if "Window [" in ln and "_b" in ln]
+        assert windows, name
+        assert all("user_id" in ln for ln in windows), name
