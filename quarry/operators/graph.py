@@ -1,14 +1,51 @@
 """Graph jobs over vertex / edge DataFrames (``id``; ``src``, ``dst`` with
-``src < dst``, undirected). Iterative jobs cut their lineage with ``checkpoint()``
-(a reliable checkpoint into ``spark.checkpoint.dir``) every few rounds, so a lost
-executor recomputes at most a few rounds."""
+``src < dst``, undirected).
+
+Iterative jobs write the mirrored edge list once into the shared folder as a table
+bucketed by ``src`` (``edge_table``). Every round joins the vertex-sized state (ranks,
+labels, a frontier) to it: the state is shuffled into the buckets, the edge list never
+moves again. Round results are written as Parquet into the shared folder
+(``_Rounds``): each round is computed once, lineage stays a few rounds deep, and a
+lost executor costs at most the rounds since the last write.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_EVERY = 3
+from quarry.session import scratch_path
+
+SAVE_EVERY = 3
+
+
+def edge_table(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """Both directions of ``edges`` as a table bucketed by ``src`` (as many buckets as
+    shuffle partitions) in the shared folder, read back through the catalog so joins
+    on ``src`` see the bucketing."""
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    tname = f"quarry_{name.replace('-', '_')}_{path.rsplit('-', 1)[-1]}"
+    (mirrored(edges).repartition(n, "src").write.bucketBy(n, "src")
+        .option("path", path).saveAsTable(tname))
+    return spark.table(tname)
+
+
+class _Rounds:
+    """Writes round results as Parquet into the shared folder, alternating two paths:
+    the round being written only reads the other one, so disk holds two rounds."""
+
+    def __init__(self, spark, name: str):
+        self.spark = spark
+        self.paths = [scratch_path(spark, name + "-a"), scratch_path(spark, name + "-b")]
+        self.i = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = self.paths[self.i % 2]
+        self.i += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
 
 def consecutive_line_edges(lineitem: DataFrame, min_quantity: float = 25.0) -> DataFrame:
@@ -54,52 +91,59 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     With mirrored edges a vertex is dangling exactly when it is isolated, and all
     isolated vertices keep one common rank ``q``: ``q' = (1-d)/n + d*k*q/n`` for ``k``
     isolated of ``n`` vertices. So the dangling mass ``k*q`` is a driver-side scalar
-    recurrence from two counts, and a round is one join of ranks to edges plus one
-    aggregation by target, with no per-round action. Lineage is cut by a checkpoint
-    every few rounds."""
-    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left").checkpoint()
+    recurrence from two counts, and a round is one join of the rank vector to the
+    bucketed edges plus one partial aggregation by target, with no per-round action.
+    Ranks are referenced once per round and written every few rounds."""
+    spark = vertices.sparkSession
+    e = edge_table(edges, "pagerank-edges")
+    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))   # bucketed: no shuffle
+    v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left")
+    path = scratch_path(spark, "pagerank-vertices")
+    v.write.parquet(path)
+    v = spark.read.parquet(path)
     n = v.count()
     k = v.where(F.col("deg").isNull()).count()
+    rounds = _Rounds(spark, "pagerank-ranks")
     ranks = v.select("id", "deg", F.lit(1.0 / n).alias("pr"))
     q = 1.0 / n
     for i in range(iterations):
         share = ranks.where(F.col("deg").isNotNull()).select(
             F.col("id").alias("src"), (F.col("pr") / F.col("deg")).alias("c"))
-        contrib = e.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("in_c"))
+        contrib = (e.join(share.hint("shuffle_hash"), "src")
+                    .groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("in_c")))
         dm = k * q
-        ranks = (ranks.select("id", "deg").join(contrib, "id", "left")
-                 .select("id", "deg", (F.lit((1 - damping) / n) + F.lit(damping) *
-                                       (F.coalesce("in_c", F.lit(0.0)) + F.lit(dm / n))).alias("pr")))
+        ranks = v.join(contrib, "id", "left").select(
+            "id", "deg", (F.lit((1 - damping) / n) + F.lit(damping) *
+                          (F.coalesce("in_c", F.lit(0.0)) + F.lit(dm / n))).alias("pr"))
         q = (1 - damping) / n + damping * dm / n
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            ranks = ranks.checkpoint()
+        if (i + 1) % SAVE_EVERY == 0 and i + 1 < iterations:
+            ranks = rounds.save(ranks)
     return ranks.select("id", "pr")
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``id, component`` = smallest vertex id reachable. Min-label propagation: each
-    round a vertex takes the smallest label among itself and its neighbours, until no
-    label changes (checked with one count per round)."""
-    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
-    labels = vertices.select("id", F.col("id").alias("label")).checkpoint()
+    step a vertex takes the smallest label among itself and its neighbours; a round is
+    two steps, written once, and flags the vertices whose label fell. The loop ends
+    when a round flags none (a bounded probe of the written round)."""
+    spark = vertices.sparkSession
+    e = edge_table(edges, "components-edges")
+    rounds = _Rounds(spark, "components-labels")
 
     def step(lab):
-        nb = (e.join(lab.withColumnRenamed("id", "src"), "src")
+        nb = (e.join(lab.select(F.col("id").alias("src"), "label").hint("shuffle_hash"), "src")
                .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("nl")))
+        better = F.coalesce(F.col("nl") < F.col("label"), F.lit(False))
         return lab.join(nb, "id", "left").select(
-            "id", F.least("label", F.coalesce("nl", "label")).alias("label"))
+            "id", F.when(better, F.col("nl")).otherwise(F.col("label")).alias("label"),
+            (F.col("_moved") | better).alias("_moved"))
 
+    labels = vertices.select("id", F.col("id").alias("label"))
     for _ in range(max_rounds):
-        # two propagation steps per checkpointed round halve the rounds (and actions)
-        nxt = step(step(labels)).checkpoint()
-        moved = (nxt.join(labels.withColumnRenamed("label", "old"), "id")
-                    .where(F.col("label") < F.col("old")).limit(1).count())
-        labels = nxt
-        if moved == 0:
+        labels = rounds.save(step(step(labels.withColumn("_moved", F.lit(False)))))
+        if labels.where("_moved").limit(1).count() == 0:
             break
-    return labels.withColumnRenamed("label", "component")
+    return labels.select("id", F.col("label").alias("component"))
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -150,23 +194,26 @@ def open_two_hop(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
              max_rounds: int = 1000) -> DataFrame:
     """``landmark, id, hops`` for every vertex reachable from each landmark.
-    Frontier expansion: neighbours of the frontier not yet visited form the next
-    frontier; visited sets are checkpointed every round."""
+
+    Frontier expansion: neighbours of the frontier (joined to the bucketed edges) not
+    yet visited form the next frontier. Each frontier is written once, as folder
+    ``hops=<r>`` of one output folder in the shared folder, so the visited set is that
+    folder and the result is its read; nothing is rewritten."""
     spark = vertices.sparkSession
-    e = mirrored(edges).checkpoint()   # edges are read every round: materialise once
+    e = edge_table(edges, "bfs-edges")
+    out = scratch_path(spark, "bfs-hops")
+    schema = "landmark bigint, id bigint, hops int"
     lm = spark.createDataFrame([(int(x),) for x in landmarks], "landmark long")
-    visited = (lm.join(vertices.select("id"), F.col("landmark") == F.col("id"))
-                 .select("landmark", "id", F.lit(0).alias("hops"))).checkpoint()
-    frontier = visited
+    (lm.join(vertices.select("id"), F.col("landmark") == F.col("id"))
+       .select("landmark", "id").write.parquet(f"{out}/hops=0"))
     for r in range(1, max_rounds + 1):
-        nxt = (frontier.join(e, frontier.id == e.src)
-                       .select("landmark", F.col("dst").alias("id")).distinct()
-                       .join(visited.select("landmark", "id"), ["landmark", "id"], "left_anti")
-                       .select("landmark", "id", F.lit(r).alias("hops"))).checkpoint()
-        if nxt.limit(1).count() == 0:
+        frontier = spark.read.schema("landmark bigint, id bigint").parquet(f"{out}/hops={r - 1}")
+        visited = spark.read.schema(schema).parquet(out).select("landmark", "id")
+        nxt = (e.join(frontier.select("landmark", F.col("id").alias("src")).hint("shuffle_hash"), "src")
+                .select("landmark", F.col("dst").alias("id")).distinct()
+                .join(visited, ["landmark", "id"], "left_anti"))
+        nxt.write.parquet(f"{out}/hops={r}")
+        if spark.read.schema("landmark bigint, id bigint").parquet(f"{out}/hops={r}") \
+                .limit(1).count() == 0:
             break
-        visited = visited.unionByName(nxt)
-        if r % CHECKPOINT_EVERY == 0:
-            visited = visited.checkpoint()
-        frontier = nxt
-    return visited
+    return spark.read.schema(schema).parquet(out)
