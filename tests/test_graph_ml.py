@@ -22,6 +22,41 @@ def test_components(g):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
 
 
+def _union_find(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for a, b in pairs:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    return {i: min(j for j in range(n) if find(j) == find(i)) for i in range(n)}
+
+
+@pytest.mark.parametrize("shape", ["chain", "random"])
+def test_components_against_union_find(spark, shape):
+    """A long chain (label propagation would need a round per two hops) with the ids
+    shuffled, and a sparse random graph with many components."""
+    import random
+    rnd = random.Random(7)
+    n = 300
+    if shape == "chain":
+        order = list(range(n))
+        rnd.shuffle(order)
+        pairs = list(zip(order, order[1:]))
+    else:
+        pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(220)]
+    edges = {(min(a, b), max(a, b)) for a, b in pairs if a != b}
+    v = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    got = {r["id"]: r["component"] for r in G.connected_components(v, e, max_rounds=40).collect()}
+    assert got == _union_find(n, edges)
+
+
 def test_triangles_and_open_wedges(g):
     t = {r["id"]: r["triangles"] for r in G.triangle_counts(*g).collect()}
     assert t == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0}
