@@ -6,20 +6,47 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # --- Parquet -------------------------------------------------------------------------
 
+# Rows per output file a partitioned write aims for (about 128-512 MB of Parquet for
+# typical rows); a folder with more rows is written by several tasks.
+ROWS_PER_FILE = 5_000_000
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = (),
-                  mode: str = "error") -> None:
-    """Partitioned Parquet write. Rows are first hash-partitioned on the partition
-    columns so each task writes few folders (bounded open files per task), instead of
-    every task writing into every folder."""
+                  mode: str = "error", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Parquet write, optionally partitioned into ``col=value`` folders.
+
+    Rows are shuffled so that each task writes into few folders (bounded open files
+    per task), but a folder is not tied to one task: every folder gets
+    ``ceil(rows / rows_per_file)`` write slots, from one aggregation with a row per
+    folder, and each row a slot by a hash of its values (deterministic, so a retried
+    task rewrites the same rows). A folder holding a third of the data is thereby
+    written by many tasks in parallel, a small one by one task into one file.
+    """
     cols = list(partition_by)
-    w = (df.repartition(*cols) if cols else df).write.mode(mode)
-    if cols:
-        w = w.partitionBy(*cols)
-    w.parquet(path)
+    if not cols:
+        df.write.mode(mode).parquet(path)
+        return
+    from quarry.plans.broadcast import small_side
+    slots = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+               .select(*[F.col(c).alias("_k_" + c) for c in cols],
+                       F.ceil(F.col("_n") / F.lit(rows_per_file)).alias("_slots")))
+    slots = small_side(slots, "folder slots")
+    cond = None
+    for c in cols:
+        eq = F.col(c).eqNullSafe(F.col("_k_" + c))
+        cond = eq if cond is None else cond & eq
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    slotted = (df.join(slots, cond)
+                 .withColumn("_slot", F.pmod(row_hash, F.col("_slots")))
+                 .drop("_slots", *["_k_" + c for c in cols]))
+    (slotted.repartition(*cols, "_slot").drop("_slot")
+            .write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+            .partitionBy(*cols).parquet(path))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -40,3 +40,23 @@ def test_partition_pruning(spark, tmp_dir):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "l_returnflag" in plan
     assert q.count() == table(spark, SF_SMALL, "lineitem").where(F.col("l_returnflag") == "R").count()
+
+
+def test_hot_folder_written_by_many_tasks(spark, tmp_dir):
+    """A folder with most rows gets several files (several writing tasks), a small
+    folder one; nulls form their own folder; every row comes back exactly once."""
+    li = table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    flag = (F.when(F.col("l_quantity") < 45, F.lit("hot"))
+             .when(F.col("l_quantity") < 48, F.lit("small")))          # else null
+    df = li.withColumn("grp", flag)
+    path = os.path.join(tmp_dir, "hot")
+    formats.write_parquet(df, path, ["grp"], rows_per_file=500)
+    files = {d: [f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]
+             for d in os.listdir(path) if d.startswith("grp=")}
+    n = {r["grp"]: r["count"] for r in df.groupBy("grp").count().collect()}
+    assert len(files["grp=hot"]) >= -(-n["hot"] // 500)
+    assert len(files["grp=small"]) == 1
+    assert "grp=__HIVE_DEFAULT_PARTITION__" in files
+    back = formats.read_parquet(spark, path)
+    assert back.count() == df.count()
+    assert back.exceptAll(df.select(*back.columns)).count() == 0
