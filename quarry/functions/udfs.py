@@ -36,12 +36,20 @@ ROWS_PER_BUCKET = 200_000
 
 
 def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Enough hash buckets that one averages ``rows_per_bucket`` rows (a cheap count:
-    Parquet answers it from footers)."""
+    """Enough hash buckets that one averages at most ``rows_per_bucket`` rows (a cheap
+    count: Parquet answers it from footers)."""
     n = df.count()
     return max(1, -(-n // rows_per_bucket))
 
 
+def python_partitions(df: DataFrame) -> int:
+    """Partitions for a Python-heavy stage: the session's shuffle partition count
+    (sized for the cluster and, via ``session.size_shuffle``, for the data). Used in an
+    explicit ``repartition(n, key)``, which AQE does not coalesce: coalescing by bytes
+    would put a small but CPU-heavy shuffle into a few Python workers."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def line_shares(lineitem: DataFrame) -> DataFrame:
     """Each line's share of its order's value, by a grouped-map pandas function.
 
@@ -53,8 +61,10 @@ def line_shares(lineitem: DataFrame) -> DataFrame:
     """
     li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
     n = bucket_count(li)
-    return (li.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(n)).alias("_bucket"))
-              .applyInPandas(_share, "l_orderkey long, l_linenumber int, share double"))
+    p = python_partitions(li)
+    keyed = li.withColumn("_bucket", F.pmod(F.xxhash64("l_orderkey"), F.lit(max(n, p))))
+    return (keyed.repartition(p, "_bucket").groupBy("_bucket")
+                 .applyInPandas(_share, "l_orderkey long, l_linenumber int, share double"))
 
 
 @pandas_udf(DoubleType())
@@ -66,7 +76,9 @@ def spread(q: pd.Series) -> float:
 def quantity_spread(lineitem: DataFrame) -> DataFrame:
     """Grouped-aggregate pandas UDF. Such UDFs have no partial aggregation (a group
     arrives whole), so again only over bounded groups: lines of one order."""
-    return lineitem.groupBy("l_orderkey").agg(spread("l_quantity").alias("qty_spread"))
+    li = lineitem.select("l_orderkey", "l_quantity")
+    return (li.repartition(python_partitions(li), "l_orderkey").groupBy("l_orderkey")
+              .agg(spread("l_quantity").alias("qty_spread")))
 
 
 def _spread_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
