@@ -98,7 +98,7 @@ def quantity_spread_two_phase(lineitem: DataFrame) -> DataFrame:
     return partial.groupBy("l_orderkey").agg((F.max("q_max") - F.min("q_min")).alias("qty_spread"))
 
 
-@udtf(returnType=StructType([StructField("line_no", IntegerType()),
+@udtf(useArrow=True, returnType=StructType([StructField("line_no", IntegerType()),
                               StructField("line", StringType()),
                               StructField("n_chars", IntegerType())]))
 class TextLines:

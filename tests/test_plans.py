@@ -26,8 +26,9 @@ def test_nested_loop_join_only_for_theta(plans):
     assert [n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p] == ["join_theta"]
 
 
-def test_row_at_a_time_python_only_in_udtf(plans):
-    assert [n for n, p in plans.items() if "BatchEvalPython" in p] == ["udtf_python"]
+def test_no_row_at_a_time_python(plans):
+    assert [n for n, p in plans.items() if "BatchEvalPython" in p] == []
+    assert "ArrowEvalPythonUDTF" in plans["udtf_python"]
 
 
 def test_filters_pushed_and_columns_pruned(plans):
