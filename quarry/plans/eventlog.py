@@ -4,7 +4,7 @@ The log must be plain JSON lines: ``spark.eventLog.rolling.enabled=false`` and
 ``spark.eventLog.compress=false``. Only the needed fields are declared, so the read
 needs no schema-inference pass.
 
-    python -m quarry.plans.eventlog <sf_dir> <log_dir>
+    python -m quarry.plans.eventlog <sf_dir> <log_dir> [<master>]
 
 runs a WordCount over ``documents`` in a child application whose event log is written
 to ``log_dir`` (used when the calling session has no readable log of its own).
@@ -70,26 +70,29 @@ def own_log(spark: SparkSession) -> str | None:
     return f"{d}/{app}.inprogress"
 
 
-def child_log(spark: SparkSession, sf_dir: str, log_dir: str, timeout_s: int = 600) -> str:
+def child_log(spark: SparkSession, sf_dir: str, log_dir: str,
+              timeout_s: int | None = None) -> str:
     """Run a WordCount in a child application with a plain JSON event log in
-    ``log_dir`` (any Hadoop path). Spark needs the folder to exist; a one-line
-    ``_marker`` write creates it on whatever file system the path names (readers skip
-    names starting with ``_``)."""
+    ``log_dir`` (any Hadoop path). The child uses the calling session's master, so on
+    a cluster it runs on the cluster's executors like any other job. Spark needs the
+    folder to exist; a one-line ``_marker`` write creates it on whatever file system
+    the path names (readers skip names starting with ``_``)."""
     spark.createDataFrame([("event log folder",)], "value string") \
         .write.mode("overwrite").text(f"{log_dir.rstrip('/')}/_marker")
+    master = spark.conf.get("spark.master", None) or "local[2]"
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = dict(os.environ, PYTHONPATH=root + os.pathsep + os.environ.get("PYTHONPATH", ""))
-    subprocess.run([sys.executable, "-m", "quarry.plans.eventlog", sf_dir, log_dir],
+    subprocess.run([sys.executable, "-m", "quarry.plans.eventlog", sf_dir, log_dir, master],
                    check=True, timeout=timeout_s, env=env,
                    stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
     return log_dir
 
 
-def _main(sf_dir: str, log_dir: str) -> None:
+def _main(sf_dir: str, log_dir: str, master: str) -> None:
     from quarry.operators.text import word_count
     from quarry.session import get_session
     from quarry.sources.tables import table
-    spark = get_session("local[2]", 4, app="quarry-eventlog-child", extra={
+    spark = get_session(master, app="quarry-eventlog-child", extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
         "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"})
     word_count(table(spark, sf_dir, "documents"), "text").count()
@@ -97,4 +100,4 @@ def _main(sf_dir: str, log_dir: str) -> None:
 
 
 if __name__ == "__main__":
-    _main(sys.argv[1], sys.argv[2])
+    _main(sys.argv[1], sys.argv[2], sys.argv[3] if len(sys.argv) > 3 else "local[2]")
