@@ -60,7 +60,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],
               bucket_seconds: int | None = None, strict: bool = True,
-              target_rows: int = TARGET_ROWS) -> DataFrame:
+              target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None) -> DataFrame:
     """For every ``left`` row, the latest ``right`` row with the same ``key`` and an
     earlier ``ts`` (``<`` when ``strict``, else ``<=``); right columns come back as
     ``r_<name>`` and are null when there is none.
@@ -83,7 +83,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
                          F.struct(*rc).alias("_r"), F.lit(1 if strict else 0).alias("_tag"))
     both = lside.unionByName(rside)
     both, single = with_bucket(both.withColumn("_m", epoch_micros(ts)), ts, bucket_seconds,
-                               target_rows)
+                               target_rows, cuts)
     w_local = (Window.partitionBy(key, "_b").orderBy("_m", "_tag")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w_local))

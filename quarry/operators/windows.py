@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 # Rows per range the sequence operators aim for: one (key, range) window group is
 # sorted and buffered by one task, so it must fit an executor comfortably.
 TARGET_ROWS = 2_000_000
@@ -60,15 +62,19 @@ def range_index(df: DataFrame, axis_col: str, cuts: Sequence[float], out: str =
 
 
 def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
-                target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
+                target_rows: int = TARGET_ROWS,
+                cuts: Sequence[float] | None = None) -> tuple[DataFrame, bool]:
     """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
-    given, else global quantile ranges of about ``target_rows`` rows each.
+    given, else global quantile ranges of about ``target_rows`` rows each (or the
+    given ``cuts``, in epoch microseconds, when a caller computed them once for
+    several steps).
 
     Also returns whether everything is in one range (at most ``target_rows`` rows in
     all, so no key's group can be large): callers then skip the stitching."""
     if bucket_seconds:
         return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))), False
-    cuts = range_cuts(df, micros(ts_col), target_rows)
+    if cuts is None:
+        cuts = range_cuts(df, micros(ts_col), target_rows)
     d = df.withColumn("_bm", micros(ts_col).cast("double"))
     return range_index(d, "_bm", cuts).drop("_bm"), not cuts
 
@@ -83,7 +89,7 @@ def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column],
 
 def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | Sequence[str],
                   out: str | Sequence[str] = "running", bucket_seconds: int | None = None,
-                  target_rows: int = TARGET_ROWS) -> DataFrame:
+                  target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``(ts, tie)`` order (rows frame); several
     columns at once when ``value`` and ``out`` are lists.
 
@@ -93,7 +99,7 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows)
+    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts)
     w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
@@ -160,16 +166,32 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                    .rangeBetween(-int(width_seconds) * 1_000_000, 0))
         return df.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
                          F.sum(value).over(w).alias("sum_trailing"))
+    spark = df.sparkSession
     width = F.expr(f"INTERVAL {int(width_seconds)} SECONDS")
     dec = F.col(value).cast("decimal(38, 10)")
     g = (df.groupBy(key, ts_col)
            .agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nn"), F.sum(dec).alias("_s")))
+    cuts = None
+    if not bucket_seconds:
+        # one set of cuts for both steps, over both time axes the steps sort on (ts for
+        # the running totals, ts and ts - width for the as-of lookup), so every range
+        # of either step holds about target_rows rows
+        w_us = int(width_seconds) * 1_000_000
+        axis = g.select(micros(ts_col).alias("_a")).unionByName(
+            g.select((micros(ts_col) - F.lit(w_us)).alias("_a")))
+        cuts = range_cuts(axis, F.col("_a"), target_rows)
     run = running_total(g, key, ts_col, ts_col, ["_n", "_nn", "_s"], ["_cn", "_cnn", "_cs"],
-                        bucket_seconds, target_rows)
+                        bucket_seconds, target_rows, cuts)
+    # the running series is read twice below (lookup keys and lookup targets): write
+    # it once into the shared folder instead of computing it twice
+    path = scratch_path(spark, "trailing-running")
+    run.write.parquet(path)
+    run = spark.read.parquet(path)
     lookup = run.select(key, (F.col(ts_col) - width).alias(ts_col), F.col(ts_col).alias("_ts0"),
                         "_cn", "_cnn", "_cs")
     before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,
-                       ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True, target_rows=target_rows)
+                       ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True,
+                       target_rows=target_rows, cuts=cuts)
     z = F.lit(0)
     per_ts = before.select(
         key, F.col("_ts0").alias(ts_col),
