@@ -122,3 +122,15 @@ def test_rank_spread(hot_lines, buckets):
         dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS drnk,
         ntile(3) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, line_id) AS tile
         FROM li""")
+
+
+def test_ranges_bound_the_hot_key(hot):
+    """Quantile ranges cut the hot user's sequence into groups of about the row target
+    (the sketch's rank error allows up to twice that); plain per-user groups do not."""
+    df, _ = hot
+    d, single = W.with_bucket(df, "ts", target_rows=100)
+    assert not single
+    per_user = df.groupBy("user_id").count().agg(F.max("count")).first()[0]
+    per_range = d.groupBy("user_id", "_b").count().agg(F.max("count")).first()[0]
+    assert per_user > 400
+    assert per_range <= 200
