@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from quarry.session import shuffle_partitions
+
 # Types are given as objects, not DDL strings: these decorators also run when a Python
 # worker imports this module, and parsing a DDL string there would need a JVM.
 
@@ -43,11 +45,11 @@ def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
 
 
 def python_partitions(df: DataFrame) -> int:
-    """Partitions for a Python-heavy stage: the session's shuffle partition count
-    (sized for the cluster and, via ``session.size_shuffle``, for the data). Used in an
+    """Partitions for a Python-heavy stage: the session's shuffle partition count in
+    effect (sized for the cluster and, via ``session.size_shuffle``, for the data). Used in an
     explicit ``repartition(n, key)``, which AQE does not coalesce: coalescing by bytes
     would put a small but CPU-heavy shuffle into a few Python workers."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffle_partitions(df.sparkSession)
 
 
 def line_shares(lineitem: DataFrame) -> DataFrame:

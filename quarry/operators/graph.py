@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path
+from quarry.session import scratch_path, shuffle_partitions
 
 SAVE_EVERY = 3
 
@@ -24,7 +24,7 @@ def edge_table(edges: DataFrame, name: str = "edges") -> DataFrame:
     shuffle partitions) in the shared folder, read back through the catalog so joins
     on ``src`` see the bucketing."""
     spark = edges.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(spark)
     path = scratch_path(spark, name)
     tname = f"quarry_{name.replace('-', '_')}_{path.rsplit('-', 1)[-1]}"
     (mirrored(edges).repartition(n, "src").write.bucketBy(n, "src")

@@ -64,6 +64,15 @@ def size_shuffle(spark: SparkSession, shuffle_bytes: int, target_bytes: int = 12
     return n
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The shuffle partition count in effect: ``spark.sql.shuffle.partitions``, or the
+    larger initial count ``size_shuffle`` set for AQE. For code that picks a partition
+    or bucket count itself (an explicit ``repartition(n, key)``, ``bucketBy``)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(n, int(initial)) if initial else n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
