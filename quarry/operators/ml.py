@@ -17,6 +17,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 
 def feature_scale(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Standardise ``cols`` (mean 0, sample std 1) -> ``z_<col>`` columns."""
@@ -53,6 +55,13 @@ def logistic_quality(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Data
         F.log1p(F.size(F.split("text", r"[ \t\n\r\f]+")).cast("double")).alias("log_words"),
         (F.size(F.split("text", "\n")).cast("double")).alias("lines"))
     data = feats.join(labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    # the fit makes several passes (scaler, each optimiser iteration, scoring): write the
+    # small feature table (four numbers per labelled document) once into the shared
+    # folder instead of re-splitting every text per pass; this also cuts lineage
+    spark = docs.sparkSession
+    path = scratch_path(spark, "logistic-features")
+    data.write.parquet(path)
+    data = spark.read.parquet(path)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=["log_chars", "log_words", "lines"], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features"),
