@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.windows import TARGET_ROWS, with_bucket
+from quarry.operators.windows import NULL_RANGE, TARGET_ROWS, join_on, with_bucket
 from quarry.plans.broadcast import small_side
 
 
@@ -60,7 +60,8 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],
               bucket_seconds: int | None = None, strict: bool = True,
-              target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None) -> DataFrame:
+              target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None,
+              sql_nulls: bool = True) -> DataFrame:
     """For every ``left`` row, the latest ``right`` row with the same ``key`` and an
     earlier ``ts`` (``<`` when ``strict``, else ``<=``); right columns come back as
     ``r_<name>`` and are null when there is none.
@@ -72,7 +73,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
     summary (one row per key and range) carries the last right row of earlier ranges
     forward; it is joined back on ``(key, range)``. A hot key is thereby spread over
     many tasks, and the result does not depend on where the ranges are cut.
+
+    ``sql_nulls``: right rows with a null key or time never match (SQL equality and
+    comparison). Otherwise nulls are ordinary values: a null key is one group, as in
+    a window's PARTITION BY, and a null time sorts before every other time.
     """
+    if sql_nulls:
+        right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     rc = [F.col(c).alias("r_" + c) for c in right_cols]
     r_type = right.select(F.struct(*rc).alias("s")).schema[0].dataType
     ltypes = {f.name: f.dataType for f in left.schema.fields}
@@ -92,10 +99,11 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
         return out.select(*left.columns, *[F.col("_last")["r_" + c].alias("r_" + c)
                                            for c in right_cols])
     summary = (both.groupBy(key, "_b")
-                   .agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_m"))).alias("_bl")))
+                   .agg(F.max_by("_r", F.when(F.col("_r").isNotNull(),
+                                             F.coalesce(F.col("_m"), F.lit(NULL_RANGE))))
+                         .alias("_bl")))
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(key, "_b", F.last("_bl", ignorenulls=True).over(w_b).alias("_carry"))
-    out = (local.where(F.col("_tag") == (0 if strict else 1))
-                .join(carry, [key, "_b"], "left"))
+    out = join_on(local.where(F.col("_tag") == (0 if strict else 1)), carry, [key, "_b"], "left")
     best = F.coalesce(F.col("_last"), F.col("_carry"))
     return out.select(*left.columns, *[best["r_" + c].alias("r_" + c) for c in right_cols])

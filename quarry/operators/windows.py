@@ -49,16 +49,39 @@ def range_cuts(df: DataFrame, axis: Column, target_rows: int = TARGET_ROWS,
     return sorted(set(c for c in cuts if c is not None))
 
 
+# Range index of rows whose ordering value is null: the smallest index, so they come
+# first in ascending order and last in descending order, as Spark orders nulls.
+NULL_RANGE = -(2 ** 63)
+
+
 def range_index(df: DataFrame, axis_col: str, cuts: Sequence[float], out: str = "_b") -> DataFrame:
     """``out`` = index of the range of ``cuts`` holding ``axis_col`` (binary search in
-    the JVM via ``Bucketizer``; equal values always share a range)."""
+    the JVM via ``Bucketizer``; equal values always share a range; NaN gets the index
+    after the last range, null ``NULL_RANGE``). Without cuts every row, null or not,
+    gets range 0: one range, no stitching."""
     if not cuts:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     from pyspark.ml.feature import Bucketizer
     splits = [float("-inf"), *cuts, float("inf")]
     tmp = out + "_f"
     b = Bucketizer(splits=splits, inputCol=axis_col, outputCol=tmp, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(tmp).cast("bigint")).drop(tmp)
+    idx = F.when(F.col(axis_col).isNull(), F.lit(NULL_RANGE)).otherwise(F.col(tmp).cast("bigint"))
+    return b.transform(df).withColumn(out, idx).drop(tmp)
+
+
+def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``cols`` in which nulls match nulls (``eqNullSafe``; Spark still
+    plans it as a hash or sort-merge join on the columns), as rows with a null key
+    form one group in a window's PARTITION BY. The right side's copies of ``cols``
+    are dropped."""
+    renamed = [f"_jr{i}" for i in range(len(cols))]
+    r = right.select(*[F.col(c).alias(n) for c, n in zip(cols, renamed)],
+                     *[c for c in right.columns if c not in cols])
+    cond = None
+    for c, n in zip(cols, renamed):
+        eq = F.col(c).eqNullSafe(F.col(n))
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond, how).drop(*renamed)
 
 
 def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
@@ -67,12 +90,13 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
     """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
     given, else global quantile ranges of about ``target_rows`` rows each (or the
     given ``cuts``, in epoch microseconds, when a caller computed them once for
-    several steps).
+    several steps). Rows with a null time get ``NULL_RANGE`` (they sort first).
 
     Also returns whether everything is in one range (at most ``target_rows`` rows in
     all, so no key's group can be large): callers then skip the stitching."""
     if bucket_seconds:
-        return df.withColumn("_b", F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))), False
+        fixed = F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))
+        return df.withColumn("_b", F.coalesce(fixed, F.lit(NULL_RANGE))), False
     if cuts is None:
         cuts = range_cuts(df, micros(ts_col), target_rows)
     d = df.withColumn("_bm", micros(ts_col).cast("double"))
@@ -110,7 +134,7 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     prefix = per_range.select(key, "_b", *[
         F.coalesce(F.sum(f"_bs{i}").over(w_b), F.lit(0)).alias(f"_prefix{i}")
         for i in range(len(values))])
-    j = local.join(prefix, [key, "_b"])
+    j = join_on(local, prefix, [key, "_b"])
     return j.select(*df.columns, *[(F.col(f"_local{i}") + F.col(f"_prefix{i}")).alias(o)
                                    for i, o in enumerate(outs)])
 
@@ -137,7 +161,7 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
     wb = Window.partitionBy(key).orderBy("_b")
     edges = summ.select(key, "_b", F.lag("_bl").over(wb).alias("_pb"),
                         F.lead("_bf").over(wb).alias("_nb"))
-    j = local.join(edges, [key, "_b"])
+    j = join_on(local, edges, [key, "_b"])
     prev = F.when(F.col("_first"), F.col("_pb")).otherwise(F.col("_p"))
     nxt = F.when(F.col("_last"), F.col("_nb")).otherwise(F.col("_n"))
     return j.select(*df.columns, *[prev[c].alias("prev_" + c) for c in cols],
@@ -191,7 +215,7 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                         "_cn", "_cnn", "_cs")
     before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,
                        ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True,
-                       target_rows=target_rows, cuts=cuts)
+                       target_rows=target_rows, cuts=cuts, sql_nulls=False)
     z = F.lit(0)
     per_ts = before.select(
         key, F.col("_ts0").alias(ts_col),
@@ -199,7 +223,7 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
         F.when(F.col("_cnn") - F.coalesce("r__cnn", z) > 0,
                (F.col("_cs") - F.coalesce("r__cs", F.lit(0).cast("decimal(38, 10)"))).cast("double"))
          .alias("sum_trailing"))
-    return df.join(per_ts, [key, ts_col])
+    return join_on(df, per_ts, [key, ts_col])
 
 
 def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col: str,
@@ -262,7 +286,7 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
                        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_before"),
                        F.coalesce(F.sum("_d").over(higher), F.lit(0)).alias("_vals_before"),
                        F.sum("_n").over(whole).alias("_total"))
-    return _ranks(local.join(offs, [key, "_b"]), df.columns, tiles)
+    return _ranks(join_on(local, offs, [key, "_b"]), df.columns, tiles)
 
 
 def _ranks(j: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:
