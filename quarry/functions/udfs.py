@@ -29,7 +29,8 @@ def line_charges(lineitem: DataFrame) -> DataFrame:
 
 
 def _share(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = pdf.groupby("l_orderkey")["l_extendedprice"].transform("sum")
+    # dropna=False: a null order key is one group, as in Spark's groupBy
+    total = pdf.groupby("l_orderkey", dropna=False)["l_extendedprice"].transform("sum")
     return pd.DataFrame({"l_orderkey": pdf["l_orderkey"], "l_linenumber": pdf["l_linenumber"],
                          "share": (pdf["l_extendedprice"] / total).round(6)})
 
@@ -85,7 +86,8 @@ def quantity_spread(lineitem: DataFrame) -> DataFrame:
 
 def _spread_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        g = b.groupby("l_orderkey", sort=False)["l_quantity"].agg(["min", "max"]).reset_index()
+        g = (b.groupby("l_orderkey", sort=False, dropna=False)["l_quantity"]
+              .agg(["min", "max"]).reset_index())
         yield g.rename(columns={"min": "q_min", "max": "q_max"})
 
 

@@ -244,8 +244,8 @@ def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col:
     nth_rows = (df.select(*key, col, F.row_number().over(w).alias("_rn"))
                   .where(F.col("_rn") <= nth).where(F.col("_rn") == nth)
                   .select(*key, F.col(col).alias(f"nth{nth}_" + col)))
-    per_group = agg.join(nth_rows, list(key), "left")
-    return df.join(per_group, list(key))
+    per_group = join_on(agg, nth_rows, list(key), "left")
+    return join_on(df, per_group, list(key))
 
 
 def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,

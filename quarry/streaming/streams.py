@@ -148,8 +148,10 @@ PARTIAL = StructType([StructField("user_id", LongType()), StructField("n", LongT
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per Arrow batch: one ``(user_id, n, total)`` row per user in the batch."""
     for b in batches:
-        g = b.groupby("user_id", sort=False)["value"].agg(["size", "sum"]).reset_index()
-        yield pd.DataFrame({"user_id": g["user_id"].astype("int64"),
+        # dropna=False: a null user is one group, as in Spark's groupBy
+        g = (b.groupby("user_id", sort=False, dropna=False)["value"]
+              .agg(["size", "sum"]).reset_index())
+        yield pd.DataFrame({"user_id": g["user_id"].astype("Int64"),
                             "n": g["size"].astype("int64"), "total": g["sum"].astype("float64")})
 
 

@@ -93,3 +93,30 @@ def test_rank_spread(nulls, buckets):
         rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS rnk,
         dense_rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS drnk,
         ntile(3) OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS tile FROM ev""")
+
+
+def test_first_last(nulls):
+    df, con = nulls
+    e = df.where(F.col("ts").isNotNull()).select("event_id", "user_id", "ts", "event_type")
+    out = W.first_last(e, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type")
+    check(out, con, """SELECT event_id, user_id, ts, event_type,
+        first_value(event_type) OVER w AS first_event_type,
+        last_value(event_type) OVER w AS last_event_type,
+        nth_value(event_type, 2) OVER w AS nth2_event_type
+        FROM ev WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+
+
+def test_pandas_groups_keep_null_keys(spark):
+    """Grouped pandas code treats a null key as one group, like Spark's groupBy."""
+    from quarry.functions import udfs as U
+    li = table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_linenumber",
+                                                   "l_extendedprice", "l_quantity")
+    li = li.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 5 == 0, F.lit(None))
+                                      .otherwise(F.col("l_orderkey")).cast("bigint"))
+    con = duckdb.connect()
+    con.register("li", li.toPandas())
+    check(U.quantity_spread_two_phase(li), con,
+          "SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS qty_spread FROM li GROUP BY 1")
+    check(U.line_shares(li), con, """SELECT l_orderkey, l_linenumber, round(l_extendedprice /
+        sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS share FROM li""")
