@@ -132,11 +132,15 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_range = d.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_bs{i}") for i, v in enumerate(values)])
     prefix = per_range.select(key, "_b", *[
-        F.coalesce(F.sum(f"_bs{i}").over(w_b), F.lit(0)).alias(f"_prefix{i}")
-        for i in range(len(values))])
+        F.sum(f"_bs{i}").over(w_b).alias(f"_prefix{i}") for i in range(len(values))])
     j = join_on(local, prefix, [key, "_b"])
-    return j.select(*df.columns, *[(F.col(f"_local{i}") + F.col(f"_prefix{i}")).alias(o)
-                                   for i, o in enumerate(outs)])
+
+    def total(i: int) -> Column:
+        # SQL sum semantics: null only while no non-null value has been seen, here or
+        # in an earlier range
+        loc, pre = F.col(f"_local{i}"), F.col(f"_prefix{i}")
+        return F.coalesce(loc + pre, loc, pre)
+    return j.select(*df.columns, *[total(i).alias(o) for i, o in enumerate(outs)])
 
 
 def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str],

@@ -25,3 +25,93 @@ def test_word_count_matches_python_split(spark, lines):
 def test_pi_on_no_points_is_null(spark):
     r = montecarlo.pi_from_ids(spark.range(0)).first()
     assert (r["n"], r["inside"], r["pi"]) == (0, None, None)
+
+
+# --- range-split window operators against a pure-Python brute force ------------------
+# Rows: (id, key, t, v) with few keys (null included), many tied and null times and
+# null values; a tiny row target forces many ranges and stitching across them.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quarry.operators import windows  # noqa: E402
+
+ROWS = st.lists(st.tuples(st.sampled_from([1, 2, None]),
+                          st.one_of(st.none(), st.integers(0, 40)),
+                          st.one_of(st.none(), st.integers(-5, 9))),
+                min_size=1, max_size=60)
+
+
+def _frame(spark, rows):
+    data = [(i, k, t, v) for i, (k, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k long, t long, v long")
+    return data, df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def _asc(x):
+    """Spark's ascending order: nulls first."""
+    return (x is not None, x if x is not None else 0)
+
+
+def _groups(data):
+    g = {}
+    for row in data:
+        g.setdefault(row[1], []).append(row)
+    return g
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS)
+def test_split_lag_lead_and_running_total(spark, rows):
+    data, df = _frame(spark, rows)
+    want_prev, want_next, want_run = {}, {}, {}
+    for grp in _groups(data).values():
+        grp.sort(key=lambda r: (_asc(r[2]), r[0]))
+        acc = None
+        for j, r in enumerate(grp):
+            want_prev[r[0]] = grp[j - 1][0] if j else None
+            want_next[r[0]] = grp[j + 1][0] if j + 1 < len(grp) else None
+            if r[3] is not None:
+                acc = (acc or 0) + r[3]
+            want_run[r[0]] = acc
+    ll = windows.lag_lead(df, "k", "ts", "id", ["id"], target_rows=3)
+    assert {r["id"]: (r["prev_id"], r["next_id"]) for r in ll.collect()} == \
+        {i: (want_prev[i], want_next[i]) for i in want_prev}
+    rt = windows.running_total(df, "k", "ts", "id", "v", target_rows=3)
+    assert {r["id"]: r["running"] for r in rt.collect()} == want_run
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS)
+def test_split_trailing_range(spark, rows):
+    data, df = _frame(spark, rows)
+    want = {}
+    for grp in _groups(data).values():
+        for r in grp:
+            if r[2] is None:
+                frame = [x for x in grp if x[2] is None]
+            else:
+                frame = [x for x in grp if x[2] is not None and r[2] - 5 <= x[2] <= r[2]]
+            vals = [x[3] for x in frame if x[3] is not None]
+            want[r[0]] = (len(frame), float(sum(vals)) if vals else None)
+    out = windows.trailing_range(df, "k", "ts", "v", 5, target_rows=3)
+    assert {r["id"]: (r["n_trailing"], r["sum_trailing"]) for r in out.collect()} == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS)
+def test_split_ranks(spark, rows):
+    data, df = _frame(spark, rows)
+    want = {}
+    for grp in _groups(data).values():
+        # value descending, nulls last; ties of rn / ntile by id ascending
+        grp.sort(key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+        n, q, rem = len(grp), len(grp) // 3, len(grp) % 3
+        rank = dense = 0
+        for j, r in enumerate(grp):
+            if j == 0 or r[3] != grp[j - 1][3]:
+                rank, dense = j + 1, dense + 1
+            rn = j + 1
+            tile = (j // (q + 1) + 1) if rn <= rem * (q + 1) else rem + (rn - rem * (q + 1) - 1) // q + 1
+            want[r[0]] = (rn, rank, dense, tile)
+    out = windows.rank_spread(df, "k", "v", "id", tiles=3, target_rows=3)
+    assert {r["id"]: (r["rn"], r["rnk"], r["drnk"], r["tile"]) for r in out.collect()} == want
