@@ -115,3 +115,50 @@ def test_split_ranks(spark, rows):
             want[r[0]] = (rn, rank, dense, tile)
     out = windows.rank_spread(df, "k", "v", "id", tiles=3, target_rows=3)
     assert {r["id"]: (r["rn"], r["rnk"], r["drnk"], r["tile"]) for r in out.collect()} == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS, ROWS, st.booleans())
+def test_split_asof(spark, left_rows, right_rows, strict):
+    """SQL semantics: a null key or time never matches; the match's time is compared
+    (which of several right rows sharing that time is taken is not specified)."""
+    from quarry.operators import joins
+    ldata, left = _frame(spark, left_rows)
+    rdata, right = _frame(spark, right_rows)
+    want = {}
+    for i, k, t, _ in ldata:
+        cands = [rt for _, rk, rt, _ in rdata if k is not None and rk == k and t is not None
+                 and rt is not None and (rt < t if strict else rt <= t)]
+        want[i] = max(cands) if cands else None
+    out = joins.asof_join(left.select("id", "k", "ts"), right.select("k", "ts"), "k", "ts", ["ts"],
+                          strict=strict, target_rows=3)
+    got = {r["id"]: (None if r["r_ts"] is None else int(r["r_ts"].timestamp())) for r in
+           out.select("id", F.col("r_ts").cast("timestamp").alias("r_ts")).collect()}
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS)
+def test_interval_join(spark, rows):
+    from quarry.operators import joins
+    data, df = _frame(spark, rows)
+    want = sorted((a[0], b[0]) for a in data for b in data
+                  if a[1] is not None and a[1] == b[1] and a[2] is not None and b[2] is not None
+                  and a[2] < b[2] <= a[2] + 4)
+    out = joins.interval_join(df.select("id", "k", "ts"), df.select("id", "k", "ts"), "k", "ts", 4)
+    assert sorted((r["l_id"], r["r_id"]) for r in out.collect()) == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(ROWS)
+def test_first_last(spark, rows):
+    data, df = _frame(spark, rows)
+    want = {}
+    for grp in _groups(data).values():
+        grp.sort(key=lambda r: (_asc(r[2]), r[0]))
+        first, last = grp[0][3], grp[-1][3]
+        nth = grp[1][3] if len(grp) > 1 else None
+        for r in grp:
+            want[r[0]] = (first, last, nth)
+    out = windows.first_last(df, ["k"], [F.col("ts"), F.col("id")], "v")
+    assert {r["id"]: (r["first_v"], r["last_v"], r["nth2_v"]) for r in out.collect()} == want
