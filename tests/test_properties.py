@@ -162,3 +162,60 @@ def test_first_last(spark, rows):
             want[r[0]] = (first, last, nth)
     out = windows.first_last(df, ["k"], [F.col("ts"), F.col("id")], "v")
     assert {r["id"]: (r["first_v"], r["last_v"], r["nth2_v"]) for r in out.collect()} == want
+
+
+# --- graph jobs against brute force on random small graphs ---------------------------
+
+from itertools import combinations  # noqa: E402
+
+from quarry.operators import graph  # noqa: E402
+
+GRAPHS = st.tuples(st.integers(2, 14),
+                   st.lists(st.tuples(st.integers(0, 13), st.integers(0, 13)), max_size=40))
+
+
+def _graph_frames(spark, spec):
+    n, pairs = spec
+    edges = sorted({(min(a, b), max(a, b)) for a, b in pairs if a != b and a < n and b < n})
+    v = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    nb = {i: set() for i in range(n)}
+    for a, b in edges:
+        nb[a].add(b)
+        nb[b].add(a)
+    return v, e, nb
+
+
+@settings(max_examples=5, deadline=None)
+@given(GRAPHS)
+def test_triangles_and_wedges(spark, spec):
+    v, e, nb = _graph_frames(spark, spec)
+    tri = {i: sum(1 for a, c in combinations(sorted(nb[i]), 2) if c in nb[a]) for i in nb}
+    wedges = {i: sum(1 for a, c in combinations(sorted(nb[i]), 2) if c not in nb[a]) for i in nb}
+    assert {r["id"]: r["triangles"] for r in graph.triangle_counts(v, e).collect()} == tri
+    assert {r["id"]: r["open_wedges"] for r in graph.open_two_hop(v, e).collect()} == wedges
+
+
+@settings(max_examples=5, deadline=None)
+@given(GRAPHS)
+def test_bfs_and_pagerank(spark, spec):
+    v, e, nb = _graph_frames(spark, spec)
+    n = len(nb)
+    want_hops = {}
+    for lm in (0, n - 1):
+        seen, frontier, h = {lm: 0}, [lm], 0
+        while frontier:
+            h += 1
+            frontier = [y for x in frontier for y in sorted(nb[x]) if y not in seen]
+            for y in frontier:
+                seen.setdefault(y, h)
+            frontier = sorted(set(frontier))
+        want_hops.update({(lm, i): d for i, d in seen.items()})
+    got = {(r["landmark"], r["id"]): r["hops"] for r in graph.bfs_hops(v, e, [0, n - 1]).collect()}
+    assert got == want_hops
+    pr, d = [1.0 / n] * n, 0.85
+    for _ in range(10):
+        dm = sum(pr[i] for i in range(n) if not nb[i])
+        pr = [(1 - d) / n + d * (sum(pr[u] / len(nb[u]) for u in nb[i]) + dm / n) for i in range(n)]
+    got_pr = {r["id"]: r["pr"] for r in graph.pagerank(v, e).collect()}
+    assert all(abs(got_pr[i] - pr[i]) < 1e-12 for i in range(n))
