@@ -255,42 +255,75 @@ def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col:
 def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
                 buckets: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """row_number / rank / dense_rank / ntile per ``key`` by ``value`` descending
-    (``row_number`` and ``ntile`` break ties by ``tie`` ascending), for groups of any
-    size.
-
-    The value axis is cut into global ranges (``range_cuts``: about ``target_rows``
-    rows per range, or exactly ``buckets`` quantile ranges when given; only the cut
-    list reaches the driver). Ranks are computed by a local window inside each
-    ``(key, range)`` and shifted by exact counts of rows / distinct values in the key's
-    higher ranges, taken from a per-range summary (one row per key and range). A key
-    holding a third of all rows is thereby ranked by many tasks. Equal values always
-    share a range, so ties never straddle two ranges and the result is exact whatever
-    the quantiles are.
+    (nulls last; ``row_number`` and ``ntile`` break ties by ``tie`` ascending), for
+    groups of any size and ties of any size. ``value`` and ``tie`` are numeric.
+
+    Inputs of at most ``target_rows`` rows take plain windows per key. Otherwise no
+    window ever spans a key or a tie group:
+
+    * rank / dense_rank depend only on the value: the rows are folded to one row per
+      ``(key, value)`` with its count (partial aggregation: a tie group of any size
+      becomes one row), and that table is split over value ranges; a window inside
+      each ``(key, range)`` plus the exact row and value counts of the key's higher
+      ranges (a per-range summary) give the rows and distinct values above each value.
+    * row_number adds the row's position inside its ``(key, value)`` tie group, by
+      ``tie``: a running count split over ranges of ``tie``, stitched with the counts
+      of the group's lower ranges.
+
+    Ranges are global ``approxQuantile`` cuts (``range_cuts``: about ``target_rows``
+    rows each, or exactly ``buckets`` ranges when given); only cut lists reach the
+    driver, and results are exact wherever the cuts fall. The join of the per-value
+    statistics back to the rows is on ``(key, value)``; AQE splits a hot tie group
+    on its streamed side.
     """
-    if buckets:
-        cuts = range_cuts(df, F.col(value), target_rows=1, max_ranges=buckets)
-    else:
-        cuts = range_cuts(df, F.col(value), target_rows)
-    d = range_index(df.withColumn("_bv", F.col(value).cast("double")), "_bv", cuts).drop("_bv")
-    w_val = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
-    w_row = Window.partitionBy(key, "_b").orderBy(F.col(value).desc(), F.col(tie))
-    local = d.select("*", F.row_number().over(w_row).alias("_rn"), F.rank().over(w_val).alias("_rk"),
-                     F.dense_rank().over(w_val).alias("_dr"))
-    if not cuts:
-        # one range (at most target_rows rows in all): local ranks are the ranks, and
-        # the group size for ntile comes from the same window partition
-        j = local.select("*", F.lit(0).alias("_rows_before"), F.lit(0).alias("_vals_before"),
-                         F.count(F.lit(1)).over(Window.partitionBy(key, "_b")).alias("_total"))
+    if not buckets and df.count() <= target_rows:
+        w_val = Window.partitionBy(key).orderBy(F.col(value).desc())
+        w_row = Window.partitionBy(key).orderBy(F.col(value).desc(), F.col(tie))
+        j = df.select("*", F.row_number().over(w_row).alias("_rn"),
+                      F.rank().over(w_val).alias("_rk"), F.dense_rank().over(w_val).alias("_dr"),
+                      F.lit(0).alias("_rows_before"), F.lit(0).alias("_vals_before"),
+                      F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_total"))
         return _ranks(j, df.columns, tiles)
-    summ = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"),
-                                    F.countDistinct(value).alias("_d"))
-    higher = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    offs = summ.select(key, "_b",
-                       F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_before"),
-                       F.coalesce(F.sum("_d").over(higher), F.lit(0)).alias("_vals_before"),
-                       F.sum("_n").over(whole).alias("_total"))
-    return _ranks(join_on(local, offs, [key, "_b"]), df.columns, tiles)
+
+    def cuts_of(frame: DataFrame, col: str) -> list[float]:
+        if buckets:
+            return range_cuts(frame, F.col(col), target_rows=1, max_ranges=buckets)
+        return range_cuts(frame, F.col(col), target_rows)
+
+    # rows and distinct values above each (key, value), from the folded table
+    kv = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    kvb = range_index(kv.withColumn("_bv", F.col(value).cast("double")), "_bv",
+                      cuts_of(kv, value)).drop("_bv")
+    w = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
+    local = kvb.select(key, value, "_b",
+                       F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)).alias("_lb"),
+                       F.row_number().over(w).alias("_ld"))
+    per_range = kvb.groupBy(key, "_b").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_vals"))
+    higher = (Window.partitionBy(key).orderBy(F.col("_b").desc())
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    offs = per_range.select(key, "_b",
+                            F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_rb"),
+                            F.coalesce(F.sum("_vals").over(higher), F.lit(0)).alias("_db"),
+                            F.sum("_rows").over(Window.partitionBy(key)).alias("_total"))
+    stats = join_on(local, offs, [key, "_b"]).select(
+        key, value, (F.col("_lb") + F.col("_rb")).alias("_rows_before"),
+        (F.col("_ld") + F.col("_db")).alias("_dr"), "_total")
+
+    # position of each row inside its (key, value) tie group, by tie
+    d = range_index(df.withColumn("_bt", F.col(tie).cast("double")), "_bt",
+                    cuts_of(df, tie), out="_t").drop("_bt")
+    wt = Window.partitionBy(key, value, "_t").orderBy(F.col(tie))
+    loc = d.withColumn("_pl", F.row_number().over(wt))
+    per_tie_range = d.groupBy(key, value, "_t").agg(F.count(F.lit(1)).alias("_tn"))
+    lower = Window.partitionBy(key, value).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    t_offs = per_tie_range.select(key, value, "_t",
+                                  F.coalesce(F.sum("_tn").over(lower), F.lit(0)).alias("_pb"))
+    pos = join_on(loc, t_offs, [key, value, "_t"]).withColumn("_rn", F.col("_pl") + F.col("_pb"))
+
+    j = join_on(pos, stats, [key, value]).select(
+        "*", F.lit(1).alias("_rk"), F.lit(0).alias("_vals_before"))
+    return _ranks(j, df.columns, tiles)
 
 
 def _ranks(j: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:

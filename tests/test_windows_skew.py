@@ -112,10 +112,12 @@ def hot_lines(spark):
     return df, con
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 64])
-def test_rank_spread(hot_lines, buckets):
+@pytest.mark.parametrize("split", [dict(buckets=2), dict(buckets=16), dict(buckets=64),
+                                   dict(target_rows=20)])
+def test_rank_spread(hot_lines, split):
+    """Includes supplier 998, a tie group of 50 rows that the tie ranges split."""
     df, con = hot_lines
-    out = W.rank_spread(df, "l_suppkey", "l_extendedprice", "line_id", tiles=3, buckets=buckets)
+    out = W.rank_spread(df, "l_suppkey", "l_extendedprice", "line_id", tiles=3, **split)
     check(out, con, """SELECT l_suppkey, line_id, l_extendedprice,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, line_id) AS rn,
         rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS rnk,
