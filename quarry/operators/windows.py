@@ -34,19 +34,29 @@ def micros(ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
+def _quantiles(df: DataFrame, axis: Column, target_rows: int,
+               max_ranges: int) -> tuple[list[float], int, int]:
+    """``(quantiles, rows, null rows)``: the ``k - 1`` inner quantiles of ``axis`` for
+    ``k`` ranges of about ``target_rows`` rows (duplicates kept: a value repeated in
+    the list holds at least about ``target_rows`` rows on its own), or ``[]`` when
+    the data fit one range. One aggregation and one ``approxQuantile`` pass."""
+    c = df.select(axis.cast("double").alias("_axis"))
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.count("_axis").alias("nn")).first()
+    n, nn = int(r["n"]), int(r["nn"])
+    k = min(max_ranges, -(-n // max(1, target_rows)))
+    if k <= 1 or nn == 0:
+        return [], n, n - nn
+    qs = c.approxQuantile("_axis", [i / k for i in range(1, k)], 1.0 / (2 * k))
+    return [q for q in qs if q is not None], n, n - nn
+
+
 def range_cuts(df: DataFrame, axis: Column, target_rows: int = TARGET_ROWS,
                max_ranges: int = MAX_RANGES) -> list[float]:
     """Sorted cut points of ``axis`` (a numeric expression) such that each range
-    between neighbouring cuts holds about ``target_rows`` rows. One count and one
-    distributed ``approxQuantile`` pass; only the cut list reaches the driver.
+    between neighbouring cuts holds about ``target_rows`` rows. One aggregation and
+    one distributed ``approxQuantile`` pass; only the cut list reaches the driver.
     Returns ``[]`` (one range) when the data fit one range."""
-    n = df.count()
-    k = min(max_ranges, -(-n // max(1, target_rows)))
-    if k <= 1:
-        return []
-    cuts = df.select(axis.cast("double").alias("_axis")).approxQuantile(
-        "_axis", [i / k for i in range(1, k)], 1.0 / (2 * k))
-    return sorted(set(c for c in cuts if c is not None))
+    return sorted(set(_quantiles(df, axis, target_rows, max_ranges)[0]))
 
 
 # Range index of rows whose ordering value is null: the smallest index, so they come
@@ -85,22 +95,48 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
 
 
 def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
-                target_rows: int = TARGET_ROWS,
-                cuts: Sequence[float] | None = None) -> tuple[DataFrame, bool]:
+                target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None,
+                tie: str | None = None) -> tuple[DataFrame, bool]:
     """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
     given, else global quantile ranges of about ``target_rows`` rows each (or the
     given ``cuts``, in epoch microseconds, when a caller computed them once for
     several steps). Rows with a null time get ``NULL_RANGE`` (they sort first).
 
+    Quantile ranges cannot separate equal times, so with a ``tie`` column (the
+    ordering is ``(ts, tie)``) a time holding about ``target_rows`` rows or more, and
+    a mass of null times, gets a range of its own, sub-split by ranges of ``tie``:
+    ``_b = range * (tie ranges + 1) + tie range`` keeps the order, and a burst of a
+    hot key at one instant is spread over many tasks as well.
+
     Also returns whether everything is in one range (at most ``target_rows`` rows in
     all, so no key's group can be large): callers then skip the stitching."""
     if bucket_seconds:
         fixed = F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))
         return df.withColumn("_b", F.coalesce(fixed, F.lit(NULL_RANGE))), False
+    heavy, heavy_null = [], False
     if cuts is None:
-        cuts = range_cuts(df, micros(ts_col), target_rows)
+        raw, _, nulls = _quantiles(df, micros(ts_col), target_rows, MAX_RANGES)
+        cuts = sorted(set(raw))
+        if raw and tie is not None:
+            # epoch micros are integers: [v, v + 1) holds exactly the rows at time v
+            heavy = sorted(v for v in set(raw) if raw.count(v) > 1)
+            heavy_null = nulls > target_rows
+            cuts = sorted(set(cuts) | {v + 1 for v in heavy})
     d = df.withColumn("_bm", micros(ts_col).cast("double"))
-    return range_index(d, "_bm", cuts).drop("_bm"), not cuts
+    d = range_index(d, "_bm", cuts).drop("_bm")
+    if not heavy and not heavy_null:
+        return d, not cuts
+    in_heavy = F.col("_b").isin([cuts.index(v) + 1 for v in heavy]) if heavy else F.lit(False)
+    if heavy_null:
+        in_heavy = in_heavy | (F.col("_b") == F.lit(NULL_RANGE))
+    d = d.withColumn("_hv", in_heavy)
+    tie_cuts = range_cuts(d.where("_hv"), F.col(tie), target_rows)
+    d = range_index(d.withColumn("_bt", F.col(tie).cast("double")), "_bt", tie_cuts, out="_s")
+    sub = F.when(F.col("_hv") & (F.col("_s") != F.lit(NULL_RANGE)), F.col("_s")).otherwise(F.lit(0))
+    width = len(tie_cuts) + 2
+    b = (F.when(F.col("_b") == F.lit(NULL_RANGE), F.lit(NULL_RANGE) + sub)
+          .otherwise(F.col("_b") * F.lit(width) + sub))
+    return d.withColumn("_b", b.cast("bigint")).drop("_bt", "_s", "_hv"), False
 
 
 def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -123,7 +159,7 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts)
+    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts, tie)
     w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
@@ -149,7 +185,7 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
     ``(ts, tie)`` order, stitched across time ranges: the first row of a range takes
     the last row of the nearest earlier non-empty range, the last row the first row of
     the nearest later one. Ranges: see ``with_bucket``."""
-    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows)
+    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, tie=tie)
     w = Window.partitionBy(key, "_b").orderBy(ts_col, tie)
     order = F.struct(F.col(ts_col), F.col(tie))
     row = F.struct(*[F.col(c) for c in cols])

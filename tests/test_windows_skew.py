@@ -136,3 +136,38 @@ def test_ranges_bound_the_hot_key(hot):
     per_range = d.groupBy("user_id", "_b").count().agg(F.max("count")).first()[0]
     assert per_user > 400
     assert per_range <= 200
+
+
+@pytest.fixture(scope="module")
+def burst(spark):
+    """events plus user 999 with 400 rows at one instant and 200 rows without a time:
+    neither group can be separated by cuts of the time axis alone."""
+    e = table(spark, SF_SMALL, "events").select("event_id", "user_id", "ts", "value")
+    same = (e.limit(400).withColumn("user_id", F.lit(999).cast("bigint"))
+             .withColumn("event_id", F.col("event_id") + 1_000_000)
+             .withColumn("ts", F.lit("2024-01-05 12:00:00").cast("timestamp_ntz")))
+    no_ts = (e.limit(200).withColumn("user_id", F.lit(999).cast("bigint"))
+              .withColumn("event_id", F.col("event_id") + 2_000_000)
+              .withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    df = e.unionByName(same).unionByName(no_ts)
+    con = duckdb.connect()
+    con.execute("SET default_null_order = 'nulls_first_on_asc_last_on_desc'")
+    con.register("ev", df.toPandas())
+    return df, con
+
+
+def test_burst_is_split_by_the_tie_breaker(burst):
+    df, con = burst
+    d, single = W.with_bucket(df, "ts", target_rows=50, tie="event_id")
+    assert not single
+    biggest = d.groupBy("user_id", "_b").count().agg(F.max("count")).first()[0]
+    assert biggest <= 120
+    out = W.lag_lead(df, "user_id", "ts", "event_id", ["event_id"], target_rows=50)
+    check(out.select("event_id", "user_id", "ts", "value", "prev_event_id", "next_event_id"), con,
+          """SELECT event_id, user_id, ts, value, lag(event_id) OVER w AS prev_event_id,
+          lead(event_id) OVER w AS next_event_id FROM ev
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+    run = W.running_total(df, "user_id", "ts", "event_id", "value", target_rows=50)
+    check(run.withColumn("running", F.round("running", 2)), con, """SELECT event_id, user_id,
+        ts, value, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+        ROWS UNBOUNDED PRECEDING), 2) AS running FROM ev""")
