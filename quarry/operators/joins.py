@@ -61,10 +61,41 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],
               bucket_seconds: int | None = None, strict: bool = True,
               target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None,
-              sql_nulls: bool = True) -> DataFrame:
+              sql_nulls: bool = True, dedupe: bool = True) -> DataFrame:
     """For every ``left`` row, the latest ``right`` row with the same ``key`` and an
     earlier ``ts`` (``<`` when ``strict``, else ``<=``); right columns come back as
-    ``r_<name>`` and are null when there is none.
+    ``r_<name>`` and are null when there is none. Among right rows sharing the latest
+    time, the one with the largest ``right_cols`` values is taken.
+
+    With ``dedupe`` (the default), both sides are first folded to one row per
+    ``(key, ts)`` (partial aggregation): every left row of one key and time has the
+    same answer, so a burst of a hot key at one instant becomes one lookup, and the
+    answers are joined back to the rows (null-safe; AQE splits a hot instant there).
+    See ``_asof_core`` for the lookup itself. ``sql_nulls``: right rows with a null
+    key or time never match (SQL); otherwise nulls are ordinary values.
+    """
+    if not dedupe:
+        return _asof_core(left, right, key, ts, right_cols, bucket_seconds, strict,
+                          target_rows, cuts, sql_nulls)
+    if sql_nulls:
+        right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    other = [c for c in right_cols if c not in (key, ts)]
+    if other:
+        best = F.max(F.struct(*[F.col(c) for c in other])).alias("_rs")
+        rr = right.groupBy(key, ts).agg(best).select(key, ts, *[F.col("_rs")[c].alias(c)
+                                                                for c in other])
+    else:
+        rr = right.select(key, ts).distinct()
+    lk = left.select(key, ts).distinct()
+    ans = _asof_core(lk, rr, key, ts, right_cols, bucket_seconds, strict, target_rows, cuts,
+                     sql_nulls)
+    return join_on(left, ans, [key, ts], "left")
+
+
+def _asof_core(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],
+               bucket_seconds: int | None, strict: bool, target_rows: int,
+               cuts: Sequence[float] | None, sql_nulls: bool) -> DataFrame:
+    """The as-of lookup.
 
     Plan: both sides are unioned and cut into ``(key, time range)`` groups (global
     quantile ranges sized from the row count, or fixed ``bucket_seconds`` buckets; see

@@ -255,7 +255,7 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                         "_cn", "_cnn", "_cs")
     before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,
                        ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True,
-                       target_rows=target_rows, cuts=cuts, sql_nulls=False)
+                       target_rows=target_rows, cuts=cuts, sql_nulls=False, dedupe=False)
     z = F.lit(0)
     per_ts = before.select(
         key, F.col("_ts0").alias(ts_col),

@@ -171,3 +171,15 @@ def test_burst_is_split_by_the_tie_breaker(burst):
     check(run.withColumn("running", F.round("running", 2)), con, """SELECT event_id, user_id,
         ts, value, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
         ROWS UNBOUNDED PRECEDING), 2) AS running FROM ev""")
+
+
+def test_burst_asof(burst):
+    """Left and right rows at one instant fold to one lookup per (user, time); the
+    matched time is compared (several right rows share it)."""
+    df, con = burst
+    right = df.where(F.col("value") > 100).select("event_id", "user_id", "ts")
+    out = J.asof_join(df.select("event_id", "user_id", "ts"), right, "user_id", "ts", ["ts"],
+                      target_rows=50)
+    check(out, con, """SELECT e.event_id, e.user_id, e.ts, p.ts AS r_ts
+        FROM ev e ASOF LEFT JOIN (SELECT * FROM ev WHERE value > 100) p
+        ON e.user_id = p.user_id AND e.ts > p.ts""")
