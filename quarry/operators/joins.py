@@ -37,25 +37,37 @@ def epoch_micros(ts_col: str):
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
                   width_seconds: int, lower_open: bool = True) -> DataFrame:
-    """Pairs ``(l, r)`` with equal ``key`` and ``l.ts < r.ts <= l.ts + width``.
-
-    Both sides get a time bucket of ``width``; a right row can only match a left row
-    of its own bucket or the one before, so each left row is sent to two buckets and
-    the join is an equi join on ``(key, bucket)`` followed by the exact range test.
-    A hot key is thus spread over its buckets; no cross product is formed.
-    Columns of ``left`` / ``right`` are prefixed ``l_`` / ``r_``.
+    """Pairs ``(l, r)`` with equal ``key`` and ``l.ts < r.ts <= l.ts + width``
+    (``<=`` at the lower end when not ``lower_open``). Columns of ``left`` / ``right``
+    are prefixed ``l_`` / ``r_``.
+
+    Rows sharing a key and a time are interchangeable here, so candidates are formed
+    between distinct ``(key, time)`` instants first (partial aggregation). Instants get
+    a time bucket of ``width``; a right instant can only match a left instant of its
+    own bucket or the one before, so each left instant is sent to two buckets, and the
+    instant pairs come from an equi join on ``(key, bucket)`` plus the exact range
+    test. No cross product is formed, a hot key is spread over its buckets, and the
+    candidates stay within a small factor of the matching instant pairs even when a
+    burst puts many rows at one instant (row-level candidates would pair every row of
+    the burst with every other and reject them all). The instant pairs are expanded
+    to row pairs by equi joins on ``(key, time)``, where AQE splits a hot instant.
     """
     w = width_seconds * 1_000_000
+    valid = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    li = left.where(valid).select(F.col(key).alias("_lk"), F.col(ts).alias("_lt")).distinct()
+    ri = right.where(valid).select(F.col(key).alias("_rk"), F.col(ts).alias("_rt")).distinct()
+    lb = li.withColumn("_lm", epoch_micros("_lt")).withColumn(
+        "_lb", F.explode(F.array(F.floor(F.col("_lm") / w), F.floor(F.col("_lm") / w) + 1)))
+    rb = ri.withColumn("_rm", epoch_micros("_rt")).withColumn("_rb", F.floor(F.col("_rm") / w))
+    lower = (F.col("_rm") > F.col("_lm")) if lower_open else (F.col("_rm") >= F.col("_lm"))
+    pairs = (lb.join(rb, (F.col("_lk") == F.col("_rk")) & (F.col("_lb") == F.col("_rb")) &
+                     (F.col("_rm") <= F.col("_lm") + w) & lower)
+               .select("_lk", "_lt", "_rk", "_rt"))
     lf = left.select(*[F.col(c).alias("l_" + c) for c in left.columns])
     rf = right.select(*[F.col(c).alias("r_" + c) for c in right.columns])
-    lm, rm = epoch_micros("l_" + ts), epoch_micros("r_" + ts)
-    lb = lf.withColumn("_m", lm).withColumn(
-        "_b", F.explode(F.array(F.floor(F.col("_m") / w), F.floor(F.col("_m") / w) + 1)))
-    rb = rf.withColumn("_rm", rm).withColumn("_b", F.floor(F.col("_rm") / w))
-    cond = ((F.col("l_" + key) == F.col("r_" + key)) & (lb["_b"] == rb["_b"]) &
-            (F.col("_rm") <= F.col("_m") + w) &
-            ((F.col("_rm") > F.col("_m")) if lower_open else (F.col("_rm") >= F.col("_m"))))
-    return lb.join(rb, cond).drop("_m", "_rm", "_b")
+    out = (lf.join(pairs, (F.col("l_" + key) == F.col("_lk")) & (F.col("l_" + ts) == F.col("_lt")))
+             .join(rf, (F.col("_rk") == F.col("r_" + key)) & (F.col("_rt") == F.col("r_" + ts))))
+    return out.drop("_lk", "_lt", "_rk", "_rt")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str],

@@ -183,3 +183,13 @@ def test_burst_asof(burst):
     check(out, con, """SELECT e.event_id, e.user_id, e.ts, p.ts AS r_ts
         FROM ev e ASOF LEFT JOIN (SELECT * FROM ev WHERE value > 100) p
         ON e.user_id = p.user_id AND e.ts > p.ts""")
+
+
+def test_burst_interval_join(burst):
+    """400 rows at one instant never pair with each other (strict lower bound) and
+    are matched as one instant."""
+    df, con = burst
+    e = df.select("event_id", "user_id", "ts")
+    out = J.interval_join(e, e, "user_id", "ts", 3600).select("l_event_id", "r_event_id")
+    check(out, con, """SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ev a
+        JOIN ev b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
