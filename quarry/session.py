@@ -24,6 +24,10 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.fallback.enabled": "false",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.sql.streaming.forceDeleteTempCheckpointLocation": "true",
+    # session windows: merge each map partition's rows into sessions before the
+    # shuffle (the partial aggregation of session windows), so a hot user's rows of a
+    # micro-batch do not all cross the network
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
