@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from quarry.operators.windows import join_on
 from quarry.session import shuffle_partitions
 
 # Types are given as objects, not DDL strings: these decorators also run when a Python
@@ -29,10 +30,9 @@ def line_charges(lineitem: DataFrame) -> DataFrame:
 
 
 def _share(pdf: pd.DataFrame) -> pd.DataFrame:
-    # dropna=False: a null order key is one group, as in Spark's groupBy
-    total = pdf.groupby("l_orderkey", dropna=False)["l_extendedprice"].transform("sum")
+    """Shares for one batch of lines, each line carrying its order's total."""
     return pd.DataFrame({"l_orderkey": pdf["l_orderkey"], "l_linenumber": pdf["l_linenumber"],
-                         "share": (pdf["l_extendedprice"] / total).round(6)})
+                         "share": (pdf["l_extendedprice"] / pdf["_total"]).round(6)})
 
 
 ROWS_PER_BUCKET = 200_000
@@ -56,16 +56,20 @@ def python_partitions(df: DataFrame) -> int:
 def line_shares(lineitem: DataFrame) -> DataFrame:
     """Each line's share of its order's value, by a grouped-map pandas function.
 
-    ``applyInPandas`` hands one group to one Python call. Grouping by order would mean
-    one call per order (slow); grouping by a big key would put a hot key in one call.
-    So rows are grouped by a hash bucket of the order key, sized from the row count,
-    and pandas groups orders inside the bucket: all lines of an order share a bucket,
-    and every call gets a bounded, vectorised batch.
+    ``applyInPandas`` hands one group to one Python call, so no group may be an order:
+    one call per order is slow, and an order holding a third of all lines would be one
+    call. The order totals are therefore a Spark aggregate (partial per task), joined
+    back to the lines null-safely (AQE splits a hot order's lines there), and the lines
+    are grouped by a hash bucket of the *line*, sized from the row count: every call
+    gets a bounded, vectorised batch of lines that carry their order's total.
     """
     li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    totals = li.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("_total"))
+    lines = join_on(li, totals, ["l_orderkey"])
     n = bucket_count(li)
     p = python_partitions(li)
-    keyed = li.withColumn("_bucket", F.pmod(F.xxhash64("l_orderkey"), F.lit(max(n, p))))
+    keyed = lines.withColumn(
+        "_bucket", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(max(n, p))))
     return (keyed.repartition(p, "_bucket").groupBy("_bucket")
                  .applyInPandas(_share, "l_orderkey long, l_linenumber int, share double"))
 
