@@ -9,8 +9,9 @@ The ranges are global cuts of the ordering axis taken from ``approxQuantile``, a
 many as the row count needs for about ``TARGET_ROWS`` rows per range. A range holds
 that many rows of *all* keys together, so one key's rows inside it are bounded too,
 however hot the key is. Results do not depend on where the cuts fall: the stitching
-is exact. Windows over groups that are small by construction (lines of one order)
-use the plain API.
+is exact. Inputs that fit one range take plain windows per key (no key can then be
+large), and top-n windows use the plain API, whose partial WindowGroupLimit trims
+every task to n rows per group before the shuffle.
 """
 
 from __future__ import annotations
