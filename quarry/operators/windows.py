@@ -16,6 +16,7 @@ every task to n rows per group before the shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,14 +121,16 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
         cuts = sorted(set(raw))
         if raw and tie is not None:
             # epoch micros are integers: [v, v + 1) holds exactly the rows at time v
-            heavy = sorted(v for v in set(raw) if raw.count(v) > 1)
+            heavy = sorted(v for v, c in Counter(raw).items() if c > 1)
             heavy_null = nulls > target_rows
             cuts = sorted(set(cuts) | {v + 1 for v in heavy})
     d = df.withColumn("_bm", micros(ts_col).cast("double"))
     d = range_index(d, "_bm", cuts).drop("_bm")
     if not heavy and not heavy_null:
         return d, not cuts
-    in_heavy = F.col("_b").isin([cuts.index(v) + 1 for v in heavy]) if heavy else F.lit(False)
+    position = {v: i for i, v in enumerate(cuts)}     # range i + 1 starts at cuts[i]
+    heavy_ranges = [position[v] + 1 for v in heavy]
+    in_heavy = F.col("_b").isin(heavy_ranges) if heavy else F.lit(False)
     if heavy_null:
         in_heavy = in_heavy | (F.col("_b") == F.lit(NULL_RANGE))
     d = d.withColumn("_hv", in_heavy)
