@@ -39,6 +39,12 @@ ROWS = st.lists(st.tuples(st.sampled_from([1, 2, None]),
                           st.one_of(st.none(), st.integers(0, 40)),
                           st.one_of(st.none(), st.integers(-5, 9))),
                 min_size=1, max_size=60)
+# the same with times from a handful of instants: every instant repeats, so the
+# heavy-instant split (ranges of the tie-breaker inside one instant) is exercised
+DENSE = st.lists(st.tuples(st.sampled_from([1, 2, None]),
+                           st.one_of(st.none(), st.integers(0, 4)),
+                           st.one_of(st.none(), st.integers(-5, 9))),
+                 min_size=1, max_size=60)
 
 
 def _frame(spark, rows):
@@ -60,7 +66,7 @@ def _groups(data):
 
 
 @settings(max_examples=8, deadline=None)
-@given(ROWS)
+@given(st.one_of(ROWS, DENSE))
 def test_split_lag_lead_and_running_total(spark, rows):
     data, df = _frame(spark, rows)
     want_prev, want_next, want_run = {}, {}, {}
