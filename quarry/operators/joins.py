@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.windows import NULL_RANGE, TARGET_ROWS, join_on, with_bucket
+from quarry.operators.windows import NULL_RANGE, TARGET_ROWS, join_on, micros, with_bucket
 from quarry.plans.broadcast import small_side
 
 
@@ -31,8 +31,6 @@ def theta_join(big: DataFrame, small: DataFrame, condition, how: str = "inner",
     return big.join(small_side(small, "theta", max_rows), condition, how)
 
 
-def epoch_micros(ts_col: str):
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
@@ -56,9 +54,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
     valid = F.col(key).isNotNull() & F.col(ts).isNotNull()
     li = left.where(valid).select(F.col(key).alias("_lk"), F.col(ts).alias("_lt")).distinct()
     ri = right.where(valid).select(F.col(key).alias("_rk"), F.col(ts).alias("_rt")).distinct()
-    lb = li.withColumn("_lm", epoch_micros("_lt")).withColumn(
+    lb = li.withColumn("_lm", micros(li, "_lt")).withColumn(
         "_lb", F.explode(F.array(F.floor(F.col("_lm") / w), F.floor(F.col("_lm") / w) + 1)))
-    rb = ri.withColumn("_rm", epoch_micros("_rt")).withColumn("_rb", F.floor(F.col("_rm") / w))
+    rb = ri.withColumn("_rm", micros(ri, "_rt")).withColumn("_rb", F.floor(F.col("_rm") / w))
     lower = (F.col("_rm") > F.col("_lm")) if lower_open else (F.col("_rm") >= F.col("_lm"))
     pairs = (lb.join(rb, (F.col("_lk") == F.col("_rk")) & (F.col("_lb") == F.col("_rb")) &
                      (F.col("_rm") <= F.col("_lm") + w) & lower)
@@ -132,7 +130,7 @@ def _asof_core(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
                            else F.lit(None).cast(ltypes[c]).alias(c) for c in left.columns],
                          F.struct(*rc).alias("_r"), F.lit(1 if strict else 0).alias("_tag"))
     both = lside.unionByName(rside)
-    both, single = with_bucket(both.withColumn("_m", epoch_micros(ts)), ts, bucket_seconds,
+    both, single = with_bucket(both.withColumn("_m", micros(both, ts)), ts, bucket_seconds,
                                target_rows, cuts)
     w_local = (Window.partitionBy(key, "_b").orderBy("_m", "_tag")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from quarry.session import scratch_path
 
@@ -32,8 +33,20 @@ TARGET_ROWS = 2_000_000
 MAX_RANGES = 1 << 17
 
 
-def micros(ts_col: str) -> Column:
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+def micros(df: DataFrame, ts_col: str) -> Column:
+    """Epoch microseconds of ``ts_col``: of the instant for a zoned timestamp, of the
+    wall-clock time for ``timestamp_ntz``. The latter is assembled from its fields
+    (days since the epoch, hour, minute, seconds with fraction), which involve no
+    session time zone: a daylight-saving change cannot stretch or fold the axis, and
+    naive times compare as SQL compares them (a cast to a zoned timestamp would move
+    times inside a skipped hour)."""
+    c = F.col(ts_col)
+    if isinstance(df.schema[ts_col].dataType, TimestampNTZType):
+        return (F.unix_date(c.cast("date")).cast("bigint") * F.lit(86_400_000_000)
+                + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
+                + F.minute(c).cast("bigint") * F.lit(60_000_000)
+                + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint"))
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def _quantiles(df: DataFrame, axis: Column, target_rows: int,
@@ -113,18 +126,18 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
     Also returns whether everything is in one range (at most ``target_rows`` rows in
     all, so no key's group can be large): callers then skip the stitching."""
     if bucket_seconds:
-        fixed = F.floor(micros(ts_col) / (bucket_seconds * 1_000_000))
+        fixed = F.floor(micros(df, ts_col) / (bucket_seconds * 1_000_000))
         return df.withColumn("_b", F.coalesce(fixed, F.lit(NULL_RANGE))), False
     heavy, heavy_null = [], False
     if cuts is None:
-        raw, _, nulls = _quantiles(df, micros(ts_col), target_rows, MAX_RANGES)
+        raw, _, nulls = _quantiles(df, micros(df, ts_col), target_rows, MAX_RANGES)
         cuts = sorted(set(raw))
         if raw and tie is not None:
             # epoch micros are integers: [v, v + 1) holds exactly the rows at time v
             heavy = sorted(v for v, c in Counter(raw).items() if c > 1)
             heavy_null = nulls > target_rows
             cuts = sorted(set(cuts) | {v + 1 for v in heavy})
-    d = df.withColumn("_bm", micros(ts_col).cast("double"))
+    d = df.withColumn("_bm", micros(df, ts_col).cast("double"))
     d = range_index(d, "_bm", cuts).drop("_bm")
     if not heavy and not heavy_null:
         return d, not cuts
@@ -230,7 +243,7 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
 
     if not bucket_seconds and df.count() <= target_rows:
         # small input (no key can hold more than target_rows rows): a plain RANGE frame
-        w = (Window.partitionBy(key).orderBy(micros(ts_col))
+        w = (Window.partitionBy(key).orderBy(micros(df, ts_col))
                    .rangeBetween(-int(width_seconds) * 1_000_000, 0))
         return df.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
                          F.sum(value).over(w).alias("sum_trailing"))
@@ -245,8 +258,8 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
         # the running totals, ts and ts - width for the as-of lookup), so every range
         # of either step holds about target_rows rows
         w_us = int(width_seconds) * 1_000_000
-        axis = g.select(micros(ts_col).alias("_a")).unionByName(
-            g.select((micros(ts_col) - F.lit(w_us)).alias("_a")))
+        axis = g.select(micros(g, ts_col).alias("_a")).unionByName(
+            g.select((micros(g, ts_col) - F.lit(w_us)).alias("_a")))
         cuts = range_cuts(axis, F.col("_a"), target_rows)
     run = running_total(g, key, ts_col, ts_col, ["_n", "_nn", "_s"], ["_cn", "_cnn", "_cs"],
                         bucket_seconds, target_rows, cuts)

@@ -236,9 +236,10 @@ def q_join_theta(spark, sf):
 def q_join_interval(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
     j = J.interval_join(e, e, "user_id", "ts", 600)
-    gap = F.unix_seconds(F.col("r_ts").cast("timestamp")) - F.unix_seconds(F.col("l_ts").cast("timestamp"))
+    # seconds boundaries crossed (whole seconds of each time, then the difference)
+    gap = F.floor(W.micros(j, "r_ts") / 1_000_000) - F.floor(W.micros(j, "l_ts") / 1_000_000)
     return j.select("l_event_id", "r_event_id", F.col("l_user_id").alias("user_id"),
-                    gap.alias("gap_s"))
+                    gap.cast("bigint").alias("gap_s"))
 
 
 @job("join_asof", sql="""

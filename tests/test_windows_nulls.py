@@ -120,3 +120,32 @@ def test_pandas_groups_keep_null_keys(spark):
           "SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS qty_spread FROM li GROUP BY 1")
     check(U.line_shares(li), con, """SELECT l_orderkey, l_linenumber, round(l_extendedprice /
         sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS share FROM li""")
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_naive_times_ignore_the_session_zone(spark, split):
+    """timestamp_ntz values are naive wall-clock times: in a session zone with
+    daylight saving, 01:30 -> 03:10 on the spring-forward day is still 100 minutes
+    (as in SQL), and the repeated autumn hour is not folded."""
+    from datetime import datetime, timedelta
+    base = [datetime(2024, 3, 10, 0, 0), datetime(2024, 11, 3, 0, 0)]
+    rows_ = [(i, i % 2, b + timedelta(minutes=17 * j), float(j))
+             for i, (b, j) in enumerate((b, j) for b in base for j in range(16))]
+    df = spark.createDataFrame(rows_, "event_id long, user_id long, ts timestamp_ntz, value double")
+    con = duckdb.connect()
+    con.register("ev", df.toPandas())
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/New_York")
+    try:
+        tr = W.trailing_range(df, "user_id", "ts", "value", 3600, **split)
+        check(tr, con, """SELECT event_id, user_id, ts, value, count(*) OVER w AS n_trailing,
+            sum(value) OVER w AS sum_trailing FROM ev WINDOW w AS (PARTITION BY user_id
+            ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""")
+        ij = J.interval_join(df.select("event_id", "user_id", "ts"),
+                             df.select("event_id", "user_id", "ts"), "user_id", "ts", 3600)
+        check(ij.select("l_event_id", "r_event_id"), con, """SELECT a.event_id AS l_event_id,
+            b.event_id AS r_event_id FROM ev a JOIN ev b ON a.user_id = b.user_id
+            AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
+    finally:
+        spark.conf.set(key, old)
