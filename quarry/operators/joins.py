@@ -19,8 +19,9 @@ def equi_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Data
 
 def dimension_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
                    max_rows: int = 100_000) -> DataFrame:
-    """Join a fact table to a dimension that is broadcast only after its row count is
-    checked against ``max_rows``; larger dimensions fall back to a shuffle join."""
+    """Join a fact table to a dimension that is broadcast only after its size is
+    checked (``max_rows`` rows and the byte bound of ``small_side``); larger
+    dimensions fall back to a shuffle join."""
     return fact.join(small_side(dim, "dimension", max_rows), on, how)
 
 
@@ -31,8 +32,6 @@ def theta_join(big: DataFrame, small: DataFrame, condition, how: str = "inner",
     return big.join(small_side(small, "theta", max_rows), condition, how)
 
 
-
-
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
                   width_seconds: int, lower_open: bool = True) -> DataFrame:
     """Pairs ``(l, r)`` with equal ``key`` and ``l.ts < r.ts <= l.ts + width``
