@@ -77,6 +77,12 @@ def frequent_pairs(lines: DataFrame, basket: str, item: str, min_count: int = 2)
     """Item pairs bought together in at least ``min_count`` baskets (FP-growth, which
     mines itemsets from conditional FP-trees instead of listing pairs per basket)."""
     baskets = lines.groupBy(basket).agg(F.array_distinct(F.collect_list(item)).alias("items"))
+    # counted, then read by every FP-growth pass: write the baskets once into the shared
+    # folder (the count then comes from Parquet metadata and lineage is cut)
+    spark = lines.sparkSession
+    path = scratch_path(spark, "fpgrowth-baskets")
+    baskets.select("items").write.parquet(path)
+    baskets = spark.read.parquet(path)
     n = baskets.count()
     # FP-growth's threshold is ceil(minSupport * n); this makes it exactly min_count
     support = (min_count - 0.5) / n
