@@ -90,3 +90,38 @@ def test_split_sequence_windows_partition_by_key_and_range(spark):
         windows = [ln for ln in plan.splitlines() if "Window [" in ln and "_b" in ln]
         assert windows, name
         assert all("user_id" in ln for ln in windows), name
+
+
+def test_graph_rounds_never_shuffle_the_edges(spark):
+    """The per-round join of vertex state to the bucketed edge table shuffles only the
+    state (broadcasts off, as for a large state at scale)."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import graph as G
+    from quarry.sources.tables import table
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        e = G.edge_table(G.consecutive_line_edges(table(spark, SF_SMALL, "lineitem")), "plan-edges")
+        state = table(spark, SF_SMALL, "part").select(F.col("p_partkey").alias("src"),
+                                                      F.lit(1.0).alias("pr"))
+        j = e.join(state, "src").groupBy("dst").agg(F.sum("pr"))
+        lines = j._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, ln in enumerate(lines) if "Bucketed: true" in ln)
+
+        def depth(ln):
+            return len(ln) - len(ln.lstrip(" :+-"))
+        # ancestors of the edge scan, nearest first, up to the join that consumes it
+        path, d = [], depth(lines[scan])
+        for ln in reversed(lines[:scan]):
+            if depth(ln) < d:
+                path.append(ln.strip(" :+-"))
+                d = depth(ln)
+                if "Join" in ln:
+                    break
+        assert path and "Join" in path[-1], path
+        assert not any(x.startswith("Exchange") for x in path), path
+    finally:
+        spark.conf.set(key, old)
