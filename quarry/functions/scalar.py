@@ -37,7 +37,7 @@ def date_funcs(orders: DataFrame) -> DataFrame:
         "o_orderkey",
         F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"),
         F.quarter("o_orderdate").alias("q"), F.dayofmonth("o_orderdate").alias("dom"),
-        F.date_trunc("month", "o_orderdate").alias("month_start"),
+        F.trunc(d, "month").cast("timestamp_ntz").alias("month_start"),
         F.datediff(F.lit("2002-01-01").cast("date"), d).alias("days_left"),
         F.date_add(d, 30).cast("timestamp_ntz").alias("due"),
         F.last_day(d).cast("timestamp_ntz").alias("month_end"))

@@ -49,6 +49,25 @@ def micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def naive_instant(df: DataFrame, ts_col: str) -> Column:
+    """``timestamp_ntz`` -> the instant whose UTC wall-clock time it is (a zoned
+    timestamp, as watermarks and time windows require), with no session time zone
+    involved: windows then align to the naive hours and days, as in SQL."""
+    return F.timestamp_micros(micros(df, ts_col))
+
+
+def naive_of_instant(col: str) -> Column:
+    """Inverse of ``naive_instant``: the UTC wall-clock time of an instant as
+    ``timestamp_ntz`` (day from the epoch day count, plus the time of day as an
+    interval), again without the session time zone."""
+    m = F.unix_micros(F.col(col))
+    days = F.floor(m / F.lit(86_400_000_000))
+    tod = m - days * F.lit(86_400_000_000)
+    return (F.date_from_unix_date(days.cast("int")).cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                 (tod / F.lit(1_000_000)).cast("decimal(18, 6)")))
+
+
 def _quantiles(df: DataFrame, axis: Column, target_rows: int,
                max_ranges: int) -> tuple[list[float], int, int]:
     """``(quantiles, rows, null rows)``: the ``k - 1`` inner quantiles of ``axis`` for

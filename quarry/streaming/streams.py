@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
                                TimestampNTZType)
 
+from quarry.operators.windows import naive_instant, naive_of_instant
 from quarry.plans.broadcast import small_side
 from quarry.session import scratch_path
 
@@ -29,16 +30,18 @@ EVENTS_SCHEMA = StructType([
 
 def event_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet",
                  files_per_batch: int | None = None) -> DataFrame:
-    """``events`` as a stream; ``ts`` becomes a zoned timestamp (UTC session) because
-    watermarks need one."""
+    """``events`` as a stream; ``ts`` becomes a zoned timestamp because watermarks
+    need one: the instant whose UTC wall-clock time is the stored naive time, so
+    windows align to naive hours whatever the session time zone."""
     r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    df = r.parquet(folder)
+    return df.withColumn("ts", naive_instant(df, "ts"))
 
 
 def _ntz(c: str):
-    return F.col(c).cast("timestamp_ntz")
+    return naive_of_instant(c)
 
 
 def run_to_parquet(df: DataFrame, name: str, mode: str = "append") -> str:

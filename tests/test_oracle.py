@@ -30,3 +30,16 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert set(e.queries()) == set(QUERIES)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["S3_date", "stream_tumbling", "win_range", "join_interval"])
+def test_results_ignore_the_session_zone(spark, duck_small, name):
+    """Naive timestamps are read as wall-clock times whatever the session zone: hourly
+    stream windows, month starts, frames and gaps match SQL in a +05:30 zone too."""
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "Asia/Kolkata")
+    try:
+        same(QUERIES[name](spark, SF_SMALL), duck_small.sql(ORACLE[name]))
+    finally:
+        spark.conf.set(key, old)
