@@ -86,7 +86,16 @@ def sliding_counts(events: DataFrame, width: str = "1 hour", slide: str = "15 mi
     return g.select(_ntz("window.start").alias("window_start"), "event_type", "n")
 
 
+SESSION_LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Sessions per user (``gap`` of inactivity closes one). Rows are merged into
+    sessions inside each map partition before the shuffle (the session-window form of
+    partial aggregation), so a hot user's rows of a micro-batch do not all cross the
+    network; the setting is switched on here for sessions built on any session, and
+    a query takes it when it starts."""
+    events.sparkSession.conf.set(SESSION_LOCAL_MERGE, "true")
     g = (events.withWatermark("ts", delay)
                .groupBy("user_id", F.session_window("ts", gap))
                .agg(F.count(F.lit(1)).alias("n")))
