@@ -225,3 +225,30 @@ def test_bfs_and_pagerank(spark, spec):
         pr = [(1 - d) / n + d * (sum(pr[u] / len(nb[u]) for u in nb[i]) + dm / n) for i in range(n)]
     got_pr = {r["id"]: r["pr"] for r in graph.pagerank(v, e).collect()}
     assert all(abs(got_pr[i] - pr[i]) < 1e-12 for i in range(n))
+
+
+import datetime  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.datetimes(min_value=datetime.datetime(1900, 1, 1),
+                             max_value=datetime.datetime(2100, 1, 1)),
+                min_size=1, max_size=20),
+       st.sampled_from(["UTC", "America/New_York", "Asia/Kolkata"]))
+def test_naive_time_round_trip(spark, times, zone):
+    """Naive times -> epoch micros -> instant -> naive again, unchanged in any session
+    zone, including times a daylight-saving zone skips."""
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, zone)
+    try:
+        out = (df.select("ts", windows.micros(df, "ts").alias("m"),
+                         windows.naive_instant(df, "ts").alias("i"))
+                 .select("ts", "m", windows.naive_of_instant("i").alias("back")).collect())
+    finally:
+        spark.conf.set(key, old)
+    epoch = datetime.datetime(1970, 1, 1)
+    for r in out:
+        assert r["back"] == r["ts"]
+        assert r["m"] == (r["ts"] - epoch) // datetime.timedelta(microseconds=1)
