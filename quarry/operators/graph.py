@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path, shuffle_partitions
+from quarry.session import materialize, scratch_path, shuffle_partitions
 
 SAVE_EVERY = 3
 
@@ -98,9 +98,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     e = edge_table(edges, "pagerank-edges")
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))   # bucketed: no shuffle
     v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left")
-    path = scratch_path(spark, "pagerank-vertices")
-    v.write.parquet(path)
-    v = spark.read.parquet(path)
+    v = materialize(v, "pagerank-vertices")
     n = v.count()
     k = v.where(F.col("deg").isNull()).count()
     rounds = _Rounds(spark, "pagerank-ranks")

@@ -17,7 +17,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path
+from quarry.session import materialize
 
 
 def feature_scale(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -58,10 +58,7 @@ def logistic_quality(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Data
     # the fit makes several passes (scaler, each optimiser iteration, scoring): write the
     # small feature table (four numbers per labelled document) once into the shared
     # folder instead of re-splitting every text per pass; this also cuts lineage
-    spark = docs.sparkSession
-    path = scratch_path(spark, "logistic-features")
-    data.write.parquet(path)
-    data = spark.read.parquet(path)
+    data = materialize(data, "logistic-features")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=["log_chars", "log_words", "lines"], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features"),
@@ -79,10 +76,7 @@ def frequent_pairs(lines: DataFrame, basket: str, item: str, min_count: int = 2)
     baskets = lines.groupBy(basket).agg(F.array_distinct(F.collect_list(item)).alias("items"))
     # counted, then read by every FP-growth pass: write the baskets once into the shared
     # folder (the count then comes from Parquet metadata and lineage is cut)
-    spark = lines.sparkSession
-    path = scratch_path(spark, "fpgrowth-baskets")
-    baskets.select("items").write.parquet(path)
-    baskets = spark.read.parquet(path)
+    baskets = materialize(baskets.select("items"), "fpgrowth-baskets")
     n = baskets.count()
     # FP-growth's threshold is ceil(minSupport * n); this makes it exactly min_count
     support = (min_count - 0.5) / n

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from quarry.session import scratch_path
+from quarry.session import materialize
 
 # Rows per range the sequence operators aim for: one (key, range) window group is
 # sorted and buffered by one task, so it must fit an executor comfortably.
@@ -266,7 +266,6 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                    .rangeBetween(-int(width_seconds) * 1_000_000, 0))
         return df.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
                          F.sum(value).over(w).alias("sum_trailing"))
-    spark = df.sparkSession
     width = F.expr(f"INTERVAL {int(width_seconds)} SECONDS")
     dec = F.col(value).cast("decimal(38, 10)")
     g = (df.groupBy(key, ts_col)
@@ -284,9 +283,7 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                         bucket_seconds, target_rows, cuts)
     # the running series is read twice below (lookup keys and lookup targets): write
     # it once into the shared folder instead of computing it twice
-    path = scratch_path(spark, "trailing-running")
-    run.write.parquet(path)
-    run = spark.read.parquet(path)
+    run = materialize(run, "trailing-running")
     lookup = run.select(key, (F.col(ts_col) - width).alias(ts_col), F.col(ts_col).alias("_ts0"),
                         "_cn", "_cnn", "_cs")
     before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph as G
 from quarry.operators import ml as M
 from quarry.plans.registry import job
+from quarry.session import materialize
 from quarry.sources.tables import table
 
 
@@ -70,8 +71,11 @@ _EDGES = """
 
 
 def _graph(spark, sf):
+    """Vertices, and the edge list written once to the shared folder: every graph job
+    reads its edges several times (degrees, orientation, closing edges, rounds), and
+    the lineitem self-join that builds them is the expensive step at scale."""
     v = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return v, G.consecutive_line_edges(table(spark, sf, "lineitem"))
+    return v, materialize(G.consecutive_line_edges(table(spark, sf, "lineitem")), "graph-edges")
 
 
 @job("graph_degrees", sql=f"""

@@ -111,6 +111,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quarry/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet to a fresh path in the shared folder and return its
+    read: computed exactly once however often it is read later, with lineage cut (a
+    lost executor re-reads the files instead of recomputing the plan)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python file APIs can use a local path (tests only)."""
     if path.startswith("file:"):
