@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, mixing, packing
+from quarry.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quarry.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def documents(spark, sf):
     return table(spark, sf, "documents")
 
 
+def op1_probminhash(spark, sf):
+    return near_dedup.classes(documents(spark, sf)).drop("text_key")
+
+
+def op2_compression_bands(spark, sf):
+    return quality.measure(documents(spark, sf))
+
+
 def op4_concat_and_cut(spark, sf):
     return packing.pack(documents(spark, sf), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
 
@@ -28,6 +36,6 @@ def op7_digest_index(spark, sf):
     return exact_dedup.query(spark, documents(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (op4_concat_and_cut, op5_poisson_mixing, op7_digest_index)}
+QUERIES = {f.__name__: f for f in (op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op7_digest_index)}
 
 ORACLE = {"op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
