@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, mixing, near_dedup, packing, quality
+from quarry.llm import chat, exact_dedup, mixing, near_dedup, packing, quality
 from quarry.sources.tables import table
 
 
@@ -36,6 +36,11 @@ def op7_digest_index(spark, sf):
     return exact_dedup.query(spark, documents(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op7_digest_index)}
+def op8_offset_masks(spark, sf):
+    return chat.query(table(spark, sf, "conversations"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op7_digest_index, op8_offset_masks)}
 
 ORACLE = {"op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
