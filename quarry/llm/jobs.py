@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, mixing, near_dedup, packing, quality
+from quarry.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, toxicity
 from quarry.sources.tables import table
 
 
@@ -40,7 +40,16 @@ def op8_offset_masks(spark, sf):
     return chat.query(table(spark, sf, "conversations"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_lexicon_automaton(spark, sf):
+    return toxicity.query(documents(spark, sf), table(spark, sf, "labels"))
+
+
+def op10_crf_pii(spark, sf):
+    return pii.detect(documents(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op7_digest_index, op8_offset_masks)}
+    op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
+    op7_digest_index, op8_offset_masks, op10_crf_pii)}
 
 ORACLE = {"op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
