@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, toxicity
+from quarry.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, toxicity
 from quarry.sources.tables import table
 
 
@@ -24,6 +24,10 @@ def op2_compression_bands(spark, sf):
     return quality.measure(documents(spark, sf))
 
 
+def op3_license_digests(spark, sf):
+    return licenses.scan(documents(spark, sf))
+
+
 def op4_concat_and_cut(spark, sf):
     return packing.pack(documents(spark, sf), tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
 
@@ -49,7 +53,7 @@ def op10_crf_pii(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_probminhash, op2_compression_bands, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
+    op1_probminhash, op2_compression_bands, op3_license_digests, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
     op7_digest_index, op8_offset_masks, op10_crf_pii)}
 
-ORACLE = {"op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
+ORACLE = {"op3_license_digests": licenses.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
