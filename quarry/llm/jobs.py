@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, toxicity
+from quarry.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, pii, quality, toxicity
 from quarry.sources.tables import table
 
 
@@ -48,12 +48,16 @@ def op6_lexicon_automaton(spark, sf):
     return toxicity.query(documents(spark, sf), table(spark, sf, "labels"))
 
 
+def op9_wrapper_induction(spark, sf):
+    return html_text.extract(table(spark, sf, "pages"))
+
+
 def op10_crf_pii(spark, sf):
     return pii.detect(documents(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_probminhash, op2_compression_bands, op3_license_digests, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
-    op7_digest_index, op8_offset_masks, op10_crf_pii)}
+    op7_digest_index, op8_offset_masks, op9_wrapper_induction, op10_crf_pii)}
 
 ORACLE = {"op3_license_digests": licenses.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
