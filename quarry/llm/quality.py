@@ -151,15 +151,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns: a filter inside one scan, no
     join and no shuffle."""
-    schema = docs.schema
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind
 
     def make() -> Callable:
         z = zstandard.ZstdCompressor(level=LEVEL)
 
         def fn(batch: pa.RecordBatch):
-            column = batch.column(batch.schema.get_field_index(text_col))
-            for t in texts(column):
+            for t in texts(batch.column(at)):
                 yield batch.slice(t.first, t.n).filter(pa.array(_measure(t, z)[6]))
         return fn
-    return map_arrow(docs, make, schema)
+    return map_arrow(plain, make, plain.schema).toDF(*docs.columns)
 
