@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.windows import NULL_RANGE, TARGET_ROWS, join_on, micros, with_bucket
-from quarry.plans.broadcast import small_side
+from quarry.plans.broadcast import fits, small_side
 
 
 def equi_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -28,8 +28,12 @@ def dimension_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
 def theta_join(big: DataFrame, small: DataFrame, condition, how: str = "inner",
                max_rows: int = 10_000) -> DataFrame:
     """Non-equi join against a small, size-checked side: a broadcast nested-loop join
-    that streams ``big`` once and never shuffles it."""
-    return big.join(small_side(small, "theta", max_rows), condition, how)
+    that streams ``big`` once and never shuffles it. A side beyond the bounds is refused:
+    without a broadcast Spark would pair all rows with all rows. Join such sides on a
+    bucket of their bounds, as ``interval_join`` does."""
+    if not fits(small, max_rows):
+        raise ValueError(f"theta_join: the small side is over {max_rows} rows or the byte bound")
+    return big.join(F.broadcast(small), condition, how)
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
@@ -129,15 +133,11 @@ def _asof_core(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols:
                            else F.lit(None).cast(ltypes[c]).alias(c) for c in left.columns],
                          F.struct(*rc).alias("_r"), F.lit(1 if strict else 0).alias("_tag"))
     both = lside.unionByName(rside)
-    both, single = with_bucket(both.withColumn("_m", micros(both, ts)), ts, bucket_seconds,
-                               target_rows, cuts)
+    both = with_bucket(both.withColumn("_m", micros(both, ts)), ts, bucket_seconds,
+                       target_rows, cuts)
     w_local = (Window.partitionBy(key, "_b").orderBy("_m", "_tag")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w_local))
-    if single:   # one range: the running last row is the answer, nothing to carry
-        out = local.where(F.col("_tag") == (0 if strict else 1))
-        return out.select(*left.columns, *[F.col("_last")["r_" + c].alias("r_" + c)
-                                           for c in right_cols])
     summary = (both.groupBy(key, "_b")
                    .agg(F.max_by("_r", F.when(F.col("_r").isNotNull(),
                                              F.coalesce(F.col("_m"), F.lit(NULL_RANGE))))

@@ -9,9 +9,9 @@ The ranges are global cuts of the ordering axis taken from ``approxQuantile``, a
 many as the row count needs for about ``TARGET_ROWS`` rows per range. A range holds
 that many rows of *all* keys together, so one key's rows inside it are bounded too,
 however hot the key is. Results do not depend on where the cuts fall: the stitching
-is exact. Inputs that fit one range take plain windows per key (no key can then be
-large), and top-n windows use the plain API, whose partial WindowGroupLimit trims
-every task to n rows per group before the shuffle.
+is exact, and the same code runs at every size (an input of one range has no cuts).
+Top-n windows use the plain API, whose partial WindowGroupLimit trims every task to n
+rows per group before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType,
+                               TimestampNTZType, TimestampType)
 
 from quarry.session import materialize
 
 # Rows per range the sequence operators aim for: one (key, range) window group is
 # sorted and buffered by one task, so it must fit an executor comfortably.
 TARGET_ROWS = 2_000_000
-# Upper bound on ranges (the cut list is the only thing that reaches the driver: at
-# most this many doubles). Beyond TARGET_ROWS * MAX_RANGES rows, ranges grow wider.
-MAX_RANGES = 1 << 17
 
 
 def micros(df: DataFrame, ts_col: str) -> Column:
@@ -68,8 +66,27 @@ def naive_of_instant(col: str) -> Column:
                                  (tod / F.lit(1_000_000)).cast("decimal(18, 6)")))
 
 
+def axis_of(df: DataFrame, col: str) -> Column:
+    """A double that never falls as ``col`` rises, for cutting its order into ranges (rows
+    of one range are still ordered by ``col`` itself): numbers as they are, times as
+    epoch micros, text and binary by their first six bytes, which sort as Spark sorts."""
+    c, kind = F.col(col), df.schema[col].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return micros(df, col).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(kind, (StringType, BinaryType)):
+        raw = F.encode(c, "UTF-8") if isinstance(kind, StringType) else c
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, NumericType):
+        return c.cast("double")
+    raise TypeError(f"no range axis for {kind.simpleString()} column {col!r}")
+
+
 def _quantiles(df: DataFrame, axis: Column, target_rows: int,
-               max_ranges: int) -> tuple[list[float], int, int]:
+               max_ranges: int | None = None) -> tuple[list[float], int, int]:
     """``(quantiles, rows, null rows)``: the ``k - 1`` inner quantiles of ``axis`` for
     ``k`` ranges of about ``target_rows`` rows (duplicates kept: a value repeated in
     the list holds at least about ``target_rows`` rows on its own), or ``[]`` when
@@ -77,7 +94,9 @@ def _quantiles(df: DataFrame, axis: Column, target_rows: int,
     c = df.select(axis.cast("double").alias("_axis"))
     r = c.agg(F.count(F.lit(1)).alias("n"), F.count("_axis").alias("nn")).first()
     n, nn = int(r["n"]), int(r["nn"])
-    k = min(max_ranges, -(-n // max(1, target_rows)))
+    k = -(-n // max(1, target_rows))
+    if max_ranges:
+        k = min(k, max_ranges)
     if k <= 1 or nn == 0:
         return [], n, n - nn
     qs = c.approxQuantile("_axis", [i / k for i in range(1, k)], 1.0 / (2 * k))
@@ -85,7 +104,7 @@ def _quantiles(df: DataFrame, axis: Column, target_rows: int,
 
 
 def range_cuts(df: DataFrame, axis: Column, target_rows: int = TARGET_ROWS,
-               max_ranges: int = MAX_RANGES) -> list[float]:
+               max_ranges: int | None = None) -> list[float]:
     """Sorted cut points of ``axis`` (a numeric expression) such that each range
     between neighbouring cuts holds about ``target_rows`` rows. One aggregation and
     one distributed ``approxQuantile`` pass; only the cut list reaches the driver.
@@ -130,7 +149,7 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
 
 def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
                 target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None,
-                tie: str | None = None) -> tuple[DataFrame, bool]:
+                tie: str | None = None) -> DataFrame:
     """Adds ``_b``, the time range of each row: fixed ``bucket_seconds`` wide when
     given, else global quantile ranges of about ``target_rows`` rows each (or the
     given ``cuts``, in epoch microseconds, when a caller computed them once for
@@ -140,16 +159,13 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
     ordering is ``(ts, tie)``) a time holding about ``target_rows`` rows or more, and
     a mass of null times, gets a range of its own, sub-split by ranges of ``tie``:
     ``_b = range * (tie ranges + 1) + tie range`` keeps the order, and a burst of a
-    hot key at one instant is spread over many tasks as well.
-
-    Also returns whether everything is in one range (at most ``target_rows`` rows in
-    all, so no key's group can be large): callers then skip the stitching."""
+    hot key at one instant is spread over many tasks as well."""
     if bucket_seconds:
         fixed = F.floor(micros(df, ts_col) / (bucket_seconds * 1_000_000))
-        return df.withColumn("_b", F.coalesce(fixed, F.lit(NULL_RANGE))), False
+        return df.withColumn("_b", F.coalesce(fixed, F.lit(NULL_RANGE)))
     heavy, heavy_null = [], False
     if cuts is None:
-        raw, _, nulls = _quantiles(df, micros(df, ts_col), target_rows, MAX_RANGES)
+        raw, _, nulls = _quantiles(df, micros(df, ts_col), target_rows)
         cuts = sorted(set(raw))
         if raw and tie is not None:
             # epoch micros are integers: [v, v + 1) holds exactly the rows at time v
@@ -159,20 +175,20 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = None,
     d = df.withColumn("_bm", micros(df, ts_col).cast("double"))
     d = range_index(d, "_bm", cuts).drop("_bm")
     if not heavy and not heavy_null:
-        return d, not cuts
+        return d
     position = {v: i for i, v in enumerate(cuts)}     # range i + 1 starts at cuts[i]
     heavy_ranges = [position[v] + 1 for v in heavy]
     in_heavy = F.col("_b").isin(heavy_ranges) if heavy else F.lit(False)
     if heavy_null:
         in_heavy = in_heavy | (F.col("_b") == F.lit(NULL_RANGE))
     d = d.withColumn("_hv", in_heavy)
-    tie_cuts = range_cuts(d.where("_hv"), F.col(tie), target_rows)
-    d = range_index(d.withColumn("_bt", F.col(tie).cast("double")), "_bt", tie_cuts, out="_s")
+    tie_cuts = range_cuts(d.where("_hv"), axis_of(d, tie), target_rows)
+    d = range_index(d.withColumn("_bt", axis_of(d, tie)), "_bt", tie_cuts, out="_s")
     sub = F.when(F.col("_hv") & (F.col("_s") != F.lit(NULL_RANGE)), F.col("_s")).otherwise(F.lit(0))
     width = len(tie_cuts) + 2
     b = (F.when(F.col("_b") == F.lit(NULL_RANGE), F.lit(NULL_RANGE) + sub)
           .otherwise(F.col("_b") * F.lit(width) + sub))
-    return d.withColumn("_b", b.cast("bigint")).drop("_bt", "_s", "_hv"), False
+    return d.withColumn("_b", b.cast("bigint")).drop("_bt", "_s", "_hv")
 
 
 def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -195,12 +211,10 @@ def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | S
     """
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts, tie)
+    d = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts, tie)
     w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
-    if single:
-        return local.select(*df.columns, *[F.col(f"_local{i}").alias(o) for i, o in enumerate(outs)])
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_range = d.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_bs{i}") for i, v in enumerate(values)])
     prefix = per_range.select(key, "_b", *[
@@ -221,14 +235,10 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
     ``(ts, tie)`` order, stitched across time ranges: the first row of a range takes
     the last row of the nearest earlier non-empty range, the last row the first row of
     the nearest later one. Ranges: see ``with_bucket``."""
-    d, single = with_bucket(df, ts_col, bucket_seconds, target_rows, tie=tie)
+    d = with_bucket(df, ts_col, bucket_seconds, target_rows, tie=tie)
     w = Window.partitionBy(key, "_b").orderBy(ts_col, tie)
     order = F.struct(F.col(ts_col), F.col(tie))
     row = F.struct(*[F.col(c) for c in cols])
-    if single:
-        local = d.select("*", F.lag(row).over(w).alias("_p"), F.lead(row).over(w).alias("_n"))
-        return local.select(*df.columns, *[F.col("_p")[c].alias("prev_" + c) for c in cols],
-                            *[F.col("_n")[c].alias("next_" + c) for c in cols])
     local = d.select("*", F.lag(row).over(w).alias("_p"), F.lead(row).over(w).alias("_n"),
                      (F.row_number().over(w) == 1).alias("_first"),
                      F.lead(F.lit(1)).over(w).isNull().alias("_last"))
@@ -247,55 +257,68 @@ def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str]
 def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_seconds: int,
                    bucket_seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``n_trailing`` / ``sum_trailing``: rows and sum of ``value`` of the same key with
-    ``ts`` in ``[ts - width, ts]`` (a RANGE frame, so equal timestamps are peers).
-
-    No window spans a frame. Rows are first folded to one row per ``(key, ts)``
-    (partial aggregation). A running count and sum over those rows (``running_total``:
-    split over time ranges) gives ``C(ts)``, everything of the key up to and including
-    ``ts``; an as-of lookup (``asof_join``, split the same way) gives the running
-    values just before ``ts - width``. The frame is their difference. Sums run in
-    ``decimal(38, 10)`` so the difference is exact; a hot key or a dense burst is
-    spread over many tasks whatever the frame width. Inputs of at most ``target_rows``
-    rows take a plain RANGE window per key instead.
+    ``ts`` in ``[ts - width, ts]`` (a RANGE frame, so equal timestamps are peers; rows
+    with a null time are peers of each other).
+
+    Rows are first folded to one row per ``(key, ts)`` (partial aggregation), and these
+    are cut into time ranges (``with_bucket``). The frame of a row is then the sum of
+    three parts, none of which is a difference, so infinities, NaN and small addends among large ones
+    come out as in one frame:
+
+    * the rows of its own range: a RANGE frame inside ``(key, range)``;
+    * if the frame begins in an earlier range, the end of that range: running sums from
+      the end, looked up at ``ts - width``;
+    * the whole ranges between: per-range sums.
+
+    No window group is larger than a range, so a hot key or a dense burst is spread over
+    many tasks whatever the frame width.
     """
-    from quarry.operators.joins import asof_join
-
-    if not bucket_seconds and df.count() <= target_rows:
-        # small input (no key can hold more than target_rows rows): a plain RANGE frame
-        w = (Window.partitionBy(key).orderBy(micros(df, ts_col))
-                   .rangeBetween(-int(width_seconds) * 1_000_000, 0))
-        return df.select("*", F.count(F.lit(1)).over(w).alias("n_trailing"),
-                         F.sum(value).over(w).alias("sum_trailing"))
-    width = F.expr(f"INTERVAL {int(width_seconds)} SECONDS")
-    dec = F.col(value).cast("decimal(38, 10)")
+    w_us = int(width_seconds) * 1_000_000
     g = (df.groupBy(key, ts_col)
-           .agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nn"), F.sum(dec).alias("_s")))
-    cuts = None
-    if not bucket_seconds:
-        # one set of cuts for both steps, over both time axes the steps sort on (ts for
-        # the running totals, ts and ts - width for the as-of lookup), so every range
-        # of either step holds about target_rows rows
-        w_us = int(width_seconds) * 1_000_000
-        axis = g.select(micros(g, ts_col).alias("_a")).unionByName(
-            g.select((micros(g, ts_col) - F.lit(w_us)).alias("_a")))
-        cuts = range_cuts(axis, F.col("_a"), target_rows)
-    run = running_total(g, key, ts_col, ts_col, ["_n", "_nn", "_s"], ["_cn", "_cnn", "_cs"],
-                        bucket_seconds, target_rows, cuts)
-    # the running series is read twice below (lookup keys and lookup targets): write
-    # it once into the shared folder instead of computing it twice
-    run = materialize(run, "trailing-running")
-    lookup = run.select(key, (F.col(ts_col) - width).alias(ts_col), F.col(ts_col).alias("_ts0"),
-                        "_cn", "_cnn", "_cs")
-    before = asof_join(lookup, run.select(key, ts_col, "_cn", "_cnn", "_cs"), key, ts_col,
-                       ["_cn", "_cnn", "_cs"], bucket_seconds, strict=True,
-                       target_rows=target_rows, cuts=cuts, sql_nulls=False, dedupe=False)
-    z = F.lit(0)
-    per_ts = before.select(
-        key, F.col("_ts0").alias(ts_col),
-        (F.col("_cn") - F.coalesce("r__cn", z)).alias("n_trailing"),
-        F.when(F.col("_cnn") - F.coalesce("r__cnn", z) > 0,
-               (F.col("_cs") - F.coalesce("r__cs", F.lit(0).cast("decimal(38, 10)"))).cast("double"))
-         .alias("sum_trailing"))
+           .agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+           .withColumn("_a", micros(df, ts_col)))
+    g = g.withColumn("_lo", F.col("_a") - F.lit(w_us))
+    if bucket_seconds:
+        for at, out in (("_a", "_b"), ("_lo", "_bl")):
+            fixed = F.floor(F.col(at) / (bucket_seconds * 1_000_000))
+            g = g.withColumn(out, F.coalesce(fixed, F.lit(NULL_RANGE)))
+    else:
+        cuts = range_cuts(g, F.col("_a"), target_rows)
+        for at, out in (("_a", "_b"), ("_lo", "_bl")):
+            g = range_index(g.withColumn("_d", F.col(at).cast("double")), "_d", cuts, out).drop("_d")
+    # read by each of the parts below: written once into the shared folder
+    g = materialize(g, "trailing-instants")
+    own = Window.partitionBy(key, "_b").orderBy("_a").rangeBetween(-w_us, 0)
+    here = g.select(key, ts_col, "_a", "_b", "_bl", F.sum("_n").over(own).alias("_n0"),
+                    F.sum("_s").over(own).alias("_s0"))
+    # the end of the range in which the frame begins
+    to_end = (Window.partitionBy(key, "_b").orderBy(F.col("_a").desc())
+                    .rowsBetween(Window.unboundedPreceding, 0))
+    rest = F.struct(F.sum("_n").over(to_end).alias("n"), F.sum("_s").over(to_end).alias("s"))
+    ends = g.select(key, "_b", "_a", F.lit(1).alias("_tag"), F.lit(None).cast("bigint").alias("_ref"),
+                    rest.alias("_rest"))
+    asks = g.where("_bl < _b").select(
+        key, F.col("_bl").alias("_b"), F.col("_lo").alias("_a"), F.lit(0).alias("_tag"),
+        F.col("_a").alias("_ref"), F.lit(None).cast(ends.schema["_rest"].dataType).alias("_rest"))
+    onward = (Window.partitionBy(key, "_b").orderBy("_a", "_tag")
+                    .rowsBetween(0, Window.unboundedFollowing))
+    begun = (ends.unionByName(asks)
+                 .withColumn("_next", F.first("_rest", ignorenulls=True).over(onward))
+                 .where("_tag = 0").select(key, F.col("_ref").alias("_a"), F.col("_next.n").alias("_n1"),
+                                           F.col("_next.s").alias("_s1")))
+    # the whole ranges between: one row per (key, first range, last range) in use
+    per_range = g.groupBy(key, F.col("_b").alias("_x")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    spans = (g.where("_b - _bl > 1").select(key, "_bl", "_b").distinct()
+              .withColumn("_x", F.explode(F.sequence(F.col("_bl") + 1, F.col("_b") - 1))))
+    between = (join_on(spans, per_range, [key, "_x"]).groupBy(key, "_bl", "_b")
+               .agg(F.sum("_n").alias("_n2"), F.sum("_s").alias("_s2")))
+    j = join_on(join_on(here, begun, [key, "_a"], "left"), between, [key, "_bl", "_b"], "left")
+    parts = [F.col(f"_s{i}") for i in range(3)]
+    zero = F.lit(0).cast(g.schema["_s"].dataType)
+    some = F.coalesce(*parts).isNotNull()   # SQL sum: null only without any value
+    total = F.coalesce(parts[0], zero) + F.coalesce(parts[1], zero) + F.coalesce(parts[2], zero)
+    per_ts = j.select(key, ts_col, (F.col("_n0") + F.coalesce("_n1", F.lit(0)) + F.coalesce("_n2", F.lit(0)))
+                      .cast("bigint").alias("n_trailing"), F.when(some, total).alias("sum_trailing"))
     return join_on(df, per_ts, [key, ts_col])
 
 
@@ -325,9 +348,7 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
                 buckets: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """row_number / rank / dense_rank / ntile per ``key`` by ``value`` descending
     (nulls last; ``row_number`` and ``ntile`` break ties by ``tie`` ascending), for
-    groups of any size and ties of any size. ``value`` and ``tie`` are numeric.
-
-    Inputs of at most ``target_rows`` rows take plain windows per key. Otherwise no
+    groups of any size and ties of any size, and for any types ``axis_of`` can cut. No
     window ever spans a key or a tie group:
 
     * rank / dense_rank depend only on the value: the rows are folded to one row per
@@ -345,23 +366,14 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
     statistics back to the rows is on ``(key, value)``; AQE splits a hot tie group
     on its streamed side.
     """
-    if not buckets and df.count() <= target_rows:
-        w_val = Window.partitionBy(key).orderBy(F.col(value).desc())
-        w_row = Window.partitionBy(key).orderBy(F.col(value).desc(), F.col(tie))
-        j = df.select("*", F.row_number().over(w_row).alias("_rn"),
-                      F.rank().over(w_val).alias("_rk"), F.dense_rank().over(w_val).alias("_dr"),
-                      F.lit(0).alias("_rows_before"), F.lit(0).alias("_vals_before"),
-                      F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_total"))
-        return _ranks(j, df.columns, tiles)
-
     def cuts_of(frame: DataFrame, col: str) -> list[float]:
         if buckets:
-            return range_cuts(frame, F.col(col), target_rows=1, max_ranges=buckets)
-        return range_cuts(frame, F.col(col), target_rows)
+            return range_cuts(frame, axis_of(frame, col), target_rows=1, max_ranges=buckets)
+        return range_cuts(frame, axis_of(frame, col), target_rows)
 
     # rows and distinct values above each (key, value), from the folded table
     kv = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    kvb = range_index(kv.withColumn("_bv", F.col(value).cast("double")), "_bv",
+    kvb = range_index(kv.withColumn("_bv", axis_of(kv, value)), "_bv",
                       cuts_of(kv, value)).drop("_bv")
     w = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
     local = kvb.select(key, value, "_b",
@@ -380,7 +392,7 @@ def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
         (F.col("_ld") + F.col("_db")).alias("_dr"), "_total")
 
     # position of each row inside its (key, value) tie group, by tie
-    d = range_index(df.withColumn("_bt", F.col(tie).cast("double")), "_bt",
+    d = range_index(df.withColumn("_bt", axis_of(df, tie)), "_bt",
                     cuts_of(df, tie), out="_t").drop("_bt")
     wt = Window.partitionBy(key, value, "_t").orderBy(F.col(tie))
     loc = d.withColumn("_pl", F.row_number().over(wt))
