@@ -4,16 +4,17 @@ partitioning and shuffles stay Spark's."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from quarry.operators.windows import join_on
-from quarry.session import shuffle_partitions
 
 # Types are given as objects, not DDL strings: these decorators also run when a Python
 # worker imports this module, and parsing a DDL string there would need a JVM.
@@ -35,73 +36,37 @@ def _share(pdf: pd.DataFrame) -> pd.DataFrame:
                          "share": (pdf["l_extendedprice"] / pdf["_total"]).round(6)})
 
 
-ROWS_PER_BUCKET = 200_000
-
-
-def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Enough hash buckets that one averages at most ``rows_per_bucket`` rows (a cheap
-    count: Parquet answers it from footers)."""
-    n = df.count()
-    return max(1, -(-n // rows_per_bucket))
-
-
-def python_partitions(df: DataFrame) -> int:
-    """Partitions for a Python-heavy stage: the session's shuffle partition count in
-    effect (sized for the cluster and, via ``session.size_shuffle``, for the data). Used in an
-    explicit ``repartition(n, key)``, which AQE does not coalesce: coalescing by bytes
-    would put a small but CPU-heavy shuffle into a few Python workers."""
-    return shuffle_partitions(df.sparkSession)
+def _shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield _share(b)
 
 
 def line_shares(lineitem: DataFrame) -> DataFrame:
-    """Each line's share of its order's value, by a grouped-map pandas function.
-
-    ``applyInPandas`` hands one group to one Python call, so no group may be an order:
-    one call per order is slow, and an order holding a third of all lines would be one
-    call. The order totals are therefore a Spark aggregate (partial per task), joined
-    back to the lines null-safely (AQE splits a hot order's lines there), and the lines
-    are grouped by a hash bucket of the *line*, sized from the row count: every call
-    gets a bounded, vectorised batch of lines that carry their order's total.
-    """
+    """Each line's share of its order's value, by a pandas function over batches of lines.
+
+    One call per order would be slow, and an order holding a third of all lines would be
+    one call. The order totals are therefore a Spark aggregate (partial per task), joined
+    back to the lines null-safely (AQE splits a hot order's lines there); each line then
+    carries all that pandas needs, so the batches need no shuffle of their own."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
     totals = li.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("_total"))
-    lines = join_on(li, totals, ["l_orderkey"])
-    n = bucket_count(li)
-    p = python_partitions(li)
-    keyed = lines.withColumn(
-        "_bucket", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(max(n, p))))
-    return (keyed.repartition(p, "_bucket").groupBy("_bucket")
-                 .applyInPandas(_share, "l_orderkey long, l_linenumber int, share double"))
+    return join_on(li, totals, ["l_orderkey"]).mapInPandas(
+        _shares, "l_orderkey long, l_linenumber int, share double")
 
 
-@pandas_udf(DoubleType())
-def spread(q: pd.Series) -> float:
-    v = q.to_numpy()
-    return float(v.max() - v.min())
+def _spread_partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        g = pa.Table.from_batches([b]).group_by("l_orderkey").aggregate([("l_quantity", "min"), ("l_quantity", "max")])
+        yield from g.select(["l_orderkey", "l_quantity_min", "l_quantity_max"]).to_batches()
 
 
 def quantity_spread(lineitem: DataFrame) -> DataFrame:
-    """Grouped-aggregate pandas UDF. Such UDFs have no partial aggregation (a group
-    arrives whole), so again only over bounded groups: lines of one order."""
-    li = lineitem.select("l_orderkey", "l_quantity")
-    return (li.repartition(python_partitions(li), "l_orderkey").groupBy("l_orderkey")
-              .agg(spread("l_quantity").alias("qty_spread")))
-
-
-def _spread_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        g = (b.groupby("l_orderkey", sort=False, dropna=False)["l_quantity"]
-              .agg(["min", "max"]).reset_index())
-        yield g.rename(columns={"min": "q_min", "max": "q_max"})
-
-
-def quantity_spread_two_phase(lineitem: DataFrame) -> DataFrame:
-    """The same aggregate as ``quantity_spread``, built to scale: pandas computes a
-    partial state (min, max) per key inside every Arrow batch (``mapInPandas``: no
-    shuffle, one vectorised call per batch), then Spark merges the states with
-    partially-aggregated built-ins. A key holding a third of the rows is split over
-    every batch that holds it, and nothing ever gathers a whole group."""
-    partial = lineitem.select("l_orderkey", "l_quantity").mapInPandas(
+    """Largest minus smallest quantity per order, as an aggregate in two phases: Arrow
+    computes a partial state (min, max) per key inside every batch (``mapInArrow``: no
+    shuffle, one vectorised call per batch, integer keys stay exact beside nulls), then
+    Spark merges the states with partially-aggregated built-ins. A key holding a third of
+    the rows is split over every batch that holds it, and nothing gathers a whole group."""
+    partial = lineitem.select("l_orderkey", "l_quantity").mapInArrow(
         _spread_partial, "l_orderkey long, q_min double, q_max double")
     return partial.groupBy("l_orderkey").agg((F.max("q_max") - F.min("q_min")).alias("qty_spread"))
 
@@ -120,9 +85,12 @@ class TextLines:
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """Lateral join of every document with its lines (SQL ``LATERAL`` over the UDTF)."""
+    """Lateral join of every document with its lines (SQL ``LATERAL`` over the UDTF); the
+    view and the function have names of their own, so the caller's are left alone."""
     spark = documents.sparkSession
-    spark.udtf.register("text_lines", TextLines)
-    documents.createOrReplaceTempView("docs_for_lines")
-    return spark.sql("SELECT d.doc_id, t.line_no, t.line, t.n_chars "
-                     "FROM docs_for_lines d, LATERAL text_lines(d.text) t")
+    name = f"lines_{uuid.uuid4().hex[:12]}"
+    spark.udtf.register(name, TextLines)
+    documents.createOrReplaceTempView(f"{name}_docs")
+    out = spark.sql(f"SELECT d.doc_id, t.line_no, t.line, t.n_chars FROM {name}_docs d, LATERAL {name}(d.text) t")
+    spark.catalog.dropTempView(f"{name}_docs")
+    return out

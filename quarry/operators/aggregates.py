@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,48 @@ def group_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> Dat
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact, interpolated quantiles (``percentile``). Its buffer is a value->count map,
-    so memory per group is bounded by the column's distinct values, not its rows: use
-    it on low-cardinality measures; use ``percentile_approx`` for continuous ones."""
-    return df.groupBy(*keys).agg(*[
-        F.percentile(col, p).alias(f"p{int(round(p * 100)):02d}") for p in probs])
+    """Exact, linearly interpolated quantiles of any number of distinct values per group.
 
+    Rows are folded to one row per value with its count (partial aggregation), the values
+    are cut into ranges, and counts run up inside each ``(key, range)`` on top of the counts
+    of the key's lower ranges. The value at a position is the least one whose count up to
+    and including it exceeds the position: a plain ``min`` per group, for all probabilities
+    at once. No group, and no map of its values, is held by one task."""
+    from quarry.operators.windows import axis_of, join_on, range_cuts, range_index
 
-def sorted_list(df: DataFrame, keys: Sequence[str], col: str, sep: str = ",") -> DataFrame:
-    """Sorted values per key as one string. ``collect_list`` holds a whole group in one
-    buffer, so this is for groups bounded by construction (lines of an order)."""
-    return df.groupBy(*keys).agg(
+    keys = list(keys)
+    kv = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    kv = range_index(kv.withColumn("_x", axis_of(kv, "_v")), "_x", range_cuts(kv, axis_of(kv, "_v"))).drop("_x")
+    here = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = kv.groupBy(*keys, "_b").agg(F.sum("_n").alias("_rows")).select(
+        *keys, "_b", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_below"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"))
+    up = join_on(kv.withColumn("_local", F.sum("_n").over(here)), ranges, [*keys, "_b"])
+    up = up.withColumn("_upto", F.col("_local") + F.col("_below"))
+
+    def at(p: float, end) -> Column:
+        place = end(F.lit(float(p)) * (F.col("_total") - 1))
+        return F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    names = [f"p{int(round(p * 100)):02d}" for p in probs]
+    g = up.groupBy(*keys).agg(F.max("_total").alias("_total"), *[at(p, F.floor).alias("_lo_" + n) for p, n in zip(probs, names)],
+                              *[at(p, F.ceil).alias("_hi_" + n) for p, n in zip(probs, names)])
+
+    def between(p: float, n: str) -> Column:
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = F.col("_lo_" + n).cast("double"), F.col("_hi_" + n).cast("double")
+        return lo + (hi - lo) * (place - F.floor(place))
+    found = g.select(*keys, *[between(p, n).alias(n) for p, n in zip(probs, names)])
+    # groups without a value have no quantile
+    return join_on(df.select(*keys).distinct(), found, keys, "left") if keys else found
+
+
+def sorted_list(df: DataFrame, keys: Sequence[str], col: str, sep: str = ",", size: int = 1000) -> DataFrame:
+    """Sorted values per key as strings of at most ``size`` values, numbered by ``chunk``: no
+    list grows with its group (the numbering streams over a sort that spills)."""
+    w = Window.partitionBy(*keys).orderBy(col)
+    chunks = df.select(*keys, col, ((F.row_number().over(w) - 1) / size).cast("bigint").alias("chunk"))
+    return chunks.groupBy(*keys, "chunk").agg(
         F.array_join(F.sort_array(F.collect_list(col)).cast("array<string>"), sep).alias("items"))
 
 

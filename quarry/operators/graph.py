@@ -11,6 +11,8 @@ lost executor costs at most the rounds since the last write.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +50,16 @@ class _Rounds:
         return self.spark.read.parquet(path)
 
 
-def consecutive_line_edges(lineitem: DataFrame, min_quantity: float = 25.0) -> DataFrame:
-    """Undirected part-part edges: the parts of two consecutive lines of one order
-    (line numbers ``n`` and ``n + 1``), both with ``l_quantity >= min_quantity`` and
-    different parts; stored once with ``src < dst``.
+def consecutive_line_edges(lineitem: DataFrame) -> DataFrame:
+    """Undirected part-part edges: the different parts of two consecutive lines of one
+    order (line numbers ``n`` and ``n + 1``); stored once with ``src < dst``.
 
     An equi join on ``(order, line number)`` pairs each line with at most its one
     successor, so the edge list grows linearly with ``lineitem`` however many lines an
     order holds: no pairs within an order are listed, and a hot order is spread over
     the join's hash partitions like any other rows. Repeated edges collapse in a
     partially aggregated ``distinct``."""
-    li = (lineitem.where(F.col("l_quantity") >= min_quantity)
-                  .select("l_orderkey", "l_linenumber", "l_partkey"))
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = li.select(F.col("l_orderkey").alias("_o"), (F.col("l_linenumber") - 1).alias("_ln"),
                     F.col("l_partkey").alias("_p"))
     j = li.join(nxt, (F.col("l_orderkey") == F.col("_o")) & (F.col("l_linenumber") == F.col("_ln")))
@@ -100,6 +100,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left")
     v = materialize(v, "pagerank-vertices")
     n = v.count()
+    if n == 0:
+        return v.select("id", F.lit(0.0).alias("pr"))
     k = v.where(F.col("deg").isNull()).count()
     rounds = _Rounds(spark, "pagerank-ranks")
     ranks = v.select("id", "deg", F.lit(1.0 / n).alias("pr"))
@@ -147,7 +149,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return _undirected(out)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` = smallest vertex id of the component.
 
     Alternating large-star and small-star rounds (Kiveris, Lattanzi, Mirrokni,
@@ -157,13 +159,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     and the number of rounds grows with the logarithm of the component size, not with
     its diameter (label propagation needs about diameter/2 rounds, unbounded on long
     chains). At the fixed point every component is a star around its smallest vertex.
-    Each round is written once into the shared folder; the loop stops when a round
-    leaves the edge set unchanged (a count plus a bounded anti-join probe)."""
+    Each round is written once into the shared folder; the loop runs until a round leaves
+    the edge set unchanged (a count plus a bounded anti-join probe), however many it takes."""
     spark = vertices.sparkSession
     rounds = _Rounds(spark, "components-edges")
     e = rounds.save(_undirected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
     n_e = e.count()
-    for _ in range(max_rounds):
+    while True:
         nxt = rounds.save(_small_star(_large_star(e)))
         n_nxt = nxt.count()
         same = n_nxt == n_e and nxt.join(e, ["src", "dst"], "left_anti").limit(1).count() == 0
@@ -217,18 +219,17 @@ def open_two_hop(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(vertices, edges).select("id", "degree")
     t = triangle_counts(vertices, edges)
     return d.join(t, "id").select(
-        "id", (F.col("degree") * (F.col("degree") - 1) / 2 - F.col("triangles")).cast("bigint")
-        .alias("open_wedges"))
+        "id", F.expr("degree * (degree - 1) div 2 - triangles").alias("open_wedges"))
 
 
-def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
-             max_rounds: int = 1000) -> DataFrame:
+def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int]) -> DataFrame:
     """``landmark, id, hops`` for every vertex reachable from each landmark.
 
     Frontier expansion: neighbours of the frontier (joined to the bucketed edges) not
     yet visited form the next frontier. Each frontier is written once, as folder
     ``hops=<r>`` of one output folder in the shared folder, so the visited set is that
-    folder and the result is its read; nothing is rewritten."""
+    folder and the result is its read; nothing is rewritten. Runs until a frontier is
+    empty, so every reachable vertex is found."""
     spark = vertices.sparkSession
     e = edge_table(edges, "bfs-edges")
     out = scratch_path(spark, "bfs-hops")
@@ -236,7 +237,7 @@ def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
     lm = spark.createDataFrame([(int(x),) for x in landmarks], "landmark long")
     (lm.join(vertices.select("id"), F.col("landmark") == F.col("id"))
        .select("landmark", "id").write.parquet(f"{out}/hops=0"))
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1):
         frontier = spark.read.schema("landmark bigint, id bigint").parquet(f"{out}/hops={r - 1}")
         visited = spark.read.schema(schema).parquet(out).select("landmark", "id")
         nxt = (e.join(frontier.select("landmark", F.col("id").alias("src")).hint("shuffle_hash"), "src")

@@ -1,16 +1,13 @@
-"""MLlib jobs: feature scaling, k-means, linear and logistic regression, FP-growth.
+"""MLlib jobs: feature scaling, k-means, linear and logistic regression; frequent pairs.
 MLlib fits by distributed tree-aggregation of per-partition statistics; nothing is
 gathered to the driver except the fitted model's coefficients."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.classification import LogisticRegression
@@ -30,9 +27,19 @@ def feature_scale(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, key: str, array_col: str, k: int = 8, seed: int = 42) -> DataFrame:
+    """``key, cluster, nearest``: the cluster of each vector, and whether no centre is
+    nearer than its own (up to rounding)."""
     v = df.select(key, array_to_vector(array_col).alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v)
-    return model.transform(v).select(key, "cluster")
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]   # k vectors
+    at = vector_to_array("features")
+
+    def distance(c):
+        return F.aggregate(F.zip_with(at, F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)),
+                           F.lit(0.0), lambda s, x: s + x)
+    d = F.array(*[distance(c) for c in centres])
+    own = F.element_at(d, F.col("cluster") + 1)
+    return model.transform(v).select(key, "cluster", (own <= F.array_min(d) * (1 + 1e-9) + 1e-12).alias("nearest"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -47,41 +54,44 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def logistic_quality(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    """Document quality from length features: assemble -> scale -> logistic regression.
-    Returns per-document predictions plus the training AUC as a column."""
+    """Document quality from length features: assemble -> scale -> logistic regression,
+    fitted on the labelled documents and scored on all. ``auc`` is that of a fifth of the
+    labelled documents, chosen by a hash of the id, which the fit does not see (null if it
+    has labels of one kind only)."""
     feats = docs.select(
         "doc_id",
-        F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
-        F.log1p(F.size(F.split("text", r"[ \t\n\r\f]+")).cast("double")).alias("log_words"),
-        (F.size(F.split("text", "\n")).cast("double")).alias("lines"))
-    data = feats.join(labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+        F.log1p(F.coalesce(F.col("n_chars"), F.lit(0)).cast("double")).alias("log_chars"),
+        F.log1p(F.size(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+")).cast("double")).alias("log_words"),
+        (F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("double")).alias("lines"))
+    known = labels.groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("label"))
+    data = feats.join(known, "doc_id", "left").withColumn(
+        "held_out", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0)
     # the fit makes several passes (scaler, each optimiser iteration, scoring): write the
-    # small feature table (four numbers per labelled document) once into the shared
-    # folder instead of re-splitting every text per pass; this also cuts lineage
+    # small feature table (four numbers per document) once into the shared folder instead
+    # of re-splitting every text per pass; this also cuts lineage
     data = materialize(data, "logistic-features")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=["log_chars", "log_words", "lines"], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)])
-    model = pipe.fit(data)
+    model = pipe.fit(data.where("label IS NOT NULL AND NOT held_out"))
     pred = model.transform(data)
-    auc = BinaryClassificationEvaluator(labelCol="label").evaluate(pred)
-    return pred.select("doc_id", "label", F.col("prediction"),
-                       vector_to_array("probability")[1].alias("p_good"), F.lit(auc).alias("auc"))
+    test = pred.where("label IS NOT NULL AND held_out")
+    kinds = test.select("label").distinct().count()
+    auc = BinaryClassificationEvaluator(labelCol="label").evaluate(test) if kinds > 1 else None
+    return pred.select("doc_id", "label", F.col("prediction"), vector_to_array("probability")[1].alias("p_good"),
+                       F.lit(auc).cast("double").alias("auc"))
+
 
+def frequent_pairs(lines: DataFrame, basket: str, place: str, item: str, min_count: int = 2) -> DataFrame:
+    """Pairs of items bought one after the other (places ``n`` and ``n + 1`` of a basket) in
+    at least ``min_count`` baskets.
 
-def frequent_pairs(lines: DataFrame, basket: str, item: str, min_count: int = 2) -> DataFrame:
-    """Item pairs bought together in at least ``min_count`` baskets (FP-growth, which
-    mines itemsets from conditional FP-trees instead of listing pairs per basket)."""
-    baskets = lines.groupBy(basket).agg(F.array_distinct(F.collect_list(item)).alias("items"))
-    # counted, then read by every FP-growth pass: write the baskets once into the shared
-    # folder (the count then comes from Parquet metadata and lineage is cut)
-    baskets = materialize(baskets.select("items"), "fpgrowth-baskets")
-    n = baskets.count()
-    # FP-growth's threshold is ceil(minSupport * n); this makes it exactly min_count
-    support = (min_count - 0.5) / n
-    assert math.ceil(support * n) == min_count
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets)
-    sets = model.freqItemsets.where(F.size("items") == 2)
-    srt = F.sort_array("items")
-    return sets.select(srt[0].alias("item_a"), srt[1].alias("item_b"), F.col("freq"))
+    An equi join on ``(basket, place)`` gives each row at most its successors, so the work
+    grows with the rows however large a basket is; the counts aggregate partially. (All
+    pairs of a basket would grow with its square, and so would mining them.)"""
+    rows = lines.select(F.col(basket).alias("_b"), F.col(place).alias("_n"), F.col(item).alias("_x"))
+    nxt = rows.select(F.col("_b").alias("_b2"), (F.col("_n") - 1).alias("_n2"), F.col("_x").alias("_y"))
+    pairs = rows.join(nxt, (F.col("_b") == F.col("_b2")) & (F.col("_n") == F.col("_n2"))).where("_x <> _y")
+    pairs = pairs.select("_b", F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")).distinct()
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count)

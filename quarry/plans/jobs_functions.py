@@ -148,13 +148,6 @@ def q_udaf_pandas(spark, sf):
     return U.quantity_spread(table(spark, sf, "lineitem"))
 
 
-@job("udaf_pandas_two_phase", sql="""
-  SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS qty_spread FROM lineitem GROUP BY 1
-""")
-def q_udaf_pandas_two_phase(spark, sf):
-    return U.quantity_spread_two_phase(table(spark, sf, "lineitem"))
-
-
 @job("udtf_python", sql="""
   SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_no, unnest(parts) AS line,
          CAST(length(unnest(parts)) AS INTEGER) AS n_chars

@@ -1,6 +1,6 @@
 """Machine-learning and graph jobs. Graph: vertices = parts, undirected edges = the
-parts of two consecutive lines of one order, both with quantity >= 25 (stored once,
-src < dst; see ``graph.consecutive_line_edges``)."""
+parts of two consecutive lines of one order (stored once, src < dst; see
+``graph.consecutive_line_edges``)."""
 
 from __future__ import annotations
 
@@ -27,9 +27,10 @@ def q_ml_feature_scale(spark, sf):
     return z.select("l_orderkey", "l_linenumber", *[F.round("z_" + c, 6).alias("z_" + c) for c in cols])
 
 
-@job("ml_kmeans")
+@job("ml_kmeans", sql="SELECT vec_id, true AS nearest FROM embeddings")
 def q_ml_kmeans(spark, sf):
-    return M.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    """Every vector once, and whether its cluster is that of the nearest centre."""
+    return M.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", "nearest")
 
 
 @job("ml_linear_regression", sql="""
@@ -43,18 +44,28 @@ def q_ml_linear_regression(spark, sf):
     return fit.select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 
 
-@job("ml_logistic")
+@job("ml_logistic", sql="""
+  SELECT doc_id, l.doc_id IS NOT NULL AS labelled, true AS scored
+  FROM documents LEFT JOIN labels l USING (doc_id)
+""")
 def q_ml_logistic(spark, sf):
-    return M.logistic_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    """Every document once: whether it has a label, and whether its prediction is the
+    side of 0.5 its probability is on."""
+    out = M.logistic_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    side = (F.col("p_good") >= 0.5).cast("double")
+    return out.select("doc_id", F.col("label").isNotNull().alias("labelled"),
+                      (F.col("p_good").between(0, 1) & (F.col("prediction") == side)).alias("scored"))
 
 
 @job("ml_frequent_items", sql="""
-  SELECT a.l_partkey AS item_a, b.l_partkey AS item_b, count(DISTINCT a.l_orderkey) AS freq
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+  SELECT least(a.l_partkey, b.l_partkey) AS item_a, greatest(a.l_partkey, b.l_partkey) AS item_b,
+         count(DISTINCT a.l_orderkey) AS freq
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_partkey <> b.l_partkey
   GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2
 """)
 def q_ml_frequent_items(spark, sf):
-    return M.frequent_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", 2)
+    return M.frequent_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", 2)
 
 
 # ------------------------------------------------------------------------------ graph
@@ -64,7 +75,7 @@ _EDGES = """
                          greatest(a.l_partkey, b.l_partkey) AS dst
          FROM lineitem a JOIN lineitem b
            ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-         WHERE a.l_partkey <> b.l_partkey AND a.l_quantity >= 25 AND b.l_quantity >= 25),
+         WHERE a.l_partkey <> b.l_partkey),
   e AS (SELECT src, dst FROM e0 UNION ALL SELECT dst, src FROM e0),
   v AS (SELECT p_partkey AS id FROM part)
 """
@@ -155,11 +166,13 @@ def q_graph_two_hop(spark, sf):
   WITH RECURSIVE {_EDGES},
   deg AS (SELECT src AS id, count(*) AS d FROM e GROUP BY 1),
   lm AS (SELECT id FROM deg ORDER BY d DESC, id LIMIT 3),
-  bfs(landmark, id, hops) AS (
+  bfs(landmark, id, hops) USING KEY (landmark, id) AS (
     SELECT id, id, 0 FROM lm
     UNION
-    SELECT b.landmark, e.dst, b.hops + 1 FROM bfs b JOIN e ON b.id = e.src WHERE b.hops < 60)
-  SELECT landmark, id, CAST(min(hops) AS INTEGER) AS hops FROM bfs GROUP BY 1, 2
+    SELECT b.landmark, e.dst, min(b.hops) + 1 FROM bfs b JOIN e ON b.id = e.src
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.landmark = b.landmark AND r.id = e.dst)
+    GROUP BY 1, 2)
+  SELECT landmark, id, CAST(hops AS INTEGER) AS hops FROM bfs
 """)
 def q_graph_shortest_paths(spark, sf):
     v, e = _graph(spark, sf)

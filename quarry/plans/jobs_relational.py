@@ -135,35 +135,26 @@ def q_join_broadcast(spark, sf):
                    .alias("revenue")))
 
 
-def _urgent(spark, sf):
-    return (table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-            .where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-            .select("o_orderkey", "o_custkey"))
-
-
 # Outer-join outputs: integer columns that are null for unmatched rows are returned as
 # DOUBLE in both the job and its SQL, so both engines hand over the same pandas dtype.
 @job("join_left", sql="""
-  SELECT c_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey FROM customer LEFT JOIN
-    (SELECT o_orderkey, o_custkey FROM orders
-     WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2001-01-01') o
-  ON c_custkey = o_custkey
+  SELECT d.doc_id, source, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 def q_join_left(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    o = _urgent(spark, sf)
-    j = J.equi_join(c, o, c.c_custkey == o.o_custkey, "left")
-    return j.select("c_custkey", F.col("o_orderkey").cast("double").alias("o_orderkey"))
+    d, lb = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels")
+    j = J.equi_join(d, lb, "doc_id", "left")
+    return j.select("doc_id", "source", F.col("quality").cast("double").alias("quality"),
+                    F.col("toxic").cast("double").alias("toxic"))
 
 
 @job("join_right", sql="""
   SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
          p_partkey, p_name
-  FROM (SELECT * FROM lineitem WHERE l_quantity >= 49) l RIGHT JOIN part ON l_partkey = p_partkey
+  FROM lineitem RIGHT JOIN part ON l_partkey = p_partkey
 """)
 def q_join_right(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49) \
-        .select("l_orderkey", "l_linenumber", "l_partkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     j = J.equi_join(li, p, li.l_partkey == p.p_partkey, "right")
     return j.select(F.col("l_orderkey").cast("double").alias("l_orderkey"),
@@ -171,44 +162,44 @@ def q_join_right(spark, sf):
 
 
 @job("join_full", sql="""
-  WITH c AS (SELECT c_nationkey AS nk, count(*) AS n_cust FROM customer
-             WHERE c_acctbal > 9000 GROUP BY 1),
-       s AS (SELECT s_nationkey AS nk, count(*) AS n_supp FROM supplier
-             WHERE s_acctbal < 0 GROUP BY 1)
-  SELECT coalesce(c.nk, s.nk) AS nationkey, CAST(n_cust AS DOUBLE) AS n_cust,
-         CAST(n_supp AS DOUBLE) AS n_supp FROM c FULL JOIN s ON c.nk = s.nk
+  WITH c AS (SELECT c_nationkey AS nk, CAST(floor(c_acctbal / 500) AS BIGINT) AS band, count(*) AS n_cust
+             FROM customer GROUP BY 1, 2),
+       s AS (SELECT s_nationkey AS nk, CAST(floor(s_acctbal / 500) AS BIGINT) AS band, count(*) AS n_supp
+             FROM supplier GROUP BY 1, 2)
+  SELECT coalesce(c.nk, s.nk) AS nationkey, coalesce(c.band, s.band) AS band,
+         CAST(n_cust AS DOUBLE) AS n_cust, CAST(n_supp AS DOUBLE) AS n_supp
+  FROM c FULL JOIN s ON c.nk = s.nk AND c.band = s.band
 """)
 def q_join_full(spark, sf):
-    c = (table(spark, sf, "customer").where(F.col("c_acctbal") > 9000)
-         .groupBy(F.col("c_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("n_cust")))
-    s = (table(spark, sf, "supplier").where(F.col("s_acctbal") < 0)
-         .groupBy(F.col("s_nationkey").alias("nk")).agg(F.count(F.lit(1)).alias("n_supp")))
-    j = J.equi_join(c.alias("c"), s.alias("s"), F.col("c.nk") == F.col("s.nk"), "full")
-    return j.select(F.coalesce("c.nk", "s.nk").alias("nationkey"),
+    c = (table(spark, sf, "customer")
+         .groupBy(F.col("c_nationkey").alias("nk"), F.floor(F.col("c_acctbal") / 500).alias("band"))
+         .agg(F.count(F.lit(1)).alias("n_cust")))
+    s = (table(spark, sf, "supplier")
+         .groupBy(F.col("s_nationkey").alias("nk"), F.floor(F.col("s_acctbal") / 500).alias("band"))
+         .agg(F.count(F.lit(1)).alias("n_supp")))
+    j = J.equi_join(c.alias("c"), s.alias("s"),
+                    (F.col("c.nk") == F.col("s.nk")) & (F.col("c.band") == F.col("s.band")), "full")
+    return j.select(F.coalesce("c.nk", "s.nk").alias("nationkey"), F.coalesce("c.band", "s.band").alias("band"),
                     F.col("n_cust").cast("double").alias("n_cust"),
                     F.col("n_supp").cast("double").alias("n_supp"))
 
 
 @job("join_semi", sql="""
-  SELECT c_custkey, c_name FROM customer WHERE EXISTS (
-    SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'
-      AND o_orderdate >= TIMESTAMP '2001-01-01')
+  SELECT doc_id, source, lang FROM documents d
+  WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """)
 def q_join_semi(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    o = _urgent(spark, sf)
-    return J.equi_join(c, o, c.c_custkey == o.o_custkey, "left_semi")
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return J.equi_join(d, table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 @job("join_anti", sql="""
-  SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (
-    SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'
-      AND o_orderdate >= TIMESTAMP '2001-01-01')
+  SELECT doc_id, source, lang FROM documents d
+  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """)
 def q_join_anti(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    o = _urgent(spark, sf)
-    return J.equi_join(c, o, c.c_custkey == o.o_custkey, "left_anti")
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return J.equi_join(d, table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 # Overlapping price bands (name, low inclusive, high exclusive).
@@ -284,11 +275,17 @@ def q_agg_distinct(spark, sf):
         F.count(F.lit(1)).alias("n")])
 
 
-@job("agg_approx_distinct")
+@job("agg_approx_distinct", sql="""
+  SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts, true AS within_5_percent
+  FROM lineitem GROUP BY 1
+""")
 def q_agg_approx_distinct(spark, sf):
-    return A.group_agg(table(spark, sf, "lineitem"), ["l_returnflag"], [
-        F.approx_count_distinct("l_partkey", 0.02).alias("approx_parts"),
-        F.count(F.lit(1)).alias("n")])
+    """The sketch's count beside the exact one, and whether it is within 5 %."""
+    g = A.group_agg(table(spark, sf, "lineitem"), ["l_returnflag"], [
+        F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("l_partkey").alias("parts")])
+    near = F.abs(F.col("approx") - F.col("parts")) <= 0.05 * F.col("parts")
+    return g.select("l_returnflag", "n", "parts", near.alias("within_5_percent"))
 
 
 @job("agg_percentile", sql="""
@@ -315,8 +312,11 @@ def q_agg_stats(spark, sf):
 
 
 @job("agg_collect", sql="""
-  SELECT l_orderkey, array_to_string(list_sort(list(l_partkey)), ',') AS items
-  FROM lineitem GROUP BY 1
+  SELECT l_orderkey, chunk, array_to_string(list(l_partkey ORDER BY l_partkey), ',') AS items
+  FROM (SELECT l_orderkey, l_partkey,
+               (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1) // 1000 AS chunk
+        FROM lineitem)
+  GROUP BY 1, 2
 """)
 def q_agg_collect(spark, sf):
     return A.sorted_list(table(spark, sf, "lineitem"), ["l_orderkey"], "l_partkey")

@@ -44,7 +44,6 @@ def q_stream_sliding(spark, sf):
     return spark.read.parquet(out)
 
 
-# sessions closed by the final watermark (max ts - 10 minutes) are emitted in append mode
 _SESSIONS_SQL = """
   WITH e AS (
     SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL
@@ -55,47 +54,40 @@ _SESSIONS_SQL = """
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
          count(*) AS n
   FROM s GROUP BY user_id, sid
-  HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
 """
 
 
 @job("stream_session", sql=_SESSIONS_SQL)
 def q_stream_session(spark, sf):
-    out = S.run_to_parquet(S.sessions(_events(spark, sf)), "stream-session")
-    return spark.read.parquet(out)
-
-
-def _two_batch_source(spark, sf, late):
-    """A source folder with ``b0`` (the events table) and, written after a first run,
-    ``b1`` (rows derived from it). Returns (glob, writer of b1)."""
-    src = scratch_path(spark, "stream-src")
-    table(spark, sf, "events").write.parquet(f"{src}/b0")
-    return src, (lambda: late(table(spark, sf, "events")).write.parquet(f"{src}/b1"))
+    """All sessions: a closing row behind the last event moves the watermark past those
+    still open; its own session never closes."""
+    ev, src = table(spark, sf, "events"), scratch_path(spark, "stream-session-src")
+    return S.run_steps(lambda: S.sessions(S.event_stream(spark, f"{src}/b*", glob="*.parquet")), [
+        lambda: ev.write.parquet(f"{src}/b0"),
+        lambda: S.closing_rows(ev, "1 DAY").write.parquet(f"{src}/b1")], "stream-session")
 
 
 @job("stream_late", sql="""
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n
   FROM events GROUP BY 1, 2
-  HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
-         <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
 """)
 def q_stream_late(spark, sf):
-    """Run 1 counts hourly windows of ``events`` (append mode, closed windows only).
-    Run 2, on the same checkpoint, sees a second file of the same events one day
-    late; every row of it is behind the watermark, so it changes nothing."""
-    def late(e):
-        return e.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY")) \
-                .withColumn("event_id", F.col("event_id") + F.lit(10 ** 12))
-    src, write_late = _two_batch_source(spark, sf, late)
-    out, ckpt = scratch_path(spark, "stream-late"), scratch_path(spark, "stream-late-ckpt")
-    for step in (0, 1):
-        if step == 1:
-            write_late()
-        q = (S.tumbling_counts(S.event_stream(spark, f"{src}/b*", glob="*.parquet"))
-             .writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-             .format("parquet").outputMode("append").start(out))
-        q.awaitTermination()
-    return spark.read.parquet(out)
+    """Hourly counts, one output row per window (append mode), in three runs on one
+    checkpoint: the events; the same events again, a day and ten minutes before the first
+    of them (all behind the watermark, so they change nothing); a closing row, which lets
+    the windows still open go out."""
+    ev, src = table(spark, sf, "events"), scratch_path(spark, "stream-late-src")
+
+    def late():
+        ends = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+        back = ends["hi"] - ends["lo"] if ends["hi"] else None
+        if back is not None:
+            us = int(back.total_seconds() * 1_000_000) + 86_400_000_000 + 600_000_000
+            moved = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(us / 1e6).cast("decimal(18, 6)"))
+            ev.withColumn("ts", moved).withColumn("event_id", F.col("event_id") + F.lit(10 ** 12)).write.parquet(f"{src}/b1")
+    return S.run_steps(lambda: S.tumbling_counts(S.event_stream(spark, f"{src}/b*", glob="*.parquet")), [
+        lambda: ev.write.parquet(f"{src}/b0"), late,
+        lambda: S.closing_rows(ev, "1 DAY").write.parquet(f"{src}/b2")], "stream-late")
 
 
 @job("stream_dedup", sql="SELECT event_id, user_id, ts, event_type FROM events")

@@ -9,13 +9,10 @@ from quarry.plans.registry import job
 from quarry.session import scratch_path
 from quarry.sources.tables import table
 
-# The golden WordCount lines of the deployment's smoke and preflight
-# checks, plus common words of the test prose, as (word, expected count) pairs.
-GOLDEN_WORDS = [("hadoop", 2), ("spark", 1), ("preflight", 2), ("test", 1),
-                ("the", 100), ("and", 100)]
-
-# Expected order counts per status (the sf0.01 counts; 'X' never occurs).
-EXPECTED_STATES = [("F", 4933), ("O", 4979), ("P", 5088), ("X", 0)]
+# Words a deployment's smoke and preflight checks count.
+GOLDEN_WORDS = [("hadoop", 2), ("spark", 1), ("preflight", 2)]
+TOP_WORDS = 50
+ABSENT_STATE = "X"
 
 _WORDS_SQL = r"""
   SELECT w AS word FROM (
@@ -24,6 +21,11 @@ _WORDS_SQL = r"""
 """
 
 
+def _values_sql(rows, cols, alias):
+    vals = ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {vals}) AS {alias}({', '.join(cols)})"
+
+
 @job("word_count", sql=f"SELECT word, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY word")
 def q_word_count(spark, sf):
     return text.word_count(table(spark, sf, "documents"), "text")
@@ -35,34 +37,64 @@ def q_word_count_sink(spark, sf):
     return text.word_count_sink(counts, scratch_path(spark, "wordcount-out"))
 
 
-def _values_sql(rows, cols, alias):
-    vals = ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {vals}) AS {alias}({', '.join(cols)})"
-
-
 @job("expected_counts", sql=f"""
-  WITH counts AS (SELECT word, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY word)
+  WITH counts AS (SELECT word, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY word),
+  e AS ((SELECT word, n AS expected FROM counts ORDER BY n DESC, word LIMIT {TOP_WORDS})
+        UNION ALL SELECT * FROM {_values_sql(GOLDEN_WORDS, ['word', 'expected'], 'g')}
+        WHERE word NOT IN (SELECT word FROM counts ORDER BY n DESC, word LIMIT {TOP_WORDS}))
   SELECT e.word, CAST(e.expected AS BIGINT) AS expected, CAST(c.n AS DOUBLE) AS n,
          CASE WHEN c.n IS NULL THEN 'missing' WHEN c.n = e.expected THEN 'ok'
               ELSE 'mismatch' END AS status
-  FROM {_values_sql(GOLDEN_WORDS, ['word', 'expected'], 'e')} LEFT JOIN counts c USING (word)
+  FROM e LEFT JOIN counts c USING (word)
 """)
 def q_expected_counts(spark, sf):
-    counts = text.word_count(table(spark, sf, "documents"), "text")
-    exp = spark.createDataFrame(GOLDEN_WORDS, "word string, expected bigint")
+    """An expectations file (the most frequent words as counted by SQL text, and the golden
+    words) is written, read and checked against the word count."""
+    docs, path = table(spark, sf, "documents"), scratch_path(spark, "expectations")
+    view = "docs_" + path.rsplit("-", 1)[-1]
+    docs.createOrReplaceTempView(view)
+    top = spark.sql(f"""SELECT word, count(*) AS expected FROM {view}
+                        LATERAL VIEW explode(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\r\\\\f]+', 0)) AS word
+                        GROUP BY word ORDER BY expected DESC, word LIMIT {TOP_WORDS}""")
+    golden = spark.createDataFrame(GOLDEN_WORDS, "word string, expected bigint")
+    top.unionByName(golden.join(top.select("word"), "word", "left_anti")).write.json(path)
+    spark.catalog.dropTempView(view)
+    exp = spark.read.schema("word string, expected bigint").json(path)
+    counts = text.word_count(docs, "text")
     # n is null for missing words: DOUBLE on both sides keeps the pandas dtypes equal
     return text.expected_counts(counts, exp).withColumn("n", F.col("n").cast("double"))
 
 
+@job("word_count_chain", sql=f"SELECT word, count(*) AS n, 'ok' AS status FROM ({_WORDS_SQL}) GROUP BY word")
+def q_word_count_chain(spark, sf):
+    """The whole text pipeline: put the texts into a folder, count the words of the files,
+    write the sorted counts, read them back and check every one against the table."""
+    from quarry.sources.files import text_landing
+    docs = table(spark, sf, "documents")
+    lines = text_landing(docs, scratch_path(spark, "chain-in"), "text")
+    counts = text.word_count_sink(text.word_count(lines, "value"), scratch_path(spark, "chain-out"))
+    expected = text.word_count(docs, "text").withColumnRenamed("n", "expected")
+    checked = text.expected_counts(counts, expected)
+    return checked.select("word", "n", "status")
+
+
 @job("state_count_check", sql=f"""
-  WITH c AS (SELECT o_orderstatus AS state, count(*) AS n FROM orders GROUP BY 1)
+  WITH c AS (SELECT o_orderstatus AS state, count(*) AS n FROM orders GROUP BY 1),
+  e AS (SELECT state, n AS expected FROM c UNION ALL SELECT '{ABSENT_STATE}', 0)
   SELECT e.state, CAST(e.expected AS BIGINT) AS expected, coalesce(c.n, 0) AS n,
          coalesce(c.n, 0) = e.expected AS ok
-  FROM {_values_sql(EXPECTED_STATES, ['state', 'expected'], 'e')} LEFT JOIN c USING (state)
+  FROM e LEFT JOIN c USING (state)
 """)
 def q_state_count_check(spark, sf):
-    exp = spark.createDataFrame(EXPECTED_STATES, "state string, expected bigint")
-    return text.state_count_check(table(spark, sf, "orders"), "o_orderstatus", exp)
+    """Expectations from another route (counts per state and priority, summed), written to a
+    file and read back, plus a state that never occurs."""
+    orders, path = table(spark, sf, "orders"), scratch_path(spark, "state-expectations")
+    per = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    exp = per.groupBy(F.col("o_orderstatus").alias("state")).agg(F.sum("n").alias("expected"))
+    absent = spark.createDataFrame([(ABSENT_STATE, 0)], "state string, expected bigint")
+    exp.unionByName(absent).write.json(path)
+    return text.state_count_check(orders, "o_orderstatus",
+                                  spark.read.schema("state string, expected bigint").json(path))
 
 
 @job("row_checksum", sql="""
@@ -115,14 +147,3 @@ def q_checksum_audit(spark, sf):
     files.write_manifest(files.file_digests(spark, sf, "*.parquet"), manifest_path)
     return files.checksum_audit(files.file_digests(spark, sf, "*.parquet"),
                                 files.read_manifest(spark, manifest_path))
-
-
-@job("event_log_summary")
-def q_event_log_summary(spark, sf):
-    """Per-stage task counts, run time and shuffle bytes from an event log: the
-    session's own log when it is plain JSON, else that of a child WordCount run."""
-    from quarry.plans import eventlog
-    log = eventlog.own_log(spark)
-    if log is None:
-        log = eventlog.child_log(spark, sf, scratch_path(spark, "eventlog"))
-    return eventlog.event_log_summary(spark, log)

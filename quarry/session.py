@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import pathlib
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +56,7 @@ def get_session(master: str | None = None, partitions: int | None = None, app: s
         cores = spark.sparkContext.defaultParallelism
         spark.conf.set("spark.sql.shuffle.partitions", str(max(16, 3 * cores)))
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -81,8 +84,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by whoever submits the job (an HDFS / object-store
-    path every executor can reach). Only when it is unset, as in local tests, we
-    make one under the local temp folder and register it.
+    path every executor can reach). When it is unset, a folder under the local temp
+    folder serves a local master, as in tests; any other master is refused, since its
+    executors could not see such a folder.
     """
     try:
         sc = spark.sparkContext
@@ -91,7 +95,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc is None:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="quarry-shared-")
+            d = _local_folder(spark.conf.get("spark.master", ""))
             spark.conf.set("spark.checkpoint.dir", d)
         return d
     d = sc.getCheckpointDir()
@@ -99,12 +103,32 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quarry-shared-")
+        d = _local_folder(sc.master)
     sc.setCheckpointDir(d)
     # setCheckpointDir appends a per-application sub folder; report what Spark uses
     return sc.getCheckpointDir() or d
 
 
+def _local_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master!r} it must name a folder "
+                           "that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quarry-shared-")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers can import it wherever
+    they run (as ``--py-files quarry.zip`` does)."""
+    root = pathlib.Path(__file__).resolve().parent
+    if root.parent.suffix == ".zip" or not root.is_dir():
+        return  # came with --py-files
+    target = pathlib.Path(tempfile.mkdtemp(prefix="quarry-package-")) / "quarry.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"quarry/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(target))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-before-used path under the shared folder."""
     base = shared_dir(spark).rstrip("/")
@@ -119,12 +143,3 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can use a local path (tests only)."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def text_landing(df: DataFrame, path: str, text_col: str = "value") -> DataFrame:
     """Write one text column into ``path`` (replacing what is there) and read it back
     as lines (``value string``). Like ``hdfs dfs -put -f``: the write is a plain
-    parallel file write, one file per partition."""
-    df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
-    return df.sparkSession.read.text(path)
+    parallel file write, one file per partition. Lines end at ``\\n`` alone, so other
+    line-end characters inside a text stay what they are."""
+    df.select(F.col(text_col).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    return df.sparkSession.read.option("lineSep", "\n").text(path)
 
 
 def _file_name(path_col):
@@ -32,14 +33,24 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
                          F.col("modificationTime").alias("modified")))
 
 
+def _below(path_col, root: str):
+    """The part of a file's path below ``root`` (both without scheme and host)."""
+    def plain(p):
+        return F.regexp_replace(F.regexp_replace(p, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+", "/")
+    base = F.concat(F.rtrim(plain(F.lit(root)), F.lit("/")), F.lit("/"))
+    path = plain(path_col)
+    return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(_file_name(path))
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``file, actual``: SHA-512 (hex) of every file's bytes, one task per file split.
+    """``file, actual``: path below ``path`` and SHA-512 (hex) of every file, one task per
+    file split. Files of one name in different folders are different files.
     ``binaryFile`` holds a whole file in one row, so this suits files below 2 GB."""
     return (spark.read.format("binaryFile")
                  .option("pathGlobFilter", glob)
                  .option("recursiveFileLookup", "true")
                  .load(path)
-                 .select(_file_name(F.col("path")).alias("file"),
+                 .select(_below(F.col("path"), path).alias("file"),
                          F.sha2(F.col("content"), 512).alias("actual")))
 
 
@@ -51,12 +62,11 @@ def write_manifest(digests: DataFrame, path: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``file, sha512`` from ``sha512sum``-style lines: the first field is the digest,
-    the last the file name (a leading ``*`` marks binary mode)."""
-    fields = F.split(F.trim(F.col("value")), r"\s+")
-    return (spark.read.text(path)
-                 .where(F.trim(F.col("value")) != "")
-                 .select(F.regexp_replace(F.element_at(fields, -1), r"^\*", "").alias("file"),
-                         F.element_at(fields, 1).alias("sha512")))
+    the rest the file name (a leading ``*`` marks binary mode)."""
+    line = F.trim(F.col("value"))   # a file name may hold blanks: all after the first gap
+    return (spark.read.text(path).where(line != "")
+                 .select(F.regexp_replace(F.regexp_replace(line, r"^\S+\s*", ""), r"^\*", "").alias("file"),
+                         F.regexp_extract(line, r"^\S+", 0).alias("sha512")))
 
 
 def checksum_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -90,10 +90,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_col: str,
 
 # --- catalog tables ------------------------------------------------------------------
 
-def create_table(df: DataFrame, name: str, path: str, partition_by: Iterable[str] = ()) -> None:
-    """Catalog table whose files live at ``path`` (a folder every executor can reach).
-    With Hive support on, this is a Hive-metastore table; otherwise the session catalog."""
-    w = df.write.format("parquet").option("path", path).mode("error")
+def create_table(df: DataFrame, name: str, path: str | None = None, partition_by: Iterable[str] = ()) -> None:
+    """Catalog table: managed (its files in ``spark.sql.warehouse.dir``, dropped with it),
+    or external at ``path`` (a folder every executor can reach). With Hive support on, this
+    is a Hive-metastore table; otherwise the session catalog."""
+    w = df.write.format("parquet").mode("error")
+    if path:
+        w = w.option("path", path)
     cols = list(partition_by)
     if cols:
         w = w.partitionBy(*cols)
@@ -108,6 +111,15 @@ def append_table(df: DataFrame, name: str) -> None:
 
 # --- Arrow batches -------------------------------------------------------------------
 
+def small_pandas(df: DataFrame, fn, schema: str, max_rows: int = 100_000) -> DataFrame:
+    """``fn`` on a small result as one pandas frame, back as a DataFrame over Arrow. A frame
+    over the row or byte bound of ``broadcast.fits`` is refused before it is fetched."""
+    from quarry.plans.broadcast import fits
+    if not fits(df, max_rows):
+        raise ValueError(f"small_pandas: more than {max_rows} rows, or over the byte bound")
+    return df.sparkSession.createDataFrame(fn(df.toPandas()), schema)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """Run ``fn(pandas.DataFrame) -> pandas.DataFrame`` on every Arrow batch of every
     partition (``mapInPandas``): no shuffle, batches of

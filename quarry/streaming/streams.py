@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -125,14 +128,21 @@ def click_then_purchase(clicks: DataFrame, purchases: DataFrame, within_minutes:
                         delay: str = "1 hour") -> DataFrame:
     """Stream-stream inner join: a click and a purchase of the same user with the
     purchase after the click, within ``within_minutes``. The time bound plus the
-    watermarks let Spark drop join state older than the bound."""
+    watermarks let Spark drop join state older than the bound.
+
+    The join key is (user, time bucket) with buckets as wide as the bound: a purchase can
+    only match a click of its own bucket or the one before, so each click goes to two
+    buckets, and a hot user's rows and state are spread over partitions."""
+    width = within_minutes * 60_000_000
     c = clicks.withWatermark("ts", delay).select(
         F.col("event_id").alias("click_id"), F.col("user_id").alias("c_user"),
-        F.col("ts").alias("click_ts"))
+        F.col("ts").alias("click_ts"), F.floor(F.unix_micros("ts") / width).alias("_b"))
+    c = c.select("click_id", "c_user", "click_ts", F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("c_bucket"))
     p = purchases.withWatermark("ts", delay).select(
         F.col("event_id").alias("purchase_id"), F.col("user_id").alias("p_user"),
-        F.col("ts").alias("purchase_ts"))
-    cond = ((F.col("c_user") == F.col("p_user")) & (F.col("purchase_ts") > F.col("click_ts")) &
+        F.col("ts").alias("purchase_ts"), F.floor(F.unix_micros("ts") / width).alias("p_bucket"))
+    cond = ((F.col("c_user") == F.col("p_user")) & (F.col("c_bucket") == F.col("p_bucket")) &
+            (F.col("purchase_ts") > F.col("click_ts")) &
             (F.col("purchase_ts") <= F.col("click_ts") + F.expr(f"INTERVAL {within_minutes} MINUTES")))
     return c.join(p, cond).select("click_id", "purchase_id", F.col("c_user").alias("user_id"),
                                   _ntz("click_ts").alias("click_ts"),
@@ -157,14 +167,16 @@ PARTIAL = StructType([StructField("user_id", LongType()), StructField("n", LongT
                       StructField("total", DoubleType())])
 
 
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch: one ``(user_id, n, total)`` row per user in the batch."""
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per Arrow batch: one ``(user_id, n, total)`` row per user in the batch. Grouped by
+    Arrow, which keeps 64-bit ids exact beside nulls (a null user is one group)."""
     for b in batches:
-        # dropna=False: a null user is one group, as in Spark's groupBy
-        g = (b.groupby("user_id", sort=False, dropna=False)["value"]
-              .agg(["size", "sum"]).reset_index())
-        yield pd.DataFrame({"user_id": g["user_id"].astype("Int64"),
-                            "n": g["size"].astype("int64"), "total": g["sum"].astype("float64")})
+        rows = pa.Table.from_batches([b])
+        ones = pa.array(np.ones(b.num_rows, dtype=np.int64))
+        value = pa.compute.coalesce(rows["value"], pa.scalar(0.0))
+        t = pa.table({"user_id": rows["user_id"], "n": ones, "total": value})
+        g = t.group_by("user_id").aggregate([("n", "sum"), ("total", "sum")])
+        yield from g.select(["user_id", "n_sum", "total_sum"]).rename_columns(["user_id", "n", "total"]).to_batches()
 
 
 def running_totals(events: DataFrame) -> DataFrame:
@@ -172,16 +184,39 @@ def running_totals(events: DataFrame) -> DataFrame:
     with ``applyInPandasWithState``; each batch emits the updated totals.
 
     The state operator hands all of a user's rows in a micro-batch to one call, so rows
-    are first folded inside every Arrow batch (``mapInPandas``: stateless, no shuffle)
+    are first folded inside every Arrow batch (``mapInArrow``: stateless, no shuffle)
     to one partial ``(n, total)`` per user; the state function adds the partials. A
     user with a third of all events then costs one row per batch, not all its rows.
     """
-    partial = events.select("user_id", "value").mapInPandas(_fold_batches, PARTIAL)
+    partial = events.select("user_id", "value").mapInArrow(_fold_batches, PARTIAL)
     return (partial.groupBy("user_id")
                    .applyInPandasWithState(_running, RUNNING_OUT, RUNNING_STATE, "append",
                                            GroupStateTimeout.NoTimeout))
 
 
+def closing_rows(events: DataFrame, after: str) -> DataFrame:
+    """One row without user and type, ``after`` the last event: read as a last batch, it
+    moves the watermark past every open window."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    return last.select(F.lit(None).cast("bigint").alias("event_id"), "ts", F.lit(None).cast("bigint").alias("user_id"),
+                       F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"),
+                       F.lit(None).cast("string").alias("props"))
+
+
+def run_steps(make: Callable[[], DataFrame], steps: list[Callable[[], None]], name: str) -> DataFrame:
+    """Run a stream to the end of its input once after each step (a step adds input), with
+    one checkpoint and one sink; return the sink."""
+    df = make()
+    spark = df.sparkSession
+    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
+    for step in steps:
+        step()
+        q = (make().writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+             .format("parquet").outputMode("append").start(out))
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def upsert_batches(df: DataFrame, out: str, ckpt: str,
                    prepare: Callable[[DataFrame], DataFrame]) -> None:
     """Write each micro-batch into ``out/batch_id=<id>`` with overwrite of that folder

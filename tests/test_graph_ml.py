@@ -53,7 +53,7 @@ def test_components_against_union_find(spark, shape):
     edges = {(min(a, b), max(a, b)) for a, b in pairs if a != b}
     v = spark.createDataFrame([(i,) for i in range(n)], "id long")
     e = spark.createDataFrame(sorted(edges), "src long, dst long")
-    got = {r["id"]: r["component"] for r in G.connected_components(v, e, max_rounds=40).collect()}
+    got = {r["id"]: r["component"] for r in G.connected_components(v, e).collect()}
     assert got == _union_find(n, edges)
 
 
