@@ -29,8 +29,8 @@ def q_stream_stateless(spark, sf):
   FROM events GROUP BY 1, 2
 """)
 def q_stream_tumbling(spark, sf):
-    out = S.run_to_parquet(S.tumbling_counts(_events(spark, sf)), "stream-tumbling", "complete")
-    return spark.read.parquet(out)
+    return S.run_updates(S.tumbling_counts(_events(spark, sf)), "stream-tumbling",
+                         ["window_start", "event_type"], "n")
 
 
 @job("stream_sliding", sql="""
@@ -40,8 +40,8 @@ def q_stream_tumbling(spark, sf):
   GROUP BY 1, 2
 """)
 def q_stream_sliding(spark, sf):
-    out = S.run_to_parquet(S.sliding_counts(_events(spark, sf)), "stream-sliding", "complete")
-    return spark.read.parquet(out)
+    return S.run_updates(S.sliding_counts(_events(spark, sf)), "stream-sliding",
+                         ["window_start", "event_type"], "n")
 
 
 _SESSIONS_SQL = """

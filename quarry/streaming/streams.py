@@ -31,8 +31,13 @@ EVENTS_SCHEMA = StructType([
     StructField("value", DoubleType()), StructField("props", StringType())])
 
 
+# Files a micro-batch reads at most, so that a backlog is worked off in batches of bounded
+# size instead of one.
+FILES_PER_BATCH = 1000
+
+
 def event_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet",
-                 files_per_batch: int | None = None) -> DataFrame:
+                 files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """``events`` as a stream; ``ts`` becomes a zoned timestamp because watermarks
     need one: the instant whose UTC wall-clock time is the stored naive time, so
     windows align to naive hours whatever the session time zone."""
@@ -217,14 +222,25 @@ def run_steps(make: Callable[[], DataFrame], steps: list[Callable[[], None]], na
     return spark.read.parquet(out)
 
 
+def run_updates(df: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:
+    """Run an aggregation to completion in update mode: each micro-batch writes only the
+    groups it changed (state behind the watermark is dropped, nothing is rewritten); the
+    result is each group's value of its last batch."""
+    spark = df.sparkSession
+    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
+    upsert_batches(df, out, ckpt, lambda batch: batch, "update")
+    log = spark.read.parquet(out)
+    return log.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+
+
 def upsert_batches(df: DataFrame, out: str, ckpt: str,
-                   prepare: Callable[[DataFrame], DataFrame]) -> None:
+                   prepare: Callable[[DataFrame], DataFrame], mode: str = "append") -> None:
     """Write each micro-batch into ``out/batch_id=<id>`` with overwrite of that folder
     only: a replayed batch replaces its own earlier attempt, so the sink is idempotent."""
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     q = (df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-           .foreachBatch(write).start())
+           .outputMode(mode).foreachBatch(write).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
