@@ -9,9 +9,9 @@ shuffles only the batch (the index is already bucketed), and what is new is appe
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one space.
 
 Edge cases: a null text counts as empty (all empty texts are one group); a null id sorts
-after every other id; of repeated rows with the same id and text one row stays; an empty
-batch adds nothing; extra columns are passed through by ``deduplicate`` whatever their
-names. Appending a batch again adds nothing and returns the same ids, so a job that lost
+after every other id; of repeated rows with the same id and text one stays (the least by its
+other columns); an empty batch adds nothing; extra columns are passed through by
+``deduplicate`` whatever their names. Appending a batch again adds nothing and returns the same ids, so a job that lost
 its driver between append and result can simply be run again.
 """
 
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import col
+from quarry.llm.frames import col, tie_break
 from quarry.session import materialize, scratch_path, shuffle_partitions
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -85,6 +85,9 @@ def resolve(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id",
     known = groups.join(held, "digest").select(
         "digest", held["keep_id"], "group_size", F.col("first.row").alias("first_row"),
         (held["keep_id"].eqNullSafe(F.col("batch_id"))).alias("own"))
+    # read from plain files, not from the bucketed index: both sides of the next join are
+    # then shuffled, and Spark can split the rows of a text with many copies
+    known = materialize(known, "digest-known")
     return (rows.join(known, "digest")
                 .select("id", "keep_id", "group_size",
                         (F.col("own") & (F.col("row") == F.col("first_row"))).alias("kept"), "digest"))
@@ -101,7 +104,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_ = F.col(r).getField(id_col)
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(r))
     packed = packed.select(digest(F.col(r).getField(text_col)).alias(d), r,
-                           F.struct(id_.isNull().alias("none"), id_.alias("id")).alias(k))
+                           F.struct(id_.isNull().alias("none"), id_.alias("id"),
+                                    tie_break(docs, r, (id_col, text_col)).alias("rest")).alias(k))
     kept = packed.groupBy(d).agg(F.min_by(r, k).alias(r))
     if index is not None:
         kept = materialize(kept.join(index.table().select(d).hint("merge"), d, "left_anti"), "dedup-new")

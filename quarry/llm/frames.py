@@ -22,6 +22,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def tie_break(df: DataFrame, packed: str, but: Iterable[str]) -> Column:
+    """A text that orders rows by their other columns (``packed`` is the struct of the row):
+    which of several rows with one id and text stays does not depend on the run."""
+    skip = set(but)
+    rest = [F.col(packed).getField(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in skip]
+    return F.to_json(F.struct(*rest)) if rest else F.lit("")
+
+
 def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """``mapInArrow``; ``make()`` runs once in each task and returns the batch function."""
     def run(batches):
