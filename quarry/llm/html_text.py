@@ -10,9 +10,9 @@
 3. Over all pages of the host, a block whose text is the same in its slot on at least half
    of the distinct pages (and on ``MIN_PAGES``) is template. A slot whose text is mostly
    links is a menu. What varies is content.
-4. A page's text is its content blocks outside structural boilerplate (navigation, page
-   headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers); if
-   the page has an ``article`` or ``main`` element, those inside it.
+4. A page's text is its content blocks; if the page has an ``article`` or ``main`` element,
+   those inside it. Structural boilerplate (navigation, page headers, footers, sidebars,
+   notices, adverts, forms, scripts, comments of readers) is left out when a page is read.
 
 Counts are aggregations over (host, slot, text), so a host with a third of all pages is
 spread over all tasks. Pages with the same blocks count once, so that a text copied over
@@ -26,7 +26,6 @@ goes; pages of any length are read whole.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Callable
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.frames import col, map_arrow
 from quarry.plans.broadcast import small_side
-from quarry.session import materialize
+from quarry.session import materialize, scratch_path
 
 MIN_PAGES, CONSTANT_SHARE, LINK_SHARE = 5, 0.5, 0.5
 
@@ -273,10 +272,9 @@ def slots(outline: list[tuple[int, str]], reference: list[tuple[int, str]]) -> l
 
 # -- jobs ----------------------------------------------------------------------
 
-_PARSED = ("row long, page_id long, url string, host string, outline string, page string, "
-           "blocks array<struct<node:int,text:string,links:int,dropped:boolean,main:boolean,hash:string>>")
-_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32()), ("dropped", pa.bool_()),
-                             ("main", pa.bool_()), ("hash", pa.string())]))
+_PARSED = ("page_id long, url string, host string, outline string, "
+           "blocks array<struct<node:int,text:string,links:int,main:boolean>>")
+_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32()), ("main", pa.bool_())]))
 
 
 def host_of(url: str | None) -> str:
@@ -284,30 +282,27 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _short(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-
-
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Each page's outline and its blocks outside structural boilerplate, written once (the
+    markup is not read again)."""
     def make() -> Callable:
         def fn(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                hosts, outlines, whole, blocks = [], [], [], []
-                for url, source in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                hosts, outlines, blocks = [], [], []
+                for url, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     page = Page(source or "")
-                    found = [{"node": n, "text": t, "links": k, "dropped": d, "main": m, "hash": _short(t)}
-                             for n, t, k, d, m in page.blocks]
                     hosts.append(host_of(url))
                     outlines.append(dump(page.outline))
-                    whole.append(_short("\n".join(b["hash"] for b in found)))
-                    blocks.append(found)
+                    blocks.append([{"node": n, "text": t, "links": k, "main": m} for n, t, k, dropped, m in page.blocks if not dropped])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(3)), pa.array(hosts), pa.array(outlines), pa.array(whole), pa.array(blocks, _BLOCK)],
-                    names=["row", "page_id", "url", "host", "outline", "page", "blocks"])
+                    [part.column(0), part.column(1), pa.array(hosts), pa.array(outlines), pa.array(blocks, _BLOCK)],
+                    names=["page_id", "url", "host", "outline", "blocks"])
         return fn
-    return map_arrow(pages.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("page_id"),
-                                  col(url_col).alias("url"), col(html_col).alias("html")), make, _PARSED)
+    spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "pages-parsed")
+    map_arrow(pages.select(col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html")),
+              make, _PARSED).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
 def align(parsed: DataFrame) -> DataFrame:
@@ -327,13 +322,14 @@ def align(parsed: DataFrame) -> DataFrame:
 
 def templates(placed: DataFrame) -> DataFrame:
     """(host, constant, menus): keys ``slot:hash`` of template blocks, and menu slots."""
+    placed = placed.select("host", "blocks", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"))
     n_pages = placed.groupBy("host", "page").count().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     blocks = placed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash"), F.length("b.text").alias("chars"), "b.links")
+        "host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("hash"), F.length("b.text").alias("chars"), "b.links")
     per_text = (blocks.groupBy("host", "slot", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot", "hash")
                       .agg(F.count(F.lit(1)).alias("n")))
     constant = (per_text.where(f"n >= {MIN_PAGES}").join(n_pages, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-                        .groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), "hash")).alias("constant")))
+                        .groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), F.col("hash").cast("string"))).alias("constant")))
     menus = (blocks.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
                    .where(F.col("links") > LINK_SHARE * F.col("chars"))
                    .groupBy("host").agg(F.collect_list("slot").alias("menus")))
@@ -342,20 +338,21 @@ def templates(placed: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``."""
-    parsed = materialize(parse(pages, id_col, url_col, html_col), "pages-parsed")
+    parsed = parse(pages, id_col, url_col, html_col)
     outlines = small_side(materialize(align(parsed), "outlines"), "outlines")
     placed = parsed.join(outlines, ["host", "outline"]).select(
-        "row", "page_id", "url", "host", "page",
+        "page_id", "url", "host",
         F.transform("blocks", lambda b: b.withField("slot", F.element_at("slots", b["node"] + 1))).alias("blocks"))
     template = small_side(materialize(templates(placed), "templates"), "templates")
     none = F.array().cast("array<string>")
     constant, menus = F.coalesce("constant", none), F.coalesce("menus", none)
 
     def varies(b):
-        return ~b["dropped"] & ~F.array_contains(menus, b["slot"]) & ~F.array_contains(constant, F.concat(b["slot"], F.lit(":"), b["hash"]))
+        key = F.concat(b["slot"], F.lit(":"), F.xxhash64(b["text"]).cast("string"))
+        return ~F.array_contains(menus, b["slot"]) & ~F.array_contains(constant, key)
 
     content = placed.join(template, "host", "left").select("page_id", "url", "blocks", F.filter("blocks", varies).alias("content"))
     inside = F.filter("content", lambda b: b["main"])
-    has_main = F.exists("blocks", lambda b: b["main"] & ~b["dropped"])
+    has_main = F.exists("blocks", lambda b: b["main"])
     text = F.array_join(F.transform(F.when(has_main, inside).otherwise(F.col("content")), lambda b: b["text"]), "\n")
     return content.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
