@@ -16,15 +16,25 @@ about K ln K points are made for a text of any length, besides one per shingle.
 band with probability 1 - (1 - 0.8**6)**32 = 0.99994.
 
 *Verification without all pairs.* Texts with the same shingles and weights are one node.
-In each bucket every node is compared with one leader; verified links are joined into
-classes. A pair of one class needs no further test. While the pairs of different classes
-left in shared buckets outnumber the bucket rows, each open bucket gets the node with the
-most links as leader (in a group of edited copies that is the text they were made from);
-then all pairs of different classes that are left are compared exactly. So every pair
-that shares a bucket is tested or is in one class already; nothing is capped.
+Verified links are joined into classes; a pair of one class needs no further test.
+
+1. In each bucket every node is compared with the least node.
+2. In each bucket that still holds several classes, the nodes of other classes are
+   compared with the node that has most links (in a group of edited copies that is the
+   text they were made from).
+3. Nodes of different classes that still share a bucket are held against each other by a
+   sketch: ``SKETCH`` further registers of four bits each, compared inside the join with a
+   few machine words. Pairs that agree in ``AGREE`` of them (4.5 standard deviations below
+   the mean at similarity 0.8, so a pair of that similarity is missed with probability
+   4e-6) come out and are compared exactly.
+
+No step is capped, and none emits all pairs of a bucket. (The third step looks at all pairs
+of different classes in a bucket, though only at their sketches: edited copies that are all
+a little below the threshold cannot be told apart by fewer buckets.)
 
 Edge cases: a null, empty or blank text has no shingles and is a class of its own; a null
-id sorts after all others; repeated rows are one class, of which one row is kept; an
+id sorts after all others; repeated rows are one class, of which one row is kept (the least
+by its other columns); an
 empty table gives an empty result; extra columns are ignored by ``classes`` and kept by
 ``deduplicate``, whatever their names.
 """
@@ -36,16 +46,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrowtext import Texts, mix, powers, texts, windows, word_hashes
-from quarry.llm.frames import col, map_arrow
+from quarry.llm.frames import col, map_arrow, tie_break
 from quarry.session import materialize
 
 WORDS, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
+SKETCH = 512
+# registers of four bits also agree by chance, once in sixteen
+AGREE = int(SKETCH * (MIN_SIMILARITY + (1 - MIN_SIMILARITY) / 16)
+            - 4.5 * (SKETCH * (MIN_SIMILARITY * 15 / 16 + 1 / 16) * (1 - MIN_SIMILARITY) * 15 / 16) ** 0.5)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _REGISTER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,6 +136,23 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(key + np.arange(1, bands + 1, dtype=np.uint64) * _REGISTER)
 
 
+def pack_sketch(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a 64-bit word."""
+    bits = mix(sig + np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * _REGISTER) & np.uint64(15)
+    parts = bits.reshape(len(sig), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(parts, axis=2)
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Registers in which two packed sketches agree."""
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        return F.bit_count(z)
+    return F.lit(SKETCH) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, d: n + d)
+
+
 def _bounds(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
@@ -151,8 +182,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bags(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, h, count): the weighted shingles of the nodes' texts as binary arrays
-    (``count`` empty if all are 1). One shuffle of the texts, copies folded first."""
+    """(node, h, count, sketch): the weighted shingles of the nodes' texts as binary arrays
+    (``count`` empty if all are 1) and ``SKETCH`` registers of four bits, sixteen to a long.
+    One shuffle of the texts, copies folded first."""
     def make() -> Callable:
         def fn(batch: pa.RecordBatch):
             for t in texts(batch.column(1)):
@@ -161,14 +193,18 @@ def bags(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
                 hs = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 cs = [count[a:b].tobytes() if b > a and count[a:b].max() > 1 else b""
                       for a, b in zip(at[:-1], at[1:], strict=True)]
+                sketch = pack_sketch(signatures(doc, h, count, t.n, SKETCH))
+                offs = np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(t.first, t.n), pa.array(hs, pa.binary()), pa.array(cs, pa.binary())],
-                    names=["node", "h", "count"])
+                    [batch.column(0).slice(t.first, t.n), pa.array(hs, pa.binary()), pa.array(cs, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(offs), pa.array(sketch.view(np.int64).ravel()))],
+                    names=["node", "h", "count", "sketch"])
         return fn
     text = F.coalesce(col(text_col), F.lit(""))
     whole = (docs.select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"), text.alias("text"))
                  .groupBy("text_key").agg(F.first("text").alias("text")))
-    return map_arrow(whole.join(nodes, "text_key").select("node", "text"), make, "node long, h binary, count binary")
+    return map_arrow(whole.join(nodes, "text_key").select("node", "text"), make,
+                     "node long, h binary, count binary, sketch array<long>")
 
 
 def similarity(ha: np.ndarray, ca: np.ndarray | None, hb: np.ndarray, cb: np.ndarray | None) -> float:
@@ -219,66 +255,72 @@ def components(links: DataFrame) -> DataFrame:
     """(node, class) of the nodes with links: least node of the component. Each round
     takes the least label of the neighbours, then the label of that label; it runs until
     nothing changes."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "edges")
+    edges = materialize(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                                                       F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
+                             .select("e.u", "e.v"), "edges")
     label = materialize(edges.groupBy("u").agg(F.min("v").alias("v")).select(
         F.col("u").alias("node"), F.least("u", "v").alias("class")), "labels")
     while True:
-        heard = (edges.join(label, edges["v"] == label["node"]).groupBy("u").agg(F.min("class").alias("heard")))
-        near = label.join(heard, label["node"] == heard["u"]).select(
-            "node", F.col("class").alias("old"), F.least("class", "heard").alias("class"))
+        # own label and those of the neighbours, in one aggregation
+        heard = edges.join(label, edges["v"] == label["node"]).select(F.col("u").alias("node"), "class", F.lit(None).cast("long").alias("old"))
+        own = label.select("node", "class", F.col("class").alias("old"))
+        near = own.unionByName(heard).groupBy("node").agg(F.min("class").alias("class"), F.max("old").alias("old"))
         jump = label.select(F.col("node").alias("class"), F.col("class").alias("far"))
         new = materialize(near.join(jump, "class").select("node", "old", F.least("class", "far").alias("class")), "labels")
-        if new.where(F.col("old") != F.col("class")).isEmpty():
-            return new.select("node", "class")
         label = new.select("node", "class")
+        if new.where(F.col("old") != F.col("class")).isEmpty():
+            return label
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of pairs (x, y)."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
+def _open(members: DataFrame, classes_: DataFrame) -> DataFrame:
+    """(key, node, class) of the members of buckets that hold several classes."""
+    held = members.join(classes_, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+    mixed = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    return held.join(mixed.select("key"), "key")
 
-def link_classes(members: DataFrame, bag: DataFrame) -> DataFrame | None:
+
+def hub_pairs(held: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, y): the node of each bucket with most links, and its nodes of other classes."""
+    degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    ranked = held.join(degree, "node", "left").select(
+        "key", "node", "class", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("order"),
+                                         F.col("class").alias("of")).alias("rank"))
+    hub = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
+    return ranked.join(hub, "key").where(F.col("class") != F.col("hub.of")).select(
+        (-F.col("hub.order")).alias("x"), F.col("node").alias("y"))
+
+
+def sketch_pairs(held: DataFrame, bag: DataFrame) -> DataFrame:
+    """(x, y): nodes of different classes in one bucket whose sketches agree."""
+    rows = held.join(bag.select("node", "sketch"), "node")
+    x = rows.select("key", F.col("node").alias("x"), F.col("class").alias("of_x"), F.col("sketch").alias("sx"))
+    y = rows.select("key", F.col("node").alias("y"), F.col("class").alias("of_y"), F.col("sketch").alias("sy"))
+    near = (F.col("of_x") < F.col("of_y")) & (agreement(F.col("sx"), F.col("sy")) >= AGREE)
+    return x.join(y, (x["key"] == y["key"]) & near).select("x", "y")
+
+
+def link_classes(members: DataFrame, bag: DataFrame) -> DataFrame:
     """(node, class) of linked nodes, from bucket members (key, node, leader)."""
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    pairs = materialize(members.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y"))
-                        .select(*ordered).distinct(), "pairs")
-    tested, links = pairs, materialize(compare(pairs, bag), "links")
-    n_members = members.count()
-    while True:
-        linked = None if links.isEmpty() else components(links)
-        if linked is None:
-            held = members.select("key", "node", F.col("node").alias("class"))
-        else:
-            held = members.join(linked, "node", "left").select(
-                "key", "node", F.coalesce("class", "node").alias("class"))
-        held = materialize(held, "held")
-        per_class = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-        per_key = per_class.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_ = materialize(per_key.where("n * n > same").select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("left")), "open")
-        left = open_.agg(F.sum("left")).first()[0] or 0
-        if not left:
-            return linked
-        held = held.join(open_.select("key"), "key")
-        last = left <= 2 * n_members
-        if not last:
-            degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-                           .agg(F.count(F.lit(1)).alias("degree")))
-            ranked = held.join(degree, "node", "left").select(
-                "key", "node", "class", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("order"),
-                                                 "node", "class").alias("rank"))
-            hub = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
-            new = ranked.join(hub, "key").where(F.col("class") != F.col("hub.class")).select(
-                F.col("hub.node").alias("x"), F.col("node").alias("y"))
-        else:
-            other = held.select("key", F.col("node").alias("y"), F.col("class").alias("y_class"))
-            new = held.withColumnRenamed("node", "x").join(other, "key").where("x < y AND class <> y_class").select("x", "y")
-        new = materialize(new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if last:
-                return linked
-            n_members = left  # the leaders have nothing new to offer: compare what is left
-            continue
-        tested = tested.union(new)
+    star = members.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y"))
+    tested = materialize(_ordered(star), "pairs")
+    links = materialize(compare(tested, bag), "links")
+    linked = components(links)
+    for find in (lambda held: hub_pairs(held, links), lambda held: sketch_pairs(held, bag)):
+        held = materialize(_open(members, linked), "open")
+        if held.isEmpty():
+            break
+        new = materialize(_ordered(find(held)).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(compare(new, bag), "links")
-        links = links.union(found)
-        if last:
-            return linked if links.isEmpty() else components(links)
+        if not found.isEmpty():
+            links = links.union(found)
+            linked = components(links)
+        tested = tested.union(new)
+    return linked
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,15 +333,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = materialize(keyed.join(shared.select("key", "leader"), "key"), "members")
-    linked = None
-    if not members.isEmpty():
-        candidates = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-        linked = link_classes(members, materialize(bags(candidates, docs, text_col), "bags"))
-    node_of = nodes.select("bag", "node")
-    if linked is not None:
-        node_of = node_of.join(linked, "node", "left").select("bag", F.coalesce("class", "node").alias("class"))
-    else:
-        node_of = node_of.select("bag", F.col("node").alias("class"))
+    candidates = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    linked = link_classes(members, materialize(bags(candidates, docs, text_col), "bags"))
+    node_of = nodes.select("bag", "node").join(linked, "node", "left").select("bag", F.coalesce("class", "node").alias("class"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     placed = rows.select("row", "doc_id", "text_key", "bag").join(node_of, "bag", "left")
     placed = materialize(placed.select("row", "doc_id", "text_key", "class"), "placed")
@@ -320,5 +356,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.unhex(F.md5(F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8")))
     packed = docs.select(name(col(id_col).cast("bigint"), key).alias("k"),
                          F.struct(*[col(c) for c in docs.columns]).alias("doc"))
-    one = packed.join(kept, "k", "left_semi").groupBy("k").agg(F.first("doc").alias("doc"))
+    one = packed.join(kept, "k", "left_semi").groupBy("k").agg(
+        F.min_by("doc", tie_break(docs, "doc", (id_col, text_col))).alias("doc"))
     return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
