@@ -36,11 +36,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 LEVEL = 3
 CHUNK_BYTES = 1024
-# (texts of at least so many bytes, lowest ratio, highest ratio)
-BANDS = ((0, 0.0, 9.9), (100, 0.45, 1.05), (200, 0.51, 0.92), (400, 0.50, 0.83), (800, 0.468, 0.78),
-         (1600, 0.452, 0.74), (3200, 0.425, 0.72), (6400, 0.408, 0.70), (12800, 0.395, 0.70),
-         (25600, 0.385, 0.70), (51200, 0.375, 0.70), (204800, 0.33, 0.70))
-CHUNK_BAND = (0.42, 0.80)
+# (texts of at least so many bytes, lowest ratio, highest ratio). Ordinary prose, lists and
+# code of any length stay above the low limits; only repetition goes below.
+BANDS = ((0, 0.0, 9.9), (100, 0.45, 1.05), (200, 0.28, 0.92), (400, 0.22, 0.83), (800, 0.17, 0.78),
+         (1600, 0.15, 0.74), (3200, 0.14, 0.72), (6400, 0.14, 0.70))
+CHUNK_BAND = (0.15, 0.80)
 MAX_BAD_CHUNKS = 0.25
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

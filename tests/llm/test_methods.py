@@ -1,7 +1,10 @@
 """The array kernels against plain versions (no Spark)."""
 
 import itertools
+import os
+import pathlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +57,29 @@ def test_compression_bands():
     assert [quality.band(n)[0] for n in (0, 99, 100, 1 << 30)] == [0.0, 0.0, 0.45, 0.33]
 
 
+def in_bands(raw, z):
+    ratio, n, bad = quality.compression(raw, z)
+    low, high = quality.band(len(raw))
+    return low <= ratio <= high and bad <= quality.MAX_BAD_CHUNKS * n
+
+
+def test_bands_keep_real_text():
+    """Source code, prose and lists pass at every length; repetition of any length fails."""
+    z = zstandard.ZstdCompressor(level=quality.LEVEL)
+    code = [p.read_bytes() for p in pathlib.Path(os.__file__).parent.glob("*.py")]
+    prose = [p.read_bytes() for p in pathlib.Path(__file__).parents[2].glob("*.md")]
+    names = sorted(set(re.findall(rb"[A-Za-z_]{3,}", b" ".join(code))))
+    lists = [b"\n".join(b"- " + w for w in names), b"\n".join(b"%d. %s" % x for x in enumerate(names))]
+    assert all(in_bands(t, z) for t in prose + lists)
+    long = [t for t in code if len(t) >= 1024]
+    assert sum(in_bands(t, z) for t in long) >= 0.97 * len(long)
+    for n in (400, 800, 1600, 6400, 25600):
+        cut = [t[:n] for t in prose + code + lists if len(t) >= n]
+        assert sum(in_bands(t, z) for t in cut) >= 0.97 * len(cut), n
+        assert not in_bands((b"the same line again\n" * n)[:n], z)
+
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), TEXT, st.text(max_size=20)), max_size=5))
 def test_ids_are_the_tokenizers(xs):
