@@ -8,11 +8,15 @@
    nodes are one *slot* of the wrapper, unmatched ones are slots of their own. Outlines
    are few, so this is done once per distinct outline, not per page.
 3. Over all pages of the host, a block whose text is the same in its slot on at least half
-   of the distinct pages (and on ``MIN_PAGES``) is template. A slot whose text is mostly
-   links is a menu. What varies is content.
+   of the distinct pages (and on ``MIN_PAGES``) is template. What varies is content.
 4. A page's text is its content blocks; if the page has an ``article`` or ``main`` element,
-   those inside it. Structural boilerplate (navigation, page headers, footers, sidebars,
-   notices, adverts, forms, scripts, comments of readers) is left out when a page is read.
+   those inside it, otherwise those that are not mostly links. Structural boilerplate
+   (navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, comments
+   of readers) is left out when a page is read, by the fixed lists of tags, roles and names
+   below.
+5. A name is a whole class or id. It never counts around the main text: not on ``main``, not
+   around the only ``article`` text of a page, and not on an element that holds
+   ``AROUND_SHARE`` of the varying text of its host.
 
 Counts are aggregations over (host, slot, text), so a host with a third of all pages is
 spread over all tasks. Pages with the same blocks count once, so that a text copied over
@@ -38,7 +42,7 @@ from quarry.llm.frames import col, map_arrow
 from quarry.plans.broadcast import small_side
 from quarry.session import materialize, scratch_path
 
-MIN_PAGES, CONSTANT_SHARE, LINK_SHARE = 5, 0.5, 0.5
+MIN_PAGES, CONSTANT_SHARE, LINK_SHARE, AROUND_SHARE = 5, 0.5, 0.5, 0.9
 
 # Element kinds of HTML, and names that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,8 +54,16 @@ DROP_TAGS = set("head nav footer aside form button select option menu dialog nos
 DROP_NAMES = set("""nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts
 advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert
 popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment
-comments reply replies respond disqus discussion pagination pager widget toolbar copyright skip""".split())
-HEAD_NAMES = set("header masthead topbar".split())
+comments reply replies respond disqus discussion pagination pager widget toolbar copyright skip
+main-nav main-menu main-navigation site-nav site-navigation nav-bar nav-menu nav-links navigation-menu top-nav side-nav
+side-bar site-footer page-footer footer-links footer-nav ad-banner ad-container ad-slot cookie-notice cookie-banner
+cookie-consent cookie-bar cookie-popup gdpr-banner consent-banner site-notice newsletter-signup newsletter-form signup-form
+subscribe-form login-form share-buttons share-bar share-links social-links social-share social-media social-icons
+related-posts related-articles related-links recommended-posts comment-list comment-form comments-area comments-section
+comment-section post-comments disqus-thread skip-link skip-links""".split())
+HEAD_NAMES = set("header masthead topbar site-header page-header top-bar".split())
+READER_NAMES = set("""comment comments reply replies respond disqus discussion comment-list comment-form comments-area
+comments-section comment-section post-comments disqus-thread""".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 
 # a start tag of one of these closes an open element of the set
@@ -75,14 +87,18 @@ class _Node:
 
 class Page:
     """``outline``: (depth, label) of each node in preorder of first appearance;
-    ``blocks``: (node, text, characters in links, is boilerplate, is in the main part)."""
+    ``blocks``: (node, text, characters in links, is boilerplate, is in the main part);
+    ``around``: for each block that only a name makes boilerplate and that may yet be main
+    text on its host, the outermost node with the name, otherwise -1."""
 
     def __init__(self, source: str):
         self.nodes: list[_Node] = []
         self.blocks: list[tuple[int, str, int, bool, bool]] = []
         root = self._node(None, "#root")
-        # open elements: (tag, node, boilerplate, in the main part)
-        self._stack: list[tuple[str, _Node, bool, bool]] = [("#root", root, False, False)]
+        self.around: list[int] = []
+        self._reader: set[int] = set()
+        # open elements: (tag, node, boilerplate, in the main part, outermost node with a name of boilerplate)
+        self._stack: list[tuple[str, _Node, bool, bool, int]] = [("#root", root, False, False, -1)]
         self._text: list[str] = []
         self._links = self._in_link = 0
         self._read(source)
@@ -104,16 +120,38 @@ class Page:
             node = todo.pop()
             order.append(node)
             todo += reversed(node.children.values())
-        place = {node.number: i for i, node in enumerate(order)}
+        place = {node.number: i for i, node in enumerate(order)} | {-1: -1}
+        self._judge()
         self.blocks = [(place[b[0]], *b[1:]) for b in self.blocks]
+        self.around = [place[a] for a in self.around]
         self.outline = [(node.depth, node.label) for node in order]
 
+    def _judge(self) -> None:
+        """Boilerplate by name: not the only article text of the page, if that is longer than
+        what stands outside such names (an article of a reader's comment is never that). A
+        page without an article leaves it to its host."""
+        inside = [(a, main and not drop, len(text) - links) for (_, text, links, drop, main), a in zip(self.blocks, self.around, strict=True)]
+        has_main = any(main and a < 0 for a, main, _ in inside)
+        rest = sum(n for (a, _, n), b in zip(inside, self.blocks, strict=True) if a < 0 and not b[3])
+        lifted = [main and a not in self._reader for a, main, _ in inside]
+        lift = not has_main and sum(n for (_, _, n), x in zip(inside, lifted, strict=True) if x) > rest
+        for i, (node, text, links, drop, main) in enumerate(self.blocks):
+            a = self.around[i]
+            if a >= 0 and not drop:
+                if lift and lifted[i]:
+                    self.around[i] = -1
+                elif has_main or lift or main:
+                    self.blocks[i] = (node, text, links, True, main)
+            if self.blocks[i][3]:
+                self.around[i] = -1
+
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                _, node, drop, main = self._stack[-1]
+                _, node, drop, main, around = self._stack[-1]
                 self.blocks.append((node.number, text, min(self._links, len(text)), drop, main))
+                self.around.append(around)
             self._text, self._links = [], 0
 
     def _say(self, raw: str) -> None:
@@ -160,23 +198,29 @@ class Page:
             self._pop_open({"p"}, BLOCK - {"p"})
         if tag in CLOSES:
             self._pop_open(CLOSES[tag], SCOPES)
-        _, parent, drop, main = self._stack[-1]
-        names, label = (), tag
+        _, parent, drop, main, around = self._stack[-1]
+        names, label, role = set(), tag, ""
         if attrs and "=" in attrs or "hidden" in attrs:
             found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
             own = f"{found.get('class', '')} {found.get('id', '')}".lower()
-            names = _NAME.findall(own)
-            label = f"{tag}.{'.'.join(dict.fromkeys(names))}" if names else tag
+            names = set(own.replace("_", "-").split())
+            runs = _NAME.findall(own)
+            label = f"{tag}.{'.'.join(dict.fromkeys(runs))}" if runs else tag
             role = found.get("role", "").lower()
             drop = drop or role in DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(
                 re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE))
             main = main or role == "main"
         if tag in ("article", "main") and not drop:
             main = True
+        node = self._node(parent, label)
         if tag not in ("html", "body"):
-            drop = drop or tag in DROP_TAGS or any(x in DROP_NAMES for x in names)
-            drop = drop or not main and (tag == "header" or any(x in HEAD_NAMES for x in names))
-        self._stack.append((tag, self._node(parent, label), drop, main))
+            drop = drop or tag in DROP_TAGS or not main and tag == "header"
+            named = names & DROP_NAMES or not main and names & HEAD_NAMES
+            if named and around < 0 and tag != "main" and role != "main":
+                around = node.number
+                if names & READER_NAMES:
+                    self._reader.add(around)
+        self._stack.append((tag, node, drop, main, around))
 
     def _pop_open(self, tags: set, scope: set) -> None:
         """Close the innermost open element of ``tags``, unless one of ``scope`` is inside."""
@@ -273,8 +317,9 @@ def slots(outline: list[tuple[int, str]], reference: list[tuple[int, str]]) -> l
 # -- jobs ----------------------------------------------------------------------
 
 _PARSED = ("page_id long, url string, host string, outline string, "
-           "blocks array<struct<node:int,text:string,links:int,main:boolean>>")
-_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32()), ("main", pa.bool_())]))
+           "blocks array<struct<node:int,text:string,links:int,main:boolean,around:int>>")
+_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32()), ("main", pa.bool_()),
+                            ("around", pa.int32())]))
 
 
 def host_of(url: str | None) -> str:
@@ -294,7 +339,8 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                     page = Page(source or "")
                     hosts.append(host_of(url))
                     outlines.append(dump(page.outline))
-                    blocks.append([{"node": n, "text": t, "links": k, "main": m} for n, t, k, dropped, m in page.blocks if not dropped])
+                    blocks.append([{"node": n, "text": t, "links": k, "main": m, "around": a}
+                                   for (n, t, k, dropped, m), a in zip(page.blocks, page.around, strict=True) if not dropped])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(hosts), pa.array(outlines), pa.array(blocks, _BLOCK)],
                     names=["page_id", "url", "host", "outline", "blocks"])
@@ -321,19 +367,26 @@ def align(parsed: DataFrame) -> DataFrame:
 
 
 def templates(placed: DataFrame) -> DataFrame:
-    """(host, constant, menus): keys ``slot:hash`` of template blocks, and menu slots."""
+    """(host, constant, around): keys ``slot:hash`` of template blocks, and the slots of
+    elements whose name does not count, as they hold the main text of the host."""
     placed = placed.select("host", "blocks", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"))
     n_pages = placed.groupBy("host", "page").count().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     blocks = placed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("hash"), F.length("b.text").alias("chars"), "b.links")
+        "host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("hash"), F.col("b.around").alias("around"),
+        F.when(F.col("b.links") <= LINK_SHARE * F.length("b.text"), F.length("b.text")).otherwise(0).alias("chars"))
     per_text = (blocks.groupBy("host", "slot", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot", "hash")
                       .agg(F.count(F.lit(1)).alias("n")))
-    constant = (per_text.where(f"n >= {MIN_PAGES}").join(n_pages, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-                        .groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), F.col("hash").cast("string"))).alias("constant")))
-    menus = (blocks.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-                   .where(F.col("links") > LINK_SHARE * F.col("chars"))
-                   .groupBy("host").agg(F.collect_list("slot").alias("menus")))
-    return constant.join(menus, "host", "full")
+    keys = per_text.where(f"n >= {MIN_PAGES}").join(n_pages, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    constant = keys.groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), F.col("hash").cast("string"))).alias("constant"))
+    # only hosts with named elements whose pages have no article
+    named = blocks.where("around IS NOT NULL").select("host").distinct()
+    varying = (blocks.join(named, "host", "left_semi").groupBy("host", "around", "slot", "hash").agg(F.sum("chars").alias("chars"))
+                     .join(keys.select("host", "slot", "hash"), ["host", "slot", "hash"], "left_anti")
+                     .groupBy("host", "around").agg(F.sum("chars").alias("chars")))
+    around = (varying.groupBy("host").agg(F.max_by("around", F.struct("chars", "around")).alias("around"), F.max("chars").alias("most"), F.sum("chars").alias("chars"))
+                     .where(F.col("around").isNotNull() & (F.col("most") > 0) & (F.col("most") >= AROUND_SHARE * F.col("chars")))
+                     .select("host", "around"))
+    return constant.join(around, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -342,16 +395,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     outlines = small_side(materialize(align(parsed), "outlines"), "outlines")
     placed = parsed.join(outlines, ["host", "outline"]).select(
         "page_id", "url", "host",
-        F.transform("blocks", lambda b: b.withField("slot", F.element_at("slots", b["node"] + 1))).alias("blocks"))
+        F.transform("blocks", lambda b: b.withField("slot", F.element_at("slots", b["node"] + 1))
+                    .withField("around", F.when(b["around"] >= 0, F.get("slots", b["around"])))).alias("blocks"))
     template = small_side(materialize(templates(placed), "templates"), "templates")
     none = F.array().cast("array<string>")
-    constant, menus = F.coalesce("constant", none), F.coalesce("menus", none)
+    constant = F.coalesce("constant", none)
 
     def varies(b):
         key = F.concat(b["slot"], F.lit(":"), F.xxhash64(b["text"]).cast("string"))
-        return ~F.array_contains(menus, b["slot"]) & ~F.array_contains(constant, key)
+        linked = ~b["main"] & (b["links"] > LINK_SHARE * F.length(b["text"]))
+        named = b["around"].isNotNull() & ~F.coalesce(b["around"] == F.col("kept_around"), F.lit(False))
+        return ~linked & ~named & ~F.array_contains(constant, key)
 
-    content = placed.join(template, "host", "left").select("page_id", "url", "blocks", F.filter("blocks", varies).alias("content"))
+    content = placed.join(template.withColumnRenamed("around", "kept_around"), "host", "left").select("page_id", "url", "blocks", F.filter("blocks", varies).alias("content"))
     inside = F.filter("content", lambda b: b["main"])
     has_main = F.exists("blocks", lambda b: b["main"])
     text = F.array_join(F.transform(F.when(has_main, inside).otherwise(F.col("content")), lambda b: b["text"]), "\n")

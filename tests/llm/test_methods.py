@@ -280,3 +280,18 @@ def test_sketches_tell_similar_from_less_similar():
             n += agree >= AGREE
         found[share] = n
     assert found == {0.9: 60, 0.6: 0}
+
+
+def kept(source):
+    page = html_text.Page(source)
+    return [t for (_, t, _, dropped, _), a in zip(page.blocks, page.around, strict=True) if not dropped and a < 0]
+
+
+def test_names_are_whole_classes_and_never_around_the_main_text():
+    for own in ('class="layout no-sidebar"', 'class="post has-comments"', 'class="share-enabled"', 'id="page-alert"', 'class="content with-banner"'):
+        assert kept(f"<div {own}><p>text</p></div>") == ["text"]
+        assert kept(f"<article {own}><p>text</p><div class=comments>reader</div></article>") == ["text"]
+    assert kept('<div class="x sidebar"><p>menu</p><article><p>the main text</p></article></div>') == ["the main text"]
+    assert kept('<main class="banner"><p>a</p><div class="x share">b</div></main><div class=sidebar><article>c</article></div>') == ["a"]
+    assert kept('<p>post</p><div class=comments><article>a comment longer than the post</article></div>') == ["post"]
+    assert kept('<div class="site_footer cookie-notice">x</div>') == []

@@ -288,3 +288,14 @@ def test_pipeline_against_brute_force(spark):
     assert {i for i, _ in mixed} <= want and len(mixed) > len(want) / 2
     pieces = corpus_pipeline.run(spark, path).collect()
     check_pieces(pieces, mixed, 4096)
+
+
+def test_links_are_judged_per_block_and_names_per_host(spark):
+    rows = [(i, f"https://a.example.com/{i}", "<article><ul>" + "".join(f"<li><a href=x>linked {i} {k}</a>" for k in range(9)) + f"<li>plain {i}</ul></article>")
+            for i in range(8)]
+    rows += [(20 + i, f"https://b.example.com/{i}", f"<ul><li><a href=x>a long menu entry {i}</a><li>plain {i}</ul>") for i in range(8)]
+    rows += [(40 + i, f"https://c.example.com/{i}", f"<div class='x widget'><p>Story {i} of the day, all in one box.</p></div>") for i in range(8)]
+    rows += [(60 + i, f"https://d.example.com/{i}", f"<p>Story {i} of the day.</p><div class=widget><p>box {i}</p></div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n".join([*(f"linked 1 {k}" for k in range(9)), "plain 1"]) and got[21] == "plain 1"
+    assert got[41] == "Story 1 of the day, all in one box." and got[61] == "Story 1 of the day."
