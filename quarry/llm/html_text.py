@@ -8,7 +8,7 @@
    nodes are one *slot* of the wrapper, unmatched ones are slots of their own. Outlines
    are few, so this is done once per distinct outline, not per page.
 3. Over all pages of the host, a block whose text is the same in its slot on at least half
-   of the distinct pages (and on ``MIN_PAGES``) is template. What varies is content.
+   of the distinct pages that have the slot (and on ``MIN_PAGES``) is template. What varies is content.
 4. A page's text is its content blocks; if the page has an ``article`` or ``main`` element,
    those inside it, otherwise those that are not mostly links. Structural boilerplate
    (navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, comments
@@ -370,13 +370,14 @@ def templates(placed: DataFrame) -> DataFrame:
     """(host, constant, around): keys ``slot:hash`` of template blocks, and the slots of
     elements whose name does not count, as they hold the main text of the host."""
     placed = placed.select("host", "blocks", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"))
-    n_pages = placed.groupBy("host", "page").count().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     blocks = placed.select("host", "page", F.explode("blocks").alias("b")).select(
         "host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("hash"), F.col("b.around").alias("around"),
         F.when(F.col("b.links") <= LINK_SHARE * F.length("b.text"), F.length("b.text")).otherwise(0).alias("chars"))
     per_text = (blocks.groupBy("host", "slot", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot", "hash")
                       .agg(F.count(F.lit(1)).alias("n")))
-    keys = per_text.where(f"n >= {MIN_PAGES}").join(n_pages, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    # a host may have several layouts: the share is of the pages that have the slot
+    n_pages = blocks.groupBy("host", "slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
+    keys = per_text.where(f"n >= {MIN_PAGES}").join(n_pages, ["host", "slot"]).where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
     constant = keys.groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), F.col("hash").cast("string"))).alias("constant"))
     # only hosts with named elements whose pages have no article
     named = blocks.where("around IS NOT NULL").select("host").distinct()

@@ -299,3 +299,10 @@ def test_links_are_judged_per_block_and_names_per_host(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "\n".join([*(f"linked 1 {k}" for k in range(9)), "plain 1"]) and got[21] == "plain 1"
     assert got[41] == "Story 1 of the day, all in one box." and got[61] == "Story 1 of the day."
+
+
+def test_constant_blocks_of_a_host_with_several_layouts(spark):
+    rows = [(10 * k + i, url and f"{url}/{k}/{i}", f'<div class="{name}"><div class="top-{name}">All about {name}</div><p>{name} story {i}.</p></div>')
+            for url in ("https://h.example.com", None) for k, name in enumerate(("news", "shop", "help"), 0 if url else 5) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[10 * k + i] == f"{name} story {i}." for j in (0, 5) for k, name in enumerate(("news", "shop", "help"), j) for i in range(8))
