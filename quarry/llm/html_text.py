@@ -25,11 +25,12 @@ many pages of a host is not taken for template.
 Edge cases: a null or empty page has no text; a null url is a host of its own; repeated
 rows give equal rows; a null page id is kept; an empty table gives an empty result; extra
 columns are ignored, whatever their names; broken and cut-off markup is read as far as it
-goes; pages of any length are read whole.
+goes, nested to any depth; pages of any length are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Callable
@@ -261,24 +262,24 @@ def match_trees(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> dict[int,
     """Simple tree matching: the largest mapping of nodes of ``a`` to nodes of ``b`` that
     keeps labels, parents and the order of siblings."""
     ca, cb = _tree(a), _tree(b)
-    memo: dict[tuple[int, int], int] = {}
+    weight: dict[tuple[int, int], int] = {}
 
     def table(i: int, j: int) -> list[list[int]]:
         x, y = ca[i], cb[j]
         m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for p in range(1, len(x) + 1):
             for q in range(1, len(y) + 1):
-                m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + weight(x[p - 1], y[q - 1]))
+                m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + weight.get((x[p - 1], y[q - 1]), 0))
         return m
 
-    def weight(i: int, j: int) -> int:
-        if a[i][1] != b[j][1]:
-            return 0
-        if (i, j) not in memo:
-            memo[i, j] = 1 + table(i, j)[-1][-1]
-        return memo[i, j]
+    # pairs of equal depth and label below pairs of such, parents first; filled from the bottom
+    pairs = [(0, 0)] if a and b and a[0][1] == b[0][1] else []
+    for i, j in pairs:
+        pairs += [(x, y) for x in ca[i] for y in cb[j] if a[x][1] == b[y][1]]
+    for i, j in reversed(pairs):
+        weight[i, j] = 1 + table(i, j)[-1][-1]
 
-    found, todo = {}, [(0, 0)] if a and b and a[0][1] == b[0][1] else []
+    found, todo = {}, pairs[:1]
     while todo:
         i, j = todo.pop()
         found[i] = j
@@ -304,13 +305,14 @@ def load(text: str) -> list[tuple[int, str]]:
 
 
 def slots(outline: list[tuple[int, str]], reference: list[tuple[int, str]]) -> list[str]:
-    """The slot of every node: the number of its match in the reference, or its path."""
+    """The slot of every node: the number of its match in the reference, or a digest of its
+    path (of fixed length, however deep the node is)."""
     found = match_trees(outline, reference)
     path, out = [], []
     for i, (depth, label) in enumerate(outline):
         del path[depth:]
-        path.append(label)
-        out.append(str(found[i]) if i in found else "/".join(path))
+        path.append(hashlib.blake2b((path[-1] if path else b"") + label.encode("utf-8", "surrogatepass"), digest_size=12).digest())
+        out.append(str(found[i]) if i in found else path[-1].hex())
     return out
 
 

@@ -137,3 +137,10 @@ def test_html(spark):
 @pytest.mark.parametrize("fn", [exact_dedup.deduplicate, near_dedup.deduplicate, quality.keep])
 def test_filters_keep_the_schema(spark, fn):
     assert [(f.name, f.dataType) for f in fn(edge_docs(spark)).schema] == [(f.name, f.dataType) for f in edge_docs(spark).schema]
+
+
+def test_deep_html(spark):
+    deep = "<div>" * 3000 + "<p>deep "
+    rows = [(i, "http://h.example.com/", (deep if i < 3 else "<blockquote>" * 3000) + f"text {i}") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("deep " if i < 3 else "") + f"text {i}" for i in range(5)}

@@ -295,3 +295,13 @@ def test_names_are_whole_classes_and_never_around_the_main_text():
     assert kept('<main class="banner"><p>a</p><div class="x share">b</div></main><div class=sidebar><article>c</article></div>') == ["a"]
     assert kept('<p>post</p><div class=comments><article>a comment longer than the post</article></div>') == ["post"]
     assert kept('<div class="site_footer cookie-notice">x</div>') == []
+
+
+def test_deep_pages_are_matched():
+    for tag in ("div", "blockquote"):
+        a = html_text.Page("<html><body>" + f"<{tag}>" * 5000 + "text")
+        b = html_text.Page("<html><body>" + f"<{tag}>" * 4000 + "<ul><li>other" + f"<{tag} class=x>" * 3000 + "end")
+        assert len(html_text.match_trees(a.outline, a.outline)) == len(a.outline)
+        assert len(html_text.match_trees(b.outline, a.outline)) == 4003
+        assert len("".join(html_text.slots(b.outline, a.outline))) < 30 * len(b.outline)
+        assert [t for _, t, *_ in a.blocks] == ["text"] and [t for _, t, *_ in b.blocks] == ["other", "end"]
