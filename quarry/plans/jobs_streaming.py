@@ -15,6 +15,10 @@ def _events(spark, sf):
     return S.event_stream(spark, sf, glob="events.parquet")
 
 
+def _delay(spark, sf):
+    return f"{S.replay_seconds(table(spark, sf, 'events'))} seconds"
+
+
 @job("stream_stateless", sql="""
   SELECT event_id, user_id, ts, event_type, value FROM events
   WHERE event_type IN ('purchase', 'error')
@@ -29,7 +33,7 @@ def q_stream_stateless(spark, sf):
   FROM events GROUP BY 1, 2
 """)
 def q_stream_tumbling(spark, sf):
-    return S.run_updates(S.tumbling_counts(_events(spark, sf)), "stream-tumbling",
+    return S.run_updates(S.tumbling_counts(_events(spark, sf), delay=_delay(spark, sf)), "stream-tumbling",
                          ["window_start", "event_type"], "n")
 
 
@@ -40,7 +44,7 @@ def q_stream_tumbling(spark, sf):
   GROUP BY 1, 2
 """)
 def q_stream_sliding(spark, sf):
-    return S.run_updates(S.sliding_counts(_events(spark, sf)), "stream-sliding",
+    return S.run_updates(S.sliding_counts(_events(spark, sf), delay=_delay(spark, sf)), "stream-sliding",
                          ["window_start", "event_type"], "n")
 
 
@@ -62,9 +66,10 @@ def q_stream_session(spark, sf):
     """All sessions: a closing row behind the last event moves the watermark past those
     still open; its own session never closes."""
     ev, src = table(spark, sf, "events"), scratch_path(spark, "stream-session-src")
-    return S.run_steps(lambda: S.sessions(S.event_stream(spark, f"{src}/b*", glob="*.parquet")), [
+    wait = S.replay_seconds(ev)
+    return S.run_steps(lambda: S.sessions(S.event_stream(spark, f"{src}/b*", glob="*.parquet"), delay=f"{wait} seconds"), [
         lambda: ev.write.parquet(f"{src}/b0"),
-        lambda: S.closing_rows(ev, "1 DAY").write.parquet(f"{src}/b1")], "stream-session")
+        lambda: S.closing_rows(ev, f"{wait + 86400} SECONDS").write.parquet(f"{src}/b1")], "stream-session")
 
 
 @job("stream_late", sql="""
@@ -85,9 +90,10 @@ def q_stream_late(spark, sf):
             us = int(back.total_seconds() * 1_000_000) + 86_400_000_000 + 600_000_000
             moved = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(us / 1e6).cast("decimal(18, 6)"))
             ev.withColumn("ts", moved).withColumn("event_id", F.col("event_id") + F.lit(10 ** 12)).write.parquet(f"{src}/b1")
-    return S.run_steps(lambda: S.tumbling_counts(S.event_stream(spark, f"{src}/b*", glob="*.parquet")), [
+    wait = S.replay_seconds(ev)
+    return S.run_steps(lambda: S.tumbling_counts(S.event_stream(spark, f"{src}/b*", glob="*.parquet"), delay=f"{wait} seconds"), [
         lambda: ev.write.parquet(f"{src}/b0"), late,
-        lambda: S.closing_rows(ev, "1 DAY").write.parquet(f"{src}/b2")], "stream-late")
+        lambda: S.closing_rows(ev, f"{wait + 86400} SECONDS").write.parquet(f"{src}/b2")], "stream-late")
 
 
 @job("stream_dedup", sql="SELECT event_id, user_id, ts, event_type FROM events")
@@ -98,7 +104,7 @@ def q_stream_dedup(spark, sf):
     ev.write.parquet(f"{src}/b0")
     ev.where(F.col("event_type") == "click").write.parquet(f"{src}/b1")
     stream = S.event_stream(spark, f"{src}/b*", glob="*.parquet")
-    out = S.run_to_parquet(S.dedup(stream), "stream-dedup")
+    out = S.run_to_parquet(S.dedup(stream, delay=_delay(spark, sf)), "stream-dedup")
     return spark.read.parquet(out)
 
 
@@ -121,7 +127,7 @@ def q_stream_static_join(spark, sf):
 def q_stream_stream_join(spark, sf):
     clicks = _events(spark, sf).where(F.col("event_type") == "click")
     purchases = _events(spark, sf).where(F.col("event_type") == "purchase")
-    j = S.click_then_purchase(clicks, purchases)
+    j = S.click_then_purchase(clicks, purchases, delay=_delay(spark, sf))
     return spark.read.parquet(S.run_to_parquet(j, "stream-stream-join"))
 
 
