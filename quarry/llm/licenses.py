@@ -15,12 +15,16 @@ columns are ignored, whatever their names; texts of any length are read whole.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.frames import col
 
-# Short public licence texts and the standard notices of longer ones.
+# Short public licence texts and the standard notices of longer ones; the
+# full texts of these are added below.
 KNOWN = {
     "MIT": [
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -123,6 +127,44 @@ was not distributed with this file, You can obtain one at https://mozilla.org/MP
                 "SPDX-License-Identifier: CC0-1.0"],
 }
 
+# Title lines above a short text, before its copyright lines.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License",
+                     "The 2-Clause BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Modified BSD License", "The 3-Clause BSD License", "BSD-3-Clause", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+FULL_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3",
+              "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _add_whole_texts() -> None:
+    """Full texts, also without the part on how to apply them and with the copyright line
+    of Apache-2.0 filled in (such a line is dropped); short texts also under their titles,
+    and lists also without numbers."""
+    third = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products\nderived from this software without specific prior written permission.\n\n")
+    disclaimer = "THIS SOFTWARE IS PROVIDED"
+    KNOWN["BSD-3-Clause"].insert(0, KNOWN["BSD-2-Clause"][0].replace(disclaimer, third + disclaimer))
+    for name, titles in TITLES.items():
+        body = KNOWN[name][0]
+        bodies = dict.fromkeys([body, re.sub(r"(?m)^\d\. ", "", body)])
+        KNOWN[name] += [t for t in bodies if t != body] + [f"{title}\n\n{t}" for title in titles for t in bodies]
+    for name, file in FULL_TEXTS.items():
+        text = pkgutil.get_data("quarry.llm", f"known_licenses/{file}.txt").decode()
+        forms = [text, re.sub(r"(?m)^[ \t]*Copyright \[yyyy\].*$", "", text)]
+        if END_OF_TERMS in text:
+            terms = text[:text.index(END_OF_TERMS)]
+            forms += [terms, terms + END_OF_TERMS]
+        KNOWN.setdefault(name, []).extend(dict.fromkeys(forms))
+
+
+_add_whole_texts()
+
 # Spellings made equal, in this order, on lower-case text.
 SPELLINGS = [
     ("https://", "http://"), ("©", "(c)"), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("–", "-"), ("—", "-"),

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -306,3 +307,24 @@ def test_constant_blocks_of_a_host_with_several_layouts(spark):
             for url in ("https://h.example.com", None) for k, name in enumerate(("news", "shop", "help"), 0 if url else 5) for i in range(8)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[10 * k + i] == f"{name} story {i}." for j in (0, 5) for k, name in enumerate(("news", "shop", "help"), j) for i in range(8))
+
+
+def test_licence_files_with_titles_and_full_texts(spark):
+    """The usual LICENSE file: title, copyright line, body; and full texts in other line breaks."""
+    rows = [(name, f"{title}\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{licenses.KNOWN[name][0]}\n")
+            for name, title in (("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+                                ("BSD-3-Clause", "BSD 3-Clause License"), ("Zlib", "zlib License"))]
+    rows.append(("BSD-3-Clause", rows[3][1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")))
+    folder = os.path.join(os.path.dirname(licenses.__file__), "known_licenses")
+    for name, file in licenses.FULL_TEXTS.items():
+        with open(f"{folder}/{file}.txt") as f:
+            text = f.read()
+        rows += [(name, text), (name, re.sub(r"(?<=\w) *\n *(?=[a-z])", " ", text))]
+        if "Copyright [yyyy]" in text:
+            rows.append((name, re.sub(r"Copyright \[yyyy\].*", "Copyright 2021 Someone Else", text)))
+        if licenses.END_OF_TERMS in text:
+            rows.append((name, text[:text.index(licenses.END_OF_TERMS)]))
+    rows += [(None, f"{rows[0][1]} and more")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
