@@ -57,12 +57,13 @@ class Texts:
         b[self.offs[:-1]] = True
         return b[:-1]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, start byte, end byte) of every word, in order."""
+    def words(self, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start byte, end byte) of every word, in order. ``blank`` marks the bytes
+        that part words."""
         if not len(self.buf):
             z = np.zeros(0, dtype=np.int64)
             return z, z, z
-        space = SPACE[self.buf]
+        space = blank[self.buf]
         edge = self.breaks()
         before = np.empty(len(space), dtype=bool)
         before[0] = True

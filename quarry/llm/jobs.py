@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, pii, quality, toxicity
+from quarry.llm import chat, exact_dedup, html_text, lexical, licenses, mixing, near_dedup, packing, pii, quality, toxicity
 from quarry.sources.tables import table
 
 
@@ -56,8 +56,13 @@ def op10_crf_pii(spark, sf):
     return pii.detect(documents(spark, sf))
 
 
+def op11_stratified_search(spark, sf):
+    return lexical.query(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_probminhash, op2_compression_bands, op3_license_digests, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
-    op7_digest_index, op8_offset_masks, op9_wrapper_induction, op10_crf_pii)}
+    op7_digest_index, op8_offset_masks, op9_wrapper_induction, op10_crf_pii, op11_stratified_search)}
 
-ORACLE = {"op3_license_digests": licenses.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE}
+ORACLE = {"op3_license_digests": licenses.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE,
+          "op11_stratified_search": lexical.ORACLE}
