@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, codes, exact_dedup, html_text, lexical, licenses, mixing, near_dedup, packing, pii, quality, toxicity
+from quarry.llm import (
+    chat, codes, exact_dedup, html_text, langid, lexical, licenses, mixing, near_dedup, packing, pii, quality, toxicity)
 from quarry.sources.tables import table
 
 
@@ -60,6 +61,10 @@ def op11_stratified_search(spark, sf):
     return lexical.query(documents(spark, sf), table(spark, sf, "benchmark"))
 
 
+def op12_nearest_centroid(spark, sf):
+    return langid.query(documents(spark, sf))
+
+
 def op13_cover_tree_codes(spark, sf):
     return codes.quantise(table(spark, sf, "embeddings"))
 
@@ -67,7 +72,7 @@ def op13_cover_tree_codes(spark, sf):
 QUERIES = {f.__name__: f for f in (
     op1_probminhash, op2_compression_bands, op3_license_digests, op4_concat_and_cut, op5_poisson_mixing, op6_lexicon_automaton,
     op7_digest_index, op8_offset_masks, op9_wrapper_induction, op10_crf_pii, op11_stratified_search,
-    op13_cover_tree_codes)}
+    op12_nearest_centroid, op13_cover_tree_codes)}
 
 ORACLE = {"op3_license_digests": licenses.ORACLE, "op5_poisson_mixing": mixing.ORACLE, "op7_digest_index": exact_dedup.ORACLE,
           "op11_stratified_search": lexical.ORACLE, "op13_cover_tree_codes": codes.ORACLE}
