@@ -37,8 +37,12 @@ from quarry.llm.frames import col, map_arrow
 from quarry.llm.pii_examples import PRIVATE, labelled, luhn
 
 # Fixed values of the contract: the base patterns, in order of kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The contract's patterns, written so that a long run of digits or letters is read once:
+# email is [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ (see ``_emails``),
+# ip is [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), whose matches begin where a run of digits does
+USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -57,14 +61,31 @@ def _is_card(s: str) -> bool:
 
 
 def _is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
+
+
+def _emails(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping matches. An address has one ``@`` and nothing before it that
+    belongs to the match before, so each ``@`` is tried once: back over its user name, then
+    on over its host."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in USER:
+            start -= 1
+        host = HOST.match(text, at + 1) if start < at else None
+        free = host.end() if host else at + 1
+        if host:
+            found.append(("email", start, free))
+        at = text.find("@", free)
+    return found
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind as listed, then start."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found += _emails(text)
     found += [("ip", *m.span()) for m in IP.finditer(text) if _is_ip(m[0])]
     found += [("card", *m.span()) for m in CARD.finditer(text) if _is_card(m[0])]
     if "+" in text:
