@@ -116,7 +116,7 @@ def test_pandas_groups_keep_null_keys(spark):
                                       .otherwise(F.col("l_orderkey")).cast("bigint"))
     con = duckdb.connect()
     con.register("li", li.toPandas())
-    check(U.quantity_spread_two_phase(li), con,
+    check(U.quantity_spread(li), con,
           "SELECT l_orderkey, max(l_quantity) - min(l_quantity) AS qty_spread FROM li GROUP BY 1")
     check(U.line_shares(li), con, """SELECT l_orderkey, l_linenumber, round(l_extendedprice /
         sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS share FROM li""")
