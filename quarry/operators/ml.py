@@ -1,4 +1,4 @@
-"""MLlib jobs: feature scaling, k-means, linear and logistic regression; frequent pairs.
+"""MLlib jobs: feature scaling, k-means, linear and logistic regression.
 MLlib fits by distributed tree-aggregation of per-partition statistics; nothing is
 gathered to the driver except the fitted model's coefficients."""
 
@@ -81,17 +81,3 @@ def logistic_quality(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Data
     auc = BinaryClassificationEvaluator(labelCol="label").evaluate(test) if kinds > 1 else None
     return pred.select("doc_id", "label", F.col("prediction"), vector_to_array("probability")[1].alias("p_good"),
                        F.lit(auc).cast("double").alias("auc"))
-
-
-def frequent_pairs(lines: DataFrame, basket: str, place: str, item: str, min_count: int = 2) -> DataFrame:
-    """Pairs of items bought one after the other (places ``n`` and ``n + 1`` of a basket) in
-    at least ``min_count`` baskets.
-
-    An equi join on ``(basket, place)`` gives each row at most its successors, so the work
-    grows with the rows however large a basket is; the counts aggregate partially. (All
-    pairs of a basket would grow with its square, and so would mining them.)"""
-    rows = lines.select(F.col(basket).alias("_b"), F.col(place).alias("_n"), F.col(item).alias("_x"))
-    nxt = rows.select(F.col("_b").alias("_b2"), (F.col("_n") - 1).alias("_n2"), F.col("_x").alias("_y"))
-    pairs = rows.join(nxt, (F.col("_b") == F.col("_b2")) & (F.col("_n") == F.col("_n2"))).where("_x <> _y")
-    pairs = pairs.select("_b", F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")).distinct()
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
 from quarry.operators import ml as M
+from quarry.operators.itemsets import frequent_itemsets
 from quarry.plans.registry import job
 from quarry.session import materialize
 from quarry.sources.tables import table
@@ -57,15 +58,37 @@ def q_ml_logistic(spark, sf):
                       (F.col("p_good").between(0, 1) & (F.col("prediction") == side)).alias("scored"))
 
 
-@job("ml_frequent_items", sql="""
-  SELECT least(a.l_partkey, b.l_partkey) AS item_a, greatest(a.l_partkey, b.l_partkey) AS item_b,
-         count(DISTINCT a.l_orderkey) AS freq
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_partkey <> b.l_partkey
-  GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2
+_BASKETS = "b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
+
+
+@job("ml_frequent_items", sql=f"""
+  WITH {_BASKETS}
+  SELECT x.l_partkey AS item_a, y.l_partkey AS item_b, count(*) AS freq
+  FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey
+  GROUP BY 1, 2 HAVING count(*) >= 2
 """)
 def q_ml_frequent_items(spark, sf):
-    return M.frequent_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", 2)
+    """Pairs of parts that occur together in at least two whole orders."""
+    found = frequent_itemsets(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", min_count=2, max_size=2)
+    return found.select(F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), "freq")
+
+
+@job("ml_frequent_itemsets", sql=f"""
+  WITH b AS (SELECT DISTINCT s.s_nationkey AS x, o.o_custkey AS c
+             FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN supplier s ON l_suppkey = s_suppkey),
+  k AS (SELECT count(DISTINCT c) // 5 AS least FROM b)
+  SELECT [x1.x, x2.x] AS items, count(*) AS freq FROM b x1 JOIN b x2 ON x1.c = x2.c AND x1.x < x2.x
+  GROUP BY ALL HAVING count(*) >= (SELECT least FROM k)
+  UNION ALL
+  SELECT [x1.x, x2.x, x3.x], count(*) FROM b x1 JOIN b x2 ON x1.c = x2.c AND x1.x < x2.x JOIN b x3 ON x1.c = x3.c AND x2.x < x3.x
+  GROUP BY ALL HAVING count(*) >= (SELECT least FROM k)
+""")
+def q_ml_frequent_itemsets(spark, sf):
+    """Pairs and triples of supplier nations of which a fifth of all ordering customers buy."""
+    lines = (table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("o_custkey", "s_nationkey"))
+    least = lines.select("o_custkey").distinct().count() // 5
+    return frequent_itemsets(lines, "o_custkey", "s_nationkey", min_count=least, max_size=3)
 
 
 # ------------------------------------------------------------------------------ graph
