@@ -5,34 +5,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import scan
+from quarry.operators.windows import TARGET_ROWS, join_on
+from quarry.plans.broadcast import small_side
+from quarry.session import materialize
+
 
 def group_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+              target_rows: int = TARGET_ROWS) -> DataFrame:
     """Exact, linearly interpolated quantiles of any number of distinct values per group.
 
-    Rows are folded to one row per value with its count (partial aggregation), the values
-    are cut into ranges, and counts run up inside each ``(key, range)`` on top of the counts
-    of the key's lower ranges. The value at a position is the least one whose count up to
+    Rows are folded to one row per value with its count (partial aggregation), and counts
+    run up over a group's values: in a plain window, or in a prefix scan for groups of more
+    than ``target_rows`` values. The value at a position is the least one whose count up to
     and including it exceeds the position: a plain ``min`` per group, for all probabilities
-    at once. No group, and no map of its values, is held by one task."""
-    from quarry.operators.windows import axis_of, join_on, range_cuts, range_index
-
+    at once. No hot group, and no map of its values, is held by one task."""
     keys = list(keys)
     kv = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    kv = range_index(kv.withColumn("_x", axis_of(kv, "_v")), "_x", range_cuts(kv, axis_of(kv, "_v"))).drop("_x")
-    here = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = kv.groupBy(*keys, "_b").agg(F.sum("_n").alias("_rows")).select(
-        *keys, "_b", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_below"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"))
-    up = join_on(kv.withColumn("_local", F.sum("_n").over(here)), ranges, [*keys, "_b"])
-    up = up.withColumn("_upto", F.col("_local") + F.col("_below"))
+    kv = materialize(kv, "value-counts")
+    up = scan.running(kv, keys, [F.col("_v")], ["_n"], ["_upto"], target_rows)
+    total = kv.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    up = join_on(up, small_side(total), keys) if keys else up.withColumn("_total", F.lit(total.first()["_total"]).cast("bigint"))
 
     def at(p: float, end) -> Column:
         place = end(F.lit(float(p)) * (F.col("_total") - 1))
@@ -50,11 +50,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     return join_on(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
-def sorted_list(df: DataFrame, keys: Sequence[str], col: str, sep: str = ",", size: int = 1000) -> DataFrame:
+def sorted_list(df: DataFrame, keys: Sequence[str], col: str, sep: str = ",", size: int = 1000,
+                target_rows: int = TARGET_ROWS) -> DataFrame:
     """Sorted values per key as strings of at most ``size`` values, numbered by ``chunk``: no
-    list grows with its group (the numbering streams over a sort that spills)."""
-    w = Window.partitionBy(*keys).orderBy(col)
-    chunks = df.select(*keys, col, ((F.row_number().over(w) - 1) / size).cast("bigint").alias("chunk"))
+    list grows with its group. Values are numbered in a plain window, those of keys with more
+    than ``target_rows`` rows in a prefix scan, so no task holds a hot key."""
+    rows = scan.numbered(df.select(*keys, col), list(keys), [F.col(col)], "_rn", target_rows)
+    chunks = rows.select(*keys, col, ((F.col("_rn") - 1) / size).cast("bigint").alias("chunk"))
     return chunks.groupBy(*keys, "chunk").agg(
         F.array_join(F.sort_array(F.collect_list(col)).cast("array<string>"), sep).alias("items"))
 

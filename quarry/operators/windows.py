@@ -1,11 +1,12 @@
 """Window jobs.
 
 Spark evaluates a window one partition-key group at a time inside one task, so a key
-holding a third of all rows would become one huge task. For per-key sequences (a
-user's events) the jobs here therefore window over ``(key, range)`` and stitch the
-ranges together with a small per-range summary (one row per key and range).
+holding a third of all rows would become one huge task. Running totals, lag / lead and ranks
+take plain windows for keys of ordinary size and a prefix scan (``scan``) for hot ones.
+Trailing ranges and the as-of join window over ``(key, range)`` and stitch the ranges
+together with a small per-range summary (one row per key and range).
 
-The ranges are global cuts of the ordering axis taken from ``approxQuantile``, as
+Those ranges are global cuts of the ordering axis taken from ``approxQuantile``, as
 many as the row count needs for about ``TARGET_ROWS`` rows per range. A range holds
 that many rows of *all* keys together, so one key's rows inside it are bounded too,
 however hot the key is. Results do not depend on where the cuts fall: the stitching
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType,
                                TimestampNTZType, TimestampType)
 
+from quarry.operators import scan
 from quarry.session import materialize
 
 # Rows per range the sequence operators aim for: one (key, range) window group is
@@ -201,57 +203,33 @@ def top_n_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column],
 
 def running_total(df: DataFrame, key: str, ts_col: str, tie: str, value: str | Sequence[str],
                   out: str | Sequence[str] = "running", bucket_seconds: int | None = None,
-                  target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None) -> DataFrame:
+                  target_rows: int = TARGET_ROWS) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``(ts, tie)`` order (rows frame); several
-    columns at once when ``value`` and ``out`` are lists.
-
-    local running sum inside ``(key, range)`` + sum of all earlier ranges of the key
-    (a window over the small per-range summary), joined back on ``(key, range)``.
-    Ranges: see ``with_bucket``.
-    """
+    columns at once when ``value`` and ``out`` are lists. A plain window for keys of up to
+    ``target_rows`` rows, a prefix scan (``scan``) for others; with ``bucket_seconds``, a scan
+    over fixed time ranges for all keys."""
     values = [value] if isinstance(value, str) else list(value)
     outs = [out] if isinstance(out, str) else list(out)
-    d = with_bucket(df, ts_col, bucket_seconds, target_rows, cuts, tie)
-    w_local = (Window.partitionBy(key, "_b").orderBy(ts_col, tie)
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.select("*", *[F.sum(v).over(w_local).alias(f"_local{i}") for i, v in enumerate(values)])
-    w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = d.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_bs{i}") for i, v in enumerate(values)])
-    prefix = per_range.select(key, "_b", *[
-        F.sum(f"_bs{i}").over(w_b).alias(f"_prefix{i}") for i in range(len(values))])
-    j = join_on(local, prefix, [key, "_b"])
-
-    def total(i: int) -> Column:
-        # SQL sum semantics: null only while no non-null value has been seen, here or
-        # in an earlier range
-        loc, pre = F.col(f"_local{i}"), F.col(f"_prefix{i}")
-        return F.coalesce(loc + pre, loc, pre)
-    return j.select(*df.columns, *[total(i).alias(o) for i, o in enumerate(outs)])
+    order = [F.col(ts_col), F.col(tie)]
+    if bucket_seconds:
+        return scan.running_pieces(with_bucket(df, ts_col, bucket_seconds), [key], order, values, outs)
+    return scan.running(df, [key], order, values, outs, target_rows)
 
 
 def lag_lead(df: DataFrame, key: str, ts_col: str, tie: str, cols: Sequence[str],
              bucket_seconds: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``prev_<c>`` / ``next_<c>``: the previous / next row's value per ``key`` in
-    ``(ts, tie)`` order, stitched across time ranges: the first row of a range takes
-    the last row of the nearest earlier non-empty range, the last row the first row of
-    the nearest later one. Ranges: see ``with_bucket``."""
-    d = with_bucket(df, ts_col, bucket_seconds, target_rows, tie=tie)
-    w = Window.partitionBy(key, "_b").orderBy(ts_col, tie)
-    order = F.struct(F.col(ts_col), F.col(tie))
-    row = F.struct(*[F.col(c) for c in cols])
-    local = d.select("*", F.lag(row).over(w).alias("_p"), F.lead(row).over(w).alias("_n"),
-                     (F.row_number().over(w) == 1).alias("_first"),
-                     F.lead(F.lit(1)).over(w).isNull().alias("_last"))
-    summ = d.groupBy(key, "_b").agg(F.min_by(row, order).alias("_bf"),
-                                    F.max_by(row, order).alias("_bl"))
-    wb = Window.partitionBy(key).orderBy("_b")
-    edges = summ.select(key, "_b", F.lag("_bl").over(wb).alias("_pb"),
-                        F.lead("_bf").over(wb).alias("_nb"))
-    j = join_on(local, edges, [key, "_b"])
-    prev = F.when(F.col("_first"), F.col("_pb")).otherwise(F.col("_p"))
-    nxt = F.when(F.col("_last"), F.col("_nb")).otherwise(F.col("_n"))
-    return j.select(*df.columns, *[prev[c].alias("prev_" + c) for c in cols],
-                    *[nxt[c].alias("next_" + c) for c in cols])
+    ``(ts, tie)`` order. A plain window for keys of up to ``target_rows`` rows, a prefix scan
+    (``scan``) for others; with ``bucket_seconds``, a scan over fixed time ranges for all keys."""
+    order = [F.col(ts_col), F.col(tie)]
+    if bucket_seconds:
+        return scan.neighbours(with_bucket(df, ts_col, bucket_seconds), key, order, cols)
+    light, hot = scan.split_hot(df, [key], target_rows)
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = light.select("*", *[F.lag(c).over(w).alias("prev_" + c) for c in cols], *[F.lead(c).over(w).alias("next_" + c) for c in cols])
+    if hot is None:
+        return rows
+    return rows.unionByName(scan.neighbours(scan.ranged(hot, [F.col(key), *order], target_rows), key, order, cols))
 
 
 def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_seconds: int,
@@ -347,75 +325,34 @@ def first_last(df: DataFrame, key: Sequence[str], order: Sequence[Column], col:
 def rank_spread(df: DataFrame, key: str, value: str, tie: str, tiles: int = 4,
                 buckets: int | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """row_number / rank / dense_rank / ntile per ``key`` by ``value`` descending
-    (nulls last; ``row_number`` and ``ntile`` break ties by ``tie`` ascending), for
-    groups of any size and ties of any size, and for any types ``axis_of`` can cut. No
-    window ever spans a key or a tie group:
-
-    * rank / dense_rank depend only on the value: the rows are folded to one row per
-      ``(key, value)`` with its count (partial aggregation: a tie group of any size
-      becomes one row), and that table is split over value ranges; a window inside
-      each ``(key, range)`` plus the exact row and value counts of the key's higher
-      ranges (a per-range summary) give the rows and distinct values above each value.
-    * row_number adds the row's position inside its ``(key, value)`` tie group, by
-      ``tie``: a running count split over ranges of ``tie``, stitched with the counts
-      of the group's lower ranges.
-
-    Ranges are global ``approxQuantile`` cuts (``range_cuts``: about ``target_rows``
-    rows each, or exactly ``buckets`` ranges when given); only cut lists reach the
-    driver, and results are exact wherever the cuts fall. The join of the per-value
-    statistics back to the rows is on ``(key, value)``; AQE splits a hot tie group
-    on its streamed side.
-    """
-    def cuts_of(frame: DataFrame, col: str) -> list[float]:
-        if buckets:
-            return range_cuts(frame, axis_of(frame, col), target_rows=1, max_ranges=buckets)
-        return range_cuts(frame, axis_of(frame, col), target_rows)
-
-    # rows and distinct values above each (key, value), from the folded table
-    kv = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    kvb = range_index(kv.withColumn("_bv", axis_of(kv, value)), "_bv",
-                      cuts_of(kv, value)).drop("_bv")
-    w = Window.partitionBy(key, "_b").orderBy(F.col(value).desc())
-    local = kvb.select(key, value, "_b",
-                       F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                  F.lit(0)).alias("_lb"),
-                       F.row_number().over(w).alias("_ld"))
-    per_range = kvb.groupBy(key, "_b").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_vals"))
-    higher = (Window.partitionBy(key).orderBy(F.col("_b").desc())
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    offs = per_range.select(key, "_b",
-                            F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_rb"),
-                            F.coalesce(F.sum("_vals").over(higher), F.lit(0)).alias("_db"),
-                            F.sum("_rows").over(Window.partitionBy(key)).alias("_total"))
-    stats = join_on(local, offs, [key, "_b"]).select(
-        key, value, (F.col("_lb") + F.col("_rb")).alias("_rows_before"),
-        (F.col("_ld") + F.col("_db")).alias("_dr"), "_total")
-
-    # position of each row inside its (key, value) tie group, by tie
-    d = range_index(df.withColumn("_bt", axis_of(df, tie)), "_bt",
-                    cuts_of(df, tie), out="_t").drop("_bt")
-    wt = Window.partitionBy(key, value, "_t").orderBy(F.col(tie))
-    loc = d.withColumn("_pl", F.row_number().over(wt))
-    per_tie_range = d.groupBy(key, value, "_t").agg(F.count(F.lit(1)).alias("_tn"))
-    lower = Window.partitionBy(key, value).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    t_offs = per_tie_range.select(key, value, "_t",
-                                  F.coalesce(F.sum("_tn").over(lower), F.lit(0)).alias("_pb"))
-    pos = join_on(loc, t_offs, [key, value, "_t"]).withColumn("_rn", F.col("_pl") + F.col("_pb"))
-
-    j = join_on(pos, stats, [key, value]).select(
-        "*", F.lit(1).alias("_rk"), F.lit(0).alias("_vals_before"))
-    return _ranks(j, df.columns, tiles)
-
-
-def _ranks(j: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:
-    """Global ranks from range-local ones plus the offsets of the key's higher ranges."""
-    rn = F.col("_rn") + F.col("_rows_before")
-    n, t = F.col("_total"), F.lit(tiles)
+    (nulls last; ``row_number`` and ``ntile`` break ties by ``tie`` ascending), for groups of
+    any size, ties of any size, and any orderable types.
+
+    Keys of up to ``target_rows`` rows take plain windows over one shuffle. The rows of
+    others are dealt by range of (key, value, tie) and ranked by a prefix scan
+    (``scan.ranks``): no window spans a hot key or a hot tie group. ``buckets`` deals all
+    rows into so many pieces."""
+    order = [F.col(value).desc(), F.col(tie)]
+    if buckets:
+        light, hot = None, df
+    else:
+        light, hot = scan.split_hot(df, [key], target_rows)
+    parts = []
+    if light is not None:
+        w, by_value = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(order[0])
+        parts.append(light.select("*", *[f.over(x).cast("bigint").alias(n) for f, x, n in (
+            (F.row_number(), w, "rn"), (F.rank(), by_value, "rnk"), (F.dense_rank(), by_value, "drnk"), (F.ntile(tiles), w, "tile"))]))
+    if hot is not None:
+        pieces = scan.ranged(hot, [F.col(key), *order], target_rows, buckets)
+        parts.append(_with_tiles(scan.ranks(pieces, key, value, tie), df.columns, tiles))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _with_tiles(j: DataFrame, columns: Sequence[str], tiles: int) -> DataFrame:
+    rn, n, t = F.col("_rn"), F.col("_total"), F.lit(tiles)
     q, r = F.floor(n / t), n % t          # ntile: r tiles of q+1 rows, then tiles of q rows
     big = r * (q + 1)
     tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
             .otherwise(r + F.floor((rn - big - 1) / q) + 1)
-    return j.select(*columns, rn.cast("bigint").alias("rn"),
-                    (F.col("_rk") + F.col("_rows_before")).cast("bigint").alias("rnk"),
-                    (F.col("_dr") + F.col("_vals_before")).cast("bigint").alias("drnk"),
-                    tile.cast("bigint").alias("tile"))
+    return j.select(*columns, rn.cast("bigint").alias("rn"), F.col("_rank").cast("bigint").alias("rnk"),
+                    F.col("_dense").cast("bigint").alias("drnk"), tile.cast("bigint").alias("tile"))
