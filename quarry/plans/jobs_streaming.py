@@ -15,8 +15,12 @@ def _events(spark, sf):
     return S.event_stream(spark, sf, glob="events.parquet")
 
 
-def _delay(spark, sf):
-    return f"{S.replay_seconds(table(spark, sf, 'events'))} seconds"
+def _replayed(spark, sf, make, name, closing=False):
+    """Sink of a replay of the events in time order; with ``closing``, a row a day behind
+    the last event closes what is open."""
+    ev = table(spark, sf, "events")
+    slices = S.time_slices(ev) + ([S.closing_rows(ev, "1 DAY")] if closing else [])
+    return S.replay(make, slices, name).out
 
 
 @job("stream_stateless", sql="""
@@ -33,8 +37,7 @@ def q_stream_stateless(spark, sf):
   FROM events GROUP BY 1, 2
 """)
 def q_stream_tumbling(spark, sf):
-    return S.run_updates(S.tumbling_counts(_events(spark, sf), delay=_delay(spark, sf)), "stream-tumbling",
-                         ["window_start", "event_type"], "n")
+    return _replayed(spark, sf, lambda stream: S.tumbling_counts(stream()), "stream-tumbling", closing=True)
 
 
 @job("stream_sliding", sql="""
@@ -44,8 +47,7 @@ def q_stream_tumbling(spark, sf):
   GROUP BY 1, 2
 """)
 def q_stream_sliding(spark, sf):
-    return S.run_updates(S.sliding_counts(_events(spark, sf), delay=_delay(spark, sf)), "stream-sliding",
-                         ["window_start", "event_type"], "n")
+    return _replayed(spark, sf, lambda stream: S.sliding_counts(stream()), "stream-sliding", closing=True)
 
 
 _SESSIONS_SQL = """
@@ -63,13 +65,7 @@ _SESSIONS_SQL = """
 
 @job("stream_session", sql=_SESSIONS_SQL)
 def q_stream_session(spark, sf):
-    """All sessions: a closing row behind the last event moves the watermark past those
-    still open; its own session never closes."""
-    ev, src = table(spark, sf, "events"), scratch_path(spark, "stream-session-src")
-    wait = S.replay_seconds(ev)
-    return S.run_steps(lambda: S.sessions(S.event_stream(spark, f"{src}/b*", glob="*.parquet"), delay=f"{wait} seconds"), [
-        lambda: ev.write.parquet(f"{src}/b0"),
-        lambda: S.closing_rows(ev, f"{wait + 86400} SECONDS").write.parquet(f"{src}/b1")], "stream-session")
+    return _replayed(spark, sf, lambda stream: S.sessions(stream()), "stream-session", closing=True)
 
 
 @job("stream_late", sql="""
@@ -77,35 +73,25 @@ def q_stream_session(spark, sf):
   FROM events GROUP BY 1, 2
 """)
 def q_stream_late(spark, sf):
-    """Hourly counts, one output row per window (append mode), in three runs on one
-    checkpoint: the events; the same events again, a day and ten minutes before the first
-    of them (all behind the watermark, so they change nothing); a closing row, which lets
-    the windows still open go out."""
-    ev, src = table(spark, sf, "events"), scratch_path(spark, "stream-late-src")
-
-    def late():
-        ends = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-        back = ends["hi"] - ends["lo"] if ends["hi"] else None
-        if back is not None:
-            us = int(back.total_seconds() * 1_000_000) + 86_400_000_000 + 600_000_000
-            moved = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(us / 1e6).cast("decimal(18, 6)"))
-            ev.withColumn("ts", moved).withColumn("event_id", F.col("event_id") + F.lit(10 ** 12)).write.parquet(f"{src}/b1")
-    wait = S.replay_seconds(ev)
-    return S.run_steps(lambda: S.tumbling_counts(S.event_stream(spark, f"{src}/b*", glob="*.parquet"), delay=f"{wait} seconds"), [
-        lambda: ev.write.parquet(f"{src}/b0"), late,
-        lambda: S.closing_rows(ev, f"{wait + 86400} SECONDS").write.parquet(f"{src}/b2")], "stream-late")
+    """Hourly counts, one output row per window. After the last slice of time, all events
+    older than a day before it come again: they are behind the watermark (Spark judges
+    lateness by that of the micro-batch before) and change nothing. A closing row lets the
+    windows still open go out."""
+    ev = table(spark, sf, "events")
+    slices = S.time_slices(ev)
+    old = F.col("ts") < F.lit(slices[-1].agg(F.min("ts")).first()[0]) - F.expr("INTERVAL 1 DAY")
+    again = ev.where(old).withColumn("event_id", F.col("event_id") + F.lit(10 ** 12))
+    return S.replay(lambda stream: S.tumbling_counts(stream()), [*slices, again, S.closing_rows(ev, "1 DAY")], "stream-late").out
 
 
 @job("stream_dedup", sql="SELECT event_id, user_id, ts, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    """Input: the events plus a re-sent copy of every click (same id, same time)."""
-    src = scratch_path(spark, "stream-dedup-src")
-    ev = table(spark, sf, "events")
-    ev.write.parquet(f"{src}/b0")
-    ev.where(F.col("event_type") == "click").write.parquet(f"{src}/b1")
-    stream = S.event_stream(spark, f"{src}/b*", glob="*.parquet")
-    out = S.run_to_parquet(S.dedup(stream, delay=_delay(spark, sf)), "stream-dedup")
-    return spark.read.parquet(out)
+    """Input: the events, and every click a second time (same id, same time), twenty minutes
+    later; rows land in the order they arrive, so copies come in a later micro-batch too."""
+    ev = table(spark, sf, "events").withColumn("arrives", F.col("ts"))
+    again = ev.where(F.col("event_type") == "click").withColumn("arrives", F.col("ts") + F.expr("INTERVAL 20 MINUTES"))
+    slices = [x.drop("arrives") for x in S.time_slices(ev.unionByName(again), by=F.col("arrives"))]
+    return S.replay(lambda stream: S.dedup(stream()), slices, "stream-dedup").out
 
 
 @job("stream_static_join", sql="""
@@ -125,21 +111,19 @@ def q_stream_static_join(spark, sf):
   WHERE c.event_type = 'click' AND p.event_type = 'purchase'
 """)
 def q_stream_stream_join(spark, sf):
-    clicks = _events(spark, sf).where(F.col("event_type") == "click")
-    purchases = _events(spark, sf).where(F.col("event_type") == "purchase")
-    j = S.click_then_purchase(clicks, purchases, delay=_delay(spark, sf))
-    return spark.read.parquet(S.run_to_parquet(j, "stream-stream-join"))
+    def join(stream):
+        return S.click_then_purchase(stream().where(F.col("event_type") == "click"), stream().where(F.col("event_type") == "purchase"))
+    return _replayed(spark, sf, join, "stream-stream-join")
 
 
 @job("stream_stateful", sql="""
   SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1
 """)
 def q_stream_stateful(spark, sf):
-    out = S.run_to_parquet(S.running_totals(_events(spark, sf)), "stream-stateful")
-    emitted = spark.read.parquet(out)
-    # each batch emits a user's running totals; the last emission has the largest n
-    last = emitted.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("s"))
-    return last.select("user_id", F.col("s.n").alias("n"), F.round("s.total", 2).alias("total"))
+    """Totals per user, added up from its spans of activity: a user idle for an hour leaves
+    the state, and its span goes out."""
+    spans = _replayed(spark, sf, lambda stream: S.activity_totals(stream()), "stream-stateful", closing=True)
+    return spans.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @job("stream_upsert", sql="""

@@ -1,5 +1,9 @@
 """Structured Streaming jobs over the ``events`` table read as a file stream.
 
+Stored events are replayed in time order (``time_slices``, ``replay``): files that land one
+after the other, each a range of time, so that watermarks move and state is dropped between
+micro-batches.
+
 Every query runs with ``Trigger.availableNow`` (process what is there, then stop) and
 keeps its checkpoint in the shared folder, so a restarted or retried query resumes
 from the last committed batch. Sinks are Parquet folders, written either by the file
@@ -10,16 +14,18 @@ sink (append) or by ``foreachBatch`` with a batch-id keyed, overwrite-only write
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
-                               TimestampNTZType)
+                               TimestampNTZType, TimestampType)
 
 from quarry.operators.windows import naive_instant, naive_of_instant
 from quarry.plans.broadcast import small_side
@@ -48,15 +54,6 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet"
     return df.withColumn("ts", naive_instant(df, "ts"))
 
 
-def replay_seconds(events: DataFrame) -> int:
-    """The watermark delay, in seconds, of a replay of stored events: their span and ten
-    minutes more. Files hold them in no time order, so any micro-batch may hold the newest
-    event; with this delay the watermark stays before the first one, and no row is late
-    however the files are split into micro-batches. State is kept to the end of the replay."""
-    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    return 600 + (int((ends["hi"] - ends["lo"]).total_seconds()) + 1 if ends["hi"] else 0)
-
-
 def _ntz(c: str):
     return naive_of_instant(c)
 
@@ -208,38 +205,138 @@ def running_totals(events: DataFrame) -> DataFrame:
                                            GroupStateTimeout.NoTimeout))
 
 
+SPAN_IN = StructType([StructField("user_id", LongType()), StructField("n", LongType()), StructField("total", DoubleType()),
+                      StructField("last", TimestampType())])
+SPAN_STATE = StructType([StructField("n", LongType()), StructField("total", DoubleType()), StructField("ends_ms", LongType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ActivitySpans(StatefulProcessor):
+    """Per user, count and sum of the events of the current span of activity: one value
+    state, and one event-time timer ``idle_ms`` after the user's last event. When the timer
+    fires the span's totals go out and the user leaves the state."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", SPAN_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, total, ends = self.span.get() if self.span.exists() else (0, 0.0, None)
+        until = ends or 0
+        for b in rows:
+            n += int(b["n"].sum())
+            total += float(b["total"].sum())
+            until = max(until, int(b["last"].max().timestamp() * 1000) + self.idle_ms)
+        if until != ends:
+            if ends is not None:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(until)
+        self.span.update((n, total, until))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, total, _ = self.span.get()
+        self.span.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def _fold_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per Arrow batch: one ``(user_id, n, total, last)`` row per user in the batch."""
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        t = rows.append_column("n", pa.array(np.ones(b.num_rows, dtype=np.int64))).set_column(
+            rows.schema.get_field_index("value"), "value", pa.compute.coalesce(rows["value"], pa.scalar(0.0)))
+        g = t.group_by("user_id").aggregate([("n", "sum"), ("value", "sum"), ("ts", "max")])
+        yield from g.select(["user_id", "n_sum", "value_sum", "ts_max"]).rename_columns([f.name for f in SPAN_IN]).to_batches()
+
+
+def activity_totals(events: DataFrame, idle_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """``user_id``, ``n``, ``total`` of every span of activity, once the watermark is
+    ``idle_minutes`` past the user's last event (``transformWithStateInPandas``: value state,
+    event-time timers, RocksDB). The state holds active users only; a user's spans add up to
+    all of its events. (A pause the watermark never fell into does not part two spans.)
+
+    A user's rows of a micro-batch are folded inside every Arrow batch first, so a hot user
+    costs one row per Arrow batch. Rows without a time or a user are left out."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = events.where("ts IS NOT NULL AND user_id IS NOT NULL").select("user_id", "value", "ts")
+    folded = rows.mapInArrow(_fold_spans, SPAN_IN).withWatermark("last", delay)
+    return folded.groupBy("user_id").transformWithStateInPandas(
+        ActivitySpans(idle_minutes * 60_000), RUNNING_OUT, "Append", "EventTime")
+
+
 def closing_rows(events: DataFrame, after: str) -> DataFrame:
-    """One row without user and type, ``after`` the last event: read as a last batch, it
-    moves the watermark past every open window."""
+    """One row without type, of user -1, ``after`` the last event: landed last, it moves the
+    watermark past every open window; its own never closes."""
     last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
-    return last.select(F.lit(None).cast("bigint").alias("event_id"), "ts", F.lit(None).cast("bigint").alias("user_id"),
+    return last.select(F.lit(None).cast("bigint").alias("event_id"), "ts", F.lit(-1).cast("bigint").alias("user_id"),
                        F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"),
                        F.lit(None).cast("string").alias("props"))
 
 
-def run_steps(make: Callable[[], DataFrame], steps: list[Callable[[], None]], name: str) -> DataFrame:
-    """Run a stream to the end of its input once after each step (a step adds input), with
-    one checkpoint and one sink; return the sink."""
-    df = make()
-    spark = df.sparkSession
-    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
-    for step in steps:
-        step()
-        q = (make().writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-             .format("parquet").outputMode("append").start(out))
-        q.awaitTermination()
-    return spark.read.parquet(out)
+# Rows a slice of a replay holds at most (one file, one micro-batch), and slices at least.
+ROWS_PER_SLICE, LEAST_SLICES = 5_000_000, 4
 
 
-def run_updates(df: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:
-    """Run an aggregation to completion in update mode: each micro-batch writes only the
-    groups it changed (state behind the watermark is dropped, nothing is rewritten); the
-    result is each group's value of its last batch."""
-    spark = df.sparkSession
-    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
-    upsert_batches(df, out, ckpt, lambda batch: batch, "update")
-    log = spark.read.parquet(out)
-    return log.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+def time_slices(events: DataFrame, by: Column | None = None, rows_per_slice: int = ROWS_PER_SLICE,
+                files_per_slice: int = 1) -> list[DataFrame]:
+    """``events`` cut into ranges of ``by`` (the time they arrive; ``ts`` unless given), in
+    order: written once by one range exchange, each slice a folder of its own."""
+    spark = events.sparkSession
+    n = max(LEAST_SLICES, -(-events.count() // rows_per_slice))
+    staged = scratch_path(spark, "slices")
+    (events.repartitionByRange(n * files_per_slice, F.col("ts") if by is None else by)
+           .withColumn("slice", F.floor(F.spark_partition_id() / files_per_slice))
+           .write.partitionBy("slice").parquet(staged))
+    written = spark.read.schema(StructType([*events.schema.fields, StructField("slice", LongType())])).parquet(staged)
+    found = sorted(r.slice for r in written.select("slice").distinct().collect())
+    return [written.where(F.col("slice") == i).drop("slice") for i in found] or [events.limit(0)]
+
+
+class Replay(NamedTuple):
+    """The sink of a replay, and the progress reports of its micro-batches."""
+
+    out: DataFrame
+    progress: list
+
+
+def replay(make: Callable[[Callable[[], DataFrame]], DataFrame], slices: list[DataFrame], name: str,
+           files_per_slice: int = 1) -> Replay:
+    """Let ``slices`` land one after the other and run ``make(stream)`` over them, one slice a
+    micro-batch, with one checkpoint and one append sink. ``stream()`` opens the source.
+
+    The file source reads files in the order they landed. With one file per slice, one query
+    takes one file a micro-batch; slices of several files get a run of the query each, so a
+    micro-batch never holds a part of a slice (the rest of it would come late)."""
+    spark = slices[0].sparkSession
+    src, out, ckpt = (scratch_path(spark, name + x) for x in ("-src", "", "-ckpt"))
+    schema = None
+
+    def run(files: int | None) -> list:
+        nonlocal schema
+        df = make(lambda: event_stream(spark, f"{src}/b*", glob="*.parquet", files_per_batch=files))
+        schema = df.schema
+        q = (df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+               .format("parquet").outputMode("append").start(out))
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+        return list(q.recentProgress)
+    progress = []
+    for i, part in enumerate(slices):
+        (part.coalesce(1) if files_per_slice == 1 else part).write.parquet(f"{src}/b{i:06d}")
+        if files_per_slice > 1:
+            progress += run(None)
+    if files_per_slice == 1:
+        progress += run(1)
+    return Replay(spark.read.schema(schema).parquet(out), progress)
 
 
 def upsert_batches(df: DataFrame, out: str, ckpt: str,
