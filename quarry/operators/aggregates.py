@@ -18,6 +18,18 @@ def group_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> Dat
     return df.groupBy(*keys).agg(*aggs)
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], col: str, lg_k: int = 14) -> DataFrame:
+    """``keys, n, sketch``: rows and a HyperLogLog sketch of ``col`` (a relative error of about
+    1.6 / sqrt(2 ** lg_k)) per group. Stored by day or file, sketches answer for any set of
+    groups later (``merged_distinct``) without reading the rows again."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(col, F.lit(lg_k)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, n, distinct`` of coarser groups than those the sketches were made for."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
               target_rows: int = TARGET_ROWS) -> DataFrame:
     """Exact, linearly interpolated quantiles of any number of distinct values per group.

@@ -10,6 +10,7 @@ from quarry.operators import joins as J
 from quarry.operators import relational as R
 from quarry.operators import windows as W
 from quarry.plans.registry import job
+from quarry.session import materialize
 from quarry.sources.tables import table
 
 # ------------------------------------------------------------------ projection & sets
@@ -138,14 +139,15 @@ def q_join_broadcast(spark, sf):
 # Outer-join outputs: integer columns that are null for unmatched rows are returned as
 # DOUBLE in both the job and its SQL, so both engines hand over the same pandas dtype.
 @job("join_left", sql="""
-  SELECT d.doc_id, source, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  SELECT c_custkey, c_name, CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey
 """)
 def q_join_left(spark, sf):
-    d, lb = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels")
-    j = J.equi_join(d, lb, "doc_id", "left")
-    return j.select("doc_id", "source", F.col("quality").cast("double").alias("quality"),
-                    F.col("toxic").cast("double").alias("toxic"))
+    """Every customer with its orders; customers without any once."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    j = J.equi_join(c, o, c.c_custkey == o.o_custkey, "left")
+    return j.select("c_custkey", "c_name", F.col("o_orderkey").cast("double").alias("o_orderkey"), "o_totalprice")
 
 
 @job("join_right", sql="""
@@ -162,44 +164,36 @@ def q_join_right(spark, sf):
 
 
 @job("join_full", sql="""
-  WITH c AS (SELECT c_nationkey AS nk, CAST(floor(c_acctbal / 500) AS BIGINT) AS band, count(*) AS n_cust
-             FROM customer GROUP BY 1, 2),
-       s AS (SELECT s_nationkey AS nk, CAST(floor(s_acctbal / 500) AS BIGINT) AS band, count(*) AS n_supp
-             FROM supplier GROUP BY 1, 2)
-  SELECT coalesce(c.nk, s.nk) AS nationkey, coalesce(c.band, s.band) AS band,
-         CAST(n_cust AS DOUBLE) AS n_cust, CAST(n_supp AS DOUBLE) AS n_supp
-  FROM c FULL JOIN s ON c.nk = s.nk AND c.band = s.band
+  SELECT CAST(e.event_id AS DOUBLE) AS event_id, e.event_type, CAST(c.c_custkey AS DOUBLE) AS c_custkey, c.c_name
+  FROM events e FULL JOIN customer c ON e.user_id = c.c_custkey
 """)
 def q_join_full(spark, sf):
-    c = (table(spark, sf, "customer")
-         .groupBy(F.col("c_nationkey").alias("nk"), F.floor(F.col("c_acctbal") / 500).alias("band"))
-         .agg(F.count(F.lit(1)).alias("n_cust")))
-    s = (table(spark, sf, "supplier")
-         .groupBy(F.col("s_nationkey").alias("nk"), F.floor(F.col("s_acctbal") / 500).alias("band"))
-         .agg(F.count(F.lit(1)).alias("n_supp")))
-    j = J.equi_join(c.alias("c"), s.alias("s"),
-                    (F.col("c.nk") == F.col("s.nk")) & (F.col("c.band") == F.col("s.band")), "full")
-    return j.select(F.coalesce("c.nk", "s.nk").alias("nationkey"), F.coalesce("c.band", "s.band").alias("band"),
-                    F.col("n_cust").cast("double").alias("n_cust"),
-                    F.col("n_supp").cast("double").alias("n_supp"))
+    """Events and customers: users that are no customers, and customers without events."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    j = J.equi_join(e, c, e.user_id == c.c_custkey, "full")
+    return j.select(F.col("event_id").cast("double").alias("event_id"), "event_type",
+                    F.col("c_custkey").cast("double").alias("c_custkey"), "c_name")
 
 
 @job("join_semi", sql="""
-  SELECT doc_id, source, lang FROM documents d
-  WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+  SELECT c_custkey, c_name, c_mktsegment FROM customer
+  WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
 """)
 def q_join_semi(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return J.equi_join(d, table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    o = table(spark, sf, "orders").select("o_custkey")
+    return J.equi_join(c, o, c.c_custkey == o.o_custkey, "left_semi")
 
 
 @job("join_anti", sql="""
-  SELECT doc_id, source, lang FROM documents d
-  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+  SELECT c_custkey, c_name, c_mktsegment FROM customer
+  WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
 """)
 def q_join_anti(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return J.equi_join(d, table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    o = table(spark, sf, "orders").select("o_custkey")
+    return J.equi_join(c, o, c.c_custkey == o.o_custkey, "left_anti")
 
 
 # Overlapping price bands (name, low inclusive, high exclusive).
@@ -276,16 +270,16 @@ def q_agg_distinct(spark, sf):
 
 
 @job("agg_approx_distinct", sql="""
-  SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts, true AS within_5_percent
+  SELECT l_returnflag, count(*) AS n, CAST(round(log2(count(DISTINCT l_partkey))) AS BIGINT) AS parts_log2
   FROM lineitem GROUP BY 1
 """)
 def q_agg_approx_distinct(spark, sf):
-    """The sketch's count beside the exact one, and whether it is within 5 %."""
-    g = A.group_agg(table(spark, sf, "lineitem"), ["l_returnflag"], [
-        F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count(F.lit(1)).alias("n"),
-        F.countDistinct("l_partkey").alias("parts")])
-    near = F.abs(F.col("approx") - F.col("parts")) <= 0.05 * F.col("parts")
-    return g.select("l_returnflag", "n", "parts", near.alias("within_5_percent"))
+    """Size of the set of parts per return flag, as a power of two, from stored sketches of
+    each ship month merged on read."""
+    li = table(spark, sf, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
+    stored = materialize(A.distinct_sketches(li, ["l_returnflag", "month"], "l_partkey"), "sketches")
+    g = A.merged_distinct(stored, ["l_returnflag"])
+    return g.select("l_returnflag", "n", F.round(F.log2("distinct")).cast("bigint").alias("parts_log2"))
 
 
 @job("agg_percentile", sql="""

@@ -62,11 +62,18 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines with an explicit schema (no inference pass over the data), or with
-    inference when ``schema`` is None (one extra full scan; fine for small inputs)."""
+    inference when ``schema`` is None (one extra full scan). Texts in the form
+    ``write_json`` gives naive times are inferred as ``timestamp_ntz``."""
     r = spark.read.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if schema:
-        r = r.schema(schema)
-    return r.json(path)
+        return r.schema(schema).json(path)
+    # which of the two timestamp types is inferred follows the session's default type
+    kind = spark.conf.get("spark.sql.timestampType")
+    spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
+    try:
+        return r.option("inferTimestamp", "true").json(path)
+    finally:
+        spark.conf.set("spark.sql.timestampType", kind)
 
 
 # --- JDBC ----------------------------------------------------------------------------
