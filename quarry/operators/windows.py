@@ -238,20 +238,57 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
     ``ts`` in ``[ts - width, ts]`` (a RANGE frame, so equal timestamps are peers; rows
     with a null time are peers of each other).
 
-    Rows are first folded to one row per ``(key, ts)`` (partial aggregation), and these
-    are cut into time ranges (``with_bucket``). The frame of a row is then the sum of
-    three parts, none of which is a difference, so infinities, NaN and small addends among large ones
-    come out as in one frame:
+    Keys of up to ``target_rows`` rows take a plain window. The rows of others are folded to
+    one row per ``(key, ts)`` (partial aggregation), and these are cut into time ranges
+    (``with_bucket``; with ``bucket_seconds``, fixed ranges for all keys). The frame of a row is
+    then the sum of three parts, none of which is a difference, so infinities, NaN and small
+    addends among large ones come out as in one frame:
 
     * the rows of its own range: a RANGE frame inside ``(key, range)``;
     * if the frame begins in an earlier range, the end of that range: running sums from
       the end, looked up at ``ts - width``;
-    * the whole ranges between: per-range sums.
+    * the whole ranges between: partial sums of 1, 2, 4, ... ranges (``dyadic``), of which any
+      run of ranges needs two per power of two at most.
 
     No window group is larger than a range, so a hot key or a dense burst is spread over
     many tasks whatever the frame width.
     """
     w_us = int(width_seconds) * 1_000_000
+    if not bucket_seconds:
+        light, hot = scan.split_hot(df, [key], target_rows)
+        frame = Window.partitionBy(key).orderBy("_a").rangeBetween(-w_us, 0)
+        rows = (light.withColumn("_a", micros(df, ts_col))
+                     .select(*df.columns, F.count(F.lit(1)).over(frame).alias("n_trailing"), F.sum(value).over(frame).alias("sum_trailing")))
+        if hot is None:
+            return rows
+        return rows.unionByName(_trailing_split(hot, key, ts_col, value, w_us, None, target_rows))
+    return _trailing_split(df, key, ts_col, value, w_us, bucket_seconds, target_rows)
+
+
+def dyadic(spans: DataFrame, per_range: DataFrame, key: str, lo: str, hi: str, sums: Sequence[str]) -> DataFrame:
+    """``key, lo, hi`` with ``sums`` added up over the ranges ``_x`` of ``per_range`` strictly
+    between ``lo`` and ``hi``: a segment tree as a table. Level l holds the sums of blocks of
+    2**l ranges; a span takes at most two blocks of each level."""
+    longest = spans.agg(F.max(F.col(hi) - F.col(lo)).alias("n")).first()["n"] or 0
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(longest).bit_length() - 1)))
+    blocks = (per_range.select(key, "_x", *sums, F.explode(levels).alias("_l"))
+                       .groupBy(key, "_l", F.expr("shiftright(_x, _l)").alias("_i")).agg(*[F.sum(c).alias(c) for c in sums]))
+
+    def taken(at: Column) -> Column:
+        # [first, last) in blocks of this level; an odd border is not covered by the level above
+        first = -F.call_function("shiftright", -(F.col(lo) + 1), at)
+        last = F.call_function("shiftright", F.col(hi), at)
+        some = first < last
+        return F.array_compact(F.array(F.when(some & (first.bitwiseAND(1) == 1), F.struct(at.alias("l"), first.alias("i"))),
+                                       F.when(some & (last.bitwiseAND(1) == 1), F.struct(at.alias("l"), (last - 1).alias("i")))))
+    need = (spans.withColumn("_t", F.explode(F.flatten(F.transform(levels, taken))))
+                 .select(key, lo, hi, F.col("_t.l").alias("_l"), F.col("_t.i").alias("_i")))
+    return join_on(need, blocks, [key, "_l", "_i"]).groupBy(key, lo, hi).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _trailing_split(df: DataFrame, key: str, ts_col: str, value: str, w_us: int,
+                    bucket_seconds: int | None, target_rows: int) -> DataFrame:
+    """``trailing_range`` over time ranges."""
     g = (df.groupBy(key, ts_col)
            .agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
            .withColumn("_a", micros(df, ts_col)))
@@ -286,10 +323,9 @@ def trailing_range(df: DataFrame, key: str, ts_col: str, value: str, width_secon
                                            F.col("_next.s").alias("_s1")))
     # the whole ranges between: one row per (key, first range, last range) in use
     per_range = g.groupBy(key, F.col("_b").alias("_x")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    spans = (g.where("_b - _bl > 1").select(key, "_bl", "_b").distinct()
-              .withColumn("_x", F.explode(F.sequence(F.col("_bl") + 1, F.col("_b") - 1))))
-    between = (join_on(spans, per_range, [key, "_x"]).groupBy(key, "_bl", "_b")
-               .agg(F.sum("_n").alias("_n2"), F.sum("_s").alias("_s2")))
+    spans = g.where("_b - _bl > 1").select(key, "_bl", "_b").distinct()
+    between = (dyadic(spans, per_range, key, "_bl", "_b", ["_n", "_s"])
+               .select(key, "_bl", "_b", F.col("_n").alias("_n2"), F.col("_s").alias("_s2")))
     j = join_on(join_on(here, begun, [key, "_a"], "left"), between, [key, "_bl", "_b"], "left")
     parts = [F.col(f"_s{i}") for i in range(3)]
     zero = F.lit(0).cast(g.schema["_s"].dataType)
