@@ -4,15 +4,16 @@ partitioning and shuffles stay Spark's."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udtf, pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quarry.operators.windows import join_on
 
@@ -71,26 +72,23 @@ def quantity_spread(lineitem: DataFrame) -> DataFrame:
     return partial.groupBy("l_orderkey").agg((F.max("q_max") - F.min("q_min")).alias("qty_spread"))
 
 
-@udtf(useArrow=True, returnType=StructType([StructField("line_no", IntegerType()),
-                              StructField("line", StringType()),
-                              StructField("n_chars", IntegerType())]))
+@arrow_udtf(returnType=StructType([StructField("doc_id", LongType()), StructField("line_no", IntegerType()),
+                                   StructField("line", StringType()), StructField("n_chars", IntegerType())]))
 class TextLines:
-    """Row to many rows: the lines of one text with their 1-based numbers."""
+    """Rows to many rows: the lines of the texts of one Arrow batch with their 1-based
+    numbers, cut by Arrow. A null text has no lines."""
 
-    def eval(self, text: str) -> Iterator[tuple[int, str, int]]:
-        if text is None:
-            return
-        for i, line in enumerate(text.split("\n"), start=1):
-            yield i, line, len(line)
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        cut = pc.split_pattern(batch.column("text").cast(pa.large_string()), "\n")
+        doc, lines = pc.list_parent_indices(cut), pc.list_flatten(cut)
+        size = pc.fill_null(pc.list_value_length(cut), 0).to_numpy()
+        before = np.cumsum(size) - size
+        number = np.arange(1, len(lines) + 1) - np.repeat(before, size)
+        yield pa.table({"doc_id": batch.column("doc_id").take(doc), "line_no": pa.array(number, pa.int32()),
+                        "line": lines.cast(pa.string()), "n_chars": pc.utf8_length(lines).cast(pa.int32())})
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """Lateral join of every document with its lines (SQL ``LATERAL`` over the UDTF); the
-    view and the function have names of their own, so the caller's are left alone."""
-    spark = documents.sparkSession
-    name = f"lines_{uuid.uuid4().hex[:12]}"
-    spark.udtf.register(name, TextLines)
-    documents.createOrReplaceTempView(f"{name}_docs")
-    out = spark.sql(f"SELECT d.doc_id, t.line_no, t.line, t.n_chars FROM {name}_docs d, LATERAL {name}(d.text) t")
-    spark.catalog.dropTempView(f"{name}_docs")
-    return out
+    """``doc_id, line_no, line, n_chars`` of every line of every document, by a table
+    function over the whole table that sees Arrow batches, not rows."""
+    return TextLines(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").asTable())

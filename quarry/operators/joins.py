@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.windows import NULL_RANGE, TARGET_ROWS, join_on, micros, with_bucket
 from quarry.plans.broadcast import fits, small_side
+from quarry.session import materialize
 
 
 def equi_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -36,6 +37,48 @@ def theta_join(big: DataFrame, small: DataFrame, condition, how: str = "inner",
     return big.join(F.broadcast(small), condition, how)
 
 
+# Cells the axis of a band join is cut into, as a power of two.
+BAND_LEVELS = 20
+
+
+def band_join(rows: DataFrame, value: str, bands: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows with the bands that hold their value: ``lo <= value < hi`` (inner join; columns
+    of the two sides need different names). Both sides may be of any size.
+
+    The axis from the least to the greatest value is cut into 2**``BAND_LEVELS`` cells, and a
+    band's cells into blocks of 1, 2, 4, ... cells, at most two of each size. A value looks in
+    its one block of each size that some band uses: an equi join on (size, block), then the
+    exact test. Blocks of a band do not overlap, so a pair is found once; nothing is paired that
+    does not share a block. A null or NaN value and a null bound match nothing; a NaN upper
+    bound lies above all values, as Spark orders it."""
+    cells = 1 << BAND_LEVELS
+    v = F.col(value).cast("double")
+    finite = rows.where(F.abs(v) < float("inf")).agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
+    low, high = finite["a"] or 0.0, finite["b"] or 0.0
+
+    def cell(x: Column) -> Column:
+        # never falls as x rises
+        inner = F.floor((x - F.lit(low)) * F.lit(cells / (high - low) if high > low and cells / (high - low) < float("inf") else 0.0))
+        return F.when(x <= low, 0).when(x >= high, cells - 1).otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(cells - 1))).cast("bigint")
+
+    def taken(at: Column) -> Column:
+        first = -F.call_function("shiftright", -F.col("_lo"), at)
+        end = F.call_function("shiftright", F.col("_hi") + 1, at)
+        some = first < end
+        return F.array_compact(F.array(F.when(some & (first.bitwiseAND(1) == 1), F.struct(at.alias("l"), first.alias("i"))),
+                                       F.when(some & (end.bitwiseAND(1) == 1), F.struct(at.alias("l"), (end - 1).alias("i")))))
+    left, right = F.col(lo).cast("double"), F.col(hi).cast("double")
+    cut = bands.where((left < right) & ~F.isnan(left)).withColumns({"_lo": cell(left), "_hi": cell(right)})
+    cut = cut.withColumn("_t", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BAND_LEVELS)), taken))))
+    cut = materialize(cut.select(*bands.columns, F.col("_t.l").alias("_l"), F.col("_t.i").alias("_i")), "band-blocks")
+    used = [r["_l"] for r in cut.select("_l").distinct().collect()]   # at most BAND_LEVELS + 1
+    at = (rows.where(v.isNotNull() & ~F.isnan(v)).withColumn("_c", cell(v))
+              .withColumn("_vl", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")))
+              .withColumn("_vi", F.expr("shiftright(_c, _vl)")))
+    j = at.join(cut, (F.col("_vl") == F.col("_l")) & (F.col("_vi") == F.col("_i")))
+    return j.where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).select(*rows.columns, *bands.columns)
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str,
                   width_seconds: int, lower_open: bool = True) -> DataFrame:
     """Pairs ``(l, r)`` with equal ``key`` and ``l.ts < r.ts <= l.ts + width``

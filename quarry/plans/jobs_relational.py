@@ -208,8 +208,18 @@ PRICE_BANDS = [("small", 0.0, 50000.0), ("medium", 25000.0, 150000.0),
 def q_join_theta(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     bands = spark.createDataFrame(PRICE_BANDS, "band string, lo double, hi double")
-    j = J.theta_join(o, bands, (o.o_totalprice >= bands.lo) & (o.o_totalprice < bands.hi))
-    return j.select("o_orderkey", "band")
+    return J.band_join(o, "o_totalprice", bands, "lo", "hi").select("o_orderkey", "band")
+
+
+@job("join_theta_bands", sql="""
+  SELECT o_orderkey, c_custkey FROM orders JOIN customer
+    ON o_totalprice >= c_acctbal * 30 AND o_totalprice < c_acctbal * 30 + 5
+""")
+def q_join_theta_bands(spark, sf):
+    """Orders against a price band of every customer."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") * 30).alias("lo"), (F.col("c_acctbal") * 30 + 5).alias("hi"))
+    return J.band_join(o, "o_totalprice", c, "lo", "hi").select("o_orderkey", "c_custkey")
 
 
 @job("join_interval", sql="""

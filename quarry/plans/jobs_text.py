@@ -143,9 +143,14 @@ def q_file_inventory(spark, sf):
 
 @job("checksum_audit")
 def q_checksum_audit(spark, sf):
-    """Publish a manifest of the table files, then audit the files against it."""
+    """Publish a manifest of the table files in which one digest is altered, one file is left
+    out and one is listed that does not exist; then audit the files against it."""
     from quarry.sources import files
-    manifest_path = scratch_path(spark, "manifest")
-    files.write_manifest(files.file_digests(spark, sf, "*.parquet"), manifest_path)
-    return files.checksum_audit(files.file_digests(spark, sf, "*.parquet"),
-                                files.read_manifest(spark, manifest_path))
+    found = files.file_digests(spark, sf, "*.parquet")
+    ends = found.agg(F.min("file").alias("first"), F.max("file").alias("last")).first()
+    listed = found.where(F.col("file") != ends["last"])
+    listed = listed.select("file", F.when(F.col("file") == ends["first"], F.sha2("actual", 512)).otherwise(F.col("actual")).alias("actual"))
+    absent = spark.range(1).select(F.lit(f"{ends['last']}.absent").alias("file"), F.sha2(F.lit("absent"), 512).alias("actual"))
+    path = scratch_path(spark, "manifest")
+    files.write_manifest(listed.unionByName(absent), path)
+    return files.checksum_audit(files.file_digests(spark, sf, "*.parquet"), files.read_manifest(spark, path))

@@ -22,8 +22,8 @@ def test_no_cartesian_products(plans):
     assert [n for n, p in plans.items() if "CartesianProduct" in p] == []
 
 
-def test_nested_loop_join_only_for_theta(plans):
-    assert [n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p] == ["join_theta"]
+def test_no_nested_loop_join(plans):
+    assert [n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p] == []
 
 
 def test_no_row_at_a_time_python(plans):
