@@ -1,10 +1,10 @@
 """Graph jobs over vertex / edge DataFrames (``id``; ``src``, ``dst`` with
 ``src < dst``, undirected).
 
-Iterative jobs write the mirrored edge list once into the shared folder as a table
-bucketed by ``src`` (``edge_table``). Every round joins the vertex-sized state (ranks,
-labels, a frontier) to it: the state is shuffled into the buckets, the edge list never
-moves again. Round results are written as Parquet into the shared folder
+Iterative jobs write the mirrored edge list once into the shared folder as a bucketed
+table (``cut_edges``). Every round joins the vertex-sized state (ranks, a frontier) to it: the
+state is shuffled into the buckets, the edge list never moves again. The edges of a hub are
+dealt to several buckets (a vertex cut), and its state goes to each of them. Round results are written as Parquet into the shared folder
 (``_Rounds``): each round is computed once, lineage stays a few rounds deep, and a
 lost executor costs at most the rounds since the last write.
 """
@@ -12,10 +12,12 @@ lost executor costs at most the rounds since the last write.
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.broadcast import small_side
 from quarry.session import materialize, scratch_path, shuffle_partitions
 
 SAVE_EVERY = 3
@@ -34,6 +36,43 @@ def edge_table(edges: DataFrame, name: str = "edges") -> DataFrame:
     return spark.table(tname)
 
 
+# Edges of a vertex one bucket may hold; a vertex with more is cut.
+HUB_EDGES = 1_000_000
+
+
+class CutEdges(NamedTuple):
+    """``edges``: both directions as ``src, part, dst``, bucketed by (``src``, ``part``).
+    ``degree``: ``src, deg`` of every vertex with edges. ``hubs``: ``src, parts`` of the cut ones."""
+
+    edges: DataFrame
+    degree: DataFrame
+    hubs: DataFrame
+
+    def replicated(self, state: DataFrame) -> DataFrame:
+        """``state`` (a row or more per ``src``) with ``part``: the rows of a hub once for each
+        part of its edges, those of other vertices once."""
+        parts = F.sequence(F.lit(0), (F.coalesce("parts", F.lit(1)) - 1).cast("int"))
+        return state.join(small_side(self.hubs), "src", "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
+def cut_edges(edges: DataFrame, name: str = "edges", hub_edges: int | None = None) -> CutEdges:
+    """Both directions of ``edges`` as a table in the shared folder, bucketed by ``src`` and, for
+    vertices with more than ``hub_edges`` edges, by a hash of ``dst`` as well: no bucket holds
+    more of a vertex, whatever its degree. There are at most 2 * edges / ``hub_edges`` hubs."""
+    spark = edges.sparkSession
+    bound = hub_edges or HUB_EDGES
+    n = shuffle_partitions(spark)
+    both = mirrored(edges)
+    degree = materialize(both.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), name + "-degree")
+    hubs = materialize(degree.where(F.col("deg") > bound).select("src", F.ceil(F.col("deg") / bound).alias("parts")), name + "-hubs")
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+    path = scratch_path(spark, name)
+    tname = f"quarry_{name.replace('-', '_')}_{path.rsplit('-', 1)[-1]}"
+    (both.join(small_side(hubs), "src", "left").select("src", part.alias("part"), "dst")
+         .repartition(n, "src", "part").write.bucketBy(n, "src", "part").option("path", path).saveAsTable(tname))
+    return CutEdges(spark.table(tname), degree, hubs)
+
+
 class _Rounds:
     """Writes round results as Parquet into the shared folder, alternating two paths:
     the round being written only reads the other one, so disk holds two rounds."""
@@ -84,7 +123,7 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
-             damping: float = 0.85) -> DataFrame:
+             damping: float = 0.85, hub_edges: int | None = None) -> DataFrame:
     """PageRank on the undirected graph (both directions), fixed iterations, ranks
     summing to 1. Dangling vertices spread their rank evenly over all vertices.
 
@@ -95,9 +134,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     bucketed edges plus one partial aggregation by target, with no per-round action.
     Ranks are referenced once per round and written every few rounds."""
     spark = vertices.sparkSession
-    e = edge_table(edges, "pagerank-edges")
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))   # bucketed: no shuffle
-    v = vertices.select("id").join(outdeg.withColumnRenamed("src", "id"), "id", "left")
+    cut = cut_edges(edges, "pagerank-edges", hub_edges)
+    v = vertices.select("id").join(cut.degree.withColumnRenamed("src", "id"), "id", "left")
     v = materialize(v, "pagerank-vertices")
     n = v.count()
     if n == 0:
@@ -109,7 +147,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 10,
     for i in range(iterations):
         share = ranks.where(F.col("deg").isNotNull()).select(
             F.col("id").alias("src"), (F.col("pr") / F.col("deg")).alias("c"))
-        contrib = (e.join(share.hint("shuffle_hash"), "src")
+        contrib = (cut.edges.join(cut.replicated(share).hint("shuffle_hash"), ["src", "part"])
                     .groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("in_c")))
         dm = k * q
         ranks = v.join(contrib, "id", "left").select(
@@ -192,15 +230,18 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles, each once: ``(a, b, c)`` with ``a < b < c``."""
-    o = _oriented(edges)
-    w1, w2 = o.alias("w1"), o.alias("w2")
-    wedges = w1.join(w2, (F.col("w1.u") == F.col("w2.u")) & (F.col("w1.w") < F.col("w2.w")))
-    wedges = wedges.select(F.col("w1.u").alias("x"), F.col("w1.w").alias("y"), F.col("w2.w").alias("z"))
-    closing = mirrored(edges).select(F.col("src").alias("y"), F.col("dst").alias("z"))
-    tri = wedges.join(closing, ["y", "z"], "left_semi")
-    s = F.sort_array(F.array("x", "y", "z"))
-    return tri.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+    """Triangles, each once: ``(a, b, c)`` with ``a < b < c``.
+
+    The out-neighbours of a vertex in the oriented graph are one array of O(sqrt(edges))
+    items. Each oriented edge meets the arrays of its two ends, and their intersection closes
+    its triangles: one row per edge between the steps, no list of wedges."""
+    o = materialize(_oriented(edges), "oriented")
+    out = o.groupBy("u").agg(F.sort_array(F.collect_list("w")).alias("near"))
+    ends = (o.join(out.select("u", F.col("near").alias("of_u")), "u")
+             .join(out.select(F.col("u").alias("w"), F.col("near").alias("of_w")), "w"))
+    closed = ends.select("u", "w", F.explode(F.array_intersect("of_u", "of_w")).alias("z"))
+    s = F.sort_array(F.array("u", "w", "z"))
+    return closed.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
 def triangle_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,7 +263,8 @@ def open_two_hop(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.expr("degree * (degree - 1) div 2 - triangles").alias("open_wedges"))
 
 
-def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int]) -> DataFrame:
+def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int],
+             hub_edges: int | None = None) -> DataFrame:
     """``landmark, id, hops`` for every vertex reachable from each landmark.
 
     Frontier expansion: neighbours of the frontier (joined to the bucketed edges) not
@@ -231,7 +273,7 @@ def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int]) -> Dat
     folder and the result is its read; nothing is rewritten. Runs until a frontier is
     empty, so every reachable vertex is found."""
     spark = vertices.sparkSession
-    e = edge_table(edges, "bfs-edges")
+    cut = cut_edges(edges, "bfs-edges", hub_edges)
     out = scratch_path(spark, "bfs-hops")
     schema = "landmark bigint, id bigint, hops int"
     lm = spark.createDataFrame([(int(x),) for x in landmarks], "landmark long")
@@ -240,7 +282,8 @@ def bfs_hops(vertices: DataFrame, edges: DataFrame, landmarks: list[int]) -> Dat
     for r in itertools.count(1):
         frontier = spark.read.schema("landmark bigint, id bigint").parquet(f"{out}/hops={r - 1}")
         visited = spark.read.schema(schema).parquet(out).select("landmark", "id")
-        nxt = (e.join(frontier.select("landmark", F.col("id").alias("src")).hint("shuffle_hash"), "src")
+        reach = cut.replicated(frontier.select("landmark", F.col("id").alias("src")))
+        nxt = (cut.edges.join(reach.hint("shuffle_hash"), ["src", "part"])
                 .select("landmark", F.col("dst").alias("id")).distinct()
                 .join(visited, ["landmark", "id"], "left_anti"))
         nxt.write.parquet(f"{out}/hops={r}")
