@@ -282,7 +282,7 @@ def closing_rows(events: DataFrame, after: str) -> DataFrame:
 
 
 # Rows a slice of a replay holds at most (one file, one micro-batch), and slices at least.
-ROWS_PER_SLICE, LEAST_SLICES = 5_000_000, 4
+ROWS_PER_SLICE, LEAST_SLICES = 5_000_000, 3
 
 
 def time_slices(events: DataFrame, by: Column | None = None, rows_per_slice: int = ROWS_PER_SLICE,
