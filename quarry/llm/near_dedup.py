@@ -22,15 +22,22 @@ Verified links are joined into classes; a pair of one class needs no further tes
 2. In each bucket that still holds several classes, the nodes of other classes are
    compared with the node that has most links (in a group of edited copies that is the
    text they were made from).
-3. Nodes of different classes that still share a bucket are held against each other by a
-   sketch: ``SKETCH`` further registers of four bits each, compared inside the join with a
-   few machine words. Pairs that agree in ``AGREE`` of them (4.5 standard deviations below
-   the mean at similarity 0.8, so a pair of that similarity is missed with probability
-   4e-6) come out and are compared exactly.
-
-No step is capped, and none emits all pairs of a bucket. (The third step looks at all pairs
-of different classes in a bucket, though only at their sketches: edited copies that are all
-a little below the threshold cannot be told apart by fewer buckets.)
+3. Nodes that still share a bucket with another class go through an exact prefix join
+   (``prefix_pairs``): their shingles are ordered from rare to frequent, and a pair is compared
+   only if it meets in a shingle that lies early enough in both orders for 0.8 to be possible.
+
+*The bound of the prefix join.* Let P and Q be the shares of the two texts' weights that lie
+on shingles of both. The larger of two ratios is at least their mean, and the weighted harmonic
+mean is superadditive, so the similarity is at most 1 / (1/P + 1/Q - 1), with equality where no
+shingle repeats. At 0.8 this asks for 1/P + 1/Q <= 2.25. What stands before the first common
+shingle is not common: with shares M and N before it, P <= 1 - M and Q <= 1 - N, so both are at
+most 1/5 and one of them is at most 1/9. The common weights of the two texts differ by no more
+than their repeats, which bounds P by Q and the lengths, and the other way round. Edited copies
+that are all a little below the threshold each begin with a ninth of shingles of their own, so
+they do not meet at all.
+
+No step is capped, and none emits all pairs of a bucket. (Texts of many classes that are mostly
+made of the same passages, none of which is rare, do meet in those.)
 
 Edge cases: a null, empty or blank text has no shingles and is a class of its own; a null
 id sorts after all others; repeated rows are one class, of which one row is kept (the least
@@ -46,7 +53,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.arrowtext import Texts, mix, powers, texts, windows, word_hashes
@@ -56,10 +63,13 @@ from quarry.session import materialize
 WORDS, MIN_SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
-SKETCH = 512
-# registers of four bits also agree by chance, once in sixteen
-AGREE = int(SKETCH * (MIN_SIMILARITY + (1 - MIN_SIMILARITY) / 16)
-            - 4.5 * (SKETCH * (MIN_SIMILARITY * 15 / 16 + 1 / 16) * (1 - MIN_SIMILARITY) * 15 / 16) ** 0.5)
+# what 1/P + 1/Q may be at the least similarity; shares before a shingle: in both texts, in one of them
+LIMIT = 1 + 1 / MIN_SIMILARITY
+LONG, SHORT = 1 - 1 / (LIMIT - 1), 1 - 2 / LIMIT
+# shares are sums in doubles: pairs right at a bound stay
+SLACK = 1e-9
+#: Shingles in one Arrow batch of ``occurrences``.
+SLICE = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _REGISTER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,23 +146,6 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(key + np.arange(1, bands + 1, dtype=np.uint64) * _REGISTER)
 
 
-def pack_sketch(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen registers to a 64-bit word."""
-    bits = mix(sig + np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * _REGISTER) & np.uint64(15)
-    parts = bits.reshape(len(sig), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(parts, axis=2)
-
-
-def agreement(a: Column, b: Column) -> Column:
-    """Registers in which two packed sketches agree."""
-    def differ(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        return F.bit_count(z)
-    return F.lit(SKETCH) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, d: n + d)
-
-
 def _bounds(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
@@ -182,9 +175,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bags(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, h, count, sketch): the weighted shingles of the nodes' texts as binary arrays
-    (``count`` empty if all are 1) and ``SKETCH`` registers of four bits, sixteen to a long.
-    One shuffle of the texts, copies folded first."""
+    """(node, h, count, total): the weighted shingles of the nodes' texts as binary arrays
+    (``count`` empty if all are 1) and the sum of the weights. One shuffle of the texts, copies
+    folded first."""
     def make() -> Callable:
         def fn(batch: pa.RecordBatch):
             for t in texts(batch.column(1)):
@@ -193,18 +186,42 @@ def bags(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
                 hs = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 cs = [count[a:b].tobytes() if b > a and count[a:b].max() > 1 else b""
                       for a, b in zip(at[:-1], at[1:], strict=True)]
-                sketch = pack_sketch(signatures(doc, h, count, t.n, SKETCH))
-                offs = np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32)
+                total = np.bincount(doc, weights=count, minlength=t.n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(t.first, t.n), pa.array(hs, pa.binary()), pa.array(cs, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offs), pa.array(sketch.view(np.int64).ravel()))],
-                    names=["node", "h", "count", "sketch"])
+                    [batch.column(0).slice(t.first, t.n), pa.array(hs, pa.binary()), pa.array(cs, pa.binary()), pa.array(total)],
+                    names=["node", "h", "count", "total"])
         return fn
     text = F.coalesce(col(text_col), F.lit(""))
     whole = (docs.select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"), text.alias("text"))
                  .groupBy("text_key").agg(F.first("text").alias("text")))
     return map_arrow(whole.join(nodes, "text_key").select("node", "text"), make,
-                     "node long, h binary, count binary, sketch array<long>")
+                     "node long, h binary, count binary, total long")
+
+
+def occurrences(bag: DataFrame) -> DataFrame:
+    """(node, shingle, weight): one row per shingle of each node."""
+    def make() -> Callable:
+        def fn(batch: pa.RecordBatch):
+            nodes, hs, cs, held = [], [], [], 0
+
+            def rows():
+                n = [len(h) for h in hs]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.concatenate(hs).view(np.int64)),
+                     pa.array(np.concatenate(cs))], names=["node", "shingle", "weight"])
+            for i in range(batch.num_rows):
+                h, c = batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()
+                nodes.append(batch.column(0)[i].as_py())
+                hs.append(np.frombuffer(h, np.uint64))
+                cs.append(np.frombuffer(c, np.int64) if c.size else np.ones(len(hs[-1]), np.int64))
+                held += len(hs[-1])
+                if held >= SLICE:
+                    yield rows()
+                    nodes, hs, cs, held = [], [], [], 0
+            if nodes:
+                yield rows()
+        return fn
+    return map_arrow(bag.select("node", "h", "count"), make, "node long, shingle long, weight long")
 
 
 def similarity(ha: np.ndarray, ca: np.ndarray | None, hb: np.ndarray, cb: np.ndarray | None) -> float:
@@ -295,13 +312,51 @@ def hub_pairs(held: DataFrame, links: DataFrame) -> DataFrame:
         (-F.col("hub.order")).alias("x"), F.col("node").alias("y"))
 
 
-def sketch_pairs(held: DataFrame, bag: DataFrame) -> DataFrame:
-    """(x, y): nodes of different classes in one bucket whose sketches agree."""
-    rows = held.join(bag.select("node", "sketch"), "node")
-    x = rows.select("key", F.col("node").alias("x"), F.col("class").alias("of_x"), F.col("sketch").alias("sx"))
-    y = rows.select("key", F.col("node").alias("y"), F.col("class").alias("of_y"), F.col("sketch").alias("sy"))
-    near = (F.col("of_x") < F.col("of_y")) & (agreement(F.col("sx"), F.col("sy")) >= AGREE)
-    return x.join(y, (x["key"] == y["key"]) & near).select("x", "y")
+def prefix_entries(held: DataFrame, bag: DataFrame) -> DataFrame:
+    """(shingle, node, class, ahead, total, excess) of the shingles in which a node may meet a
+    similar node of another class first. ``ahead``: the share of its weight on rarer shingles,
+    ``excess``: its weight beyond 1 per shingle.
+
+    A shingle stays if it is at most ``LONG`` ahead, several classes have it, and the node is at
+    most ``SHORT`` ahead or long enough for some node that is."""
+    own = bag.join(held.select("node", "class").distinct(), "node")
+    rows = materialize(occurrences(own), "occurrences")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    node = Window.partitionBy("node")
+    order = node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = rows.join(often, "shingle").select(
+        "node", "shingle", (F.sum("weight").over(order) - F.col("weight") - F.sum("weight").over(node)).alias("from_end"))
+    sizes = own.select("node", "class", "total", (F.col("total") - F.octet_length("h") / 8).alias("excess"))
+    entries = materialize(
+        shared.join(sizes, "node").withColumn("ahead", (F.col("total") + F.col("from_end")) / F.col("total"))
+              .where(F.col("ahead") <= LONG + SLACK).drop("from_end"), "entries")
+    short = F.col("ahead") <= SHORT + SLACK
+    met = entries.groupBy("shingle").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"),
+        F.min(F.when(short, F.col("total") - LIMIT / 2 * F.col("excess"))).alias("shortest")).where("lo <> hi")
+    reach = (LIMIT * (1 - F.col("ahead")) - 1) * F.col("total") + SLACK * F.col("total")
+    return entries.join(met, "shingle").where(short | (F.col("shortest") <= reach)).drop("lo", "hi", "shortest")
+
+
+def prefix_pairs(held: DataFrame, bag: DataFrame) -> DataFrame:
+    """(x, y): nodes of different classes that can be similar, by the bound of the prefix join.
+    A shingle's most frequent class meets its other classes only, never itself."""
+    entries = materialize(prefix_entries(held, bag), "entries")
+    most = (entries.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("shingle").agg(F.max(F.struct("n", "class")).alias("most"))
+                   .select("shingle", F.col("most.class").alias("main")))
+    at = entries.join(most, "shingle")
+    x = at.where("class <> main").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "class", "ahead", "total", "excess")])
+    y = at.select("shingle", "main", *[F.col(c).alias(f"{c}_y") for c in ("node", "class", "ahead", "total", "excess")])
+
+    def share(a: str, b: str) -> Column:
+        """The most of a's weight that can be common to a and b."""
+        common = (1 - F.col(f"ahead_{b}")) * F.col(f"total_{b}") + F.col(f"excess_{a}")
+        return F.least(1 - F.col(f"ahead_{a}"), common / F.col(f"total_{a}"))
+    near = 1 / share("x", "y") + 1 / share("y", "x") <= LIMIT + SLACK
+    once = (F.col("class_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))
+    return x.join(y, (x["shingle"] == y["shingle"]) & (F.col("class_x") != F.col("class_y")) & once & near).select(
+        F.col("node_x").alias("x"), F.col("node_y").alias("y"))
 
 
 def link_classes(members: DataFrame, bag: DataFrame) -> DataFrame:
@@ -310,7 +365,7 @@ def link_classes(members: DataFrame, bag: DataFrame) -> DataFrame:
     tested = materialize(_ordered(star), "pairs")
     links = materialize(compare(tested, bag), "links")
     linked = components(links)
-    for find in (lambda held: hub_pairs(held, links), lambda held: sketch_pairs(held, bag)):
+    for find in (lambda held: hub_pairs(held, links), lambda held: prefix_pairs(held, bag)):
         held = materialize(_open(members, linked), "open")
         if held.isEmpty():
             break

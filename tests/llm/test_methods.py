@@ -264,25 +264,6 @@ def test_page_parts():
     assert {t for _, t, _, dropped, _ in page.blocks if dropped} == {"site", "menu", "ok", "reader", "f", "go", "side", "foot"}
 
 
-def test_sketches_tell_similar_from_less_similar():
-    from quarry.llm.near_dedup import AGREE, SKETCH, pack_sketch
-    r = np.random.default_rng(12)
-    found = {}
-    for share in (0.9, 0.6):  # of 300 shingles kept: similarity 0.82 and 0.43
-        n = 0
-        for _ in range(60):
-            a = np.unique(r.integers(0, 1 << 54, 300).astype(np.uint64))
-            k = int(share * len(a))
-            b = np.unique(np.concatenate([a[:k], r.integers(0, 1 << 54, len(a) - k).astype(np.uint64)]))
-            doc = np.repeat([0, 1], [len(a), len(b)])
-            x, y = pack_sketch(signatures(doc, np.concatenate([a, b]), np.ones(len(doc), np.int64), 2, SKETCH))
-            bits = x ^ y
-            agree = SKETCH - sum(int(bits[i] >> np.uint64(4 * j)) & 15 != 0 for i in range(len(bits)) for j in range(16))
-            n += agree >= AGREE
-        found[share] = n
-    assert found == {0.9: 60, 0.6: 0}
-
-
 def kept(source):
     page = html_text.Page(source)
     return [t for (_, t, _, dropped, _), a in zip(page.blocks, page.around, strict=True) if not dropped and a < 0]

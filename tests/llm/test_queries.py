@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import classes, counts
+from brute import classes, counts, probability_jaccard
 from compare import same
 from conftest import SF_SMALL, duck_for
 from tokenizers import Tokenizer
@@ -33,7 +33,7 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in jobs.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in jobs.QUERIES) == list(range(1, 14))
 
 
 def copies(seed=1):
@@ -89,6 +89,55 @@ def test_leaders_and_leftover_pairs(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == classes(docs)
 
 
+def bag_rows(bags):
+    """Rows (node, h, count, total) of weighted shingles as ``near_dedup.bags`` makes them."""
+    for i, b in enumerate(bags):
+        h, c = np.array(sorted(b), np.uint64), np.array([b[k] for k in sorted(b)], np.int64)
+        yield i, h.tobytes(), c.tobytes() if c.max() > 1 else b"", int(c.sum())
+
+
+def prefix_pairs(spark, bags, class_of=lambda i: i):
+    bag = spark.createDataFrame([(i, bytearray(h), bytearray(c), n) for i, h, c, n in bag_rows(bags)],
+                                "node long, h binary, count binary, total long")
+    held = spark.createDataFrame([(7, i, class_of(i)) for i in range(len(bags))], "key long, node long, class long")
+    return [tuple(sorted(r)) for r in near_dedup.prefix_pairs(held, bag).collect()]
+
+
+@pytest.mark.parametrize("repeats", [0, 0.05, 0.5])
+def test_prefix_join_loses_no_similar_pair(spark, repeats):
+    """Weighted sets around the threshold: parts of a few bases with shingles added, removed and
+    repeated. Every pair of different classes that is similar comes out."""
+    r = random.Random(5)
+    bags = []
+    for _ in range(6):
+        base = [r.getrandbits(54) for _ in range(r.randint(5, 60))]
+        for _ in range(40):
+            part = r.sample(base, max(1, round(len(base) * r.uniform(0.75, 1))))
+            part += [r.getrandbits(54) for _ in range(round(len(base) * r.uniform(0, 0.15)))]
+            times = r.choice([1, 1, 2])
+            bags.append(collections.Counter({s: times * (r.randint(1, 4) if r.random() < repeats else 1) for s in part}))
+    want = {(i, j) for j in range(len(bags)) for i in range(j)
+            if i % 5 != j % 5 and probability_jaccard(bags[i], bags[j]) >= 0.8}
+    got = set(prefix_pairs(spark, bags, lambda i: i % 5))
+    assert len(want) > 100 and want <= got
+    assert not any(i % 5 == j % 5 for i, j in got)
+
+
+def test_prefix_join_grows_with_the_group(spark):
+    """Edited copies of one text, each of its own class and all a little below the threshold to
+    the others: candidates are no pairs of the group, but in proportion to it."""
+    r = random.Random(6)
+    base = [r.getrandbits(54) for _ in range(400)]
+    rows = {}
+    for n in (100, 200, 400):
+        bags = []
+        for _ in range(n):
+            out = set(r.sample(range(400), 50))
+            bags.append({s: 1 for s in [s for i, s in enumerate(base) if i not in out] + [r.getrandbits(54) for _ in out]})
+        rows[n] = len(prefix_pairs(spark, bags))
+    assert all(rows[n] <= n for n in rows), rows
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
