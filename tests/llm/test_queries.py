@@ -111,11 +111,12 @@ def test_prefix_join_loses_no_similar_pair(spark, repeats):
     bags = []
     for _ in range(6):
         base = [r.getrandbits(54) for _ in range(r.randint(5, 60))]
+        often = {s: r.randint(1, 4) if r.random() < repeats else 1 for s in base}
         for _ in range(40):
             part = r.sample(base, max(1, round(len(base) * r.uniform(0.75, 1))))
             part += [r.getrandbits(54) for _ in range(round(len(base) * r.uniform(0, 0.15)))]
             times = r.choice([1, 1, 2])
-            bags.append(collections.Counter({s: times * (r.randint(1, 4) if r.random() < repeats else 1) for s in part}))
+            bags.append(collections.Counter({s: times * often.get(s, 1) + (r.random() < repeats / 20) for s in part}))
     want = {(i, j) for j in range(len(bags)) for i in range(j)
             if i % 5 != j % 5 and probability_jaccard(bags[i], bags[j]) >= 0.8}
     got = set(prefix_pairs(spark, bags, lambda i: i % 5))
