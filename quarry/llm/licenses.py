@@ -5,8 +5,13 @@ notices and blank lines go, letters become lower case, equivalent spellings beco
 (licence/license, "(c)", http/https, and the like), punctuation becomes blanks, runs of
 blanks become one. The SHA-256 of that form is looked up by a hash join in the table of
 known digests. The whole text is looked up, and each paragraph and line of it, whole, as a
-text of its own, so a notice inside a document is found too. DataFrame functions only;
-the table of digests is fixed and small, so the join broadcasts it and nothing is shuffled.
+text of its own, so a notice inside a document is found too. A known text of several
+paragraphs inside a document is found as a run of consecutive paragraphs (those without a
+letter or digit left out): where a paragraph is the first one of a known text, the runs of
+the known lengths that start there are looked up by the digest of their paragraphs' digests.
+A known text that holds another one of the same licence is no run of its own, so a titled
+licence inside a document counts once, as its body. DataFrame functions only; the table of
+digests is fixed and small, so the join broadcasts it and nothing is shuffled.
 
 Edge cases: a null, empty or blank text matches nothing; rows are independent (ties,
 repeated rows and null ids need no rule); an empty table gives an empty result; extra
@@ -15,6 +20,7 @@ columns are ignored, whatever their names; texts of any length are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import pkgutil
 import re
 
@@ -129,7 +135,8 @@ was not distributed with this file, You can obtain one at https://mozilla.org/MP
 
 # Title lines above a short text, before its copyright lines.
 TITLES = {
-    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)",
+            "MIT License (https://opensource.org/license/mit)", "MIT License (https://opensource.org/licenses/MIT)"],
     "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License",
                      "The 2-Clause BSD License", "BSD-2-Clause"],
@@ -174,48 +181,101 @@ SPELLINGS = [
     ("version 2.0", "v. 2.0"), ("v2.0", "v. 2.0"),
 ]
 
-COPYRIGHT_LINE = "(?m)^[^a-z\\n]*(copyright[ \\t]+(\\(c\\)|[0-9])|\\(c\\)[ \\t]*(copyright|[0-9])|all rights reserved)[^\\n]*$"
+COPYRIGHT_LINE = ("(?m)^[^a-z\\n]*(copyright([ \\t]+(\\(c\\)|[0-9])|[^a-z\\n][^\\n]*[12][0-9][0-9][0-9])|\\(c\\)[ \\t]*(copyright|[0-9])"
+                  "|all rights reserved)[^\\n]*$")
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 PARAGRAPH = "\\n[ \\t\\r]*\\n[ \\t\\r\\n]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; empty for null."""
+def plain(text: Column) -> Column:
+    """Letters and spellings made equal and copyright lines replaced by a dash, line by line: the
+    lines and paragraphs of the result are those of the text."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, " ")
-    return F.trim(F.regexp_replace(t, PUNCTUATION, " "))
+    return F.regexp_replace(t, "(?d)" + COPYRIGHT_LINE, "-")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(F.encode(canonical(text), "UTF-8"), 256)
+def words(text: Column) -> Column:
+    """The canonical form of a plain text."""
+    return F.trim(F.regexp_replace(text, PUNCTUATION, " "))
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def paragraph_words(text: str) -> list[str]:
+    """The canonical paragraphs of a known text, without empty ones."""
+    t = text.translate(str.maketrans(UPPER, LOWER))
+    for a, b in SPELLINGS:
+        t = t.replace(a, b)
+    t = re.sub(COPYRIGHT_LINE, "-", t)
+    return [w for p in re.split(PARAGRAPH, t) if (w := re.sub(PUNCTUATION, " ", p).strip(" "))]
+
+
+def known_runs(texts: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    """(license, digests of its paragraphs) of the known texts of two paragraphs or more that
+    hold no other such text of their licence."""
+    found = []
+    for license, ts in texts.items():
+        runs = {tuple(hashlib.sha256(w.encode()).hexdigest() for w in paragraph_words(t)) for t in ts}
+        runs = sorted((r for r in runs if len(r) > 1), key=lambda r: (len(r), r))
+        least: list[tuple] = []
+        for r in runs:
+            if not any(r[i:i + len(x)] == x for x in least for i in range(len(r) - len(x) + 1)):
+                least.append(r)
+        found += [(license, list(r)) for r in least]
+    return found
+
+
+def run_digest(digests: list[str]) -> str:
+    return hashlib.sha256(" ".join(digests).encode()).hexdigest()
 
 
 def known_digests(spark, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license), one row per digest."""
-    rows = [(k, t) for k, ts in (texts or KNOWN).items() for t in ts]
-    df = spark.createDataFrame(rows, "license string, text string")
-    return df.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    """(digest, license) of known texts and of their runs of paragraphs, one row per digest."""
+    texts = texts or KNOWN
+    df = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "license string, text string")
+    df = df.select("license", sha256(words(plain(F.col("text")))).alias("digest"))
+    runs = [(k, run_digest(r)) for k, r in known_runs(texts)]
+    if runs:
+        df = df.union(spark.createDataFrame(runs, "license string, digest string"))
+    return df.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _runs(digests: Column, known: list[tuple[str, list[str]]]) -> Column:
+    """Digests of the runs of paragraphs that may be a known text."""
+    starts = sorted({r[0] for _, r in known})
+    lengths = F.array(*[F.lit(n) for n in sorted({len(r) for _, r in known})])
+
+    def at(i: Column) -> Column:
+        return F.transform(lengths, lambda n: F.when(i + n <= F.size(digests), sha256(F.array_join(F.slice(digests, i + 1, n), " "))))
+    return F.flatten(F.transform(digests, lambda d, i: F.when(d.isin(starts), at(i)).otherwise(F.array().cast("array<string>"))))
+
+
+def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``license`` (of the whole text, or null), ``n_notices`` (its
-    lines and paragraphs that are a known text) and ``notices`` (their licences, sorted and
-    joined by commas).
+    lines, paragraphs and runs of paragraphs that are a known text) and ``notices`` (their
+    licences, sorted and joined by commas). ``texts``: known texts by licence (``KNOWN``).
 
     The parts of a text are rows of the same task, so the aggregation after the lookup
     folds them there and shuffles one small row per document."""
-    table = known if known is not None else known_digests(docs.sparkSession)
-    raw = F.coalesce(col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("doc_id"), raw.alias("text"))
-    lines = F.split("text", "\n")
-    paragraphs = F.filter(F.split("text", PARAGRAPH), lambda p: F.contains(p, F.lit("\n")))
-    parts = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), lines, paragraphs)).alias("part", "text"))
+    known = known_runs(texts or KNOWN)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("bigint").alias("doc_id"),
+                       plain(col(text_col)).alias("text"))
+    paragraphs = F.transform(F.split("text", PARAGRAPH), lambda p: F.struct(F.contains(p, F.lit("\n")).alias("lines"), words(p).alias("words")))
+    paragraphs = F.transform(F.filter(paragraphs, lambda p: p["words"] != ""),
+                             lambda p: F.struct(p["lines"].alias("lines"), sha256(p["words"]).alias("digest")))
+    rows = rows.select("row", "doc_id", "text", paragraphs.alias("paragraphs"))
+    rows = rows.select("row", "doc_id", "text", "paragraphs", F.transform("paragraphs", lambda p: p["digest"]).alias("digests"))
+    lines = F.transform(F.split("text", "\n"), lambda x: sha256(words(x)))
+    whole = F.transform(F.filter("paragraphs", lambda p: p["lines"]), lambda p: p["digest"])
+    digests = [F.array(sha256(words(F.col("text")))), lines, whole] + ([_runs(F.col("digests"), known)] if known else [])
+    parts = rows.select("row", "doc_id", F.posexplode(F.concat(*digests)).alias("part", "digest"))
     # a fixed list of at most a few hundred digests
-    found = parts.select("row", "doc_id", "part", digest(F.col("text")).alias("digest")).join(
-        F.broadcast(table.select("digest", "license")), "digest", "left")
+    found = parts.join(F.broadcast(known_digests(docs.sparkSession, texts)), "digest", "left")
     notice = F.when(F.col("part") > 0, F.col("license"))
     return (found.groupBy("row", "doc_id")
                  .agg(F.max(F.when(F.col("part") == 0, F.col("license"))).alias("license"),
@@ -224,31 +284,46 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
                  .select("doc_id", "license", "n_notices", "notices"))
 
 
-def _sql_canonical(x: str) -> str:
+def _sql_words(x: str) -> str:
     def quote(v):
         return "'" + v.replace("'", "''") + "'"
     x = f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
     for a, b in SPELLINGS:
         x = f"replace({x}, {quote(a)}, {quote(b)})"
     x = f"regexp_replace({x}, {quote(COPYRIGHT_LINE)}, ' ', 'g')"
-    return f"sha256(trim(regexp_replace({x}, {quote(PUNCTUATION)}, ' ', 'g')))"
+    return f"trim(regexp_replace({x}, {quote(PUNCTUATION)}, ' ', 'g'))"
+
+
+def _sql_canonical(x: str) -> str:
+    return f"sha256({_sql_words(x)})"
 
 
 def _sql_known() -> str:
     return ", ".join("('" + k + "', '" + t.replace("'", "''") + "')" for k, ts in KNOWN.items() for t in ts)
 
 
+_RUNS = known_runs(KNOWN)
+
 ORACLE = f"""
   WITH known AS (SELECT {_sql_canonical('t')} AS digest, min(license) AS license
                  FROM (VALUES {_sql_known()}) AS v(license, t) GROUP BY 1),
+  known_run AS (SELECT digest, min(license) AS license
+                FROM (VALUES {", ".join(f"('{k}', '{run_digest(r)}')" for k, r in _RUNS)}) AS v(license, digest) GROUP BY 1),
   whole AS (SELECT doc_id, license FROM (SELECT doc_id, {_sql_canonical('text')} AS digest FROM documents) JOIN known USING (digest)),
+  paragraph AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '{PARAGRAPH}') AS ps FROM documents),
   parts AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part FROM documents
     UNION ALL
-    SELECT doc_id, part FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{PARAGRAPH}')) AS part FROM documents)
-    WHERE contains(part, chr(10))
+    SELECT doc_id, part FROM (SELECT doc_id, unnest(ps) AS part FROM paragraph) WHERE contains(part, chr(10))
   ),
-  hit AS (SELECT doc_id, license FROM (SELECT doc_id, {_sql_canonical('part')} AS digest FROM parts) JOIN known USING (digest)),
+  said AS (SELECT doc_id, [{_sql_words('p')} for p in ps] AS ws FROM paragraph),
+  digests AS (SELECT doc_id, [sha256(w) for w in ws if w <> ''] AS ds FROM said),
+  starts AS (SELECT doc_id, ds, unnest(generate_series(1, len(ds))) AS i FROM digests
+             WHERE list_has_any(ds, [{", ".join(f"'{d}'" for d in sorted({r[0] for _, r in _RUNS}))}])),
+  run AS (SELECT doc_id, sha256(array_to_string(ds[i:i + n - 1], ' ')) AS digest
+          FROM starts, (VALUES {", ".join(f"({n})" for n in sorted({len(r) for _, r in _RUNS}))}) AS l(n) WHERE i + n - 1 <= len(ds)),
+  hit AS (SELECT doc_id, license FROM (SELECT doc_id, {_sql_canonical('part')} AS digest FROM parts) JOIN known USING (digest)
+          UNION ALL SELECT doc_id, license FROM run JOIN known_run USING (digest)),
   n AS (SELECT doc_id, count(*) AS n_notices, string_agg(license, ',' ORDER BY license) AS notices FROM hit GROUP BY 1)
   SELECT d.doc_id, w.license, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
   FROM documents d LEFT JOIN whole w USING (doc_id) LEFT JOIN n USING (doc_id)

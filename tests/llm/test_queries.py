@@ -7,12 +7,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import classes, counts, probability_jaccard
 from compare import same
 from conftest import SF_SMALL, duck_for
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -385,3 +387,38 @@ def test_licence_files_with_titles_and_full_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
     assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_licences_inside_documents(spark):
+    """Known texts of several paragraphs between other text, under any copyright line; equal to the SQL."""
+    mit, bsd = licenses.KNOWN["MIT"][0], licenses.KNOWN["BSD-3-Clause"][0]
+    folder = os.path.join(os.path.dirname(licenses.__file__), "known_licenses")
+    with open(f"{folder}/Apache-2.0.txt") as f:
+        apache = f.read()
+    terms = apache[:apache.index(licenses.END_OF_TERMS)]
+    title = "MIT License (https://opensource.org/license/mit)"
+    rows = [(0, f"{title}\n\nCopyright <2025> <SOME BODY>\n\n{mit}", "MIT", "MIT"),
+            (1, f"Copyright Jane Doe 2020\n\n{mit}", "MIT", "MIT"),
+            (2, f"before\n\n{mit}\n\nafter", None, "MIT"),
+            (3, f"before\n\nThe MIT License\n\nCopyright Jane Doe, 2020-2021\n\n-----\n\n{mit}\n\nafter", None, "MIT,MIT"),
+            (4, f"our parts\n\n{apache}\n\ntheir parts\n\n{bsd}\n\nend", None, "Apache-2.0,Apache-2.0,BSD-3-Clause"),
+            (5, f"our parts\n\n{terms}\n\nend", None, "Apache-2.0"),
+            (6, "\n\n".join([mit] * 50 + ["end"]), None, ",".join(["MIT"] * 50)),
+            (7, mit.replace("\n\n", "\n\nand\n\n"), None, ""), (8, mit[:-20], None, ""), (9, None, None, ""), (10, "", None, ""),
+            (11, "copyright holders of it\n\nMIT License", None, "MIT")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs).collect()}
+    assert got == {i: (license, notices) for i, _, license, notices in rows}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: (r[1], r[3]) for r in con.sql(licenses.ORACLE).fetchall()} == got
+    own = {"Mine": ["one thing\n\nanother thing"], "Yours": ["one thing"]}
+    docs = spark.createDataFrame([(1, "x\n\nOne thing,\n\nanother thing!\n\ny"), (2, "One thing")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs, own).collect()} == {1: (None, "Mine,Yours"), 2: ("Yours", "Yours")}
+
+
+def test_paragraphs_of_known_texts_as_spark_reads_them(spark):
+    texts = [t for ts in licenses.KNOWN.values() for t in ts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("text", licenses.plain(F.col("text")))
+    df = df.select("i", F.filter(F.transform(F.split("text", licenses.PARAGRAPH), licenses.words), lambda w: w != "").alias("words"))
+    assert {r.i: r.words for r in df.collect()} == {i: licenses.paragraph_words(t) for i, t in enumerate(texts)}
