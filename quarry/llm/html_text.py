@@ -8,24 +8,29 @@
    nodes are one *slot* of the wrapper, unmatched ones are slots of their own. Outlines
    are few, so this is done once per distinct outline, not per page.
 3. Over all pages of the host, a block whose text is the same in its slot on at least half
-   of the distinct pages that have the slot (and on ``MIN_PAGES``) is template. What varies is content.
+   of the distinct pages that have the slot (and on ``MIN_PAGES``) is template, whatever its
+   tags and names. What varies is content.
 4. A page's text is its content blocks; if the page has an ``article`` or ``main`` element,
-   those inside it, otherwise those that are not mostly links. Structural boilerplate
-   (navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, comments
-   of readers) is left out when a page is read, by the fixed lists of tags, roles and names
-   below.
+   those inside it, otherwise those that are not mostly links. Boilerplate that varies, or
+   stands on too few pages (adverts, notices, comments of readers, menus of a small host), is
+   left out by the fixed lists of tags, roles and names below. The result says how many
+   blocks of a page were template (``n_template``) and how many others the lists left out
+   (``n_listed``); ``lists=False`` leaves it to the wrapper alone.
 5. A name is a whole class or id. It never counts around the main text: not on ``main``, not
    around the only ``article`` text of a page, and not on an element that holds
-   ``AROUND_SHARE`` of the varying text of its host.
+   ``AROUND_SHARE`` of the varying text of its host. The tags ``form`` and ``noscript`` are
+   judged like such a name, as some sites put the whole page into one.
 
 Counts are aggregations over (host, slot, text), so a host with a third of all pages is
-spread over all tasks. Pages with the same blocks count once, so that a text copied over
-many pages of a host is not taken for template.
+spread over all tasks. Pages with the same blocks outside the lists count once, so that a text
+copied over many pages of a host is not taken for template.
 
 Edge cases: a null or empty page has no text; a null url is a host of its own; repeated
 rows give equal rows; a null page id is kept; an empty table gives an empty result; extra
 columns are ignored, whatever their names; broken and cut-off markup is read as far as it
-goes, nested to any depth; pages of any length are read whole.
+goes, nested to any depth, and a quote mark opens a value directly after ``=`` only; pages of
+any length are read whole; of outlines that are equally frequent on a host the greatest is its
+reference.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.frames import col, map_arrow
@@ -51,7 +56,8 @@ BLOCK = set("""address article aside blockquote body button caption center dd de
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option
 p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 RAW = set("script style textarea title template svg iframe noembed noframes xmp canvas object video audio math".split())
-DROP_TAGS = set("head nav footer aside form button select option menu dialog noscript fieldset search".split())
+DROP_TAGS = set("head nav footer aside button select option menu dialog fieldset search".split())
+WRAP_TAGS = set("form noscript".split())
 DROP_NAMES = set("""nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts
 advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert
 popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment
@@ -73,9 +79,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = set("ul ol dl table select".split())
 CLOSES_P = BLOCK - set("td th tr tbody thead tfoot li dt dd option body html head caption summary legend figcaption button".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""",
-                     re.DOTALL)
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_MARKUP = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)>"""
+                     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""", re.DOTALL)
+_ATTR = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+""")
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -87,17 +94,21 @@ class _Node:
 
 
 class Page:
-    """``outline``: (depth, label) of each node in preorder of first appearance;
+    """One page as read, with the fixed lists or without (``lists``).
+
+    ``outline``: (depth, label) of each node in preorder of first appearance;
     ``blocks``: (node, text, characters in links, is boilerplate, is in the main part);
     ``around``: for each block that only a name makes boilerplate and that may yet be main
     text on its host, the outermost node with the name, otherwise -1."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, lists: bool = True):
+        self._lists = lists
         self.nodes: list[_Node] = []
         self.blocks: list[tuple[int, str, int, bool, bool]] = []
         root = self._node(None, "#root")
         self.around: list[int] = []
         self._reader: set[int] = set()
+        self._wrap: set[int] = set()
         # open elements: (tag, node, boilerplate, in the main part, outermost node with a name of boilerplate)
         self._stack: list[tuple[str, _Node, bool, bool, int]] = [("#root", root, False, False, -1)]
         self._text: list[str] = []
@@ -134,7 +145,9 @@ class Page:
         inside = [(a, main and not drop, len(text) - links) for (_, text, links, drop, main), a in zip(self.blocks, self.around, strict=True)]
         has_main = any(main and a < 0 for a, main, _ in inside)
         rest = sum(n for (a, _, n), b in zip(inside, self.blocks, strict=True) if a < 0 and not b[3])
-        lifted = [main and a not in self._reader for a, main, _ in inside]
+        lifted = [main and a in self._wrap for a, main, _ in inside]
+        if not any(lifted):
+            lifted = [main and a not in self._reader for a, main, _ in inside]
         lift = not has_main and sum(n for (_, _, n), x in zip(inside, lifted, strict=True) if x) > rest
         for i, (node, text, links, drop, main) in enumerate(self.blocks):
             a = self.around[i]
@@ -208,17 +221,20 @@ class Page:
             runs = _NAME.findall(own)
             label = f"{tag}.{'.'.join(dict.fromkeys(runs))}" if runs else tag
             role = found.get("role", "").lower()
-            drop = drop or role in DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(
-                re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE))
+            drop = drop or self._lists and (role in DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(
+                re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE)))
             main = main or role == "main"
         if tag in ("article", "main") and not drop:
             main = True
         node = self._node(parent, label)
-        if tag not in ("html", "body"):
+        if self._lists and tag not in ("html", "body"):
             drop = drop or tag in DROP_TAGS or not main and tag == "header"
             named = names & DROP_NAMES or not main and names & HEAD_NAMES
-            if named and around < 0 and tag != "main" and role != "main":
+            # a name inside a form or noscript counts for itself
+            if (named and (around < 0 or around in self._wrap) or tag in WRAP_TAGS and around < 0) and tag != "main" and role != "main":
                 around = node.number
+                if not named:
+                    self._wrap.add(around)
                 if names & READER_NAMES:
                     self._reader.add(around)
         self._stack.append((tag, node, drop, main, around))
@@ -319,30 +335,34 @@ def slots(outline: list[tuple[int, str]], reference: list[tuple[int, str]]) -> l
 # -- jobs ----------------------------------------------------------------------
 
 _PARSED = ("page_id long, url string, host string, outline string, "
-           "blocks array<struct<node:int,text:string,links:int,main:boolean,around:int>>")
-_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32()), ("main", pa.bool_()),
+           "blocks array<struct<node:int,text:string,hash:long,links:int,main:boolean,around:int>>")
+_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("hash", pa.int64()), ("links", pa.int32()), ("main", pa.bool_()),
                             ("around", pa.int32())]))
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Each page's outline and its blocks outside structural boilerplate, written once (the
-    markup is not read again)."""
+def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str, lists: bool = True) -> DataFrame:
+    """Each page's outline and its blocks, written once (the markup is not read again). A block
+    that the lists leave out has a hash only, its text is null."""
     def make() -> Callable:
         def fn(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 hosts, outlines, blocks = [], [], []
                 for url, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    page = Page(source or "")
+                    page = Page(source or "", lists)
                     hosts.append(host_of(url))
                     outlines.append(dump(page.outline))
-                    blocks.append([{"node": n, "text": t, "links": k, "main": m, "around": a}
-                                   for (n, t, k, dropped, m), a in zip(page.blocks, page.around, strict=True) if not dropped])
+                    blocks.append([{"node": n, "text": None if dropped else t, "hash": _hash(t), "links": k, "main": m, "around": a}
+                                   for (n, t, k, dropped, m), a in zip(page.blocks, page.around, strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(hosts), pa.array(outlines), pa.array(blocks, _BLOCK)],
                     names=["page_id", "url", "host", "outline", "blocks"])
@@ -368,22 +388,27 @@ def align(parsed: DataFrame) -> DataFrame:
                      "host string, outline string, slots array<string>")
 
 
+def _key(slot, hash) -> Column:
+    return F.xxhash64(slot, hash)
+
+
 def templates(placed: DataFrame) -> DataFrame:
-    """(host, constant, around): keys ``slot:hash`` of template blocks, and the slots of
+    """(host, constant, around): keys of (slot, hash) of template blocks, and the slots of
     elements whose name does not count, as they hold the main text of the host."""
-    placed = placed.select("host", "blocks", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"))
+    listed_not = F.filter("blocks", lambda b: b["text"].isNotNull())
+    placed = placed.select("host", "blocks", F.xxhash64(F.transform(listed_not, lambda b: b["hash"])).alias("page"))
     blocks = placed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("hash"), F.col("b.around").alias("around"),
+        "host", "page", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash"), F.col("b.around").alias("around"),
         F.when(F.col("b.links") <= LINK_SHARE * F.length("b.text"), F.length("b.text")).otherwise(0).alias("chars"))
     per_text = (blocks.groupBy("host", "slot", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot", "hash")
                       .agg(F.count(F.lit(1)).alias("n")))
     # a host may have several layouts: the share is of the pages that have the slot
     n_pages = blocks.groupBy("host", "slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
     keys = per_text.where(f"n >= {MIN_PAGES}").join(n_pages, ["host", "slot"]).where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    constant = keys.groupBy("host").agg(F.collect_list(F.concat("slot", F.lit(":"), F.col("hash").cast("string"))).alias("constant"))
+    constant = keys.groupBy("host").agg(F.collect_list(_key("slot", "hash")).alias("constant"))
     # only hosts with named elements whose pages have no article
     named = blocks.where("around IS NOT NULL").select("host").distinct()
-    varying = (blocks.join(named, "host", "left_semi").groupBy("host", "around", "slot", "hash").agg(F.sum("chars").alias("chars"))
+    varying = (blocks.where("chars > 0").join(named, "host", "left_semi").groupBy("host", "around", "slot", "hash").agg(F.sum("chars").alias("chars"))
                      .join(keys.select("host", "slot", "hash"), ["host", "slot", "hash"], "left_anti")
                      .groupBy("host", "around").agg(F.sum("chars").alias("chars")))
     around = (varying.groupBy("host").agg(F.max_by("around", F.struct("chars", "around")).alias("around"), F.max("chars").alias("most"), F.sum("chars").alias("chars"))
@@ -392,26 +417,29 @@ def templates(placed: DataFrame) -> DataFrame:
     return constant.join(around, "host", "full")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``."""
-    parsed = parse(pages, id_col, url_col, html_col)
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lists: bool = True) -> DataFrame:
+    """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``, ``n_template`` (its blocks
+    that are template of the host) and ``n_listed`` (others that the fixed lists left out)."""
+    parsed = parse(pages, id_col, url_col, html_col, lists)
     outlines = small_side(materialize(align(parsed), "outlines"), "outlines")
     placed = parsed.join(outlines, ["host", "outline"]).select(
         "page_id", "url", "host",
         F.transform("blocks", lambda b: b.withField("slot", F.element_at("slots", b["node"] + 1))
                     .withField("around", F.when(b["around"] >= 0, F.get("slots", b["around"])))).alias("blocks"))
     template = small_side(materialize(templates(placed), "templates"), "templates")
-    none = F.array().cast("array<string>")
-    constant = F.coalesce("constant", none)
+    constant = F.coalesce("constant", F.array().cast("array<bigint>"))
 
-    def varies(b):
-        key = F.concat(b["slot"], F.lit(":"), F.xxhash64(b["text"]).cast("string"))
-        linked = ~b["main"] & (b["links"] > LINK_SHARE * F.length(b["text"]))
+    def judged(b):
         named = b["around"].isNotNull() & ~F.coalesce(b["around"] == F.col("kept_around"), F.lit(False))
-        return ~linked & ~named & ~F.array_contains(constant, key)
-
-    content = placed.join(template.withColumnRenamed("around", "kept_around"), "host", "left").select("page_id", "url", "blocks", F.filter("blocks", varies).alias("content"))
-    inside = F.filter("content", lambda b: b["main"])
-    has_main = F.exists("blocks", lambda b: b["main"])
-    text = F.array_join(F.transform(F.when(has_main, inside).otherwise(F.col("content")), lambda b: b["text"]), "\n")
-    return content.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+        return F.struct(b["text"].alias("text"), b["main"].alias("main"), (b["links"] > LINK_SHARE * F.length(b["text"])).alias("linked"),
+                        F.array_contains(constant, _key(b["slot"], b["hash"])).alias("template"), (b["text"].isNull() | named).alias("listed"))
+
+    blocks = placed.join(template.withColumnRenamed("around", "kept_around"), "host", "left").select(
+        "page_id", "url", F.transform("blocks", judged).alias("blocks"))
+    has_main = F.exists("blocks", lambda b: b["main"] & b["text"].isNotNull())
+    content = blocks.withColumn("has_main", has_main).withColumn("content", F.filter(
+        "blocks", lambda b: ~b["template"] & ~b["listed"] & F.when(F.col("has_main"), b["main"]).otherwise(b["main"] | ~b["linked"])))
+    text = F.array_join(F.transform("content", lambda b: b["text"]), "\n")
+    counts = [F.size(F.filter("blocks", lambda b: b["template"])).cast("bigint").alias("n_template"),
+              F.size(F.filter("blocks", lambda b: ~b["template"] & b["listed"])).cast("bigint").alias("n_listed")]
+    return content.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), *counts)

@@ -10,6 +10,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import zstandard
 from brute import bag, counts, probability_jaccard
 from hypothesis import given, settings
@@ -324,3 +325,23 @@ def test_base_spans_of_very_long_runs():
     assert pii.base_spans("x" * n + "@y.z") == [("email", 0, n + 4)]
     assert pii.base_spans("@" * n) == [] and pii.base_spans("a@" * (n // 10)) == [] and pii.base_spans("+1" * (n // 10)) == []
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(("source", "texts"), [
+    ("<p data-t=it's>First one.</p><p>She's here</p>", ["First one.", "She's here"]),
+    ('<p a=x"y>one</p><p>say "so"</p>', ["one", 'say "so"']),
+    ('<p "stray>one</p><p>two "x"</p>', ["one", 'two "x"']),
+    ('<p title="a > b">one</p><p title=\'c > d\'>two</p>', ["one", "two"]),
+    ('<p title = "a > b" hidden2>one<br/>more</p><p/>two', ["one more", "two"]),
+    ('<p title="never closed>one</p><p>two', ["one", "two"]),
+    ("<p =x='>'>one</p>", ["one"]), ("<p>1 < 2 and a<b </p><p>end", ["1 < 2 and a", "end"]),
+])
+def test_quote_marks_in_markup(source, texts):
+    assert [b[1] for b in html_text.Page(source).blocks] == texts
+
+
+def test_attributes_of_any_length_are_read_in_linear_time():
+    t0 = time.perf_counter()
+    for source in ("<p " + "a='" * 300_000 + ">x", '<p x="' + "y " * 500_000, "<p " + "a=b " * 300_000 + ">x", "<p" + " " * 1_000_000 + "=", "<a<" * 100_000):
+        html_text.Page(source)
+    assert time.perf_counter() - t0 < 20

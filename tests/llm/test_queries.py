@@ -422,3 +422,40 @@ def test_paragraphs_of_known_texts_as_spark_reads_them(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("text", licenses.plain(F.col("text")))
     df = df.select("i", F.filter(F.transform(F.split("text", licenses.PARAGRAPH), licenses.words), lambda w: w != "").alias("words"))
     assert {r.i: r.words for r in df.collect()} == {i: licenses.paragraph_words(t) for i, t in enumerate(texts)}
+
+
+def _extract(spark, rows, **kw):
+    return {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **kw).collect()}
+
+
+def test_wrapper_alone_removes_what_same_host_pages_share(spark):
+    """Without the fixed lists: menus, headers, footers and forms go as template."""
+    def shop(i, extra=""):
+        return ('<html><body><header><a href="/">My Site</a></header><nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>'
+                f'<div class="body"><h1>Story {i}</h1><p>It tells of day {i * i}.</p>{extra}</div><form><label>Search</label></form>'
+                '<footer><p>All rights reserved.</p></footer></body></html>')
+    rows = [(i, f"https://h.example.com/{i}", shop(i, f'<div class="comments"><p>reader {i} says</p></div>')) for i in range(12)]
+    rows += [(100 + i, f"https://few.example.com/{i}", shop(i)) for i in range(3)]
+    alone, both = _extract(spark, rows, lists=False), _extract(spark, rows)
+    assert {i: r.text for i, r in both.items()} == {i: f"Story {i % 100}\nIt tells of day {(i % 100) ** 2}." for i in both}
+    for i in range(12):
+        assert alone[i].text == both[i].text + f"\nreader {i} says" and (alone[i].n_template, alone[i].n_listed) == (5, 0)
+        assert (both[i].n_template, both[i].n_listed) == (5, 1)
+    # too few pages for a wrapper: the lists do it
+    assert all((both[100 + i].n_template, both[100 + i].n_listed) == (0, 5) for i in range(3))
+    assert "Search" in alone[100].text
+
+
+def test_forms_and_noscript_around_pages(spark):
+    page = "<article><h1>Title {i}</h1><p>Text {i} of the page.</p></article>"
+    rows = [(1, "http://a.example.com/1", "<form id=aspnetForm><nav>menu</nav>" + page.format(i=1) + "<div class=comments><p>me too</div></form>"),
+            (2, "http://b.example.com/1", "<p>enable scripts<noscript>" + page.format(i=2) + "</noscript>"),
+            (3, "http://c.example.com/1", page.format(i=3) + "<form><p>your name, please</p></form><noscript>no script</noscript>"),
+            (4, "http://d.example.com/1", page.format(i=4).replace("</article>", "<form><p>write a comment</p></form></article>"))]
+    rows += [(10 + i, f"http://e.example.com/{i}", f"<form><div class=menu>menu</div><div><p>Text {i} of a page in a form, all of it.</div><div class=comments>me {i}</div></form>")
+             for i in range(6)]
+    rows += [(20 + i, f"http://f.example.com/{i}", f"<div><p>Text {i} of a page with a form.</div><form><p>field {i}</form>") for i in range(6)]
+    got = {i: r.text for i, r in _extract(spark, rows).items()}
+    assert [got[i] for i in range(1, 5)] == [f"Title {i}\nText {i} of the page." for i in range(1, 5)]
+    assert [got[10 + i] for i in range(6)] == [f"Text {i} of a page in a form, all of it." for i in range(6)]
+    assert [got[20 + i] for i in range(6)] == [f"Text {i} of a page with a form." for i in range(6)]
