@@ -424,7 +424,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     outlines = small_side(materialize(align(parsed), "outlines"), "outlines")
     placed = parsed.join(outlines, ["host", "outline"]).select(
         "page_id", "url", "host",
-        F.transform("blocks", lambda b: b.withField("slot", F.element_at("slots", b["node"] + 1))
+        F.transform("blocks", lambda b: b.withField("slot", F.xxhash64(F.element_at("slots", b["node"] + 1)))
                     .withField("around", F.when(b["around"] >= 0, F.get("slots", b["around"])))).alias("blocks"))
     template = small_side(materialize(templates(placed), "templates"), "templates")
     constant = F.coalesce("constant", F.array().cast("array<bigint>"))
