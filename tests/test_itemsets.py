@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from compare import same
 from conftest import SF_CHECK, duck_for
@@ -55,6 +56,35 @@ def test_hot_item_is_folded(spark):
     assert {tuple(r.prefix): r.n for r in got} == {(0, k): 1000 for k in range(1, 6)}
 
 
+def random_baskets(n):
+    r = random.Random(n)
+    return [(b, x) for b in range(n) for x in r.sample("abcdefghijkl", r.randint(6, 11))]
+
+
+@pytest.mark.parametrize("least", [2, 60, 100])
+def test_slices_against_brute_force(spark, monkeypatch, least):
+    """Groups that are larger than one Python call may hold; with few and with many slices."""
+    rows = random_baskets(300) + [(None, "a"), (3, None)]
+    monkeypatch.setattr(itemsets, "PART_ITEMS", 1200)
+    got = frequent_itemsets(spark.createDataFrame(rows, "b long, x string"), "b", "x", least, 3, 5).collect()
+    assert {tuple(r.items): r.freq for r in got} == brute(rows, least, 3) and len(got) > 20
+    assert all(r.items == sorted(r.items) for r in got)
+
+
+def test_a_slice_does_not_grow_with_the_baskets(spark, monkeypatch):
+    """Few items in ever more baskets: one group has nearly all prefixes, a slice of it does not."""
+    monkeypatch.setattr(itemsets, "PART_ITEMS", 1000)
+    for n in (300, 1200):
+        parts = conditional_transactions(spark.createDataFrame(random_baskets(n), "b long, x string"), "b", "x", 2, 5)
+        held = itemsets.sliced(parts).groupBy("part", "slice").agg(F.sum(F.size("prefix")).alias("n")).collect()
+        assert max(r.n for r in held) <= 1000 < sum(r.n for r in held) and len({r.part for r in held}) <= 5
+
+
+def test_counted_sets():
+    prefixes = [np.array(list(x)) for x in ("abc", "abd", "b", "cd")]
+    assert itemsets.count_sets(prefixes, [1, 2, 4, 8], ["ab", "b", "cd", "abc", "ad", "xa"]) == [3, 7, 8, 1, 2, 0]
+
+
 def test_prefix_tree_shares_nodes():
     tree = PrefixTree()
     tree.add("abc", 2)
