@@ -359,23 +359,60 @@ def prefix_pairs(held: DataFrame, bag: DataFrame) -> DataFrame:
         F.col("node_x").alias("x"), F.col("node_y").alias("y"))
 
 
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are of different classes, with these (u, v)."""
+    def of(node: str, class_: str) -> DataFrame:
+        return linked.select(F.col("node").alias(node), F.col("class").alias(class_))
+    both = pairs.join(of("a", "u"), "a", "left").join(of("b", "v"), "b", "left")
+    return both.withColumn("u", F.coalesce("u", "a")).withColumn("v", F.coalesce("v", "b")).where("u <> v")
+
+
+def merge(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class) after the classes that ``links`` connect are joined. Links become pairs of
+    classes, each once: what is inside a class is not looked at again."""
+    between = _apart(links, linked).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    joined = components(between)
+    alone = joined.select("node", F.col("node").alias("class")).join(linked, "node", "left_anti")
+    far = joined.select(F.col("node").alias("class"), F.col("class").alias("far"))
+    return materialize(linked.unionByName(alone).join(far, "class", "left")
+                             .select("node", F.coalesce("far", "class").alias("class")), "labels")
+
+
+def nearest(met: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, n), for each node the one that meets in most shingles: one per node."""
+    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "n"),
+                                        F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "n"))).alias("e")).select("e.*")
+    best = ends.groupBy("x").agg(F.max(F.struct("n", (-F.col("y")).alias("order"))).alias("best"))
+    return _ordered(best.select("x", (-F.col("best.order")).alias("y")))
+
+
 def link_classes(members: DataFrame, bag: DataFrame) -> DataFrame:
     """(node, class) of linked nodes, from bucket members (key, node, leader)."""
     star = members.where("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y"))
     tested = materialize(_ordered(star), "pairs")
     links = materialize(compare(tested, bag), "links")
     linked = components(links)
-    for find in (lambda held: hub_pairs(held, links), lambda held: prefix_pairs(held, bag)):
+    held = materialize(_open(members, linked), "open")
+    if held.isEmpty():
+        return linked
+    new = materialize(_ordered(hub_pairs(held, links)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = materialize(compare(new, bag), "links")
+    if not found.isEmpty():
+        linked = merge(linked, found)
         held = materialize(_open(members, linked), "open")
         if held.isEmpty():
-            break
-        new = materialize(_ordered(find(held)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(compare(new, bag), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            linked = components(links)
-        tested = tested.union(new)
-    return linked
+            return linked
+    met = (prefix_pairs(held, bag).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+                                  .agg(F.count(F.lit(1)).alias("n")))
+    met = materialize(met.join(tested.union(new), ["a", "b"], "left_anti"), "pairs")
+    first = materialize(nearest(met), "pairs")
+    found = materialize(compare(first, bag), "links")
+    if not found.isEmpty():
+        linked = merge(linked, found)
+        met = _apart(met, linked).select("a", "b")
+    rest = materialize(met.select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    found = materialize(compare(rest, bag), "links")
+    return linked if found.isEmpty() else merge(linked, found)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

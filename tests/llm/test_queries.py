@@ -148,6 +148,32 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("n", [20, 60])
+def test_links_grow_with_the_group(spark, monkeypatch, n):
+    """Texts all similar to each other, whose bucket leader and hub is similar to none: they are
+    linked by the prefix join, through links in proportion to the group, not all its pairs."""
+    r = random.Random(n)
+    base = [r.getrandbits(54) for _ in range(200)]
+    bags = [{r.getrandbits(54): 1 for _ in range(200)}]
+    for _ in range(n):
+        out = set(r.sample(range(200), 8))
+        bags.append({s: 1 for s in [s for i, s in enumerate(base) if i not in out] + [r.getrandbits(54) for _ in out]})
+    bag = spark.createDataFrame([(i, bytearray(h), bytearray(c), t) for i, h, c, t in bag_rows(bags)],
+                                "node long, h binary, count binary, total long")
+    members = spark.createDataFrame([(k, i, 0) for k in (7, 8) for i in range(n + 1)], "key long, node long, leader long")
+    whole, seen = near_dedup.components, []
+    monkeypatch.setattr(near_dedup, "components", lambda links: seen.append(links.count()) or whole(links))
+    assert {x.node: x["class"] for x in near_dedup.link_classes(members, bag).collect()} == {i: 1 for i in range(1, n + 1)}
+    assert 0 < sum(seen) <= 2 * n, seen
+
+
+def test_merged_classes(spark):
+    linked = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (9, 9), (10, 9)], "node long, class long")
+    links = spark.createDataFrame([(4, 5), (1, 5), (1, 4), (5, 7), (20, 21), (30, 4)], "a long, b long")
+    got = {r.node: r["class"] for r in near_dedup.merge(linked, links).collect()}
+    assert got == {1: 1, 4: 1, 2: 1, 5: 1, 7: 1, 30: 1, 9: 9, 10: 9, 20: 20, 21: 20}
+
+
 def test_index_is_persistent(spark):
     path = scratch_path(spark, "index-test")
     first = spark.createDataFrame([(5, "a b"), (6, "a  b"), (7, "c")], "doc_id long, text string")
