@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.chained import available, chained_digests
+
 
 def text_landing(df: DataFrame, path: str, text_col: str = "value") -> DataFrame:
     """Write one text column into ``path`` (replacing what is there) and read it back
@@ -42,16 +44,34 @@ def _below(path_col, root: str):
     return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(_file_name(path))
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``file, actual``: path below ``path`` and SHA-512 (hex) of every file, one task per
-    file split. Files of one name in different folders are different files.
-    ``binaryFile`` holds a whole file in one row, so this suits files below 2 GB."""
-    return (spark.read.format("binaryFile")
-                 .option("pathGlobFilter", glob)
-                 .option("recursiveFileLookup", "true")
-                 .load(path)
-                 .select(_below(F.col("path"), path).alias("file"),
-                         F.sha2(F.col("content"), 512).alias("actual")))
+# Bytes of a file that one task digests; a larger file is digested piece by piece.
+PIECE_BYTES = 128 << 20
+# Names the text source would decompress (Hadoop's codecs): these files are always read whole.
+_PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+
+
+def _files_below(spark: SparkSession, source: str, path: str, glob: str) -> DataFrame:
+    return (spark.read.format(source).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+                 .option("lineSep", "\n").load(path))
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*", piece: int = PIECE_BYTES) -> DataFrame:
+    """``file, actual``: path below ``path`` and SHA-512 (hex) of every file. Files of one name in
+    different folders are different files.
+
+    Files up to ``piece`` bytes are one ``binaryFile`` row each. Larger ones are digested here, in
+    pieces (``chained_digests``); compressed ones, and all where OpenSSL is missing, stay whole rows (below 2 GB)."""
+    size, packed = F.col("_metadata.file_size"), F.col("_metadata.file_name").rlike(_PACKED)
+    large = (size > piece) & ~packed if available() else F.lit(False)
+    found = _files_below(spark, "binaryFile", path, glob)
+    whole = (found.where(~large)   # on the file's metadata: the large ones are not opened
+                  .select(_below(F.col("path"), path).alias("file"), F.sha2(F.col("content"), 512).alias("actual")))
+    listed = found.where(large).select("path", F.col("_metadata.file_path").alias("uri"), "length").collect()
+    if not listed:
+        return whole
+    digests = chained_digests(_files_below(spark, "text", path, glob).where(large), {r.uri: r.length for r in listed}, piece)
+    done = spark.createDataFrame([(r.path, digests[r.uri]) for r in listed], "path string, actual string")
+    return whole.unionByName(done.select(_below(F.col("path"), path).alias("file"), "actual"))
 
 
 def write_manifest(digests: DataFrame, path: str) -> None:
